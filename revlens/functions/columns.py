@@ -25,6 +25,16 @@ def sunday_week(ts) -> Column:
     return F.floor((F.dayofyear(ts) + 7 - F.dayofweek(ts)) / 7).cast("long")
 
 
+def round_half_away(c, digits: int = 4) -> Column:
+    """ROUND(x, digits) as SQL engines compute it on DOUBLE: half away from zero on
+    the binary value x * 10^digits. (Spark's ``round`` rounds the decimal text, so
+    the two differ on ties such as 173.94265.)"""
+    c = col(c)
+    scale = float(10 ** digits)
+    r = F.floor(F.abs(c) * scale + 0.5) / scale
+    return F.when(c.isNull() | F.isnan(c), c).when(c < 0, -r).otherwise(r)
+
+
 def is_finite(c) -> Column:
     c = col(c)
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))

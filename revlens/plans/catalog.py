@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from revlens.operators import attribution as att
 from revlens.operators import rolling as rol
@@ -76,3 +77,55 @@ def _j4(spark, sf):
 @register("J5_prediction_realized")
 def _j5(spark, sf):
     return att.prediction_realized(fx.predictions(spark, sf), fx.ledger(spark, sf))
+
+
+# -------------------------------------------------------------- monitoring
+from revlens.operators import monitoring as mon  # noqa: E402
+
+BASELINE_VERSION = "v1"
+
+
+def baseline(spark, sf):
+    return mon.feature_baseline(training_rows(spark, sf), BASELINE_VERSION)
+
+
+@register("P4_unpivot_features")
+def _p4(spark, sf):
+    return mon.unpivot_features(fx.clicks(spark, sf))
+
+
+@register("W2_feature_deciles")
+def _w2(spark, sf):
+    long_df = mon.unpivot_features(training_rows(spark, sf), ids=())
+    return (mon.decile_counts(long_df).groupBy("feature", "value", "decile")
+            .agg(F.sum("n").alias("n")))
+
+
+@register("A1_feature_baseline")
+def _a1(spark, sf):
+    return baseline(spark, sf)
+
+
+@register("J6_psi_bin_join")
+def _j6(spark, sf):
+    return mon.psi_bin_join(mon.live_feature_counts(fx.clicks(spark, sf)), baseline(spark, sf))
+
+
+@register("A2_psi_daily")
+def _a2(spark, sf):
+    return mon.psi_daily(fx.clicks(spark, sf), baseline(spark, sf))
+
+
+@register("A2_psi_daily_binned")
+def _a2b(spark, sf):
+    return mon.psi_daily_binned(fx.clicks(spark, sf), baseline(spark, sf))
+
+
+@register("A3_drift_verdict")
+def _a3(spark, sf):
+    return mon.drift_verdict(mon.psi_daily(fx.clicks(spark, sf), baseline(spark, sf)))
+
+
+@register("A4_residuals_daily")
+def _a4(spark, sf):
+    return mon.residuals_daily(att.prediction_realized(fx.predictions(spark, sf), fx.ledger(spark, sf)))

@@ -8,14 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def round4(c):
-    """Round half away from zero on the binary value (x * 10^4), the rule SQL
-    engines apply to DOUBLE; Spark's own ``round`` rounds the decimal text instead,
-    which differs on ties such as 173.94265."""
-    scaled = F.abs(c) * 10_000.0
-    r = F.floor(scaled + 0.5) / 10_000.0
-    return F.when(c.isNull() | F.isnan(c), c).when(c < 0, -r).otherwise(r)
+from revlens.functions.columns import round_half_away
 
 
 def finalize(df: DataFrame) -> DataFrame:
@@ -24,7 +17,7 @@ def finalize(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         t = f.dataType
         if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = round4(c.cast("double"))
+            c = round_half_away(c.cast("double"), 4)
         elif isinstance(t, T.TimestampType):
             c = F.unix_millis(c)
         elif isinstance(t, T.TimestampNTZType):

@@ -12,7 +12,7 @@ Rules (all keyed on the order key k = o_orderkey):
   ledger       one per line item; revenue in quarters:
                (round(price*100) * (100 - round(disc*100)) + 1250) div 2500 / 4,
                negative for return flag 'R'; revenue_ts = ship date
-  predictions  one per click; rpc = total price / 1000; source by k mod 10; version by k mod 2
+  predictions  one per click; rpc = total price / 1000 in 1/64 units; source by k mod 10; version by k mod 2
   auctions     orders not in status 'P'
   overrides    orders of priority 1-URGENT / 2-HIGH, some negative / NaN / NULL values
   clv          customer account balance per click (negative balances are invalid CLV)
@@ -115,7 +115,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.concat(F.lit("c-"), _k().cast("string")).alias("click_id"),
         F.concat(F.lit("r-"), _k().cast("string")).alias("correlation_id"),
-        (F.col("o_totalprice") / F.lit(1000.0)).alias("predicted_rpc"),
+        # 1/64 units: dyadic, so means over predictions are exact in any engine
+        (F.floor(F.col("o_totalprice") * 64 / 1000 + 0.5) / F.lit(64.0)).alias("predicted_rpc"),
         source.alias("source"),
         F.when(source != "MODEL", F.lit("fallback"))
          .when(_k() % 2 == 0, F.lit("v1")).otherwise(F.lit("v2")).alias("model_version"),
