@@ -129,3 +129,72 @@ def _a3(spark, sf):
 @register("A4_residuals_daily")
 def _a4(spark, sf):
     return mon.residuals_daily(att.prediction_realized(fx.predictions(spark, sf), fx.ledger(spark, sf)))
+
+
+# -------------------------------------------------------------- guardrails
+from revlens.functions import columns as fc  # noqa: E402
+from revlens.operators import guardrails as gr  # noqa: E402
+from revlens.operators import reconcile as rec  # noqa: E402
+
+CANARY_BP = 1000
+CLV_POLICY = dict(alpha=0.5, reference=100.0, cap=3.0)
+BOUNDS = (0.5, 400.0)
+CURRENT_BOUNDS = (0.5, 500.0)
+NOW_MS = 959_817_600_000          # 2000-06-01T00:00:00Z
+REPORT_NOW_MS = 996_624_000_000   # 2001-08-01T00:00:00Z
+
+
+@register("A5_prediction_percentiles")
+def _a5(spark, sf):
+    return gr.prediction_percentiles(fx.predictions(spark, sf), accuracy=1_000_000)
+
+
+@register("A6_propose_bounds")
+def _a6(spark, sf):
+    pct = gr.prediction_percentiles(fx.predictions(spark, sf), accuracy=1_000_000)
+    return gr.propose_bounds(pct, *CURRENT_BOUNDS)
+
+
+@register("F2_canary")
+def _f2(spark, sf):
+    c = fx.clicks(spark, sf)
+    return c.select("click_id", fc.fnv1a64_mod("click_id").alias("bucket"),
+                    fc.canary("click_id", CANARY_BP).alias("in_canary"))
+
+
+@register("F3_clv_adjust")
+def _f3(spark, sf):
+    p = fx.predictions(spark, sf).where(F.col("source") == "MODEL")
+    j = p.join(fx.clv(spark, sf), "click_id", "left")
+    return j.select("click_id", "predicted_rpc", "clv",
+                    fc.clv_adjust("predicted_rpc", "clv", **CLV_POLICY).alias("adjusted_rpc"))
+
+
+@register("F4_bounds_check")
+def _f4(spark, sf):
+    p = fx.predictions(spark, sf)
+    return p.select("click_id", "predicted_rpc", fc.bounds_check("predicted_rpc", *BOUNDS).alias("in_bounds"))
+
+
+@register("W3_anomaly_window")
+def _w3(spark, sf):
+    return gr.anomaly_window(fx.samples(spark, sf))
+
+
+def pvr(spark, sf):
+    return att.predictions_vs_revenue(fx.predictions(spark, sf), fx.ledger(spark, sf))
+
+
+@register("P9_reconciliation_window")
+def _p9(spark, sf):
+    return rec.reconciliation_window(pvr(spark, sf), 0, 1 << 62, NOW_MS, include_pending=True)
+
+
+@register("P10_reconciliation_report")
+def _p10(spark, sf):
+    return rec.reconciliation_report(pvr(spark, sf), REPORT_NOW_MS, days=7)
+
+
+@register("A17_route_mix")
+def _a17(spark, sf):
+    return rec.route_mix(fx.predictions(spark, sf))
