@@ -198,3 +198,119 @@ def _p10(spark, sf):
 @register("A17_route_mix")
 def _a17(spark, sf):
     return rec.route_mix(fx.predictions(spark, sf))
+
+
+# -------------------------------------------------------------- ingestion / quality
+from revlens.operators import activation as act  # noqa: E402
+from revlens.operators import ingest as ing  # noqa: E402
+from revlens.operators import quality as qual  # noqa: E402
+
+MERGE_AS_OF = "2002-01-01 00:00:00"
+MERGE_LOOKBACK_HOURS = 24 * 365 * 5
+MERGE_TARGET_BEFORE = "1999-01-01 00:00:00"
+FEED_AS_OF = "2002-01-01 00:00:00"
+
+
+def typed_landing(spark, sf):
+    return ing.typed_clicks(fx.landing_clicks(spark, sf))
+
+
+@register("S2_decode_push_envelope")
+def _s2(spark, sf):
+    d = ing.decode_push_envelope(fx.push_bodies(spark, sf))
+    return d.select("message_id", F.get_json_object("data", "$.click_id").alias("click_id"),
+                    F.get_json_object("data", "$.predicted_rpc").cast("double").alias("predicted_rpc"),
+                    (F.col("data") == "{}").alias("empty"))
+
+
+@register("S3_typed_clicks")
+def _s3(spark, sf):
+    return typed_landing(spark, sf).drop("subscription_name")
+
+
+@register("S4_typed_predictions")
+def _s4(spark, sf):
+    return ing.typed_predictions(fx.landing_predictions(spark, sf)).drop("subscription_name")
+
+
+@register("S6_merge_ledger")
+def _s6(spark, sf):
+    led = fx.ledger(spark, sf)
+    target = led.where(F.col("revenue_ts") < F.lit(MERGE_TARGET_BEFORE).cast("timestamp"))
+    return ing.merge_ledger(target, led, MERGE_AS_OF, MERGE_LOOKBACK_HOURS)
+
+
+@register("P1_normalize_clicks")
+def _p1(spark, sf):
+    return ing.normalize_clicks(fx.clicks(spark, sf)).select("click_id", "device")
+
+
+@register("P2_validate_clicks")
+def _p2(spark, sf):
+    return fx.clicks(spark, sf).select("click_id", ing.rejection_reason().alias("reason"))
+
+
+@register("W5_dedup_clicks")
+def _w5(spark, sf):
+    landed = typed_landing(spark, sf).where(~F.col("corrupt"))
+    return ing.dedup_clicks(landed).select("click_id", "message_id", "visits_prev_30d", "ingested_at")
+
+
+@register("J9_ledger_orphans")
+def _j9(spark, sf):
+    valid, _ = ing.validate_clicks(fx.clicks(spark, sf))
+    return qual.ledger_orphans(fx.ledger(spark, sf), valid)
+
+
+@register("C1_assertions")
+def _c1(spark, sf):
+    cr = click_revenue(spark, sf)
+    parts = [qual.assert_unique(cr, ["click_id"], "click_revenue.unique_click_id").select("assertion", "click_id"),
+             qual.assert_non_null(cr, ["click_id", "click_ts"], "click_revenue.non_null").select("assertion", "click_id"),
+             qual.assert_rows(fx.clicks(spark, sf), "cerberus_score BETWEEN 0 AND 1",
+                              "clicks.cerberus_in_range").select("assertion", "click_id")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("A7_dq_sla")
+def _a7(spark, sf):
+    return qual.dq_sla(fx.clicks(spark, sf), fx.ledger(spark, sf))
+
+
+@register("A8_freshness_gaps_clicks")
+def _a8c(spark, sf):
+    return qual.freshness_gaps(read_table(spark, sf, "events", ["ts"]), "ts", 15, 6, 22)
+
+
+@register("A8_freshness_gaps_ledger")
+def _a8l(spark, sf):
+    return qual.freshness_gaps(fx.ledger(spark, sf), "revenue_ts", 12 * 60)
+
+
+@register("A9_feed_lag")
+def _a9(spark, sf):
+    return qual.feed_lag(fx.ledger(spark, sf), FEED_AS_OF)
+
+
+def envelopes(spark, sf):
+    return act.activation_envelopes(ing.decode_push_envelope(fx.push_bodies(spark, sf)),
+                                    keep=("message_id",))
+
+
+@register("P7_activation_envelopes")
+def _p7(spark, sf):
+    ok, dead = envelopes(spark, sf)
+    ok = ok.withColumn("status", F.lit("ok")).withColumn("reason", F.lit(None).cast("string"))
+    dead = dead.select("message_id", F.lit("dead").alias("status"), "reason")
+    return ok.unionByName(dead, allowMissingColumns=True)
+
+
+@register("P8_activation_route")
+def _p8(spark, sf):
+    ok, _ = envelopes(spark, sf)
+    return act.activation_route(ok, "hybrid")
+
+
+@register("T4_breaker_events")
+def _t4(spark, sf):
+    return act.breaker_events(fx.anomaly_messages(spark, sf))
