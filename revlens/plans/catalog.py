@@ -314,3 +314,117 @@ def _p8(spark, sf):
 @register("T4_breaker_events")
 def _t4(spark, sf):
     return act.breaker_events(fx.anomaly_messages(spark, sf))
+
+
+# -------------------------------------------------------------- scoring / ML
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from revlens.operators import ml  # noqa: E402
+from revlens.operators import scoring as sc  # noqa: E402
+from revlens.schemas import FEATURE_ORDER  # noqa: E402
+
+SCORED_AT_MS = 1_706_659_200_000  # 2024-01-31T00:00:00Z
+TOP_K = 3
+
+
+def valid_clicks(spark, sf):
+    return ing.validate_clicks(fx.clicks(spark, sf))[0]
+
+
+def scored(spark, sf):
+    return sc.score_clicks(valid_clicks(spark, sf), fx.config_versions(spark, sf), fx.ledger(spark, sf),
+                           ml.STAND_IN, model_version="v1", clv=fx.clv(spark, sf), premium=CLV_POLICY,
+                           store=fx.feature_store(spark, sf))
+
+
+@register("S11_runtime_config")
+def _s11(spark, sf):
+    return sc.runtime_config(fx.config_versions(spark, sf))
+
+
+@register("J7_ledger_fallback")
+def _j7(spark, sf):
+    return sc.ledger_fallback(fx.clicks(spark, sf).select("click_id"), fx.ledger(spark, sf))
+
+
+@register("J8_feature_overrides")
+def _j8(spark, sf):
+    return (sc.feature_overrides(fx.clicks(spark, sf), fx.feature_store(spark, sf))
+            .select("click_id", "rpc_7d", "rpc_14d", "rpc_30d", "visits_prev_30d"))
+
+
+@register("F5_predict")
+def _f5(spark, sf):
+    return ml.predict(valid_clicks(spark, sf), ml.STAND_IN).select("click_id", "rpc_raw", "model_error")
+
+
+@register("F1_score_clicks")
+def _f1(spark, sf):
+    return scored(spark, sf)
+
+
+@register("S8_log_predictions")
+def _s8(spark, sf):
+    return sc.log_predictions(scored(spark, sf), SCORED_AT_MS)
+
+
+@register("S9_audit_events")
+def _s9(spark, sf):
+    return sc.audit_events(scored(spark, sf))
+
+
+@register("P3_training_window")
+def _p3(spark, sf):
+    return ml.training_window(training_rows(spark, sf), 0, 1 << 62, check_empty=False).select(
+        "click_id", "click_ts_ms", "target_revenue")
+
+
+@register("P5_assemble_features")
+def _p5(spark, sf):
+    a = ml.assemble_features(training_rows(spark, sf))
+    arr = vector_to_array("features")
+    return a.select("click_id", *[arr[i].alias(f) for i, f in enumerate(FEATURE_ORDER)])
+
+
+@register("M1_train_rpc")
+def _m1(spark, sf):
+    frame = training_rows(spark, sf)
+    model = ml.train_rpc(frame)
+    return ml.predict(frame, model).select("click_id", "rpc_raw", "model_error")
+
+
+def _long_attr(df, col):
+    return df.select("click_id", "base_value", F.explode(col).alias("feature", "contribution"))
+
+
+@register("M3_explain_clicks")
+def _m3(spark, sf):
+    e = ml.explain_clicks(fx.clicks(spark, sf), ml.STAND_IN, paths=10, seed=42)
+    return e.select("click_id", "base_value", "prediction",
+                    F.explode("attributions").alias("feature", "contribution"))
+
+
+def explanation_json(spark, sf):
+    """Explanation responses in both shapes: name -> value (even keys), or one
+    array in explanation order (odd keys)."""
+    la = ml.linear_attributions(fx.clicks(spark, sf))
+    key = F.regexp_extract("click_id", r"(\d+)$", 1).cast("long")
+    arr = F.array(*[F.col("attributions")[f] for f in ml.EXPLANATION_ORDER])
+    def wrap(feats):
+        return F.to_json(F.struct(F.array(F.struct(F.array(F.struct(
+            F.col("base_value").alias("baselineOutputValue"), feats.alias("featureAttributions")))
+            .alias("attributions"))).alias("explanations")))
+    return la.select("click_id", F.when(key % 2 == 0, wrap(F.col("attributions")))
+                     .otherwise(wrap(F.struct(arr.alias("features")))).alias("explanation"))
+
+
+@register("M4_parse_attributions")
+def _m4(spark, sf):
+    p = ml.parse_attributions(explanation_json(spark, sf))
+    return p.select("click_id", "base_value", "valid",
+                    F.explode("contributions").alias("feature", "contribution"))
+
+
+@register("W4_top_features")
+def _w4(spark, sf):
+    return ml.top_features(ml.linear_attributions(fx.clicks(spark, sf)), TOP_K)

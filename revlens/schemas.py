@@ -13,11 +13,11 @@ def _s(*fields) -> T.StructType:
 
 # Model input order: fixed values of the contract (8 features, in this order).
 FEATURE_ORDER = [
+    "hour_of_day",
     "cerberus_score",
     "rpc_7d",
     "rpc_14d",
     "rpc_30d",
-    "hour_of_day",
     "is_payday_week",
     "auction_pressure",
     "visits_prev_30d",

@@ -250,3 +250,15 @@ def anomaly_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                             F.lit(0.25).alias("threshold"),
                             F.unix_millis("ts").alias("occurred_at_ms")))
     return e.select(F.col("event_id"), js.alias("data"))
+
+
+def config_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runtime config history: one version per event day (version = day number);
+    kill on days = 3 mod 7, canary 2500 bp x (1 + day mod 4), bounds [0.5, 50 x (1 + day mod 8)]."""
+    e = read_table(spark, sf_dir, "events", ["ts"])
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000).cast("long")
+    d = e.select(day.alias("version")).distinct()
+    v = F.col("version")
+    return d.select(v, (v % 7 == 3).alias("kill"), F.lit(0.5).alias("bounds_min"),
+                    (50 * (1 + v % 8)).cast("double").alias("bounds_max"),
+                    F.least(2500 * (1 + v % 4), F.lit(10_000)).cast("long").alias("canary_bp"))
