@@ -428,3 +428,51 @@ def _m4(spark, sf):
 @register("W4_top_features")
 def _w4(spark, sf):
     return ml.top_features(ml.linear_attributions(fx.clicks(spark, sf)), TOP_K)
+
+
+# -------------------------------------------------------------- ops metrics
+from revlens.operators import ops_metrics as om  # noqa: E402
+
+LATENCY_THRESHOLD_MS = 300.0
+
+
+@register("A10_request_metrics")
+def _a10(spark, sf):
+    return om.request_metrics(fx.requests(spark, sf))
+
+
+@register("A11_latency_alert")
+def _a11(spark, sf):
+    return om.latency_alert(fx.requests(spark, sf), LATENCY_THRESHOLD_MS, accuracy=1_000_000)
+
+
+@register("A12_error_rate_alert")
+def _a12(spark, sf):
+    return om.error_rate_alert(fx.requests(spark, sf), 0.01, 5)
+
+
+@register("A13_availability_slo")
+def _a13(spark, sf):
+    return om.availability_slo(fx.requests(spark, sf), 0.995, 30)
+
+
+@register("A14_breaker_trips")
+def _a14(spark, sf):
+    w = gr.anomaly_window(fx.samples(spark, sf))
+    audit = w.select("ts_ms", F.when(F.col("breached"), F.lit("anomaly"))
+                     .otherwise(F.lit("score.model")).alias("source"))
+    return om.breaker_trips(audit)
+
+
+@register("A15_backlog_alert")
+def _a15(spark, sf):
+    landed = fx.landing_clicks(spark, sf)
+    delivered = ing.typed_clicks(landed).where(~F.col("corrupt"))
+    return om.backlog_alert(landed, delivered)
+
+
+@register("A16_model_health")
+def _a16(spark, sf):
+    psi = mon.psi_daily(fx.clicks(spark, sf), baseline(spark, sf))
+    res = mon.residuals_daily(att.prediction_realized(fx.predictions(spark, sf), fx.ledger(spark, sf)))
+    return om.model_health(psi, res)

@@ -1,0 +1,63 @@
+"""S12 synthetic_clicks / S13 synthetic_ledger: the seed data generator.
+
+Uniforms come from xxhash64(id, seed, draw) rather than rand(), so a row's values
+do not depend on how the range is partitioned or on task retries. Library only:
+these generate data instead of reading the given tables, so they are exercised by
+the tests and not registered as queries.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Seed distributions (fixed values): device 55 % mobile, then 70 % desktop of the rest;
+# geo 60 % GB, 75 % US, 85 % DE, else FR; 50 creatives; 30-day click window;
+# 60 % converters; revenue = 0.5 + 10 cerberus + 2 rpc_7d + geo bonus + noise(+-1.5);
+# revenue within 7 days of the click.
+DAYS_BACK = 30
+CONVERSION_RATE = 0.60
+
+
+def uniform(seed: int, draw: int, key: str = "id") -> Column:
+    """Hash-seeded uniform in [0, 1) per (row key, seed, draw)."""
+    h = F.xxhash64(F.col(key), F.lit(seed), F.lit(draw))
+    return (h.bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53))
+
+
+def synthetic_clicks(spark: SparkSession, n: int = 5000, seed: int = 42,
+                     as_of: str = "2026-04-28 00:00:00") -> DataFrame:
+    u = lambda d: uniform(seed, d)
+    end = F.lit(as_of).cast("timestamp")
+    click_ts = F.timestamp_seconds(F.unix_seconds(end) - F.floor(u(1) * 86400 * DAYS_BACK).cast("long"))
+    return spark.range(1, n + 1).select(
+        F.format_string("click-%05d", F.col("id")).alias("click_id"),
+        F.format_string("corr-%05d", F.col("id")).alias("correlation_id"),
+        click_ts.alias("click_ts"),
+        F.when(u(2) < 0.55, "mobile").when(u(3) < 0.7, "desktop").otherwise("tablet").alias("device"),
+        F.when(u(4) < 0.6, "GB").when(u(5) < 0.75, "US").when(u(6) < 0.85, "DE").otherwise("FR").alias("geo"),
+        F.floor(u(7) * 24).cast("long").alias("hour_of_day"),   # floor: always 0..23
+        F.when(u(8) < 0.4, "commercial").when(u(9) < 0.75, "informational")
+         .otherwise("navigational").alias("query_intent"),
+        F.format_string("ad-%03d", F.floor(u(10) * 50).cast("int")).alias("ad_creative_id"),
+        F.pow(u(11), 2).alias("cerberus_score"),
+        (u(12) * 5).alias("rpc_7d"), (u(13) * 5).alias("rpc_14d"), (u(14) * 5).alias("rpc_30d"),
+        (u(15) < 0.25).alias("is_payday_week"),
+        u(16).alias("auction_pressure"),
+        F.format_string("/landing/%03d", F.floor(u(17) * 20).cast("int")).alias("landing_path"),
+        F.floor(u(18) * 10).cast("long").alias("visits_prev_30d"))
+
+
+def synthetic_ledger(clicks: DataFrame, seed: int = 42) -> DataFrame:
+    """60 % of clicks convert; revenue_ts and ts_ms come from one draw."""
+    def u(d):
+        return (F.xxhash64(F.col("click_id"), F.lit(seed), F.lit(d)).bitwiseAND(F.lit((1 << 53) - 1))
+                .cast("double") / float(1 << 53))
+    bonus = F.when(F.col("geo") == "GB", 2.0).when(F.col("geo") == "US", 1.5).otherwise(0.5)
+    revenue = F.greatest(F.lit(0.0), 0.5 + F.col("cerberus_score") * 10.0 + F.col("rpc_7d") * 2.0
+                         + bonus + (u(101) - 0.5) * 3.0)
+    rts = F.timestamp_seconds(F.unix_seconds("click_ts") + F.floor(u(102) * 86400 * 7).cast("long"))
+    return (clicks.where(u(100) < CONVERSION_RATE)
+                  .select("click_id", revenue.alias("revenue"), rts.alias("revenue_ts"),
+                          F.col("click_id").alias("order_id"))
+                  .withColumn("ts_ms", F.unix_millis("revenue_ts")))
