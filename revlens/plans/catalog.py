@@ -476,3 +476,81 @@ def _a16(spark, sf):
     psi = mon.psi_daily(fx.clicks(spark, sf), baseline(spark, sf))
     res = mon.residuals_daily(att.prediction_realized(fx.predictions(spark, sf), fx.ledger(spark, sf)))
     return om.model_health(psi, res)
+
+
+# -------------------------------------------------------------- streaming (availableNow runs)
+from revlens.schemas import LANDING  # noqa: E402
+from revlens.streaming import jobs as sj  # noqa: E402
+
+
+@register("S5_land_stream")
+def _s5(spark, sf):
+    src = sj.stage(fx.landing_clicks(spark, sf), "landing", files=4)
+    out = sj.scratch(spark, "raw-clicks")
+    sj.run(sj.land_stream(spark, src, out, sj.scratch(spark, "ckpt"), "clicks"))
+    return spark.read.parquet(out).select("message_id", "publish_time", "topic", "publish_date")
+
+
+@register("T1_clicks_stream")
+def _t1(spark, sf):
+    src = sj.stage(fx.landing_clicks(spark, sf), "landing", files=4)
+    out, dead = sj.scratch(spark, "clicks"), sj.scratch(spark, "clicks-dead")
+    sj.run(sj.clicks_stream(spark, src, out, dead, sj.scratch(spark, "ckpt")))
+    return spark.read.parquet(out).select("click_id", "click_ts", "device", "geo", "hour_of_day",
+                                          "cerberus_score", "rpc_7d")
+
+
+@register("T2_freshness_stream")
+def _t2(spark, sf):
+    ev = read_table(spark, sf, "events", ["event_id", "ts"])
+    src = sj.stage(ev, "events", files=4)
+    out = sj.scratch(spark, "gaps")
+    sj.run(sj.freshness_stream(spark, src, ev.schema, "ts", out, sj.scratch(spark, "ckpt")))
+    return spark.read.parquet(out)
+
+
+@register("T3_breaker_stream")
+def _t3(spark, sf):
+    s = fx.samples(spark, sf)
+    src = sj.stage(s, "samples", files=4)
+    out = sj.scratch(spark, "breaker")
+    sj.run(sj.breaker_stream(spark, src, s.schema, out, sj.scratch(spark, "ckpt")))
+    return spark.read.parquet(out)
+
+
+@register("T4_breaker_events_stream")
+def _t4s(spark, sf):
+    m = fx.anomaly_messages(spark, sf)
+    src = sj.stage(m, "anomalies", files=2)
+    config = sj.stage(fx.config_versions(spark, sf), "config", files=1)
+    out = sj.scratch(spark, "decisions")
+    sj.run(sj.breaker_events_stream(spark, src, m.schema, out, config, sj.scratch(spark, "ckpt")))
+    return spark.read.parquet(out)
+
+
+@register("T5_score_stream")
+def _t5(spark, sf):
+    src = sj.stage(valid_clicks(spark, sf), "valid-clicks", files=4)
+    config = sj.stage(fx.config_versions(spark, sf), "config", files=1)
+    log, audit = sj.scratch(spark, "pred-log"), sj.scratch(spark, "audit")
+    sj.run(sj.score_stream(spark, src, log, audit, sj.scratch(spark, "ckpt"), config, fx.ledger(spark, sf),
+                           ml.STAND_IN, "v1", clv=fx.clv(spark, sf), premium=CLV_POLICY,
+                           store=fx.feature_store(spark, sf)))
+    return spark.read.parquet(log)
+
+
+@register("T6_activation_stream")
+def _t6(spark, sf):
+    src = sj.stage(fx.push_bodies(spark, sf), "push", files=4)
+    out, dead = sj.scratch(spark, "activation"), sj.scratch(spark, "activation-dead")
+    sj.run(sj.activation_stream(spark, src, out, dead, sj.scratch(spark, "ckpt"), "hybrid"))
+    return spark.read.parquet(out).select("click_id", "channel", "payload")
+
+
+@register("T7_metrics_stream")
+def _t7(spark, sf):
+    r = fx.requests(spark, sf)
+    src = sj.stage(r, "requests", files=4)
+    out = sj.scratch(spark, "metrics")
+    sj.run(sj.metrics_stream(spark, src, r.schema, out, sj.scratch(spark, "ckpt")))
+    return spark.read.parquet(out)
