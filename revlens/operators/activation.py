@@ -28,9 +28,10 @@ def activation_envelopes(msgs: DataFrame, data: str = "data",
     """Decoded prediction payloads -> (envelopes, dead letters).
     Required: click_id (non-empty) and predicted_rpc (a number, not NaN, >= 0).
     Defaults: correlation_id '', source 'MODEL', model_version 'unknown'."""
-    p = F.from_json(F.col(data), _ENVELOPE_TEXT)
-    is_obj = F.json_object_keys(F.col(data)).isNotNull()
-    has = lambda k: F.get_json_object(F.col(data), f"$.{k}").isNotNull()
+    m = F.from_json(F.col(data), "map<string,string>")   # one parse; NULL when not an object
+    is_obj = m.isNotNull()
+    has = lambda k: F.map_contains_key(m, k) & m[k].isNotNull()
+    p = {k: m[k] for k in ("click_id", "correlation_id", "predicted_rpc", "source", "model_version")}
     rpc = p["predicted_rpc"].try_cast("double")
     reason = (F.when(~is_obj, F.lit("malformed_json"))
                .when(~has("click_id"), F.lit("missing click_id"))

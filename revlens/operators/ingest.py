@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revlens.functions.columns import is_finite
 from revlens.schemas import CLICK_PAYLOAD, CLICKS, PREDICTION_PAYLOAD
@@ -23,28 +24,32 @@ def decode_push_envelope(df: DataFrame, body: str = "body") -> DataFrame:
 
 def _scalar(text: Column) -> Column:
     """JSON_EXTRACT_SCALAR semantics on a field read as text: objects and arrays
-    give NULL (the parser hands their JSON text to a string field)."""
-    return F.when(F.json_object_keys(text).isNull() & F.json_array_length(text).isNull(), text)
+    give NULL (the parser hands their JSON text to a string field). The JSON check
+    only runs for values starting with '{' or '[' (the AND short-circuits)."""
+    maybe = F.substring(text, 1, 1).isin("{", "[")
+    nested = maybe & (F.json_object_keys(text).isNotNull() | F.json_array_length(text).isNotNull())
+    return F.when(~nested, text)
+
+
+_CORRUPT = "_corrupt_record"
 
 
 def _typed(raw: DataFrame, payload_schema, casts: dict, extra: list[Column]) -> DataFrame:
-    parsed = raw.withColumn("_p", F.from_json("data", payload_schema))
-    is_obj = F.json_object_keys(F.col("data")).isNotNull()
+    """One parse per row: from_json with a corrupt-record column flags malformed
+    payloads; a payload that is not an object ('[..]', '1') is flagged too."""
+    schema = T.StructType([*payload_schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    parsed = raw.withColumn("_p", F.from_json("data", schema, {"columnNameOfCorruptRecord": _CORRUPT}))
+    is_obj = (F.substring(F.ltrim(F.col("data")), 1, 1) == "{") & F.col(f"_p.{_CORRUPT}").isNull()
     cols, bad = [], F.lit(False)
     for f in payload_schema.fields:
         text = _scalar(F.col("_p")[f.name])
         target = casts.get(f.name)
-        if target is None:
-            val = text
-        elif target == "timestamp":
-            val = text.try_cast("timestamp")
-        else:
-            val = text.try_cast(target)
+        val = text if target is None else text.try_cast(target)
         if target is not None:
             bad = bad | (text.isNotNull() & val.isNull())
         cols.append(F.when(is_obj, val).alias(f.name))
     return parsed.select(*[c for c in raw.columns if c not in ("data", "attributes")],
-                         *cols, *extra, (~is_obj | bad).alias("corrupt"))
+                         *cols, *extra, (~F.coalesce(is_obj, F.lit(False)) | bad).alias("corrupt"))
 
 
 CLICK_CASTS = {"click_ts": "timestamp", "hour_of_day": "bigint", "cerberus_score": "double",

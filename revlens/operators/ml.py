@@ -64,7 +64,12 @@ class LinearRpcModel(Transformer):
         return out
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.predictionCol, self.expression(vector_to_array(F.col(self.featuresCol))))
+        if self.featuresCol in df.columns:
+            arr = vector_to_array(F.col(self.featuresCol))
+            return df.withColumn(self.predictionCol, self.expression(arr))
+        # raw feature columns: no vector round trip
+        return df.withColumn(self.predictionCol, self.expression(
+            F.array(*[F.col(c).cast("double") for c in FEATURE_ORDER])))
 
 
 # Stand-in weights (fixed values, in FEATURE_ORDER): base 0.5, quality and recent
@@ -106,6 +111,8 @@ def _score(df: DataFrame, model) -> DataFrame:
     vector; a bare model gets the assembled ``features`` column."""
     if isinstance(model, PipelineModel):
         return model.transform(df)
+    if isinstance(model, LinearRpcModel) and set(FEATURE_ORDER) <= set(df.columns):
+        return model.transform(df)
     return model.transform(assemble_features(df) if "features" not in df.columns else df)
 
 
@@ -131,7 +138,7 @@ def _perm(seed: int, path: Column, n: int) -> Column:
 
 
 def explain_clicks(df: DataFrame, model, paths: int = 10, seed: int = 42,
-                   baseline: dict[str, float] | None = None) -> DataFrame:
+                   baseline: dict[str, float] | None = None, partitions: int | None = None) -> DataFrame:
     """M3: sampled-Shapley attributions of the 8 features for every click.
 
     For each click and each of ``paths`` seeded permutations, the features are
@@ -146,34 +153,39 @@ def explain_clicks(df: DataFrame, model, paths: int = 10, seed: int = 42,
     """
     n = len(FEATURE_ORDER)
     base = [float((baseline or {}).get(f, 0.0)) for f in FEATURE_ORDER]
-    x = df.select("click_id", *feature_columns(df))
+    spark = df.sparkSession
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              spark.sparkContext.defaultParallelism)
+    # Spread the clicks before the 2 + paths * (n - 1) fan-out: the narrow frame is
+    # hash-partitioned on click_id, which is also the key of the final aggregation,
+    # so that aggregation needs no further exchange.
+    x = df.select("click_id", *feature_columns(df)).repartition(parts, "click_id")
     x = x.withColumn("_perms", F.array(*[_perm(seed, F.lit(p), n) for p in range(paths)]))
-    # rows: (path, k) for k in 1..n-1, plus shared k = 0 and k = n (path = -1)
+    x = x.withColumn("_pos", F.transform(F.col("_perms"), lambda pm: F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_position(pm, i) - 1)))
     specs = F.array(
         F.struct(F.lit(-1).alias("p"), F.lit(0).alias("k")),
         F.struct(F.lit(-1).alias("p"), F.lit(n).alias("k")),
         *[F.struct(F.lit(p).alias("p"), F.lit(k).alias("k")) for p in range(paths) for k in range(1, n)])
     rows = x.withColumn("_s", F.explode(specs))
     p_, k_ = F.col("_s.p"), F.col("_s.k")
-    perm = F.when(p_ >= 0, F.col("_perms")[p_])
+    pos = F.col("_pos")[p_]
 
     def on(i: int) -> Column:   # feature i switched to the click's value?
-        pos = F.array_position(perm, F.lit(i)) - 1
-        return F.when(k_ == n, F.lit(True)).when(k_ == 0, F.lit(False)).otherwise(pos < k_)
-
-    inputs = [F.when(on(i), F.col(f)).otherwise(F.lit(base[i])).alias(f)
-              for i, f in enumerate(FEATURE_ORDER)]
-    model_in = rows.select("click_id", "_perms", p_.alias("p"), k_.alias("k"), *inputs)
-    scored = _score(model_in, model).select("click_id", "_perms", "p", "k", "prediction")
-    # signed terms: (feature index, sign)
-    shared0 = F.transform(F.col("_perms"), lambda pm: F.struct(pm[0].alias("f"), F.lit(-1.0).alias("s")))
-    sharedn = F.transform(F.col("_perms"), lambda pm: F.struct(pm[n - 1].alias("f"), F.lit(1.0).alias("s")))
-    pm = F.col("_perms")[F.col("p")]
-    mid = F.array(F.struct(pm[F.col("k") - 1].alias("f"), F.lit(1.0).alias("s")),
-                  F.struct(pm[F.col("k")].alias("f"), F.lit(-1.0).alias("s")))
-    terms = (F.when(F.col("p") < 0, F.when(F.col("k") == 0, shared0).otherwise(sharedn))
-              .otherwise(mid))
-    t = scored.select("click_id", "k", "p", "prediction", F.explode(terms).alias("t"))
+        return F.when(k_ == n, F.lit(True)).when(k_ == 0, F.lit(False)).otherwise(pos[i] < k_)
+
+    # signed terms (feature index, sign) of each model row, fixed before the model runs
+    pm = F.col("_perms")[p_]
+    shared0 = F.transform(F.col("_perms"), lambda q: F.struct(q[0].alias("f"), F.lit(-1.0).alias("s")))
+    sharedn = F.transform(F.col("_perms"), lambda q: F.struct(q[n - 1].alias("f"), F.lit(1.0).alias("s")))
+    mid = F.array(F.struct(pm[k_ - 1].alias("f"), F.lit(1.0).alias("s")),
+                  F.struct(pm[k_].alias("f"), F.lit(-1.0).alias("s")))
+    terms = F.when(p_ >= 0, mid).when(k_ == 0, shared0).otherwise(sharedn)
+    model_in = rows.select("click_id", p_.alias("p"), k_.alias("k"), terms.alias("terms"),
+                           *[F.when(on(i), F.col(f)).otherwise(F.lit(base[i])).alias(f)
+                             for i, f in enumerate(FEATURE_ORDER)])
+    scored = _score(model_in, model).select("click_id", "p", "k", "prediction", "terms")
+    t = scored.select("click_id", "k", "p", "prediction", F.explode("terms").alias("t"))
     agg = t.groupBy("click_id").agg(
         F.max(F.when((F.col("p") < 0) & (F.col("k") == 0), F.col("prediction"))).alias("base_value"),
         F.max(F.when((F.col("p") < 0) & (F.col("k") == n), F.col("prediction"))).alias("prediction"),
