@@ -20,17 +20,29 @@ ANOMALY_WINDOW_MS = 300_000
 ANOMALY_MIN_SAMPLES = 50
 
 
+def model_source_filter(pred: DataFrame, since=None, until=None, ts: str = "predicted_at") -> DataFrame:
+    """MODEL-source predictions, optionally published in [since, until). Plain
+    predicates on scan columns, so they reach the parquet reader (PushedFilters)."""
+    out = pred.where(F.col("source") == "MODEL")
+    if since is not None:
+        out = out.where(F.col(ts) >= F.lit(since).cast("timestamp"))
+    if until is not None:
+        out = out.where(F.col(ts) < F.lit(until).cast("timestamp"))
+    return out
+
+
 def prediction_percentiles(pred: DataFrame, as_of=None, hours: int = LOOKBACK_HOURS,
                            accuracy: int = 10_000, by=()) -> DataFrame:
     """A5: p1, p99 and n of MODEL predictions published in the ``hours`` before
     ``as_of`` (``as_of=None``: all of them), optionally per segment columns ``by``.
     ``percentile_approx`` is a mergeable sketch (partial aggregation per task);
     an empty input yields 0.0 / 0.0 / 0."""
-    p = pred.where(F.col("source") == "MODEL")
-    if as_of is not None:
+    if as_of is None:
+        p = model_source_filter(pred)
+    else:
         end = F.lit(as_of).cast("timestamp")
-        p = p.where((F.col("predicted_at") >= end - F.make_interval(hours=F.lit(hours)))
-                    & (F.col("predicted_at") < end))
+        p = model_source_filter(pred).where((F.col("predicted_at") >= end - F.make_interval(hours=F.lit(hours)))
+                                            & (F.col("predicted_at") < end))
     pct = F.percentile_approx("predicted_rpc", [0.01, 0.99], accuracy)
     agg = p.groupBy(*by).agg(pct.alias("q"), F.count("predicted_rpc").alias("n"))
     return agg.select(*by, F.coalesce(F.col("q")[0], F.lit(0.0)).alias("p1"),

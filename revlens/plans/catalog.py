@@ -554,3 +554,8 @@ def _t7(spark, sf):
     out = sj.scratch(spark, "metrics")
     sj.run(sj.metrics_stream(spark, src, r.schema, out, sj.scratch(spark, "ckpt")))
     return spark.read.parquet(out)
+
+
+@register("P6_model_source_filter")
+def _p6(spark, sf):
+    return gr.model_source_filter(fx.predictions(spark, sf), since="1998-01-01 00:00:00").drop("predicted_at")

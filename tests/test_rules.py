@@ -194,3 +194,37 @@ def test_push_envelope_decode(spark):
     assert sorted(r.channel for r in routed) == ["oci", "ssgtm"]
     assert json.loads([r for r in routed if r.channel == "oci"][0].payload) == {
         "gclid_equivalent": "c1", "conversion_value": 2.5}
+
+
+def test_read_reconciliation_json_e2e(spark, tmp_path):
+    # the end-to-end fixture: two rows, both returned for the window 0..9999999999
+    rows = [{"click_id": "e2e-1", "predicted_rpc": 2.5, "realized_rpc": 2.8, "source": "MODEL",
+             "window_ends_at_ms": 1},
+            {"click_id": "e2e-2", "predicted_rpc": 0.0, "realized_rpc": 3.1, "source": "FALLBACK_TCPA",
+             "window_ends_at_ms": 2}]
+    f = tmp_path / "reconciliation_rows.json"
+    f.write_text(json.dumps(rows, indent=2))
+    df = rec.read_reconciliation_json(spark, str(f))
+    out = rec.reconciliation_window(df, 0, 9_999_999_999, 10, include_pending=True).collect()
+    assert sorted((r.click_id, r.status) for r in out) == [("e2e-1", "completed"), ("e2e-2", "completed")]
+
+
+def test_write_day_replaces_only_its_day(spark, tmp_path):
+    path = str(tmp_path / "psi")
+    d1 = spark.createDataFrame([("2024-01-01", "f", 0.1), ("2024-01-02", "f", 0.2)],
+                               "as_of_date string, feature string, psi double")
+    mon.write_day(d1.withColumn("as_of_date", F.to_date("as_of_date")), path)
+    redo = spark.createDataFrame([("2024-01-02", "f", 0.3)], "as_of_date string, feature string, psi double")
+    mon.write_day(redo.withColumn("as_of_date", F.to_date("as_of_date")), path)
+    got = {(str(r.as_of_date), r.psi) for r in spark.read.parquet(path).collect()}
+    assert got == {("2024-01-01", 0.1), ("2024-01-02", 0.3)}
+
+
+def test_model_source_filter_pushdown(spark, tmp_path):
+    path = str(tmp_path / "pred")
+    spark.createDataFrame([("c", "MODEL", 1.0), ("d", "FALLBACK_TCPA", 0.0)],
+                          "click_id string, source string, predicted_rpc double").write.parquet(path)
+    df = gr.model_source_filter(spark.read.parquet(path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(source,MODEL)" in plan, plan
+    assert [r.click_id for r in df.collect()] == ["c"]
