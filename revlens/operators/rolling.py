@@ -39,7 +39,12 @@ def rolling_rpc_window(click_rev: DataFrame, days=(7, 14, 30)) -> DataFrame:
     return out.select("click_id", "click_ts", *[f"rpc_{n}d" for n in days])
 
 
-def rolling_rpc(click_rev: DataFrame, days=(7, 14, 30)) -> DataFrame:
+def rolling_rpc(click_rev: DataFrame, days=(7, 14, 30), point_in_time: bool = False,
+                ledger: DataFrame | None = None, with_counts: bool = False) -> DataFrame:
+    if point_in_time:
+        if ledger is None:
+            raise ValueError("point_in_time needs the ledger")
+        return rolling_rpc_point_in_time(click_rev, ledger, days)
     base = click_rev.select("click_id", "click_ts", *BUCKET, "target_revenue",
                             F.unix_seconds("click_ts").alias("sec"))
     # 1. per-second partial sums (map-side combined): a hot second collapses here
@@ -95,7 +100,87 @@ def rolling_rpc(click_rev: DataFrame, days=(7, 14, 30)) -> DataFrame:
         s_tot = F.col("head_s") + F.col(f"mid_s_{n}") + F.coalesce(F.col(f"tail_s_{n}"), F.lit(0.0))
         c_tot = F.col("head_c") + F.col(f"mid_c_{n}") + F.coalesce(F.col(f"tail_c_{n}"), F.lit(0))
         cols.append(F.when(c_tot > 0, s_tot / c_tot).alias(f"rpc_{n}d"))
+        if with_counts:
+            cols.append(c_tot.alias(f"c_{n}"))
     per_sec_out = parts.select(*BUCKET, "sec", *cols)
+    if with_counts:
+        return per_sec_out
     return (base.select("click_id", "click_ts", *BUCKET, "sec")
                 .join(per_sec_out, [*BUCKET, "sec"], "left")
                 .select("click_id", "click_ts", *[f"rpc_{n}d" for n in days]))
+
+
+def _prefix_at(events: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum of event ``amount`` with ``sec <= probe sec`` per ``keys``, evaluated at
+    every probe (keys, sec). Two levels so that no partition grows with the data:
+    totals of whole earlier days (one row per day) plus a running sum inside the
+    probe's (keys, day) partition (at most one row per second plus probes)."""
+    ev = events.withColumn("day", F.floor(F.col("sec") / DAY_S).cast("long"))
+    pr = probes.withColumn("day", F.floor(F.col("sec") / DAY_S).cast("long"))
+    day_tot = ev.groupBy(*keys, "day").agg(F.sum("amount").alias("amount"))
+    w_days = (Window.partitionBy(*keys).orderBy("day")
+              .rangeBetween(Window.unboundedPreceding, -1))
+    before = (day_tot.withColumn("probe", F.lit(False))
+              .unionByName(pr.select(*keys, "day").distinct()
+                             .withColumn("amount", F.lit(0.0)).withColumn("probe", F.lit(True)))
+              .withColumn("days_before", F.coalesce(F.sum("amount").over(w_days), F.lit(0.0)))
+              .where("probe").select(*keys, "day", "days_before"))
+    w_day = (Window.partitionBy(*keys, "day").orderBy("sec")
+             .rangeBetween(Window.unboundedPreceding, 0))
+    within = (ev.select(*keys, "day", "sec", "amount", F.lit(False).alias("probe"))
+              .unionByName(pr.select(*keys, "day", "sec", F.lit(0.0).alias("amount"),
+                                     F.lit(True).alias("probe")))
+              .withColumn("in_day", F.sum("amount").over(w_day))
+              .where("probe").select(*keys, "day", "sec", "in_day"))
+    return (within.join(before, [*keys, "day"])
+                  .select(*keys, "sec", (F.col("days_before") + F.col("in_day")).alias("value")))
+
+
+def rolling_rpc_point_in_time(click_rev: DataFrame, ledger: DataFrame, days=(7, 14, 30),
+                              window_days: int = 30) -> DataFrame:
+    """W1 with ``point_in_time``: like :func:`rolling_rpc`, but an earlier click's
+    revenue counts only where it was booked before the observing click
+    (revenue_ts < click_ts), which removes the label leak of the complete target.
+
+    A ledger row r of an earlier click e (within e's conversion window) adds its
+    revenue to every observer of the bucket with click second in
+    [max(t_e, r_ts) + 1, t_e + n days]: a range update, evaluated as +/- events and
+    a prefix sum per bucket at the observers' seconds. The denominator (earlier
+    clicks in the frame) is the one of the default form."""
+    counts = rolling_counts(click_rev, days)
+    c = click_rev.select("click_id", *BUCKET, F.unix_seconds("click_ts").alias("t_e"),
+                         F.col("click_ts").alias("cts"))
+    r = ledger.select(F.col("click_id").alias("rid"), "revenue", "revenue_ts")
+    pairs = (c.join(r, (c.click_id == r.rid) & (r.revenue_ts >= c.cts)
+                    & (r.revenue_ts <= c.cts + F.expr(f"INTERVAL {int(window_days)} DAYS")))
+              .select(*BUCKET, "t_e", "revenue",
+                      (F.floor(F.unix_micros("revenue_ts") / 1_000_000) + 1).cast("long").alias("r_next")))
+    ev = []
+    for n in days:
+        lo = F.greatest(F.col("t_e") + 1, F.col("r_next"))
+        hi = F.col("t_e") + n * DAY_S
+        valid = pairs.where(lo <= hi).withColumn("n", F.lit(n))
+        ev.append(valid.select(*BUCKET, "n", lo.alias("sec"), F.col("revenue").alias("amount")))
+        ev.append(valid.select(*BUCKET, "n", (hi + 1).alias("sec"), (-F.col("revenue")).alias("amount")))
+    events = ev[0]
+    for e in ev[1:]:
+        events = events.unionByName(e)
+    events = events.groupBy(*BUCKET, "n", "sec").agg(F.sum("amount").alias("amount"))
+    secs = click_rev.select(*BUCKET, F.unix_seconds("click_ts").alias("sec")).distinct()
+    probes = secs.withColumn("n", F.explode(F.array(*[F.lit(n) for n in days])))
+    sums = _prefix_at(events, probes, [*BUCKET, "n"])
+    piv = sums.groupBy(*BUCKET, "sec").pivot("n", list(days)).agg(F.first("value"))
+    out = counts.join(piv, [*BUCKET, "sec"], "left")
+    cols = [F.when(F.col(f"c_{n}") > 0, F.coalesce(F.col(str(n)), F.lit(0.0)) / F.col(f"c_{n}"))
+            .alias(f"rpc_{n}d") for n in days]
+    return (click_rev.select("click_id", "click_ts", *BUCKET, F.unix_seconds("click_ts").alias("sec"))
+                     .join(out.select(*BUCKET, "sec", *cols), [*BUCKET, "sec"], "left")
+                     .select("click_id", "click_ts", *[f"rpc_{n}d" for n in days]))
+
+
+def rolling_counts(click_rev: DataFrame, days=(7, 14, 30)) -> DataFrame:
+    """Number of earlier clicks of the bucket in each frame, per (bucket, second):
+    the split form of :func:`rolling_rpc` with a count of 1 per click."""
+    ones = click_rev.select("click_id", "click_ts", *BUCKET, F.lit(1.0).alias("target_revenue"))
+    r = rolling_rpc(ones, days, with_counts=True)
+    return r.select(*BUCKET, "sec", *[f"c_{n}" for n in days]).distinct()

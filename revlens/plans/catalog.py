@@ -559,3 +559,8 @@ def _t7(spark, sf):
 @register("P6_model_source_filter")
 def _p6(spark, sf):
     return gr.model_source_filter(fx.predictions(spark, sf), since="1998-01-01 00:00:00").drop("predicted_at")
+
+
+@register("W1_rolling_rpc_point_in_time")
+def _w1p(spark, sf):
+    return rol.rolling_rpc(click_revenue(spark, sf), point_in_time=True, ledger=fx.ledger(spark, sf))

@@ -97,3 +97,24 @@ def test_synthetic_seed(spark):
     assert 0.55 < led.count() / 5000 < 0.65
     # partition-independent draws
     assert synth.synthetic_clicks(spark, n=5000).repartition(7).exceptAll(c).count() == 0
+
+
+def test_point_in_time_brute_force(spark, sf):
+    c, led = fx.clicks(spark, sf), fx.ledger(spark, sf)
+    cr = att.click_revenue(c, led, window_days=365)
+    got = rol.rolling_rpc(cr, point_in_time=True, ledger=led)
+    o = cr.select("click_id", "ad_creative_id", "geo", F.unix_seconds("click_ts").alias("t"), "click_ts").alias("o")
+    e = cr.select(F.col("click_id").alias("eid"), "ad_creative_id", "geo",
+                  F.unix_seconds("click_ts").alias("te"), F.col("click_ts").alias("ets")).alias("e")
+    pairs = o.join(e, ["ad_creative_id", "geo"]).where((F.col("te") >= F.col("t") - 30 * 86400)
+                                                       & (F.col("te") <= F.col("t") - 1))
+    r = led.select(F.col("click_id").alias("eid"), "revenue", "revenue_ts")
+    rev = (pairs.join(r, "eid", "left")
+                .where(F.col("revenue_ts").isNull()
+                       | ((F.col("revenue_ts") >= F.col("ets"))
+                          & (F.col("revenue_ts") <= F.col("ets") + F.expr("INTERVAL 30 DAYS"))))
+                .groupBy("click_id", "eid")
+                .agg(F.sum(F.when(F.col("revenue_ts") < F.col("click_ts"), F.col("revenue")).otherwise(0.0)).alias("s")))
+    brute = rev.groupBy("click_id").agg((F.sum("s") / F.count("eid")).alias("b"))
+    j = got.join(brute, "click_id")
+    assert j.where(F.abs(F.col("rpc_30d") - F.col("b")) > 1e-6).count() == 0
