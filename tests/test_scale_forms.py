@@ -109,12 +109,11 @@ def test_point_in_time_brute_force(spark, sf):
     pairs = o.join(e, ["ad_creative_id", "geo"]).where((F.col("te") >= F.col("t") - 30 * 86400)
                                                        & (F.col("te") <= F.col("t") - 1))
     r = led.select(F.col("click_id").alias("eid"), "revenue", "revenue_ts")
-    rev = (pairs.join(r, "eid", "left")
-                .where(F.col("revenue_ts").isNull()
-                       | ((F.col("revenue_ts") >= F.col("ets"))
-                          & (F.col("revenue_ts") <= F.col("ets") + F.expr("INTERVAL 30 DAYS"))))
-                .groupBy("click_id", "eid")
-                .agg(F.sum(F.when(F.col("revenue_ts") < F.col("click_ts"), F.col("revenue")).otherwise(0.0)).alias("s")))
+    in_win = ((F.col("revenue_ts") >= F.col("ets"))
+              & (F.col("revenue_ts") <= F.col("ets") + F.expr("INTERVAL 30 DAYS"))
+              & (F.col("revenue_ts") < F.col("click_ts")))
+    rev = (pairs.join(r, "eid", "left").groupBy("click_id", "eid")
+                .agg(F.sum(F.when(in_win, F.col("revenue")).otherwise(0.0)).alias("s")))
     brute = rev.groupBy("click_id").agg((F.sum("s") / F.count("eid")).alias("b"))
     j = got.join(brute, "click_id")
     assert j.where(F.abs(F.col("rpc_30d") - F.col("b")) > 1e-6).count() == 0
