@@ -15,11 +15,6 @@ from pyspark.sql import functions as F
 
 from revlens.functions.columns import sunday_week
 
-CLICK_REVENUE_COLUMNS = ["click_id", "click_ts", "click_ts_ms", "device", "geo", "hour_of_day",
-                         "query_intent", "ad_creative_id", "cerberus_score", "landing_path",
-                         "visits_prev_30d", "target_revenue"]
-
-
 def _window_sum(keys: DataFrame, ledger: DataFrame, ts_col: str, window_days: int,
                 until=None, out: str = "revenue_sum") -> DataFrame:
     """Sum of ledger revenue per (click_id, ts_col) with

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.functions.columns import is_finite
-from revlens.schemas import CLICK_PAYLOAD, CLICKS, PREDICTION_PAYLOAD
+from revlens.schemas import CLICK_PAYLOAD, PREDICTION_PAYLOAD
 
 # Contract values: allowed devices.
 DEVICES = ["mobile", "desktop", "tablet"]
@@ -130,7 +130,3 @@ def dedup_clicks(landed: DataFrame, hours: int = 24, ts: str = "ingested_at",
     last = cand.groupBy("click_id").agg(
         F.max_by(F.struct(*payload), F.struct(F.col(ts), F.col(tiebreak))).alias("_row"))
     return last.select("click_id", *[F.col("_row")[c].alias(c) for c in payload])
-
-
-def typed_click_columns() -> list[str]:
-    return [f.name for f in CLICKS.fields]

@@ -223,3 +223,11 @@ def write_day(df: DataFrame, path: str, day_col: str = "as_of_date") -> None:
     ``df`` are replaced (dynamic partition overwrite)."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(day_col).parquet(path))
+
+
+def backfill_days(df: DataFrame, path: str, start, end, day_col: str = "as_of_date") -> None:
+    """Recompute every open day in [start, end] at once (``as_of=None`` outputs) and
+    replace exactly those day partitions; late data for older days is picked up
+    by widening the range instead of only re-running yesterday."""
+    days = df.where(F.col(day_col).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    write_day(days, path, day_col)

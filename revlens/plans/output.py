@@ -17,7 +17,7 @@ def finalize(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         t = f.dataType
         if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = round_half_away(c.cast("double"), 4)
+            c = round_half_away(c.cast("double"), 4) + 0.0   # -0.0 -> 0.0
         elif isinstance(t, T.TimestampType):
             c = F.unix_millis(c)
         elif isinstance(t, T.TimestampNTZType):

@@ -228,3 +228,14 @@ def test_model_source_filter_pushdown(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(source,MODEL)" in plan, plan
     assert [r.click_id for r in df.collect()] == ["c"]
+
+
+def test_backfill_replaces_range(spark, tmp_path):
+    path = str(tmp_path / "res")
+    df = spark.createDataFrame([("2024-01-01", 1.0), ("2024-01-02", 2.0), ("2024-01-03", 3.0)],
+                               "as_of_date string, v double").withColumn("as_of_date", F.to_date("as_of_date"))
+    mon.write_day(df, path)
+    redo = df.withColumn("v", F.col("v") * 10)
+    mon.backfill_days(redo, path, "2024-01-02", "2024-01-03")
+    got = {(str(r.as_of_date), r.v) for r in spark.read.parquet(path).collect()}
+    assert got == {("2024-01-01", 1.0), ("2024-01-02", 20.0), ("2024-01-03", 30.0)}
