@@ -106,6 +106,18 @@ def model_version_row(frame: DataFrame, model_id: str, version: str, trained_at_
                                  F.lit(trained_at_ms).cast("long").alias("trained_at_ms"))
 
 
+def train_and_register(frame: DataFrame, model_path: str, registry_path: str, model_id: str,
+                       version: str, trained_at_ms: int, **params) -> PipelineModel:
+    """M1 job: train, save the fitted pipeline under ``model_path/version`` and append
+    one registry row (``id@version``, training time) to the registry table."""
+    model = train_rpc(frame, **params)
+    model.write().overwrite().save(f"{model_path.rstrip('/')}/{version}")
+    (model_version_row(frame, model_id, version, trained_at_ms)
+     .withColumn("path", F.lit(f"{model_path.rstrip('/')}/{version}"))
+     .write.mode("append").parquet(registry_path))
+    return model
+
+
 def _score(df: DataFrame, model) -> DataFrame:
     """Run a fitted model: a PipelineModel from :func:`train_rpc` assembles its own
     vector; a bare model gets the assembled ``features`` column."""
