@@ -117,3 +117,21 @@ def test_point_in_time_brute_force(spark, sf):
     brute = rev.groupBy("click_id").agg((F.sum("s") / F.count("eid")).alias("b"))
     j = got.join(brute, "click_id")
     assert j.where(F.abs(F.col("rpc_30d") - F.col("b")) > 1e-6).count() == 0
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(n=st.integers(min_value=1, max_value=400), distinct=st.integers(min_value=1, max_value=50),
+       nulls=st.integers(min_value=0, max_value=5), parts=st.integers(min_value=1, max_value=9))
+def test_decile_counts_property(spark, n, distinct, nulls, parts):
+    vals = [float((i * 7919) % distinct) for i in range(n)] + [None] * nulls
+    df = spark.createDataFrame([("f", v) for v in vals], "feature string, value double")
+    a = (mon.decile_counts(df, partitions=parts).groupBy("decile")
+         .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("n")))
+    b = (mon.feature_deciles_window(df).groupBy("decile")
+         .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n")))
+    assert sorted(a.collect()) == sorted(b.collect())
+    assert sum(r.n for r in a.collect()) == n + nulls
