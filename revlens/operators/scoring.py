@@ -17,6 +17,7 @@ from revlens.operators.ml import predict
 # Debug names of the prediction sources, as printed in the audit hash: fixed values.
 SOURCE_DEBUG = {"MODEL": "Model", "FALLBACK_TCPA": "FallbackTcpa",
                 "FALLBACK_DATA_LAYER": "FallbackDataLayer", "KILL_SWITCH": "KillSwitch"}
+# Audit actor name: fixed value.
 ACTOR = "scoring-api"
 
 

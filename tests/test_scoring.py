@@ -98,10 +98,10 @@ def test_train_and_register(spark, sf, tmp_path):
     from pyspark.ml import PipelineModel
     from revlens.plans import catalog as C
     frame = C.training_rows(spark, sf)
-    m = ml.train_and_register(frame, str(tmp_path / "models"), str(tmp_path / "registry"), "rpc-estimator",
+    m = ml.train_and_register(frame, str(tmp_path / "models"), str(tmp_path / "registry"), "rpc-model",
                               "v7", 1_700_000_000_000, rounds=3, max_depth=2)
     reg = spark.read.parquet(str(tmp_path / "registry")).collect()
-    assert [(r.model, r.trained_at_ms) for r in reg] == [("rpc-estimator@v7", 1_700_000_000_000)]
+    assert [(r.model, r.trained_at_ms) for r in reg] == [("rpc-model@v7", 1_700_000_000_000)]
     loaded = PipelineModel.load(str(tmp_path / "models" / "v7"))
     a = ml.predict(frame, m).select("click_id", "rpc_raw")
     b = ml.predict(frame, loaded).select("click_id", "rpc_raw")
