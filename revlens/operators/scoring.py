@@ -73,7 +73,7 @@ def _decide(cfg: dict, model_version: Column) -> Column:
                         F.lit(reason).alias("reason"), version.alias("model_version"))
     fb = F.lit("fallback")
     zero = F.lit(0.0)
-    in_canary = canary("click_id", int(cfg["canary_bp"]))
+    in_canary = F.col("_reach")
     data_layer = F.col("fallback_rpc")
     dl_reason = F.when(F.col("negative_ledger"), F.lit("negative_ledger")).otherwise(F.lit("model_error"))
     if cfg["kill"]:
@@ -99,12 +99,23 @@ def score_clicks(clicks: DataFrame, config_versions: DataFrame, ledger: DataFram
     if store is not None:
         x = feature_overrides(x, store)
     x = ledger_fallback(x, ledger)
-    x = predict(x, model, out="rpc_raw")
+    # Only clicks past the kill switch and the canary reach the model: the frame is
+    # split right before the model (the upstream shuffles are shared by both
+    # branches) and a killed config makes the model branch an empty relation.
+    reach = F.lit(not cfg["kill"]) & canary("click_id", int(cfg["canary_bp"]))
+    x = x.withColumn("_reach", reach)
+    modelled = predict(x.where(F.col("_reach")), model, out="rpc_raw")
     if clv is not None and premium is not None:
-        x = x.join(clv.select("click_id", "clv"), "click_id", "left")
-        x = x.withColumn("rpc", clv_adjust("rpc_raw", "clv", **premium))
+        modelled = modelled.join(clv.select("click_id", "clv"), "click_id", "left")
+        modelled = modelled.withColumn("rpc", clv_adjust("rpc_raw", "clv", **premium)).drop("clv")
     else:
-        x = x.withColumn("rpc", F.col("rpc_raw"))
+        modelled = modelled.withColumn("rpc", F.col("rpc_raw"))
+    bypass = (x.where(~F.col("_reach"))
+               .withColumn("model_error", F.lit(False))
+               .withColumn("rpc_raw", F.lit(None).cast("double"))
+               .withColumn("rpc", F.lit(None).cast("double")))
+    cols = ["click_id", "correlation_id", "_reach", "fallback_rpc", "negative_ledger", "model_error", "rpc"]
+    x = modelled.select(*cols).unionByName(bypass.select(*cols))
     d = _decide(cfg, F.lit(model_version))
     return x.select("click_id", "correlation_id", d.alias("d")).select(
         "click_id", "correlation_id", "d.predicted_rpc", "d.source", "d.reason", "d.model_version")
