@@ -119,14 +119,21 @@ def dedup_clicks(landed: DataFrame, hours: int = 24, ts: str = "ingested_at",
                  tiebreak: str = "message_id") -> DataFrame:
     """One row per click_id, last write wins among the emits within ``hours``
     of the first emit (ordered by ``ts`` then ``tiebreak``); later re-emits are
-    dropped. Both steps are aggregations (partial, map-side): a click re-emitted
-    millions of times collapses before the shuffle instead of filling one window
-    partition; the join back to the first-emit time relies on AQE skew splitting."""
-    first = landed.groupBy("click_id").agg(F.min(ts).alias("_first"))
-    cand = (landed.join(first, "click_id")
+    dropped.
+
+    One aggregation takes the first emit time and the last emit together, with
+    map-side partial aggregation, so a click re-emitted millions of times collapses
+    before the shuffle. Only keys whose last emit falls after the window need a
+    second pass over their own rows (a key set AQE can broadcast when small)."""
+    payload = [c for c in landed.columns if c != "click_id"]
+    order = F.struct(F.col(ts), F.col(tiebreak))
+    agg = landed.groupBy("click_id").agg(F.min(ts).alias("_first"),
+                                          F.max_by(F.struct(*payload), order).alias("_row"))
+    limit = F.col("_first") + F.make_interval(hours=F.lit(hours))
+    done = agg.where(F.col(f"_row.{ts}") <= limit)
+    late = agg.where(F.col(f"_row.{ts}") > limit).select("click_id", "_first")
+    redo = (landed.join(late, "click_id")
                   .where(F.col(ts) <= F.col("_first") + F.make_interval(hours=F.lit(hours)))
-                  .drop("_first"))
-    payload = [c for c in cand.columns if c != "click_id"]
-    last = cand.groupBy("click_id").agg(
-        F.max_by(F.struct(*payload), F.struct(F.col(ts), F.col(tiebreak))).alias("_row"))
-    return last.select("click_id", *[F.col("_row")[c].alias(c) for c in payload])
+                  .groupBy("click_id").agg(F.max_by(F.struct(*payload), order).alias("_row")))
+    both = done.select("click_id", "_row").unionByName(redo)
+    return both.select("click_id", *[F.col("_row")[c].alias(c) for c in payload])

@@ -135,3 +135,15 @@ def test_decile_counts_property(spark, n, distinct, nulls, parts):
          .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n")))
     assert sorted(a.collect()) == sorted(b.collect())
     assert sum(r.n for r in a.collect()) == n + nulls
+
+
+def test_dedup_late_reemit_dropped(spark):
+    from pyspark.sql import Row
+    rows = [Row(click_id="a", message_id="1", ingested_at="2024-01-01 00:00:00", v=1),
+            Row(click_id="a", message_id="2", ingested_at="2024-01-01 05:00:00", v=2),
+            Row(click_id="a", message_id="3", ingested_at="2024-01-03 00:00:00", v=3),   # after 24 h
+            Row(click_id="b", message_id="1", ingested_at="2024-01-01 00:00:00", v=4),
+            Row(click_id="b", message_id="0", ingested_at="2024-01-01 00:00:00", v=5)]   # tie -> message id
+    df = spark.createDataFrame(rows).withColumn("ingested_at", F.to_timestamp("ingested_at"))
+    got = {r.click_id: r.v for r in ing.dedup_clicks(df).collect()}
+    assert got == {"a": 2, "b": 4}
