@@ -39,3 +39,21 @@ def test_land_stream_partitions(spark, sf):
     r = spark.read.parquet(out)
     assert r.count() == fx.landing_clicks(spark, sf).count()
     assert "publish_date" in r.columns
+
+
+def test_breaker_events_stream_engages_kill_switch_once(spark, sf):
+    m = fx.anomaly_messages(spark, sf)
+    src = sj.stage(m, "anomalies", files=2)
+    config = sj.stage(fx.config_versions(spark, sf).where("NOT kill"), "config", files=1)
+    newest = spark.read.parquet(config).agg(F.max("version")).first()[0]
+    out = sj.scratch(spark, "decisions")
+    sj.run(sj.breaker_events_stream(spark, src, m.schema, out, config, sj.scratch(spark, "ck")))
+    cfg = spark.read.parquet(config)
+    assert spark.read.parquet(out).where("trip").count() > 0
+    added = cfg.where(F.col("version") > newest).collect()
+    assert len(added) == 1 and added[0].kill and added[0].version == newest + 1
+    # a second run over new events: the newest version is already killed, nothing appended
+    src2 = sj.stage(m, "anomalies2", files=1)
+    sj.run(sj.breaker_events_stream(spark, src2, m.schema, sj.scratch(spark, "d2"), config,
+                                    sj.scratch(spark, "ck")))
+    assert spark.read.parquet(config).count() == cfg.count()
