@@ -72,26 +72,39 @@ def land_stream(spark: SparkSession, src: str, out: str, checkpoint: str, topic:
 # ----------------------------------------------------------------- T1
 def clicks_stream(spark: SparkSession, src: str, out: str, dead: str, checkpoint: str,
                   watermark: str = "24 hours", available_now: bool = True,
-                  interval: str = "1 minute", max_files: int | None = None) -> StreamingQuery:
-    """Land -> type -> normalize -> validate -> de-duplicate. Re-emits of a
-    click_id within the watermark are dropped (the first emit is kept: an append
-    sink cannot retract; the batch W5 gives last-write-wins). Valid clicks go to
-    ``out``, rejected / corrupt ones with their reason to ``dead``."""
+                  interval: str = "1 minute", max_files: int | None = None,
+                  keep: str = "first") -> StreamingQuery:
+    """Land -> type -> normalize -> validate -> de-duplicate. Valid clicks go to
+    ``out``, rejected / corrupt ones with their reason to ``dead``.
+
+    ``keep="first"``: re-emits of a click_id within the watermark are dropped in the
+    stream (state bounded by the watermark). ``keep="last"``: every valid emit is
+    appended as a version (an append-only sink cannot replace a row) and
+    :func:`latest_clicks` resolves last-write-wins within 24 h on read (batch W5)."""
+    if keep not in ("first", "last"):
+        raise ValueError("keep must be 'first' or 'last'")
     typed = ing.normalize_clicks(ing.typed_clicks(_source(spark, src, LANDING, max_files)))
     tagged = typed.withColumn(
         "reason", F.when(F.col("corrupt"), F.lit("corrupt_payload")).otherwise(ing.rejection_reason()))
-    keyed = tagged.withColumn("_k", F.coalesce(F.col("click_id"), F.concat(F.lit("msg:"), F.col("message_id"))))
-    deduped = (keyed.withWatermark("ingested_at", watermark)
-                    .dropDuplicatesWithinWatermark(["_k"]).drop("_k"))
+    if keep == "first":
+        keyed = tagged.withColumn("_k", F.coalesce(F.col("click_id"),
+                                                   F.concat(F.lit("msg:"), F.col("message_id"))))
+        tagged = (keyed.withWatermark("ingested_at", watermark)
+                       .dropDuplicatesWithinWatermark(["_k"]).drop("_k"))
 
     def sink(batch: DataFrame, _id: int) -> None:
         batch.where(F.col("reason").isNull()).drop("reason", "corrupt").write.mode("append").parquet(out)
         batch.where(F.col("reason").isNotNull()).write.mode("append").parquet(dead)
 
-    w = deduped.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
+    w = tagged.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
     return _trigger(w, available_now, interval).start()
 
 
+def latest_clicks(spark: SparkSession, out: str, hours: int = 24) -> DataFrame:
+    """Last-write-wins view over the versions written by ``clicks_stream(keep="last")``."""
+    return ing.dedup_clicks(spark.read.parquet(out), hours=hours)
+
+
 # ----------------------------------------------------------------- T2
 def freshness_stream(spark: SparkSession, src: str, schema: T.StructType, ts: str, out: str,
                      checkpoint: str, minutes: int = 15, from_hour: int = 6, to_hour: int = 22,
@@ -292,6 +305,6 @@ def run(q: StreamingQuery) -> StreamingQuery:
     return q
 
 
-__all__ = ["land_stream", "clicks_stream", "freshness_stream", "breaker_stream",
+__all__ = ["land_stream", "clicks_stream", "latest_clicks", "freshness_stream", "breaker_stream",
            "breaker_events_stream", "score_stream", "activation_stream", "metrics_stream",
            "stage", "scratch", "run", "BreakerState"]

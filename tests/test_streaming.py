@@ -57,3 +57,19 @@ def test_breaker_events_stream_engages_kill_switch_once(spark, sf):
     sj.run(sj.breaker_events_stream(spark, src2, m.schema, sj.scratch(spark, "d2"), config,
                                     sj.scratch(spark, "ck")))
     assert spark.read.parquet(config).count() == cfg.count()
+
+
+def test_clicks_stream_last_write_wins(spark, sf):
+    from revlens.operators import ingest as ing
+    from revlens.plans import catalog as C
+    src = sj.stage(fx.landing_clicks(spark, sf), "landing", files=2)
+    out, dead = sj.scratch(spark, "clicks"), sj.scratch(spark, "dead")
+    sj.run(sj.clicks_stream(spark, src, out, dead, sj.scratch(spark, "ck"), keep="last"))
+    got = sj.latest_clicks(spark, out).select("click_id", "message_id", "visits_prev_30d")
+    typed = ing.normalize_clicks(C.typed_landing(spark, sf)).where(~F.col("corrupt"))
+    valid = typed.where(ing.rejection_reason().isNull())
+    exp = ing.dedup_clicks(valid).select("click_id", "message_id", "visits_prev_30d")
+    assert got.count() == exp.count() and got.exceptAll(exp).count() == 0
+    # re-emits won: their message ids end with '-r'
+    assert got.where(F.col("message_id").endswith("-r")).count() > 0
+    assert spark.read.parquet(dead).where("reason = 'corrupt_payload'").count() > 0
