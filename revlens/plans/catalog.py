@@ -479,7 +479,6 @@ def _a16(spark, sf):
 
 
 # -------------------------------------------------------------- streaming (availableNow runs)
-from revlens.schemas import LANDING  # noqa: E402
 from revlens.streaming import jobs as sj  # noqa: E402
 
 

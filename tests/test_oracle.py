@@ -1,7 +1,6 @@
 """Every registered query against its DuckDB twin on sf0.001 (row count, column
 names, order-insensitive values); queries without a twin must still run."""
 
-import hashlib
 import json
 import math
 
