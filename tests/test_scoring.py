@@ -106,3 +106,23 @@ def test_train_and_register(spark, sf, tmp_path):
     a = ml.predict(frame, m).select("click_id", "rpc_raw")
     b = ml.predict(frame, loaded).select("click_id", "rpc_raw")
     assert a.exceptAll(b).count() == 0
+
+
+class Exploding(ml.LinearRpcModel):
+    """A model whose evaluation fails: it must never run for bypassed clicks."""
+
+    def __init__(self):
+        super().__init__(0.0, {})
+
+    def _transform(self, df):
+        return df.withColumn("prediction", F.raise_error(F.lit("model must not run")).cast("double"))
+
+
+def test_kill_switch_never_calls_model(spark):
+    r = _score(spark, Exploding(), (1, True, 0.1, 100.0, 10_000))
+    assert r.source == "KILL_SWITCH"
+
+
+def test_out_of_canary_never_calls_model(spark):
+    r = _score(spark, Exploding(), (1, False, 0.1, 100.0, 0))
+    assert r.source == "FALLBACK_TCPA" and r.reason == "out_of_canary"
