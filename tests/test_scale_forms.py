@@ -147,3 +147,20 @@ def test_dedup_late_reemit_dropped(spark):
     df = spark.createDataFrame(rows).withColumn("ingested_at", F.to_timestamp("ingested_at"))
     got = {r.click_id: r.v for r in ing.dedup_clicks(df).collect()}
     assert got == {"a": 2, "b": 4}
+
+
+def test_dedup_hot_key(spark):
+    # one click_id holds a third of the rows; emits spread over 48 h
+    n = 3000
+    df = (spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("c"), F.col("id").cast("string")))
+         .alias("click_id"),
+        F.format_string("m%05d", F.col("id")).alias("message_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("ingested_at"),
+        F.col("id").alias("v")))
+    got = {r.click_id: r.v for r in ing.dedup_clicks(df).collect()}
+    hot = df.where("click_id = 'hot'")
+    first = hot.agg(F.min("ingested_at")).first()[0]
+    exp_hot = (hot.where(F.col("ingested_at") <= F.lit(first) + F.expr("INTERVAL 24 HOURS"))
+                  .orderBy(F.col("ingested_at").desc(), F.col("message_id").desc()).first().v)
+    assert got["hot"] == exp_hot and len(got) == 1 + (n - n // 3)
