@@ -73,3 +73,15 @@ def test_clicks_stream_last_write_wins(spark, sf):
     # re-emits won: their message ids end with '-r'
     assert got.where(F.col("message_id").endswith("-r")).count() > 0
     assert spark.read.parquet(dead).where("reason = 'corrupt_payload'").count() > 0
+
+
+def test_activation_stream_dead_letter_and_channels(spark, sf):
+    src = sj.stage(fx.push_bodies(spark, sf), "push", files=2)
+    out, dead = sj.scratch(spark, "act"), sj.scratch(spark, "act-dead")
+    sj.run(sj.activation_stream(spark, src, out, dead, sj.scratch(spark, "ck"), "hybrid"))
+    routed = spark.read.parquet(out)
+    assert {r.channel for r in routed.select("channel").distinct().collect()} == {"oci", "ssgtm"}
+    reasons = {r.reason for r in spark.read.parquet(dead).select("reason").distinct().collect()}
+    assert reasons == {"missing click_id", "malformed_json"}
+    n_ok = routed.where("channel = 'oci'").count()
+    assert n_ok + spark.read.parquet(dead).count() == fx.push_bodies(spark, sf).count()
