@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from revlens.llm import bpe, langid
+from revlens.llm import bpe, langid, substring_dedup
 
 QUERIES = {
     "op3_language_id": langid.query,
+    "op8_substring_dedup": substring_dedup.query,
     "op9_bpe": bpe.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_substring_dedup": substring_dedup.SQL,
+}
