@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from revlens.llm import bpe, langid, substring_dedup, warc
+from revlens.llm import bpe, knn, langid, substring_dedup, warc
 
 QUERIES = {
     "op3_language_id": langid.query,
+    "op7_top_k": knn.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_bpe": bpe.query,
     "op10_warc": warc.query,
 }
 
 ORACLE: dict[str, str] = {
+    "op7_top_k": knn.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
     "op10_warc": warc.SQL,
 }
