@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from revlens.llm import bpe, knn, langid, substring_dedup, warc
+from revlens.llm import bpe, knn, langid, near_dup, substring_dedup, warc
 
 QUERIES = {
     "op3_language_id": langid.query,
+    "op4_near_dup": near_dup.query,
     "op7_top_k": knn.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_bpe": bpe.query,
