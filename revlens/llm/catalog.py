@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from revlens.llm import bpe, knn, langid, near_dup, substring_dedup, warc
+from revlens.llm import bpe, decontam, knn, langid, line_dedup, near_dup, substring_dedup, warc
 
 QUERIES = {
     "op3_language_id": langid.query,
     "op4_near_dup": near_dup.query,
+    "op5_decontaminate": decontam.query,
+    "op6_line_dedup": line_dedup.query,
     "op7_top_k": knn.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_bpe": bpe.query,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op6_line_dedup": line_dedup.SQL,
     "op7_top_k": knn.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
     "op10_warc": warc.SQL,
