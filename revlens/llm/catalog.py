@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from revlens.llm import bpe, decontam, knn, langid, line_dedup, near_dup, substring_dedup, warc
+from revlens.llm import (bpe, decontam, knn, langid, license_scan, line_dedup, near_dup, substring_dedup, toxicity, warc)
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
+    "op2_license_scan": license_scan.query,
     "op3_language_id": langid.query,
     "op4_near_dup": near_dup.query,
     "op5_decontaminate": decontam.query,
