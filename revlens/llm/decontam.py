@@ -19,9 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from revlens.llm.text import U64
 
@@ -254,8 +256,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, step:
 
 
 def _hits(shared):
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("array<struct<item_id:long,tile_start:int,doc_end:int,edits:int>>")
     def hits(texts: pd.Series) -> pd.Series:

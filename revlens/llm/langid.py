@@ -17,9 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 UNKNOWN = "und"
 N_GRAM = 3
@@ -154,11 +156,9 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     Null, empty and letterless texts get ``und`` and 0.0. Other columns pass through;
     columns of docs named like the two results are replaced.
     """
-    from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("lang_pred string, score double")
     def predict(text):
-        import pandas as pd
         found, scores = profiles.predict(list(text))
         return pd.DataFrame({"lang_pred": found, "score": scores})
 

@@ -15,8 +15,10 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 MIN_COVERAGE = 0.8
 
@@ -119,8 +121,8 @@ class Scanner:
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first word, end word) of the best region of each template
-        that reaches min_coverage; ties go to the earlier region."""
+        """(template, coverage, first word, end word), by template, of the best region of
+        each template that reaches min_coverage; ties go to the earlier region."""
         lower = (text or "").lower()
         if not any(k in lower for k in self.all_keys):
             return []
@@ -136,7 +138,12 @@ class Scanner:
                         best = (cover, a + pairs[0][0], a + pairs[-1][0] + 1)
             if best:
                 found.append((name, *best))
-        return found
+        # of templates on overlapping words the best covered stays, then the longest, then by name
+        out: list[tuple[str, float, int, int]] = []
+        for f in sorted(found, key=lambda f: (-f[1], f[2] - f[3], f[0])):
+            if all(f[3] <= o[2] or f[2] >= o[3] for o in out):
+                out.append(f)
+        return sorted(out)
 
     def windows(self, ws: list[str], lo: int, hi: int, name: str):
         """A region in windows of four template lengths that overlap by half (a long merged
@@ -156,13 +163,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
     Null, empty and unmarked texts have an empty array. A column of docs named licenses
     is replaced. Row-local, whole texts.
     """
-    from pyspark.sql.functions import pandas_udf
-    import pandas as pd
     scanner = Scanner(templates, min_coverage)
 
     @pandas_udf("array<struct<name:string,coverage:double,first_word:int,end_word:int>>")
     def found(text: pd.Series) -> pd.Series:
-        return pd.Series([[{"name": n, "coverage": c, "first_word": a, "end_word": b} for n, c, a, b in sorted(scanner.scan(t))]
+        return pd.Series([[{"name": n, "coverage": c, "first_word": a, "end_word": b} for n, c, a, b in scanner.scan(t)]
                           for t in text], dtype=object)
     return docs.drop("licenses").withColumn("licenses", found("text"))
 

@@ -20,9 +20,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from revlens.llm.text import stage
 
@@ -142,11 +144,9 @@ def deduplicate(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILAR
     gone = (dropped_lines(base, depth, similarity, min_docs).groupBy(F.col("doc_id").alias("__doc"))
             .agg(F.collect_set(F.struct("i", "h")).alias("__gone")))
     joined = base.join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
-    from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("kept_text string, n_lines int, n_dropped int")
     def cut(text, gone):
-        import pandas as pd
         out = []
         for t, g in zip(text, gone):
             if t is None:

@@ -23,8 +23,10 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 9000
@@ -169,7 +171,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_positive: int = M
     # at most max_positive + max_unlabelled ids: a proven bound for the broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
-    from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("array<string>")
     def present(text):
@@ -186,8 +187,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_positive: int = M
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs plus score (0 to 1); null and empty texts get the score of no words. A column
     of docs named score is replaced."""
-    from pyspark.sql.functions import pandas_udf
-    import pandas as pd
 
     @pandas_udf("double")
     def of(text: pd.Series) -> pd.Series:
