@@ -11,7 +11,6 @@ FNV_OFFSET_HI = 0xCBF29CE4
 FNV_OFFSET_LO = 0x84222325
 FNV_PRIME_LOW = 435
 CANARY_SCALE = 10_000
-TWO32_MOD_SCALE = (1 << 32) % CANARY_SCALE
 
 
 def col(c) -> Column:
@@ -50,17 +49,20 @@ def fnv1a64_mod(c, modulus: int = CANARY_SCALE) -> Column:
     """
     hexed = F.hex(F.encode(col(c), "UTF-8"))
     n_bytes = (F.length(hexed) / 2).cast("int")
-    byte_list = F.transform(
-        F.sequence(F.lit(0), n_bytes - 1),
-        lambda i: F.conv(F.substr(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("long"),
-    )
+    byte_list = F.when(n_bytes > 0, F.transform(
+        F.sequence(F.lit(1), n_bytes),   # an empty text has no byte and keeps the offset basis
+        lambda i: F.conv(F.substr(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("long"),
+    )).when(n_bytes == 0, F.array().cast("array<bigint>"))
     init = F.struct(F.lit(FNV_OFFSET_HI).cast("long").alias("hi"),
                     F.lit(FNV_OFFSET_LO).cast("long").alias("lo"))
-    state = F.aggregate(byte_list, init,
-                        lambda acc, b: _fnv_step(acc["hi"], acc["lo"].bitwiseXOR(b)))
-    hi, lo = state["hi"], state["lo"]
-    # (hi * 2^32 + lo) mod m, computed without leaving 64-bit range
-    return (((hi % modulus) * TWO32_MOD_SCALE) % modulus + lo % modulus) % modulus
+    two32 = (1 << 32) % modulus
+
+    def reduce(state: Column) -> Column:
+        # (hi * 2^32 + lo) mod m, computed without leaving 64-bit range; in the finish
+        # step, so that both halves come from one fold
+        return (((state["hi"] % modulus) * two32) % modulus + state["lo"] % modulus) % modulus
+
+    return F.aggregate(byte_list, init, lambda acc, b: _fnv_step(acc["hi"], acc["lo"].bitwiseXOR(b)), reduce)
 
 
 def _fnv_step(hi: Column, lo: Column) -> Column:
@@ -101,8 +103,22 @@ def bounds_check(rpc, lo, hi) -> Column:
 
 
 def f64_text(c) -> Column:
-    """Decimal text of a double the way the audit hash prints it: integral values
-    without a fraction ("3", "0"), others in shortest form ("2.5")."""
+    """Plain decimal text of a double, never with an exponent: "3", "0.0005",
+    "10000000000000000". The shortest digits come from the engine's text form
+    (``d.ddd`` or ``d.dddE<n>``); the point is moved by the exponent."""
     c = col(c)
-    integral = is_finite(c) & (c == F.floor(c)) & (F.abs(c) < 1e15)
-    return F.when(integral, c.cast("long").cast("string")).otherwise(c.cast("string"))
+    text = F.abs(c).cast("string")
+    mantissa = F.substring_index(text, "E", 1)
+    exponent = F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1).cast("int")).otherwise(F.lit(0))
+    whole = F.substring_index(mantissa, ".", 1)
+    part = F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
+    digits = F.concat(whole, part)
+    point = F.length(whole) + exponent           # digits before the point
+    shifted = (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+                .when(point >= F.length(digits), F.rpad(digits, point, "0"))
+                .otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1))))
+    plain = F.when(c == 0, F.lit("0")).when(exponent == 0, F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))).otherwise(shifted)
+    # -0.0 prints its sign
+    negative = (c < 0) | ((c == 0) & c.cast("string").startswith("-"))
+    return (F.when(is_finite(c), F.when(negative, F.concat(F.lit("-"), plain)).otherwise(plain))
+             .when(F.isnan(c), F.lit("NaN")).when(c > 0, F.lit("inf")).when(c < 0, F.lit("-inf")))

@@ -18,38 +18,39 @@ TRIP_REASONS = {
 }
 NO_TRIP_REASON = "within threshold"
 
-_ENVELOPE_TEXT = T.StructType([T.StructField(n, T.StringType()) for n in
-                               ("click_id", "correlation_id", "predicted_rpc", "source",
-                                "model_version")])
-
-
-def activation_envelopes(msgs: DataFrame, data: str = "data",
-                         keep: tuple = ()) -> tuple[DataFrame, DataFrame]:
-    """Decoded prediction payloads -> (envelopes, dead letters).
-    Required: click_id (non-empty) and predicted_rpc (a number, not NaN, >= 0).
-    Defaults: correlation_id '', source 'MODEL', model_version 'unknown'."""
-    m = F.from_json(F.col(data), "map<string,string>")   # one parse; NULL when not an object
-    is_obj = m.isNotNull()
+def tagged_envelopes(msgs: DataFrame, data: str = "data") -> DataFrame:
+    """P7 in one pass: every message with its envelope columns and ``reason`` (NULL:
+    valid). The payload is parsed once, in a projection of its own that later uses
+    refer to; write it partitioned by status instead of filtering it twice."""
+    m = F.col("_m")
+    msgs = msgs.withColumn("_m", F.from_json(F.col(data), "map<string,string>"))   # NULL when not an object
     has = lambda k: F.map_contains_key(m, k) & m[k].isNotNull()
     p = {k: m[k] for k in ("click_id", "correlation_id", "predicted_rpc", "source", "model_version")}
     rpc = p["predicted_rpc"].try_cast("double")
-    reason = (F.when(~is_obj, F.lit("malformed_json"))
+    reason = (F.when(m.isNull(), F.lit("malformed_json"))
                .when(~has("click_id"), F.lit("missing click_id"))
                .when(~has("predicted_rpc"), F.lit("missing predicted_rpc"))
                .when(F.length(F.coalesce(p["click_id"], F.lit(""))) == 0, F.lit("click_id required"))
                .when(rpc.isNull(), F.lit("predicted_rpc not a number"))
                .when(F.isnan(rpc) | (rpc < 0), F.lit("predicted_rpc invalid")))
-    tagged = msgs.select("*", reason.alias("reason"),
-                         p["click_id"].alias("_cid"), p["correlation_id"].alias("_corr"),
-                         rpc.alias("_rpc"), p["source"].alias("_src"), p["model_version"].alias("_mv"))
-    ok = tagged.where(F.col("reason").isNull()).select(
-        *keep, F.col("_cid").alias("click_id"),
-        F.coalesce("_corr", F.lit("")).alias("correlation_id"),
-        F.col("_rpc").alias("predicted_rpc"),
-        F.coalesce("_src", F.lit("MODEL")).alias("source"),
-        F.coalesce("_mv", F.lit("unknown")).alias("model_version"))
-    dead = tagged.where(F.col("reason").isNotNull()).select(*msgs.columns, "reason")
-    return ok, dead
+    return msgs.select(
+        *[c for c in msgs.columns if c != "_m"], reason.alias("reason"), p["click_id"].alias("click_id"),
+        F.coalesce(p["correlation_id"], F.lit("")).alias("correlation_id"), rpc.alias("predicted_rpc"),
+        F.coalesce(p["source"], F.lit("MODEL")).alias("source"),
+        F.coalesce(p["model_version"], F.lit("unknown")).alias("model_version"))
+
+
+ENVELOPE = ["click_id", "correlation_id", "predicted_rpc", "source", "model_version"]
+
+
+def activation_envelopes(msgs: DataFrame, data: str = "data",
+                         keep: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """Decoded prediction payloads -> (envelopes, dead letters).
+    Required: click_id (non-empty) and predicted_rpc (a number, not NaN, >= 0).
+    Defaults: correlation_id '', source 'MODEL', model_version 'unknown'."""
+    tagged = tagged_envelopes(msgs, data)
+    return (tagged.where(F.col("reason").isNull()).select(*keep, *ENVELOPE),
+            tagged.where(F.col("reason").isNotNull()).select(*msgs.columns, "reason"))
 
 
 def activation_route(env: DataFrame, mode: str) -> DataFrame:

@@ -3,7 +3,7 @@ S6 merge_ledger, P1 normalize_clicks, P2 validate_clicks, W5 dedup_clicks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,7 +81,9 @@ def merge_ledger(target: DataFrame, source: DataFrame, as_of, lookback_hours: in
     s = (source.where(F.col("revenue_ts") >= end - F.make_interval(hours=F.lit(lookback_hours)))
                .select("click_id", "revenue", "revenue_ts", "order_id",
                        F.unix_millis("revenue_ts").alias("ts_ms"))).alias("s")
-    t = target.select("click_id", "order_id", "revenue_ts").alias("t")
+    # a match has the source row's revenue_ts, so older target rows cannot match
+    t = (target.where(F.col("revenue_ts") >= end - F.make_interval(hours=F.lit(lookback_hours)))
+               .select("click_id", "order_id", "revenue_ts").alias("t"))
     cond = ((F.col("s.click_id") == F.col("t.click_id"))
             & F.col("s.order_id").eqNullSafe(F.col("t.order_id"))
             & (F.col("s.revenue_ts") == F.col("t.revenue_ts")))
@@ -119,21 +121,25 @@ def dedup_clicks(landed: DataFrame, hours: int = 24, ts: str = "ingested_at",
                  tiebreak: str = "message_id") -> DataFrame:
     """One row per click_id, last write wins among the emits within ``hours``
     of the first emit (ordered by ``ts`` then ``tiebreak``); later re-emits are
-    dropped.
-
-    One aggregation takes the first emit time and the last emit together, with
-    map-side partial aggregation, so a click re-emitted millions of times collapses
-    before the shuffle. Only keys whose last emit falls after the window need a
-    second pass over their own rows (a key set AQE can broadcast when small)."""
-    payload = [c for c in landed.columns if c != "click_id"]
-    order = F.struct(F.col(ts), F.col(tiebreak))
-    agg = landed.groupBy("click_id").agg(F.min(ts).alias("_first"),
-                                          F.max_by(F.struct(*payload), order).alias("_row"))
+    dropped. ``landed`` should be a stored table: it is scanned narrow first.
+
+    The first and last emit times are primitive hash aggregates over (click_id, ts)
+    with map-side partial aggregation, so a click re-emitted millions of times
+    collapses before the shuffle; only keys whose last emit falls after the window
+    are aggregated again. The payload is joined back on (click_id, ts), which also
+    spreads a hot click; ties and redeliveries, the few rows that are left, are
+    broken on their own."""
     limit = F.col("_first") + F.make_interval(hours=F.lit(hours))
-    done = agg.where(F.col(f"_row.{ts}") <= limit)
-    late = agg.where(F.col(f"_row.{ts}") > limit).select("click_id", "_first")
-    redo = (landed.join(late, "click_id")
-                  .where(F.col(ts) <= F.col("_first") + F.make_interval(hours=F.lit(hours)))
-                  .groupBy("click_id").agg(F.max_by(F.struct(*payload), order).alias("_row")))
-    both = done.select("click_id", "_row").unionByName(redo)
-    return both.select("click_id", *[F.col("_row")[c].alias(c) for c in payload])
+    ends = landed.groupBy("click_id").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    done = ends.where(F.col("_last") <= limit).select("click_id", "_last")
+    late = ends.where(F.col("_last") > limit).select("click_id", "_first")
+    redo = (landed.select("click_id", ts).join(late, "click_id").where(F.col(ts) <= limit)
+                  .groupBy("click_id").agg(F.max(ts).alias("_last")))
+    last = done.unionByName(redo).withColumnRenamed("click_id", "_id")
+    cand = landed.join(last, F.col("click_id").eqNullSafe(F.col("_id")) & (F.col(ts) == F.col("_last"))).drop("_id", "_last")
+    ties = (landed.select("click_id", ts).join(last, F.col("click_id").eqNullSafe(F.col("_id")) & (F.col(ts) == F.col("_last")))
+                  .groupBy("click_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("click_id").alias("_id")))
+    same = F.col("click_id").eqNullSafe(F.col("_id"))
+    order = F.col(tiebreak).desc_nulls_last()
+    tied = cand.join(ties, same, "left_semi").withColumn("_rn", F.row_number().over(Window.partitionBy("click_id").orderBy(order)))
+    return cand.join(ties, same, "left_anti").unionByName(tied.where("_rn = 1").drop("_rn"))

@@ -66,59 +66,55 @@ def feature_overrides(clicks: DataFrame, store: DataFrame) -> DataFrame:
     return out.drop(*[f"_s_{c}" for c in ("rpc_7d", "rpc_14d", "rpc_30d", "visits_prev_30d")])
 
 
-def _decide(cfg: dict, model_version: Column) -> Column:
+def _outcome(rpc: Column, source, reason, version: Column) -> Column:
     """(predicted_rpc, source, reason, model_version) as one struct."""
-    def out(rpc, source, reason, version):
-        return F.struct(rpc.alias("predicted_rpc"), F.lit(source).alias("source"),
-                        F.lit(reason).alias("reason"), version.alias("model_version"))
-    fb = F.lit("fallback")
-    zero = F.lit(0.0)
-    in_canary = F.col("_reach")
-    data_layer = F.col("fallback_rpc")
-    dl_reason = F.when(F.col("negative_ledger"), F.lit("negative_ledger")).otherwise(F.lit("model_error"))
-    if cfg["kill"]:
-        return out(zero, "KILL_SWITCH", "kill_switch", fb)
-    return (F.when(~in_canary, out(zero, "FALLBACK_TCPA", "out_of_canary", fb))
-             .when(F.col("model_error"),
-                   F.struct(data_layer.alias("predicted_rpc"), F.lit("FALLBACK_DATA_LAYER").alias("source"),
-                            dl_reason.alias("reason"), fb.alias("model_version")))
-             .when(~bounds_check("rpc", cfg["bounds_min"], cfg["bounds_max"]),
-                   out(zero, "FALLBACK_TCPA", "bounds_rejected", fb))
-             .otherwise(out(F.col("rpc"), "MODEL", "score.model", model_version)))
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(rpc.alias("predicted_rpc"), lit(source).alias("source"), lit(reason).alias("reason"),
+                    version.alias("model_version"))
 
 
 def score_clicks(clicks: DataFrame, config_versions: DataFrame, ledger: DataFrame, model,
                  model_version: str = "unknown", clv: DataFrame | None = None,
-                 premium: dict | None = None, store: DataFrame | None = None) -> DataFrame:
+                 premium: dict | None = None, store: DataFrame | None = None, keep: tuple = ()) -> DataFrame:
     """the whole decision tree over a click table (breaker closed; the breaker
     with feedback is the streaming job T3). The config is read once (one row) and
-    enters the plan as literals; ledger sums, CLV and overrides are joins on
-    click_id; the model is one ``transform``."""
+    enters the plan as literals. ``keep``: click columns to carry through.
+
+    The kill switch and the canary are row-local and come first, so the clicks they
+    stop meet no join. The others meet the feature store and the model; the ledger
+    is read only for clicks whose model output is an error. A NULL click_id is in no
+    canary sample.
+    """
     cfg = read_config(config_versions)
-    x = clicks
+    fallback, zero = F.lit("fallback"), F.lit(0.0)
+    ids = ["click_id", "correlation_id", *keep]
+
+    def result(df: DataFrame, d: Column) -> DataFrame:
+        return df.select(*ids, d.alias("d")).select(
+            "click_id", "correlation_id", "d.predicted_rpc", "d.source", "d.reason", "d.model_version", *keep)
+    if cfg["kill"]:
+        return result(clicks, _outcome(zero, "KILL_SWITCH", "kill_switch", fallback))
+    x = clicks.withColumn("_reach", F.coalesce(canary("click_id", int(cfg["canary_bp"])), F.lit(False)))
+    stopped = result(x.where(~F.col("_reach")), _outcome(zero, "FALLBACK_TCPA", "out_of_canary", fallback))
+    x = x.where(F.col("_reach"))
     if store is not None:
         x = feature_overrides(x, store)
-    x = ledger_fallback(x, ledger)
-    # Only clicks past the kill switch and the canary reach the model: the frame is
-    # split right before the model (the upstream shuffles are shared by both
-    # branches) and a killed config makes the model branch an empty relation.
-    reach = F.lit(not cfg["kill"]) & canary("click_id", int(cfg["canary_bp"]))
-    x = x.withColumn("_reach", reach)
-    modelled = predict(x.where(F.col("_reach")), model, out="rpc_raw")
+    x = predict(x, model, out="rpc_raw")
     if clv is not None and premium is not None:
-        modelled = modelled.join(clv.select("click_id", "clv"), "click_id", "left")
-        modelled = modelled.withColumn("rpc", clv_adjust("rpc_raw", "clv", **premium)).drop("clv")
+        x = x.join(clv.select("click_id", "clv"), "click_id", "left")
+        x = x.withColumn("rpc", clv_adjust("rpc_raw", "clv", **premium)).drop("clv")
     else:
-        modelled = modelled.withColumn("rpc", F.col("rpc_raw"))
-    bypass = (x.where(~F.col("_reach"))
-               .withColumn("model_error", F.lit(False))
-               .withColumn("rpc_raw", F.lit(None).cast("double"))
-               .withColumn("rpc", F.lit(None).cast("double")))
-    cols = ["click_id", "correlation_id", "_reach", "fallback_rpc", "negative_ledger", "model_error", "rpc"]
-    x = modelled.select(*cols).unionByName(bypass.select(*cols))
-    d = _decide(cfg, F.lit(model_version))
-    return x.select("click_id", "correlation_id", d.alias("d")).select(
-        "click_id", "correlation_id", "d.predicted_rpc", "d.source", "d.reason", "d.model_version")
+        x = x.withColumn("rpc", F.col("rpc_raw"))
+    x = x.select(*ids, "model_error", "rpc")
+    failed = x.where("model_error").select("click_id").distinct()
+    x = ledger_fallback(x, ledger.join(failed, "click_id", "left_semi"))
+    d = (F.when(F.col("model_error"),
+                _outcome(F.col("fallback_rpc"), "FALLBACK_DATA_LAYER",
+                         F.when(F.col("negative_ledger"), F.lit("negative_ledger")).otherwise(F.lit("model_error")), fallback))
+          .when(~bounds_check("rpc", cfg["bounds_min"], cfg["bounds_max"]),
+                _outcome(zero, "FALLBACK_TCPA", "bounds_rejected", fallback))
+          .otherwise(_outcome(F.col("rpc"), "MODEL", "score.model", F.lit(model_version))))
+    return result(x, d).unionByName(stopped)
 
 
 def log_predictions(scored: DataFrame, ts_ms: Column | int) -> DataFrame:

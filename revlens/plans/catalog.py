@@ -299,10 +299,10 @@ def envelopes(spark, sf):
 
 @register("P7_activation_envelopes")
 def _p7(spark, sf):
-    ok, dead = envelopes(spark, sf)
-    ok = ok.withColumn("status", F.lit("ok")).withColumn("reason", F.lit(None).cast("string"))
-    dead = dead.select("message_id", F.lit("dead").alias("status"), "reason")
-    return ok.unionByName(dead, allowMissingColumns=True)
+    t = act.tagged_envelopes(ing.decode_push_envelope(fx.push_bodies(spark, sf)))
+    ok = F.col("reason").isNull()
+    return t.select("message_id", *[F.when(ok, F.col(c)).alias(c) for c in act.ENVELOPE],
+                    F.when(ok, F.lit("ok")).otherwise(F.lit("dead")).alias("status"), "reason")
 
 
 @register("P8_activation_route")
@@ -331,8 +331,16 @@ def valid_clicks(spark, sf):
     return ing.validate_clicks(fx.clicks(spark, sf))[0]
 
 
-def scored(spark, sf):
-    return sc.score_clicks(valid_clicks(spark, sf), fx.config_versions(spark, sf), fx.ledger(spark, sf),
+def scoring_clicks(spark, sf):
+    """Valid clicks; every 13th has a feature that makes the model fail."""
+    k = F.regexp_extract("click_id", r"(\d+)$", 1).cast("long")
+    return valid_clicks(spark, sf).withColumn(
+        "auction_pressure", F.when(k % 13 == 0, F.lit(float("nan"))).otherwise(F.col("auction_pressure")))
+
+
+def scored(spark, sf, kill=False):
+    config = fx.config_versions(spark, sf)
+    return sc.score_clicks(scoring_clicks(spark, sf), config.withColumn("kill", F.lit(True)) if kill else config, fx.ledger(spark, sf),
                            ml.STAND_IN, model_version="v1", clv=fx.clv(spark, sf), premium=CLV_POLICY,
                            store=fx.feature_store(spark, sf))
 
@@ -363,6 +371,11 @@ def _f1(spark, sf):
     return scored(spark, sf)
 
 
+@register("F1_score_clicks_killed")
+def _f1k(spark, sf):
+    return scored(spark, sf, kill=True)
+
+
 @register("S8_log_predictions")
 def _s8(spark, sf):
     return sc.log_predictions(scored(spark, sf), SCORED_AT_MS)
@@ -370,7 +383,13 @@ def _s8(spark, sf):
 
 @register("S9_audit_events")
 def _s9(spark, sf):
-    return sc.audit_events(scored(spark, sf))
+    """The scored clicks, some with values whose text is hard: small, large, many digits."""
+    k = F.regexp_extract("click_id", r"(\d+)$", 1).cast("long") % 50
+    hard = {0: 0.0005, 1: 1e16, 2: 12345678.5, 3: 1.5e-7, 4: 0.1}
+    rpc = F.col("predicted_rpc")
+    for i, v in hard.items():
+        rpc = F.when(k == i, F.lit(v)).otherwise(rpc)
+    return sc.audit_events(scored(spark, sf).withColumn("predicted_rpc", rpc))
 
 
 @register("P3_training_window")
@@ -492,20 +511,38 @@ def _s5(spark, sf):
 
 @register("T1_clicks_stream")
 def _t1(spark, sf):
+    """Re-emits, corrected ones among them, in other files than the first emits; last write wins."""
     src = sj.stage(fx.landing_clicks(spark, sf), "landing", files=4)
     out, dead = sj.scratch(spark, "clicks"), sj.scratch(spark, "clicks-dead")
-    sj.run(sj.clicks_stream(spark, src, out, dead, sj.scratch(spark, "ckpt")))
-    return spark.read.parquet(out).select("click_id", "click_ts", "device", "geo", "hour_of_day",
-                                          "cerberus_score", "rpc_7d")
+    sj.run(sj.clicks_stream(spark, src, out, dead, sj.scratch(spark, "ckpt"), keep="last", max_files=1))
+    return sj.latest_clicks(spark, out).select("click_id", "message_id", "click_ts", "device", "geo", "hour_of_day",
+                                               "cerberus_score", "rpc_7d", "visits_prev_30d")
+
+
+FEED_LATENESS_DAYS = 14
+
+
+def event_files(spark, sf, days: int = 6):
+    """Events as files of ``days`` days, written one after the other; every tenth event
+    comes a file late (at most 2 * days out of order)."""
+    ev = read_table(spark, sf, "events", ["event_id", "ts"])
+    slot = (F.floor(F.unix_seconds("ts") / (days * 86_400)) + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)).cast("long")
+    path = sj.scratch(spark, "stage-events")
+    staged = sj.stage(ev.withColumn("slot", slot), "events", files=1)
+    lo, hi = spark.read.parquet(staged).agg(F.min("slot"), F.max("slot")).first()
+    for i in range(lo, hi + 1):
+        spark.read.parquet(staged).where(F.col("slot") == i).drop("slot").coalesce(1).write.mode("append").parquet(path)
+    return path, ev.schema
 
 
 @register("T2_freshness_stream")
 def _t2(spark, sf):
-    ev = read_table(spark, sf, "events", ["event_id", "ts"])
-    src = sj.stage(ev, "events", files=4)
+    """Six files in time order, but every tenth event one file late; one file per micro-batch."""
+    src, schema = event_files(spark, sf)
     out = sj.scratch(spark, "gaps")
-    sj.run(sj.freshness_stream(spark, src, ev.schema, "ts", out, sj.scratch(spark, "ckpt")))
-    return spark.read.parquet(out)
+    sj.run(sj.freshness_stream(spark, src, schema, "ts", out, sj.scratch(spark, "ckpt"),
+                               lateness=f"{FEED_LATENESS_DAYS} days", max_files=1))
+    return spark.read.parquet(out).drop("batch")
 
 
 @register("T3_breaker_stream")
@@ -524,18 +561,21 @@ def _t4s(spark, sf):
     config = sj.stage(fx.config_versions(spark, sf), "config", files=1)
     out = sj.scratch(spark, "decisions")
     sj.run(sj.breaker_events_stream(spark, src, m.schema, out, config, sj.scratch(spark, "ckpt")))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")
 
 
 @register("T5_score_stream")
 def _t5(spark, sf):
-    src = sj.stage(valid_clicks(spark, sf), "valid-clicks", files=4)
+    """Every hundredth click is emitted twice: each emit is scored and logged once."""
+    clicks = scoring_clicks(spark, sf)
+    again = clicks.where(F.regexp_extract("click_id", r"(\d+)$", 1).cast("long") % 100 == 0)
+    src = sj.stage(clicks.unionByName(again), "valid-clicks", files=4)
     config = sj.stage(fx.config_versions(spark, sf), "config", files=1)
     log, audit = sj.scratch(spark, "pred-log"), sj.scratch(spark, "audit")
     sj.run(sj.score_stream(spark, src, log, audit, sj.scratch(spark, "ckpt"), config, fx.ledger(spark, sf),
                            ml.STAND_IN, "v1", clv=fx.clv(spark, sf), premium=CLV_POLICY,
-                           store=fx.feature_store(spark, sf)))
-    return spark.read.parquet(log)
+                           store=fx.feature_store(spark, sf), max_files=1))
+    return spark.read.parquet(log).drop("batch")
 
 
 @register("T6_activation_stream")

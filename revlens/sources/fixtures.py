@@ -17,7 +17,8 @@ Rules (all keyed on the order key k = o_orderkey):
   overrides    orders of priority 1-URGENT / 2-HIGH, some negative / NaN / NULL values
   clv          customer account balance per click (negative balances are invalid CLV)
   landing      JSON message per click, publish 60 s after the click, k mod 211 = 0 malformed;
-               priority 1-URGENT in status 'P' re-emitted one hour later with other visits
+               those, k mod 997 = 0 and priority 1-URGENT in status 'P' re-emitted one hour
+               later, well-formed, with a valid cerberus score and other visits
   samples      events -> anomaly samples (value < 1 -> rpc 0), key user_id mod 4
   requests     events -> request log (error -> 500)
 """
@@ -169,21 +170,23 @@ def landing_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "query_intent", "ad_creative_id", "cerberus_score", "rpc_7d", "rpc_14d",
                      "rpc_30d", "is_payday_week", "auction_pressure", "landing_path")]
 
-    def msg(visits: Column, delay_s: int, suffix: str) -> DataFrame:
+    def msg(base: DataFrame, visits: Column, delay_s: int, suffix: str, corrected: bool) -> DataFrame:
         js = _click_json([F.date_format("click_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("click_ts"),
                           *payload_cols, visits.alias("visits_prev_30d")])
         return base.select(
             F.lit("clicks-landing").alias("subscription_name"),
             F.concat(F.lit("m-"), _k().cast("string"), F.lit(suffix)).alias("message_id"),
             (F.col("click_ts") + F.make_interval(secs=F.lit(delay_s))).alias("publish_time"),
-            F.when(_k() % 211 == 0, F.substring(js, 2, 1 << 20)).otherwise(js).alias("data"),
+            (F.when(_k() % 211 == 0, F.substr(js, F.lit(2))).otherwise(js) if not corrected else js).alias("data"),
             F.lit(None).cast("string").alias("attributes"),
-            F.col("o_orderstatus"), F.col("o_orderpriority"))
+            _k(), F.col("o_orderstatus"), F.col("o_orderpriority"))
 
-    first = msg(F.col("visits_prev_30d"), 60, "")
-    again = (msg(F.col("visits_prev_30d") + 1, 3660, "-r")
-             .where((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")))
-    return first.unionByName(again).drop("o_orderstatus", "o_orderpriority")
+    first = msg(base, F.col("visits_prev_30d"), 60, "", False)
+    fixed = base.withColumn("cerberus_score", F.when(_k() % 997 == 0, F.lit(0.5)).otherwise(F.col("cerberus_score")))
+    again = (msg(fixed, F.col("visits_prev_30d") + 1, 3660, "-r", True)
+             .where(((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"))
+                    | (_k() % 211 == 0) | (_k() % 997 == 0)))
+    return first.unionByName(again).drop("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
 def landing_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +198,7 @@ def landing_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("predictions-landing").alias("subscription_name"),
         F.concat(F.lit("p-"), F.col("click_id")).alias("message_id"),
         F.col("predicted_at").alias("publish_time"),
-        F.when(key % 211 == 0, F.substring(js, 2, 1 << 20)).otherwise(js).alias("data"),
+        F.when(key % 211 == 0, F.substr(js, F.lit(2))).otherwise(js).alias("data"),
         F.lit(None).cast("string").alias("attributes"))
 
 

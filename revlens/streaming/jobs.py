@@ -6,6 +6,10 @@ Each job takes a file source directory (the landing zone) and output / checkpoin
 directories in shared storage, and returns the started ``StreamingQuery``. The
 bodies are the batch operators; ``trigger`` defaults to ``availableNow`` (process
 what is there, then stop) and can be a processing-time trigger in production.
+
+``foreachBatch`` sinks write each micro-batch into its own folder (``batch=<id>``)
+with overwrite, so a batch that is run again replaces its rows; readers see the id
+as the column ``batch``. A batch with two sinks is persisted for them.
 """
 
 from __future__ import annotations
@@ -13,9 +17,10 @@ from __future__ import annotations
 import uuid
 from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -45,6 +50,25 @@ def stage(df: DataFrame, name: str, files: int | None = None) -> str:
     return path
 
 
+def _write(df: DataFrame, out: str, batch_id: int, *partition: str) -> None:
+    df.write.mode("overwrite").partitionBy(*partition).parquet(f"{out.rstrip('/')}/batch={batch_id}")
+
+
+@contextmanager
+def _persisted(df: DataFrame) -> Iterator[DataFrame]:
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def _existing(spark: SparkSession, path: str) -> str | None:
+    """path if it exists in its (Hadoop) file system, else None."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+
+
 def _trigger(w, available_now: bool, interval: str):
     return w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
 
@@ -87,14 +111,17 @@ def clicks_stream(spark: SparkSession, src: str, out: str, dead: str, checkpoint
     tagged = typed.withColumn(
         "reason", F.when(F.col("corrupt"), F.lit("corrupt_payload")).otherwise(ing.rejection_reason()))
     if keep == "first":
-        keyed = tagged.withColumn("_k", F.coalesce(F.col("click_id"),
-                                                   F.concat(F.lit("msg:"), F.col("message_id"))))
+        # valid clicks by click_id, rejected ones by message_id: an invalid emit never
+        # stands in for the corrected one that follows
+        keyed = tagged.withColumn("_k", F.when(F.col("reason").isNull(), F.concat(F.lit("click:"), F.col("click_id")))
+                                  .otherwise(F.concat(F.lit("msg:"), F.col("message_id"))))
         tagged = (keyed.withWatermark("ingested_at", watermark)
                        .dropDuplicatesWithinWatermark(["_k"]).drop("_k"))
 
-    def sink(batch: DataFrame, _id: int) -> None:
-        batch.where(F.col("reason").isNull()).drop("reason", "corrupt").write.mode("append").parquet(out)
-        batch.where(F.col("reason").isNotNull()).write.mode("append").parquet(dead)
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        with _persisted(batch) as rows:
+            _write(rows.where(F.col("reason").isNull()).drop("reason", "corrupt"), out, batch_id)
+            _write(rows.where(F.col("reason").isNotNull()), dead, batch_id)
 
     w = tagged.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
     return _trigger(w, available_now, interval).start()
@@ -102,42 +129,45 @@ def clicks_stream(spark: SparkSession, src: str, out: str, dead: str, checkpoint
 
 def latest_clicks(spark: SparkSession, out: str, hours: int = 24) -> DataFrame:
     """Last-write-wins view over the versions written by ``clicks_stream(keep="last")``."""
-    return ing.dedup_clicks(spark.read.parquet(out), hours=hours)
+    return ing.dedup_clicks(spark.read.parquet(out).drop("batch"), hours=hours)
 
 
 # ----------------------------------------------------------------- T2
 def freshness_stream(spark: SparkSession, src: str, schema: T.StructType, ts: str, out: str,
                      checkpoint: str, minutes: int = 15, from_hour: int = 6, to_hour: int = 22,
-                     available_now: bool = True, interval: str = "5 minutes",
+                     lateness: str = "30 minutes", available_now: bool = True, interval: str = "5 minutes",
                      max_files: int | None = None) -> StreamingQuery:
-    """Empty windows as the feed advances. Each micro-batch fills the calendar
-    from the last window seen so far (a one-row marker per batch kept next to the
-    checkpoint) up to the batch's newest window and reports the empty ones; the
-    silence after the newest event is reported once data arrives again."""
+    """Empty windows of a feed whose events may come ``lateness`` out of order.
+
+    Windows with events are aggregated under a watermark and leave the state only
+    once it has passed them, in time order, whatever files their events came in. A
+    micro-batch reports the gaps between the windows it closes, and from the last
+    one closed before (kept as one row per batch next to the checkpoint). A silence
+    is reported once the watermark passes the window that ends it."""
     step_ms = minutes * 60_000
     marker_dir = f"{checkpoint.rstrip('/')}/_freshness_marker"
+    marker_schema = T.StructType([T.StructField("w", T.LongType()), T.StructField("batch", T.LongType())])
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        w = batch.select(F.floor(F.unix_millis(ts) / step_ms).cast("long").alias("w")).distinct()
-        try:
-            prev = spark.read.parquet(marker_dir).agg(F.max("w").alias("prev"))
-        except Exception:  # noqa: BLE001 - first batch: no marker yet
-            prev = w.agg(F.min("w").alias("prev")).select((F.col("prev") - 1).alias("prev"))
-        bounds = (w.agg(F.max("w").alias("hi"), F.min("w").alias("lo"))
-                   .unionByName(prev.select(F.lit(None).cast("long").alias("hi"),
-                                            F.col("prev").alias("lo")))
-                   .agg(F.max("hi").alias("hi"), F.max("lo").alias("prev")))
-        cal = (bounds.where(F.col("hi") > F.col("prev"))
-                     .select(F.explode(F.sequence(F.col("prev") + 1, F.col("hi"))).alias("w")))
-        hour = F.hour(F.timestamp_millis(F.col("w") * step_ms))
-        gaps = (cal.where((hour >= from_hour) & (hour < to_hour)).join(w, "w", "left_anti")
-                   .select((F.col("w") * step_ms).alias("window_start_ms"),
-                           ((F.col("w") + 1) * step_ms).alias("window_end_ms")))
-        gaps.write.mode("append").parquet(out)
-        bounds.select(F.greatest("hi", "prev").alias("w")).write.mode("append").parquet(
-            f"{marker_dir}/batch={batch_id}")
-
-    w = _source(spark, src, schema, max_files).writeStream.option("checkpointLocation", checkpoint)
+        seen = spark.read.schema(marker_schema).parquet(_existing(spark, marker_dir)) if _existing(spark, marker_dir) else None
+        closed = batch.select(F.floor(F.unix_millis("window.start") / step_ms).cast("long").alias("w"))
+        if seen is not None:
+            # the newest marker of earlier batches (a batch that is run again ignores its own)
+            closed = closed.unionByName(seen.where(F.col("batch") < batch_id).agg(F.max("w").alias("w")).where("w IS NOT NULL"))
+        with _persisted(closed) as rows:
+            # at most one row per window of the closed span
+            pairs = rows.select("w", F.lead("w").over(Window.orderBy("w")).alias("next"))
+            gaps = (pairs.where(F.col("next") > F.col("w") + 1)
+                         .select(F.explode(F.sequence(F.col("w") + 1, F.col("next") - 1)).alias("w")))
+            hour = F.hour(F.timestamp_millis(F.col("w") * step_ms))
+            _write(gaps.where((hour >= from_hour) & (hour < to_hour))
+                       .select((F.col("w") * step_ms).alias("window_start_ms"),
+                               ((F.col("w") + 1) * step_ms).alias("window_end_ms")), out, batch_id)
+            _write(rows.agg(F.max("w").alias("w")), marker_dir, batch_id)
+
+    windows = (_source(spark, src, schema, max_files).select(ts).withWatermark(ts, lateness)
+               .groupBy(F.window(ts, f"{minutes} minutes")).count())
+    w = windows.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     return _trigger(w.foreachBatch(sink), available_now, interval).start()
 
 
@@ -235,10 +265,11 @@ def breaker_events_stream(spark: SparkSession, src: str, schema: T.StructType, o
                           interval: str = "10 seconds") -> StreamingQuery:
     """T4: anomaly events -> decisions (appended to ``out``); a trip appends one
     kill-switch config version to ``config`` unless the newest one is killed."""
-    def sink(batch: DataFrame, _id: int) -> None:
-        decisions = act.breaker_events(batch)
-        decisions.write.mode("append").parquet(out)
-        engage = act.engage_kill_switch(decisions, spark.read.parquet(config)).collect()  # <= 1 row
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        with _persisted(act.breaker_events(batch)) as decisions:
+            _write(decisions, out, batch_id)
+            # a batch that is run again finds the newest version killed: no second row
+            engage = act.engage_kill_switch(decisions, spark.read.parquet(config)).collect()  # <= 1 row
         if engage:
             (spark.createDataFrame(engage).select("version", "kill", "bounds_min", "bounds_max", "canary_bp")
                   .write.mode("append").parquet(config))
@@ -258,12 +289,12 @@ def score_stream(spark: SparkSession, src: str, log_out: str, audit_out: str, ch
     prediction log and the audit trail are the two sinks."""
     clicks_schema = spark.read.parquet(src).schema
 
-    def sink(batch: DataFrame, _id: int) -> None:
+    def sink(batch: DataFrame, batch_id: int) -> None:
         scored = sc.score_clicks(batch, spark.read.parquet(config), ledger, model, model_version,
-                                 clv=clv, premium=premium, store=store)
-        scored = scored.join(batch.select("click_id", F.unix_millis("click_ts").alias("_ts")), "click_id")
-        sc.log_predictions(scored, F.col("_ts") + 50).write.mode("append").parquet(log_out)
-        sc.audit_events(scored).write.mode("append").parquet(audit_out)
+                                 clv=clv, premium=premium, store=store, keep=("click_ts",))
+        with _persisted(scored) as rows:
+            _write(sc.log_predictions(rows, F.unix_millis("click_ts") + 50), log_out, batch_id)
+            _write(sc.audit_events(rows), audit_out, batch_id)
 
     w = _source(spark, src, clicks_schema, max_files).writeStream.option("checkpointLocation", checkpoint)
     return _trigger(w.foreachBatch(sink), available_now, interval).start()
@@ -277,10 +308,10 @@ def activation_stream(spark: SparkSession, src: str, out: str, dead: str, checkp
     invalid envelopes to the dead letter."""
     body_schema = spark.read.parquet(src).schema
 
-    def sink(batch: DataFrame, _id: int) -> None:
-        ok, bad = act.activation_envelopes(ing.decode_push_envelope(batch), keep=("message_id",))
-        act.activation_route(ok, mode).write.mode("append").partitionBy("channel").parquet(out)
-        bad.write.mode("append").parquet(dead)
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        with _persisted(act.tagged_envelopes(ing.decode_push_envelope(batch))) as rows:
+            _write(act.activation_route(rows.where(F.col("reason").isNull()), mode), out, batch_id, "channel")
+            _write(rows.where(F.col("reason").isNotNull()).select(*batch.columns, "data", "reason"), dead, batch_id)
 
     w = _source(spark, src, body_schema, None).writeStream.option("checkpointLocation", checkpoint)
     return _trigger(w.foreachBatch(sink), available_now, interval).start()
