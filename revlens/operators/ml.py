@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from revlens.functions.columns import is_finite
 from revlens.schemas import FEATURE_ORDER
+from revlens.session import checkpoint_dir
 
 # Boosted-tree hyper-parameters of the production model: fixed values.
 GBT_DEPTH = 6
 GBT_ROUNDS = 400
 GBT_LEARNING_RATE = 0.05
 GBT_BINS = 256
+CHECKPOINT_ROUNDS = 20
 
 
 def training_window(frame: DataFrame, start_ms: int, end_ms: int, check_empty: bool = True) -> DataFrame:
@@ -84,15 +86,20 @@ def train_rpc(frame: DataFrame, start_ms: int | None = None, end_ms: int | None
               rounds: int = GBT_ROUNDS, learning_rate: float = GBT_LEARNING_RATE,
               max_bins: int = GBT_BINS, seed: int = 42) -> PipelineModel:
     """M1: boosted regression trees on the training window (squared error,
-    histogram splits with ``max_bins`` bins)."""
+    histogram splits with ``max_bins`` bins). ``frame`` should be a stored table: it is
+    read for the bin edges, then kept as vectors for all rounds."""
     if start_ms is not None and end_ms is not None:
         frame = training_window(frame, start_ms, end_ms)
+    # a checkpoint folder must be set, or the periodic checkpoint that cuts the trees'
+    # lineage every CHECKPOINT_ROUNDS rounds is silently off
+    checkpoint_dir(frame.sparkSession)
     data = frame.select(*feature_columns(frame), F.col(label).cast("double").alias("label"))
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=FEATURE_ORDER, outputCol="features", handleInvalid="keep"),
         GBTRegressor(featuresCol="features", labelCol="label", maxDepth=max_depth, maxIter=rounds,
                      stepSize=learning_rate, maxBins=max_bins, lossType="squared", seed=seed,
-                     subsamplingRate=1.0),
+                     subsamplingRate=1.0, cacheNodeIds=True, checkpointInterval=CHECKPOINT_ROUNDS,
+                     maxMemoryInMB=1024),
     ])
     return pipe.fit(data)
 
@@ -209,8 +216,7 @@ def explain_clicks(df: DataFrame, model, paths: int = 10, seed: int = 42,
 
 
 # Attribution array order of the explanation service (index -> name): fixed values.
-EXPLANATION_ORDER = ["hour_of_day", "cerberus_score", "rpc_7d", "rpc_14d", "rpc_30d",
-                     "is_payday_week", "auction_pressure", "visits_prev_30d"]
+EXPLANATION_ORDER = FEATURE_ORDER
 _NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?$"
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from revlens.operators import attribution as att
 from revlens.operators import rolling as rol
 from revlens.plans.output import finalize
+from revlens.sources.staged import staged
 from revlens.sources import fixtures as fx
 from revlens.sources.tables import read_table
 
@@ -32,15 +33,23 @@ def click_revenue(spark, sf):
     return att.click_revenue(fx.clicks(spark, sf), fx.ledger(spark, sf))
 
 
+def stored_click_revenue(spark, sf):
+    return staged(spark, sf, "click_revenue", lambda: click_revenue(spark, sf))
+
+
 def rolling(spark, sf):
-    return rol.rolling_rpc(click_revenue(spark, sf))
+    return rol.rolling_rpc(stored_click_revenue(spark, sf))
 
 
 def training_rows(spark, sf):
-    cr = click_revenue(spark, sf)
+    cr = stored_click_revenue(spark, sf)
     return att.training_rows(cr, rol.rolling_rpc(cr), fx.auctions(spark, sf))
 
 
+def stored_training_rows(spark, sf):
+    return staged(spark, sf, "training_rows", lambda: training_rows(spark, sf))
+
+
 # -------------------------------------------------------------- sources
 @register("S1_read_table")
 def _s1(spark, sf):
@@ -86,7 +95,11 @@ BASELINE_VERSION = "v1"
 
 
 def baseline(spark, sf):
-    return mon.feature_baseline(training_rows(spark, sf), BASELINE_VERSION)
+    return mon.feature_baseline(stored_training_rows(spark, sf), BASELINE_VERSION)
+
+
+def stored_baseline(spark, sf):
+    return staged(spark, sf, "feature_baseline", lambda: baseline(spark, sf))
 
 
 @register("P4_unpivot_features")
@@ -96,7 +109,7 @@ def _p4(spark, sf):
 
 @register("W2_feature_deciles")
 def _w2(spark, sf):
-    long_df = mon.unpivot_features(training_rows(spark, sf), ids=())
+    long_df = mon.unpivot_features(stored_training_rows(spark, sf), ids=())
     return (mon.decile_counts(long_df).groupBy("feature", "value", "decile")
             .agg(F.sum("n").alias("n")))
 
@@ -108,22 +121,22 @@ def _a1(spark, sf):
 
 @register("J6_psi_bin_join")
 def _j6(spark, sf):
-    return mon.psi_bin_join(mon.live_feature_counts(fx.clicks(spark, sf)), baseline(spark, sf))
+    return mon.psi_bin_join(mon.live_feature_counts(fx.clicks(spark, sf)), stored_baseline(spark, sf))
 
 
 @register("A2_psi_daily")
 def _a2(spark, sf):
-    return mon.psi_daily(fx.clicks(spark, sf), baseline(spark, sf))
+    return mon.psi_daily(fx.clicks(spark, sf), stored_baseline(spark, sf))
 
 
 @register("A2_psi_daily_binned")
 def _a2b(spark, sf):
-    return mon.psi_daily_binned(fx.clicks(spark, sf), baseline(spark, sf))
+    return mon.psi_daily_binned(fx.clicks(spark, sf), stored_baseline(spark, sf))
 
 
 @register("A3_drift_verdict")
 def _a3(spark, sf):
-    return mon.drift_verdict(mon.psi_daily(fx.clicks(spark, sf), baseline(spark, sf)))
+    return mon.drift_verdict(mon.psi_daily(fx.clicks(spark, sf), stored_baseline(spark, sf)))
 
 
 @register("A4_residuals_daily")
@@ -140,6 +153,7 @@ CANARY_BP = 1000
 CLV_POLICY = dict(alpha=0.5, reference=100.0, cap=3.0)
 BOUNDS = (0.5, 400.0)
 CURRENT_BOUNDS = (0.5, 500.0)
+RECON_FROM_MS, RECON_TO_MS = 852_076_800_000, 996_624_000_000   # 1997-01-01 .. 2001-08-01 UTC
 NOW_MS = 959_817_600_000          # 2000-06-01T00:00:00Z
 REPORT_NOW_MS = 996_624_000_000   # 2001-08-01T00:00:00Z
 
@@ -187,7 +201,7 @@ def pvr(spark, sf):
 
 @register("P9_reconciliation_window")
 def _p9(spark, sf):
-    return rec.reconciliation_window(pvr(spark, sf), 0, 1 << 62, NOW_MS, include_pending=True)
+    return rec.reconciliation_window(pvr(spark, sf), RECON_FROM_MS, RECON_TO_MS, NOW_MS, include_pending=True)
 
 
 @register("P10_reconciliation_report")
@@ -215,6 +229,10 @@ def typed_landing(spark, sf):
     return ing.typed_clicks(fx.landing_clicks(spark, sf))
 
 
+def stored_typed_landing(spark, sf):
+    return staged(spark, sf, "typed_clicks", lambda: typed_landing(spark, sf))
+
+
 @register("S2_decode_push_envelope")
 def _s2(spark, sf):
     d = ing.decode_push_envelope(fx.push_bodies(spark, sf))
@@ -252,7 +270,7 @@ def _p2(spark, sf):
 
 @register("W5_dedup_clicks")
 def _w5(spark, sf):
-    landed = typed_landing(spark, sf).where(~F.col("corrupt"))
+    landed = stored_typed_landing(spark, sf).where(~F.col("corrupt"))
     return ing.dedup_clicks(landed).select("click_id", "message_id", "visits_prev_30d", "ingested_at")
 
 
@@ -264,7 +282,7 @@ def _j9(spark, sf):
 
 @register("C1_assertions")
 def _c1(spark, sf):
-    cr = click_revenue(spark, sf)
+    cr = stored_click_revenue(spark, sf)
     parts = [qual.assert_unique(cr, ["click_id"], "click_revenue.unique_click_id").select("assertion", "click_id"),
              qual.assert_non_null(cr, ["click_id", "click_ts"], "click_revenue.non_null").select("assertion", "click_id"),
              qual.assert_rows(fx.clicks(spark, sf), "cerberus_score BETWEEN 0 AND 1",
@@ -392,24 +410,33 @@ def _s9(spark, sf):
     return sc.audit_events(scored(spark, sf).withColumn("predicted_rpc", rpc))
 
 
+TRAIN_FROM_MS, TRAIN_TO_MS = 820_454_400_000, 915_148_800_000   # 1996-01-01 .. 1999-01-01 UTC
+
+
 @register("P3_training_window")
 def _p3(spark, sf):
-    return ml.training_window(training_rows(spark, sf), 0, 1 << 62, check_empty=False).select(
+    return ml.training_window(stored_training_rows(spark, sf), TRAIN_FROM_MS, TRAIN_TO_MS).select(
         "click_id", "click_ts_ms", "target_revenue")
 
 
 @register("P5_assemble_features")
 def _p5(spark, sf):
-    a = ml.assemble_features(training_rows(spark, sf))
+    a = ml.assemble_features(stored_training_rows(spark, sf))
     arr = vector_to_array("features")
     return a.select("click_id", *[arr[i].alias(f) for i, f in enumerate(FEATURE_ORDER)])
 
 
 @register("M1_train_rpc")
 def _m1(spark, sf):
-    frame = training_rows(spark, sf)
+    """Facts that hold for any correct run: rows scored, trees, errors, and that the
+    model's mean squared error is below that of the mean."""
+    frame = stored_training_rows(spark, sf)
     model = ml.train_rpc(frame)
-    return ml.predict(frame, model).select("click_id", "rpc_raw", "model_error")
+    y, raw = F.col("target_revenue"), F.col("rpc_raw")
+    p = ml.predict(frame.select("click_id", "target_revenue", *FEATURE_ORDER), model)
+    return p.agg(F.count(F.lit(1)).alias("scored"), F.lit(model.stages[-1].getNumTrees).alias("trees"),
+                 F.count_if("model_error").alias("errors"),
+                 (F.avg((y - raw) * (y - raw)) < F.var_pop(y)).alias("beats_mean"))
 
 
 def _long_attr(df, col):
@@ -486,13 +513,13 @@ def _a14(spark, sf):
 @register("A15_backlog_alert")
 def _a15(spark, sf):
     landed = fx.landing_clicks(spark, sf)
-    delivered = ing.typed_clicks(landed).where(~F.col("corrupt"))
+    delivered = stored_typed_landing(spark, sf).where(~F.col("corrupt"))
     return om.backlog_alert(landed, delivered)
 
 
 @register("A16_model_health")
 def _a16(spark, sf):
-    psi = mon.psi_daily(fx.clicks(spark, sf), baseline(spark, sf))
+    psi = mon.psi_daily(fx.clicks(spark, sf), stored_baseline(spark, sf))
     res = mon.residuals_daily(att.prediction_realized(fx.predictions(spark, sf), fx.ledger(spark, sf)))
     return om.model_health(psi, res)
 
@@ -602,4 +629,4 @@ def _p6(spark, sf):
 
 @register("W1_rolling_rpc_point_in_time")
 def _w1p(spark, sf):
-    return rol.rolling_rpc(click_revenue(spark, sf), point_in_time=True, ledger=fx.ledger(spark, sf))
+    return rol.rolling_rpc(stored_click_revenue(spark, sf), point_in_time=True, ledger=fx.ledger(spark, sf))

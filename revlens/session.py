@@ -14,9 +14,6 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # The typed JSON views alias ~20 cast expressions; inferring constraints over
-    # them on both sides of a self-join grows combinatorially at planning time.
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -27,7 +24,6 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", "16g")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in {**REQUIRED_CONF, **(extra or {})}.items():
         b = b.config(k, v)
