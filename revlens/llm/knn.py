@@ -118,7 +118,8 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: int = SCALE, n_pivots: in
     its own vec_id; ties go to the smaller vec_id (rows that repeat a vec_id are
     candidates each). Vectors that are null or hold null or non-finite components, and
     rows with a null vec_id, take no part. Vectors of different lengths: the shorter is
-    filled with zeros. The driver holds ``n_pivots`` pivots and their summaries.
+    filled with zeros. Scores beyond a long are given as its end; which of such candidates
+    come first is not defined. The driver holds ``n_pivots`` pivots and their summaries.
     """
     data = stage(_clean(vectors, scale), "vectors")
     sample = [r.q for r in data.select("q", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(n_pivots).collect()]
