@@ -20,7 +20,8 @@ def _window_sum(keys: DataFrame, ledger: DataFrame, ts_col: str, window_days: in
     """Sum of ledger revenue per (click_id, ts_col) with
     ts_col <= revenue_ts <= ts_col + window_days, optionally capped at ``until``."""
     k = keys.select("click_id", ts_col).alias("k")
-    r = ledger.select("click_id", "revenue", "revenue_ts")
+    # rows of one instant are one term: a click with many ledger rows collapses map-side
+    r = ledger.groupBy("click_id", "revenue_ts").agg(F.sum("revenue").alias("revenue"))
     if until is not None:
         r = r.where(F.col("revenue_ts") <= F.lit(until).cast("timestamp"))
     r = r.alias("r")
@@ -40,7 +41,9 @@ def click_revenue(clicks: DataFrame, ledger: DataFrame, window_days: int = 30,
     rev = _window_sum(clicks, ledger, "click_ts", window_days, until)
     c = clicks.select("click_id", "click_ts", "device", "geo", "hour_of_day", "query_intent",
                       "ad_creative_id", "cerberus_score", "landing_path", "visits_prev_30d")
-    return (c.join(rev, ["click_id", "click_ts"], "left")
+    # joined on click_id alone, by which the sums are partitioned; equal times as a filter
+    same = (c.click_id == F.col("_id")) & (F.unix_micros("click_ts") - F.unix_micros("_ts") == 0)
+    return (c.join(rev.withColumnsRenamed({"click_id": "_id", "click_ts": "_ts"}), same, "left")
              .select("click_id", "click_ts",
                      F.unix_millis("click_ts").alias("click_ts_ms"),
                      "device", "geo",
@@ -117,7 +120,7 @@ def prediction_realized(pred: DataFrame, ledger: DataFrame, as_of=None, window_d
     if strict:
         p = p.dropDuplicates()
     p = p.alias("p")
-    r = ledger.select("click_id", "revenue", "revenue_ts").alias("r")
+    r = ledger.groupBy("click_id", "revenue_ts").agg(F.sum("revenue").alias("revenue")).alias("r")
     cond = ((F.col("p.click_id") == F.col("r.click_id"))
             & (F.col("r.revenue_ts") >= F.col("p.predicted_at"))
             & (F.col("r.revenue_ts") <= F.col("p.predicted_at")

@@ -122,13 +122,27 @@ def psi_bin_join(live_counts: DataFrame, baseline: DataFrame) -> DataFrame:
     """Live value -> baseline decile with lower <= value <= upper (both closed,
     as the daily table does: a value on a shared edge counts in every matching
     decile; values in gaps or outside the range match nothing). The baseline has
-    features x bins rows per model version, so it is broadcast."""
+    features x bins rows per model version; see :func:`_band_join`."""
     b = baseline.select("model_version", "feature", "decile", "lower", "upper", "training_count")
-    cond = ((live_counts.feature == b.feature) & (live_counts.value >= b.lower)
-            & (live_counts.value <= b.upper))
-    return (live_counts.join(F.broadcast(b), cond)
-            .select("as_of_date", "model_version", live_counts.feature, "decile", "n",
-                    "training_count"))
+    return (_band_join(live_counts, b, (F.col("value") >= F.col("lower")) & (F.col("value") <= F.col("upper")))
+            .select("as_of_date", "model_version", "feature", "decile", "n", "training_count"))
+
+
+# Bands are broadcast up to this many rows; more are joined on (feature, salt).
+BROADCAST_BANDS = 100_000
+BAND_SALTS = 64
+
+
+def _band_join(live: DataFrame, bands: DataFrame, within: Column) -> DataFrame:
+    """live(feature, value, ...) with the bands of the same feature that hold the value.
+    The size of the bands (features x bins x model versions) is checked: few are
+    broadcast; more are repeated per salt, so that a feature's live values spread over
+    BAND_SALTS tasks instead of one."""
+    if bands.limit(BROADCAST_BANDS + 1).count() <= BROADCAST_BANDS:
+        return live.join(F.broadcast(bands), "feature").where(within)
+    salted = bands.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(BAND_SALTS - 1))))
+    spread = live.withColumn("_salt", F.pmod(F.xxhash64("as_of_date", "value"), F.lit(BAND_SALTS)).cast("int"))
+    return spread.join(salted, ["feature", "_salt"]).where(within).drop("_salt")
 
 
 def _psi_terms(live_count: Column, live_total: Column, train_count: Column, train_total: Column,
@@ -173,15 +187,15 @@ def psi_daily_binned(clicks: DataFrame, baseline: DataFrame, as_of=None, bins: i
               .withColumn("hi", F.coalesce(F.lead("lower").over(w), F.lit(float("inf"))))
               .withColumn("hi", F.when(F.col("decile") == bins, F.lit(float("inf"))).otherwise(F.col("hi"))))
     live = live_feature_counts(clicks, as_of)
-    cond = ((live.feature == edges.feature) & (live.value >= edges.lo) & (live.value < edges.hi))
     decs = list(range(1, bins + 1))
-    live_piv = (live.join(F.broadcast(edges.select("model_version", "feature", "decile", "lo", "hi")), cond)
-                    .groupBy("as_of_date", "model_version", live.feature)
+    live_piv = (_band_join(live, edges.select("model_version", "feature", "decile", "lo", "hi"),
+                           (F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi")))
+                    .groupBy("as_of_date", "model_version", "feature")
                     .pivot("decile", decs).agg(F.sum("n")))
     base_piv = (b.groupBy("model_version", "feature").pivot("decile", decs)
                  .agg(F.first("training_count")))
     base_piv = base_piv.select("model_version", "feature", *[F.col(str(d)).alias(f"t{d}") for d in decs])
-    j = live_piv.join(F.broadcast(base_piv), ["model_version", "feature"])
+    j = live_piv.join(base_piv, ["model_version", "feature"])
     lc = [F.coalesce(F.col(str(d)), F.lit(0)) for d in decs]
     tc = [F.coalesce(F.col(f"t{d}"), F.lit(0)) for d in decs]
     lt, tt = sum(lc[1:], lc[0]), sum(tc[1:], tc[0])

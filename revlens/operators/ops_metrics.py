@@ -89,38 +89,58 @@ def breaker_trips(audit: DataFrame, ts_ms: str = "ts_ms", reason: str = "source"
 
 def backlog_alert(landed: DataFrame, delivered: DataFrame, limit: int = 10_000, minutes: int = 10,
                   landed_ts: str = "publish_time", delivered_ts: str = "ingested_at") -> DataFrame:
-    """Undelivered backlog = messages landed - messages delivered so far (running
-    sums over minutes); alert when it stays above ``limit`` for ``minutes`` minutes."""
-    ins = landed.groupBy(_minute(landed_ts).alias("minute")).agg(F.count(F.lit(1)).alias("landed"))
-    outs = delivered.groupBy(_minute(delivered_ts).alias("minute")).agg(F.count(F.lit(1)).alias("delivered"))
-    m = ins.join(outs, "minute", "full").na.fill(0, ["landed", "delivered"])
-    run = Window.orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
-    b = m.select("minute", (F.sum("landed").over(run) - F.sum("delivered").over(run)).alias("backlog"))
-    w = Window.orderBy("minute").rangeBetween(-(minutes - 1), 0)
-    return (b.withColumn("_min", F.min("backlog").over(w)).withColumn("_n", F.count(F.lit(1)).over(w))
-             .select((F.col("minute") * MINUTE_MS).alias("minute_ms"), "backlog",
-                     ((F.col("_n") == minutes) & (F.col("_min") > limit)).alias("alert")))
-
-
-def model_health(psi: DataFrame, residuals: DataFrame, latency: DataFrame | None = None,
+    """Undelivered backlog = messages landed - messages delivered so far; alert when
+    it has been above ``limit`` for ``minutes`` minutes. Between minutes with traffic
+    the backlog stays as it is.
+
+    Running values are taken within a day and start from the day's carry-in, which
+    comes from one row per day."""
+    def per(df: DataFrame, ts: str, sign: int) -> DataFrame:
+        return df.select(_minute(ts).alias("minute"), F.lit(sign).alias("net"))
+    m = (per(landed, landed_ts, 1).unionByName(per(delivered, delivered_ts, -1))
+         .groupBy("minute").agg(F.sum("net").alias("net"))
+         .withColumn("day", F.floor(F.col("minute") * MINUTE_MS / DAY_MS).cast("long")))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
+    carry = m.groupBy("day").agg(F.sum("net").alias("n")).select("day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carry"))
+    b = m.join(carry, "day").withColumn("backlog", F.col("carry") + F.sum("net").over(so_far))
+    above = F.col("backlog") > limit
+    # where a spell above the limit begins
+    b = b.withColumn("begin", F.when(above & (F.col("backlog") - F.col("net") <= limit), F.col("minute")))
+    spells = (b.groupBy("day").agg(F.max("begin").alias("x"))
+               .select("day", F.max("x").over(before).alias("since_before")))
+    b = b.join(spells, "day").withColumn("since", F.coalesce(F.max("begin").over(so_far), F.col("since_before")))
+    return b.select((F.col("minute") * MINUTE_MS).alias("minute_ms"), "backlog",
+                    (above & F.coalesce(F.col("minute") - F.col("since") >= minutes - 1, F.lit(False))).alias("alert"))
+
+
+def model_health(psi: DataFrame, residuals: DataFrame, registry: DataFrame, latency: DataFrame | None = None,
                  mae_factor: float = 5.0, min_major: int = 2, latency_factor: float = 2.0) -> DataFrame:
-    """Rollback triggers per model version against the previous version (by
-    name): MAE >= 5x the previous version's, ``major_shift`` on >= 2 features on
-    some day, or p95 latency >= 2x the previous version's."""
+    """Rollback triggers per model version against the version registered before it
+    (``registry``: model_version, trained_at_ms): MAE >= 5x the previous version's,
+    ``major_shift`` on >= 2 features on some day, or p95 latency (``latency``:
+    model_version, p95_ms) >= 2x the previous version's. Versions that are not in the
+    registry have no previous one. All inputs are reduced to a row per version and
+    stacked, then grouped."""
     mae = (residuals.groupBy("model_version")
                     .agg((F.sum(F.col("mae") * F.col("scored_clicks")) / F.sum("scored_clicks")).alias("mae")))
     major = (psi.where(F.col("verdict") == "major_shift")
                 .groupBy("model_version", "as_of_date").agg(F.countDistinct("feature").alias("n"))
                 .groupBy("model_version").agg(F.max("n").alias("major_features")))
-    v = mae.join(major, "model_version", "full")
+    parts = [mae, major, registry.select("model_version", "trained_at_ms")]
     if latency is not None:
-        v = v.join(latency.select("model_version", "p95_ms"), "model_version", "full")
-    else:
-        v = v.withColumn("p95_ms", F.lit(None).cast("double"))
-    w = Window.orderBy("model_version")
-    v = (v.withColumn("prev_mae", F.lag("mae").over(w))
-          .withColumn("prev_p95_ms", F.lag("p95_ms").over(w))
-          .withColumn("major_features", F.coalesce("major_features", F.lit(0)).cast("long")))
+        parts.append(latency.select("model_version", "p95_ms"))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    if latency is None:
+        rows = rows.withColumn("p95_ms", F.lit(None).cast("double"))
+    v = rows.groupBy("model_version").agg(F.max("mae").alias("mae"), F.coalesce(F.max("major_features"), F.lit(0)).cast("long").alias("major_features"),
+                                          F.max("trained_at_ms").alias("trained_at_ms"), F.max("p95_ms").alias("p95_ms"))
+    w = Window.partitionBy(F.col("trained_at_ms").isNull()).orderBy("trained_at_ms", "model_version")
+    known = F.col("trained_at_ms").isNotNull()
+    v = (v.withColumn("prev_mae", F.when(known, F.lag("mae").over(w)))
+          .withColumn("prev_p95_ms", F.when(known, F.lag("p95_ms").over(w))))
     t_mae = F.coalesce(F.col("mae") >= mae_factor * F.col("prev_mae"), F.lit(False))
     t_psi = F.col("major_features") >= min_major
     t_lat = F.coalesce(F.col("p95_ms") >= latency_factor * F.col("prev_p95_ms"), F.lit(False))

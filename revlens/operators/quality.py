@@ -19,6 +19,7 @@ SLA_RULES = {
     "ledger_orphan": 0.01,
 }
 HOUR_MS = 3_600_000
+DAY_MS = 86_400_000
 
 
 def ledger_orphans(ledger: DataFrame, clicks: DataFrame) -> DataFrame:
@@ -77,19 +78,30 @@ def dq_sla(clicks: DataFrame, ledger: DataFrame, hours: int = 24) -> DataFrame:
 def freshness_gaps(df: DataFrame, ts: str, minutes: int, from_hour: int = 0,
                    to_hour: int = 24) -> DataFrame:
     """Empty ``minutes`` windows (aligned to the epoch) between the first and the
-    last event whose start hour lies in [from_hour, to_hour). The calendar is built
-    on an executor from min/max (its size is the time span over the window length,
-    independent of the data volume) and anti-joined with the windows that have rows."""
+    last event whose start hour lies in [from_hour, to_hour). The windows that have
+    rows look for their successor: within their day, the day's last one in the next
+    day with rows. The gap between two is listed day by day, so no row holds the
+    windows of a long silence (such as one before or after a stray timestamp)."""
     step_ms = minutes * 60_000
-    w = F.floor(F.unix_millis(ts) / step_ms).cast("long")
-    seen = df.select(w.alias("w")).distinct()
-    cal = (df.agg(F.min(w).alias("lo"), F.max(w).alias("hi"))
-             .select(F.explode(F.sequence("lo", "hi")).alias("w")))
+    day_of = lambda w: F.floor(w * step_ms / DAY_MS).cast("long")
+    seen = df.where(F.col(ts).isNotNull()).select(F.floor(F.unix_millis(ts) / step_ms).cast("long").alias("w")).distinct()
+    seen = seen.withColumn("day", day_of(F.col("w")))
+    days = seen.groupBy("day").agg(F.min("w").alias("first"))
+    # one row per day with data
+    following = days.select("day", F.lead("first").over(Window.orderBy("day")).alias("after"))
+    pairs = (seen.withColumn("next", F.lead("w").over(Window.partitionBy("day").orderBy("w")))
+                 .join(following, "day").select("w", F.coalesce("next", "after").alias("next"))
+                 .where(F.col("next") > F.col("w") + 1)
+                 .select((F.col("w") + 1).alias("lo"), (F.col("next") - 1).alias("hi")))
+    by_day = pairs.select("lo", "hi", F.explode(F.sequence(day_of(F.col("lo")), day_of(F.col("hi")))).alias("day"))
+    first = F.ceil(F.col("day") * DAY_MS / step_ms).cast("long")
+    last = (F.ceil((F.col("day") + 1) * DAY_MS / step_ms) - 1).cast("long")
+    lo, hi = F.greatest("lo", first), F.least("hi", last)
+    gaps = by_day.where(lo <= hi).select(F.explode(F.sequence(lo, hi)).alias("w"))
     start_hour = F.hour(F.timestamp_millis(F.col("w") * step_ms))
-    cal = cal.where((start_hour >= from_hour) & (start_hour < to_hour))
-    return (cal.join(seen, "w", "left_anti")
-               .select((F.col("w") * step_ms).alias("window_start_ms"),
-                       ((F.col("w") + 1) * step_ms).alias("window_end_ms")))
+    return (gaps.where((start_hour >= from_hour) & (start_hour < to_hour))
+                .select((F.col("w") * step_ms).alias("window_start_ms"),
+                        ((F.col("w") + 1) * step_ms).alias("window_end_ms")))
 
 
 def feed_lag(ledger: DataFrame, as_of, max_lag_hours: int = 24) -> DataFrame:

@@ -152,7 +152,8 @@ from revlens.operators import reconcile as rec  # noqa: E402
 CANARY_BP = 1000
 CLV_POLICY = dict(alpha=0.5, reference=100.0, cap=3.0)
 BOUNDS = (0.5, 400.0)
-CURRENT_BOUNDS = (0.5, 500.0)
+CALIBRATION_MIN_N = 5_000
+ANOMALY = dict(window_ms=2 * 86_400_000, threshold=0.05, min_samples=5)
 RECON_FROM_MS, RECON_TO_MS = 852_076_800_000, 996_624_000_000   # 1997-01-01 .. 2001-08-01 UTC
 NOW_MS = 959_817_600_000          # 2000-06-01T00:00:00Z
 REPORT_NOW_MS = 996_624_000_000   # 2001-08-01T00:00:00Z
@@ -160,13 +161,27 @@ REPORT_NOW_MS = 996_624_000_000   # 2001-08-01T00:00:00Z
 
 @register("A5_prediction_percentiles")
 def _a5(spark, sf):
-    return gr.prediction_percentiles(fx.predictions(spark, sf), accuracy=1_000_000)
+    """At the shipped accuracy: whether each percentile's rank is within n / accuracy of
+    the exact one (and one row, as ranks are whole)."""
+    pred = fx.predictions(spark, sf)
+    pct = gr.prediction_percentiles(pred)
+    x = gr.model_source_filter(pred).crossJoin(F.broadcast(pct))   # one row
+    v = F.col("predicted_rpc")
+    agg = x.groupBy("p1", "p99", "n").agg(*[F.count_if(c).alias(a) for a, c in (
+        ("below1", v < F.col("p1")), ("upto1", v <= F.col("p1")), ("below99", v < F.col("p99")), ("upto99", v <= F.col("p99")))])
+
+    def near(q, below, upto):
+        target, slack = F.ceil(F.col("n") * q), F.col("n") / 10_000 + 1
+        return (F.col(below) - slack < target) & (target <= F.col(upto) + slack)
+    return agg.select("n", near(0.01, "below1", "upto1").alias("p1_ok"), near(0.99, "below99", "upto99").alias("p99_ok"))
 
 
 @register("A6_propose_bounds")
 def _a6(spark, sf):
-    pct = gr.prediction_percentiles(fx.predictions(spark, sf), accuracy=1_000_000)
-    return gr.propose_bounds(pct, *CURRENT_BOUNDS)
+    """Per model version (too few samples for one of them), against the live config's bounds."""
+    cfg = sc.read_config(fx.config_versions(spark, sf))
+    pct = gr.prediction_percentiles(fx.predictions(spark, sf), by=("model_version",))
+    return gr.propose_bounds(pct, cfg["bounds_min"], cfg["bounds_max"], min_n=CALIBRATION_MIN_N)
 
 
 @register("F2_canary")
@@ -192,7 +207,7 @@ def _f4(spark, sf):
 
 @register("W3_anomaly_window")
 def _w3(spark, sf):
-    return gr.anomaly_window(fx.samples(spark, sf))
+    return gr.anomaly_window(fx.samples(spark, sf), **ANOMALY)
 
 
 def pvr(spark, sf):
@@ -223,6 +238,7 @@ MERGE_AS_OF = "2002-01-01 00:00:00"
 MERGE_LOOKBACK_HOURS = 24 * 365 * 5
 MERGE_TARGET_BEFORE = "1999-01-01 00:00:00"
 FEED_AS_OF = "2002-01-01 00:00:00"
+FEED_LIVE = "1995-06-01 00:00:00"
 
 
 def typed_landing(spark, sf):
@@ -307,7 +323,10 @@ def _a8l(spark, sf):
 
 @register("A9_feed_lag")
 def _a9(spark, sf):
-    return qual.feed_lag(fx.ledger(spark, sf), FEED_AS_OF)
+    """On a day long after the feed ended and on one at its end."""
+    ledger = fx.ledger(spark, sf)
+    parts = [qual.feed_lag(ledger, d).withColumn("as_of", F.lit(d)) for d in (FEED_AS_OF, FEED_LIVE)]
+    return parts[0].unionByName(parts[1])
 
 
 def envelopes(spark, sf):
@@ -489,7 +508,7 @@ def _a10(spark, sf):
 
 @register("A11_latency_alert")
 def _a11(spark, sf):
-    return om.latency_alert(fx.requests(spark, sf), LATENCY_THRESHOLD_MS, accuracy=1_000_000)
+    return om.latency_alert(fx.requests(spark, sf), LATENCY_THRESHOLD_MS)
 
 
 @register("A12_error_rate_alert")
@@ -504,7 +523,7 @@ def _a13(spark, sf):
 
 @register("A14_breaker_trips")
 def _a14(spark, sf):
-    w = gr.anomaly_window(fx.samples(spark, sf))
+    w = gr.anomaly_window(fx.samples(spark, sf), **ANOMALY)
     audit = w.select("ts_ms", F.when(F.col("breached"), F.lit("anomaly"))
                      .otherwise(F.lit("score.model")).alias("source"))
     return om.breaker_trips(audit)
@@ -514,14 +533,20 @@ def _a14(spark, sf):
 def _a15(spark, sf):
     landed = fx.landing_clicks(spark, sf)
     delivered = stored_typed_landing(spark, sf).where(~F.col("corrupt"))
-    return om.backlog_alert(landed, delivered)
+    return om.backlog_alert(landed, delivered, limit=4, minutes=3 * 1440)
 
 
 @register("A16_model_health")
 def _a16(spark, sf):
+    """Versions by training time (v2 before v1, against their names), p95 latency per version."""
     psi = mon.psi_daily(fx.clicks(spark, sf), stored_baseline(spark, sf))
+    req = fx.requests(spark, sf)
+    latency = (req.groupBy(F.when(F.col("request_id") % 2 == 0, F.lit("v1")).otherwise(F.lit("v2")).alias("model_version"))
+                  .agg(F.max(F.when(F.col("status") == 500, 3.0).otherwise(1.0) * F.col("latency_ms")).alias("p95_ms")))
+    registry = req.select(F.lit("v2").alias("model_version"), F.lit(1).cast("long").alias("trained_at_ms")).limit(1).unionByName(
+        req.select(F.lit("v1").alias("model_version"), F.lit(2).cast("long").alias("trained_at_ms")).limit(1))
     res = mon.residuals_daily(att.prediction_realized(fx.predictions(spark, sf), fx.ledger(spark, sf)))
-    return om.model_health(psi, res)
+    return om.model_health(psi, res, registry, latency, mae_factor=0.9)
 
 
 # -------------------------------------------------------------- streaming (availableNow runs)
@@ -574,10 +599,15 @@ def _t2(spark, sf):
 
 @register("T3_breaker_stream")
 def _t3(spark, sf):
+    """Samples in files of ten days, in time order, one per micro-batch; thresholds at which breakers trip."""
     s = fx.samples(spark, sf)
-    src = sj.stage(s, "samples", files=4)
+    staged_at = sj.stage(s.withColumn("slot", F.floor(F.col("ts_ms") / (10 * 86_400_000)).cast("long")), "samples", files=1)
+    src = sj.scratch(spark, "stage-samples")
+    lo, hi = spark.read.parquet(staged_at).agg(F.min("slot"), F.max("slot")).first()
+    for i in range(lo, hi + 1):
+        spark.read.parquet(staged_at).where(F.col("slot") == i).drop("slot").coalesce(1).write.mode("append").parquet(src)
     out = sj.scratch(spark, "breaker")
-    sj.run(sj.breaker_stream(spark, src, s.schema, out, sj.scratch(spark, "ckpt")))
+    sj.run(sj.breaker_stream(spark, src, s.schema, out, sj.scratch(spark, "ckpt"), cool_off_ms=6 * 3_600_000, max_files=1, **ANOMALY))
     return spark.read.parquet(out)
 
 
@@ -630,3 +660,30 @@ def _p6(spark, sf):
 @register("W1_rolling_rpc_point_in_time")
 def _w1p(spark, sf):
     return rol.rolling_rpc(stored_click_revenue(spark, sf), point_in_time=True, ledger=fx.ledger(spark, sf))
+
+
+# -------------------------------------------------------------- sinks and files
+import uuid  # noqa: E402
+
+
+@register("S7_write_day")
+def _s7(spark, sf):
+    """Writes all days, in one partition a month, then replaces the months of 1996 by a
+    corrected run; reads the table back."""
+    path = sj.scratch(spark, "residuals")
+    res = mon.residuals_daily(att.prediction_realized(fx.predictions(spark, sf), fx.ledger(spark, sf)))
+    res = res.withColumn("month", F.trunc("as_of_date", "month")).repartition("month")
+    mon.write_day(res, path, "month")
+    mon.backfill_days(res.withColumn("scored_clicks", F.col("scored_clicks") + 1000), path, "1996-01-01", "1996-12-31", "month")
+    return spark.read.parquet(path).select("as_of_date", "model_version", "scored_clicks", "mae")
+
+
+@register("S10_read_reconciliation_json")
+def _s10(spark, sf):
+    """Reconciliation rows as JSON array files, one per month of the window's end, read back."""
+    rows = rec.reconciliation_window(pvr(spark, sf), RECON_FROM_MS, RECON_TO_MS, NOW_MS, include_pending=True)
+    path = f"{sj.scratch(spark, 'recon')}-{uuid.uuid4().hex[:6]}"
+    month = F.date_format(F.timestamp_millis("window_ends_at_ms"), "yyyyMM").alias("month")
+    arrays = rows.groupBy(month).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays.repartition("month").write.partitionBy("month").text(path)
+    return rec.read_reconciliation_json(spark, path).drop("month")

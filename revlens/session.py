@@ -14,6 +14,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # also where splitting a hot click_id costs the aggregate above it a shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 

@@ -8,7 +8,6 @@ from revlens.operators import ingest as ing
 from revlens.operators import monitoring as mon
 from revlens.operators import rolling as rol
 from revlens.sources import fixtures as fx
-from revlens.sources import synth
 
 
 def _same(a, b, cols):
@@ -22,15 +21,15 @@ def test_rolling_split_equals_window(spark, sf):
     assert _same(rol.rolling_rpc(cr), rol.rolling_rpc_window(cr), cols)
 
 
-def test_rolling_hot_bucket(spark):
+def test_rolling_hot_bucket(spark, sf):
     # a third of the clicks in one (creative, geo) bucket, many in the same second
-    c = synth.synthetic_clicks(spark, n=3000, seed=7)
+    c = fx.clicks(spark, sf)
     c = c.withColumn("ad_creative_id", F.when(F.col("visits_prev_30d") < 4, F.lit("ad-hot"))
                      .otherwise(F.col("ad_creative_id")))
     c = c.withColumn("geo", F.when(F.col("ad_creative_id") == "ad-hot", F.lit("GB")).otherwise(F.col("geo")))
-    c = c.withColumn("click_ts", F.when(F.col("hour_of_day") < 3, F.timestamp_seconds(F.lit(1776000000)))
+    c = c.withColumn("click_ts", F.when(F.col("hour_of_day") < 3, F.lit("1995-06-01 00:00:00").cast("timestamp"))
                      .otherwise(F.col("click_ts")))
-    led = synth.synthetic_ledger(c)
+    led = fx.ledger(spark, sf)
     cr = att.click_revenue(c, led)
     cols = ["click_id"] + [F.round(F.col(f"rpc_{n}d"), 6).alias(f"r{n}") for n in (7, 14, 30)]
     assert _same(rol.rolling_rpc(cr), rol.rolling_rpc_window(cr), cols)
@@ -90,15 +89,6 @@ def test_dedup_last_write_wins(spark, sf):
     assert re_emitted.join(d.select("click_id", "message_id"), ["click_id", "message_id"]).count() == re_emitted.count()
 
 
-def test_synthetic_seed(spark):
-    c = synth.synthetic_clicks(spark, n=5000)
-    assert c.where("hour_of_day < 0 OR hour_of_day > 23").count() == 0
-    led = synth.synthetic_ledger(c)
-    assert 0.55 < led.count() / 5000 < 0.65
-    # partition-independent draws
-    assert synth.synthetic_clicks(spark, n=5000).repartition(7).exceptAll(c).count() == 0
-
-
 def test_point_in_time_brute_force(spark, sf):
     c, led = fx.clicks(spark, sf), fx.ledger(spark, sf)
     cr = att.click_revenue(c, led, window_days=365)
