@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.columns import bounds_check, canary, clv_adjust, f64_text, is_finite
+from revlens.operators.breaker import STATE, BreakerPolicy, guard_calls
 from revlens.operators.ml import predict
 
 # Debug names of the prediction sources, as printed in the audit hash: fixed values.
@@ -73,29 +74,14 @@ def _outcome(rpc: Column, source, reason, version: Column) -> Column:
                     version.alias("model_version"))
 
 
-def score_clicks(clicks: DataFrame, config_versions: DataFrame, ledger: DataFrame, model,
-                 model_version: str = "unknown", clv: DataFrame | None = None,
-                 premium: dict | None = None, store: DataFrame | None = None, keep: tuple = ()) -> DataFrame:
-    """the whole decision tree over a click table (breaker closed; the breaker
-    with feedback is the streaming job T3). The config is read once (one row) and
-    enters the plan as literals. ``keep``: click columns to carry through.
-
-    The kill switch and the canary are row-local and come first, so the clicks they
-    stop meet no join. The others meet the feature store and the model; the ledger
-    is read only for clicks whose model output is an error. A NULL click_id is in no
-    canary sample.
-    """
-    cfg = read_config(config_versions)
+def _calls(clicks: DataFrame, cfg: dict, model, clv, premium, store, ids: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(outcomes of the clicks that the kill switch or the canary stops, model calls of
+    the others: ids, model_error, rpc). Killed: no calls."""
     fallback, zero = F.lit("fallback"), F.lit(0.0)
-    ids = ["click_id", "correlation_id", *keep]
-
-    def result(df: DataFrame, d: Column) -> DataFrame:
-        return df.select(*ids, d.alias("d")).select(
-            "click_id", "correlation_id", "d.predicted_rpc", "d.source", "d.reason", "d.model_version", *keep)
     if cfg["kill"]:
-        return result(clicks, _outcome(zero, "KILL_SWITCH", "kill_switch", fallback))
+        return _result(clicks, ids, _outcome(zero, "KILL_SWITCH", "kill_switch", fallback)), None
     x = clicks.withColumn("_reach", F.coalesce(canary("click_id", int(cfg["canary_bp"])), F.lit(False)))
-    stopped = result(x.where(~F.col("_reach")), _outcome(zero, "FALLBACK_TCPA", "out_of_canary", fallback))
+    stopped = _result(x.where(~F.col("_reach")), ids, _outcome(zero, "FALLBACK_TCPA", "out_of_canary", fallback))
     x = x.where(F.col("_reach"))
     if store is not None:
         x = feature_overrides(x, store)
@@ -105,16 +91,72 @@ def score_clicks(clicks: DataFrame, config_versions: DataFrame, ledger: DataFram
         x = x.withColumn("rpc", clv_adjust("rpc_raw", "clv", **premium)).drop("clv")
     else:
         x = x.withColumn("rpc", F.col("rpc_raw"))
-    x = x.select(*ids, "model_error", "rpc")
-    failed = x.where("model_error").select("click_id").distinct()
-    x = ledger_fallback(x, ledger.join(failed, "click_id", "left_semi"))
-    d = (F.when(F.col("model_error"),
-                _outcome(F.col("fallback_rpc"), "FALLBACK_DATA_LAYER",
-                         F.when(F.col("negative_ledger"), F.lit("negative_ledger")).otherwise(F.lit("model_error")), fallback))
+    return stopped, x.select(*ids, "model_error", "rpc")
+
+
+def _result(df: DataFrame, ids: list[str], d: Column) -> DataFrame:
+    return df.select(*ids, d.alias("d")).select(
+        "click_id", "correlation_id", "d.predicted_rpc", "d.source", "d.reason", "d.model_version", *ids[2:])
+
+
+def _decide(calls: DataFrame, cfg: dict, ledger: DataFrame, ids: list[str], model_version: str) -> DataFrame:
+    """Outcomes of model calls by their ``verdict`` (NULL: the output stands). The ledger
+    is read only for the clicks that fall back to it."""
+    fallback = F.lit("fallback")
+    falls = F.col("verdict").isNotNull()
+    failed = calls.where(falls).select("click_id").distinct()
+    x = ledger_fallback(calls, ledger.join(failed, "click_id", "left_semi"))
+    reason = F.when(F.col("negative_ledger"), F.lit("negative_ledger")).otherwise(F.col("verdict"))
+    d = (F.when(falls, _outcome(F.col("fallback_rpc"), "FALLBACK_DATA_LAYER", reason, fallback))
           .when(~bounds_check("rpc", cfg["bounds_min"], cfg["bounds_max"]),
-                _outcome(zero, "FALLBACK_TCPA", "bounds_rejected", fallback))
+                _outcome(F.lit(0.0), "FALLBACK_TCPA", "bounds_rejected", fallback))
           .otherwise(_outcome(F.col("rpc"), "MODEL", "score.model", F.lit(model_version))))
-    return result(x, d).unionByName(stopped)
+    return _result(x, ids, d)
+
+
+def score_clicks(clicks: DataFrame, config_versions: DataFrame, ledger: DataFrame, model,
+                 model_version: str = "unknown", clv: DataFrame | None = None,
+                 premium: dict | None = None, store: DataFrame | None = None, keep: tuple = ()) -> DataFrame:
+    """the decision tree over a click table with the breaker closed (see
+    ``score_clicks_guarded``). The config is read once (one row) and enters the plan as
+    literals. ``keep``: click columns to carry through.
+
+    The kill switch and the canary are row-local and come first, so the clicks they
+    stop meet no join. The others meet the feature store and the model; the ledger
+    is read only for clicks whose model output is an error. A NULL click_id is in no
+    canary sample.
+    """
+    cfg = read_config(config_versions)
+    ids = ["click_id", "correlation_id", *keep]
+    stopped, calls = _calls(clicks, cfg, model, clv, premium, store, ids)
+    if calls is None:
+        return stopped
+    calls = calls.withColumn("verdict", F.when(F.col("model_error"), F.lit("model_error")))
+    return _decide(calls, cfg, ledger, ids, model_version).unionByName(stopped)
+
+
+def score_clicks_guarded(clicks: DataFrame, config_versions: DataFrame, ledger: DataFrame, model, policy: BreakerPolicy,
+                         state: DataFrame | None = None, model_version: str = "unknown", clv: DataFrame | None = None,
+                         premium: dict | None = None, store: DataFrame | None = None, keep: tuple = (),
+                         hold=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """F1 with the breaker: (scored clicks, breaker state per shard after them).
+
+    The clicks that pass the canary are calls of their shard, in time order. An open
+    breaker blocks a call (breaker_open); a model error opens it; every model output
+    enters the anomaly window, and a breach opens it too (anomaly). All three fall back to
+    the ledger; bounds are checked last. ``hold`` stages the guarded calls, from which
+    both results are read.
+    """
+    cfg = read_config(config_versions)
+    ids = ["click_id", "correlation_id", *keep]
+    extra = [c for c in (policy.key, policy.ts) if c not in ids]
+    stopped, calls = _calls(clicks, cfg, model, clv, premium, store, [*ids, *extra])
+    if calls is None:
+        empty = clicks.sparkSession.createDataFrame([], STATE)
+        return stopped.drop(*extra), state if state is not None else empty
+    guarded = hold(guard_calls(calls, policy, state))
+    scored = _decide(guarded.where("NOT is_state").drop("is_state", *STATE.names), cfg, ledger, ids, model_version)
+    return scored.unionByName(stopped.drop(*extra)), guarded.where("is_state").select(*STATE.names)
 
 
 def log_predictions(scored: DataFrame, ts_ms: Column | int) -> DataFrame:

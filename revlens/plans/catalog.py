@@ -408,6 +408,43 @@ def _f1(spark, sf):
     return scored(spark, sf)
 
 
+POLICY = sc.BreakerPolicy(key="serving_shard", ts="call_ms", window_ms=40 * 86_400_000, threshold=0.2, min_samples=5,
+                          cool_off_ms=12 * 3_600_000)
+
+
+def guarded_clicks(spark, sf):
+    """Scoring clicks on four shards; every fifth is one the model values at zero."""
+    k = F.regexp_extract("click_id", r"(\d+)$", 1).cast("long")
+    poor = k % 5 == 0
+    c = scoring_clicks(spark, sf)
+    c = c.withColumns({f: F.when(poor, F.lit(-100.0)).otherwise(F.col(f)) for f in ("cerberus_score",)})
+    return c.withColumns({"serving_shard": k % 4, "call_ms": F.unix_millis("click_ts")})
+
+
+@register("F1_score_clicks_guarded")
+def _f1g(spark, sf):
+    """With breaker and anomaly window: calls are blocked, windows breached, model errors trip."""
+    return sc.score_clicks_guarded(guarded_clicks(spark, sf), fx.config_versions(spark, sf), fx.ledger(spark, sf), ml.STAND_IN, POLICY,
+                                   model_version="v1", clv=fx.clv(spark, sf), premium=CLV_POLICY, store=fx.feature_store(spark, sf))[0]
+
+
+@register("T5_score_stream_guarded")
+def _t5g(spark, sf):
+    """Clicks in time order, one file of a year per micro-batch; the audit trail has every reason."""
+    clicks = guarded_clicks(spark, sf).withColumn("year", F.year("click_ts"))
+    staged_at = sj.stage(clicks, "clicks-by-year", files=1)
+    src = sj.scratch(spark, "stage-clicks")
+    lo, hi = spark.read.parquet(staged_at).agg(F.min("year"), F.max("year")).first()
+    for y in range(lo, hi + 1):
+        spark.read.parquet(staged_at).where(F.col("year") == y).drop("year").coalesce(1).write.mode("append").parquet(src)
+    config = sj.stage(fx.config_versions(spark, sf), "config", files=1)
+    log, audit = sj.scratch(spark, "pred-log"), sj.scratch(spark, "audit")
+    sj.run(sj.score_stream(spark, src, log, audit, sj.scratch(spark, "ckpt"), config, fx.ledger(spark, sf), ml.STAND_IN, "v1",
+                           clv=fx.clv(spark, sf), premium=CLV_POLICY, store=fx.feature_store(spark, sf), policy=POLICY, max_files=1))
+    reasons = spark.read.parquet(audit).select("click_id", F.col("source").alias("reason"))
+    return spark.read.parquet(log).drop("batch", "ts_ms").join(reasons, "click_id")
+
+
 @register("F1_score_clicks_killed")
 def _f1k(spark, sf):
     return scored(spark, sf, kill=True)

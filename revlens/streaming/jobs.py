@@ -15,7 +15,6 @@ as the column ``batch``. A batch with two sinks is persisted for them.
 from __future__ import annotations
 
 import uuid
-from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -28,16 +27,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revlens.operators import activation as act
 from revlens.operators import ingest as ing
+from revlens.operators.breaker import BREAKER_COOL_OFF_MS, BreakerPolicy, BreakerState
 from revlens.operators import ops_metrics as om
 from revlens.operators import scoring as sc
 from revlens.operators.guardrails import ANOMALY_MIN_SAMPLES, ANOMALY_THRESHOLD, ANOMALY_WINDOW_MS
 from revlens.schemas import LANDING
 from revlens.session import checkpoint_dir
 
-# Breaker cool-off after a trip: fixed value of the service.
-BREAKER_COOL_OFF_MS = 30_000
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -185,45 +181,6 @@ _T3_STATE = T.StructType([
 ])
 
 
-class BreakerState:
-    """Anomaly window + breaker of one shard. Samples are kept per millisecond
-    (count, zeros), so the state is bounded by the window length, not by traffic."""
-
-    def __init__(self, window_ms: int, threshold: float, min_samples: int, cool_off_ms: int,
-                 ms=(), cnt=(), zer=(), opened_at: int = -1):
-        self.window_ms, self.threshold, self.min_samples, self.cool_off_ms = (
-            window_ms, threshold, min_samples, cool_off_ms)
-        self.ms, self.cnt, self.zer = deque(ms), deque(cnt), deque(zer)
-        self.n, self.z, self.opened_at = sum(self.cnt), sum(self.zer), opened_at
-
-    def step(self, now: int, rpc: float) -> tuple:
-        """One realised call at ``now``: (allowed, n, zeros, breached, source, reason).
-        Open blocks until the cool-off has passed; afterwards calls pass again and
-        the state stays open until a new trip (there is no half-open state)."""
-        if self.opened_at >= 0 and now - self.opened_at < self.cool_off_ms:
-            return False, self.n, self.z, False, "FALLBACK_DATA_LAYER", "breaker_open"
-        cutoff = now - self.window_ms
-        while self.ms and self.ms[0] < cutoff:
-            self.n -= self.cnt.popleft()
-            self.z -= self.zer.popleft()
-            self.ms.popleft()
-        zero = 1 if rpc == 0.0 else 0
-        if self.ms and self.ms[-1] == now:
-            self.cnt[-1] += 1
-            self.zer[-1] += zero
-        else:
-            self.ms.append(now)
-            self.cnt.append(1)
-            self.zer.append(zero)
-        self.n += 1
-        self.z += zero
-        breached = self.n >= self.min_samples and self.z / self.n > self.threshold
-        if breached:
-            self.opened_at = now
-            return True, self.n, self.z, True, "FALLBACK_DATA_LAYER", "anomaly"
-        return True, self.n, self.z, False, "MODEL", "score.model"
-
-
 def breaker_replay(rows: pd.DataFrame, shard, state: BreakerState) -> pd.DataFrame:
     rows = rows.sort_values(["ts_ms", "event_id"], kind="mergesort")
     out = [(int(e), int(shard), int(t), float(r), *state.step(int(t), float(r)))
@@ -282,19 +239,39 @@ def breaker_events_stream(spark: SparkSession, src: str, schema: T.StructType, o
 def score_stream(spark: SparkSession, src: str, log_out: str, audit_out: str, checkpoint: str,
                  config: str, ledger: DataFrame, model, model_version: str = "unknown",
                  clv: DataFrame | None = None, premium: dict | None = None,
-                 store: DataFrame | None = None, available_now: bool = True,
-                 interval: str = "10 seconds", max_files: int | None = None) -> StreamingQuery:
+                 store: DataFrame | None = None, policy: BreakerPolicy | None = None,
+                 available_now: bool = True, interval: str = "10 seconds", max_files: int | None = None) -> StreamingQuery:
     """T5: F1 on the click stream. Ledger, CLV and feature store are static sides of
     stream-static joins; the runtime config is re-read every micro-batch; the
-    prediction log and the audit trail are the two sinks."""
+    prediction log and the audit trail are the two sinks. With a ``policy`` the breaker
+    and its anomaly window guard the model; their state, one row per shard, is kept
+    next to the checkpoint and read from the newest earlier batch."""
     clicks_schema = spark.read.parquet(src).schema
+    state_dir = f"{checkpoint.rstrip('/')}/_breaker_state"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        scored = sc.score_clicks(batch, spark.read.parquet(config), ledger, model, model_version,
-                                 clv=clv, premium=premium, store=store, keep=("click_ts",))
+        args = dict(clicks=batch, config_versions=spark.read.parquet(config), ledger=ledger, model=model,
+                    model_version=model_version, clv=clv, premium=premium, store=store)
+        held: list[DataFrame] = []
+
+        def hold(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return held[-1]
+        if policy is None:
+            scored = sc.score_clicks(**args, keep=("click_ts",))
+        else:
+            before = None
+            if _existing(spark, state_dir):
+                old = spark.read.parquet(state_dir).where(F.col("batch") < batch_id)
+                newest = old.agg(F.max("batch")).first()[0]
+                before = old.where(F.col("batch") == newest).drop("batch") if newest is not None else None
+            scored, state = sc.score_clicks_guarded(**args, policy=policy, state=before, keep=("click_ts",), hold=hold)
+            _write(state, state_dir, batch_id)
         with _persisted(scored) as rows:
             _write(sc.log_predictions(rows, F.unix_millis("click_ts") + 50), log_out, batch_id)
             _write(sc.audit_events(rows), audit_out, batch_id)
+        for df in held:
+            df.unpersist()
 
     w = _source(spark, src, clicks_schema, max_files).writeStream.option("checkpointLocation", checkpoint)
     return _trigger(w.foreachBatch(sink), available_now, interval).start()
