@@ -12,8 +12,10 @@ which all components are full, so the work is about n + m log m.
 
 Bands of the signature propose pairs; each is verified by exact weighted Jaccard.
 Exact copies (same words) are one class first. Within a bucket every member is compared
-with its smallest member; members that end up in different components are then compared
-with all members outside their own, so no link is lost and no group's pairs are listed.
+with its smallest member. Where a bucket's members end up in different components, those
+outside its largest are compared with all members of other components, in blocks whose
+tasks return a spanning forest: no link between components is lost, and a group's pairs
+are never listed as rows.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 4
+BLOCK_SHINGLES = 1 << 19
 
 
 def shingles(text_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +157,85 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return sides.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+class Block:
+    """Members of one bucket (or a block of it) with their multisets over local shingle ids."""
+
+    def __init__(self, table: pa.Table):
+        self.head, self.comp, self.main = (table[c].to_numpy() for c in ("head", "comp", "main"))
+        self.bands = np.array(table["bands"].to_pylist(), np.int64).reshape(len(table), -1)
+        self.sets = []
+        for chunk in table["text"].chunks:
+            self.sets += [shingles(w) for w in words_of(chunk)]
+        self.weight = np.array([int(n.sum()) for _, n in self.sets], np.int64)
+
+
+def linking(queries: Block, data: Block, band: int, threshold: float) -> list[tuple[int, int]]:
+    """Links between queries (outside the bucket's largest component) and data of other
+    components, as a spanning forest: a pair whose components are linked already adds
+    nothing. A pair that shares an earlier band is met in that band's bucket."""
+    length = np.array([len(h) for h, _ in data.sets])
+    start = np.concatenate(([0], np.cumsum(length)))
+    known, column = np.unique(np.concatenate([h for h, _ in data.sets]), return_inverse=True)
+    counts = np.concatenate([n for _, n in data.sets])
+    dense = np.zeros(len(known), np.int64)
+    names, place = np.unique(np.concatenate((queries.comp, data.comp)), return_inverse=True)
+    of_query, of_data = place[:len(queries.comp)], place[len(queries.comp):]
+    group = np.arange(len(names))       # representative of each component's linked group
+    out = []
+    for q in range(len(queries.head)):
+        h, n = queries.sets[q]
+        both = (data.bands == queries.bands[q]).argmax(axis=1) == band
+        ratio = np.minimum(queries.weight[q], data.weight) >= threshold * np.maximum(queries.weight[q], data.weight)
+        once = (data.comp == data.main) | (queries.head[q] < data.head)
+        pick = np.flatnonzero(both & ratio & once & (group[of_data] != group[of_query[q]]))
+        if not len(pick):
+            continue
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        same = known[at] == h
+        dense[at[same]] = n[same]
+        size = length[pick]
+        cells = np.repeat(start[pick] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        both = np.add.reduceat(np.minimum(dense[column[cells]], counts[cells]), np.concatenate(([0], np.cumsum(size)[:-1])))
+        dense[at[same]] = 0
+        alike = pick[both >= threshold * (queries.weight[q] + data.weight[pick] - both)]
+        for d in alike:
+            x, y = group[of_query[q]], group[of_data[d]]
+            if x != y:
+                out.append((int(queries.head[q]), int(data.head[d])))
+                group[group == x] = y
+    return out
+
+
+def _between_components(split: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links between members of one bucket that are in different components.
+
+    split: (band, value, head, size, comp, main) of buckets with several components.
+    Members outside the largest one meet all members. Both sides of a bucket are cut
+    into blocks of about ``block`` shingles, so a task's memory is bounded; a bucket of
+    ordinary size is one block."""
+    outside = F.col("comp") != F.col("main")
+    sizes = split.groupBy("band", "value").agg(
+        F.ceil(F.sum(F.when(outside, F.col("size"))) / block).cast("int").alias("nq"), F.ceil(F.sum("size") / block).cast("int").alias("nd"))
+    rows = (split.join(sizes, ["band", "value"]).join(texts.withColumnRenamed("doc_id", "head"), "head")
+            .withColumn("qb", F.pmod(F.xxhash64("head", F.lit(1)), F.col("nq")).cast("int"))
+            .withColumn("db", F.pmod(F.xxhash64("head", F.lit(2)), F.col("nd")).cast("int")))
+    keep = ["band", "value", "qb", "db", "head", "comp", "main", "bands", "text"]
+
+    def spread(df: DataFrame, column: str, number: str) -> DataFrame:
+        one = df.where(F.col(number) == 1).withColumn(column, F.lit(0))
+        many = df.where(F.col(number) > 1).withColumn(column, F.explode(F.sequence(F.lit(0), F.col(number) - 1)))
+        return one.unionByName(many).select(*keep)
+    queries, data = spread(rows.where(outside), "db", "nd"), spread(rows, "qb", "nq").toDF(*keep)
+
+    def solve(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        found = linking(Block(left), Block(right), key[0].as_py(), threshold) if len(left) and len(right) else []
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+    by = ["band", "value", "qb", "db"]
+    return queries.groupBy(*by).cogroup(data.groupBy(*by)).applyInArrow(solve, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS,
+                    block: int = BLOCK_SHINGLES) -> DataFrame:
     """docs(doc_id integer, text) -> doc_id, class_id (smallest doc_id of the connected
     component of links), one row per distinct non-null doc_id.
 
@@ -173,28 +254,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int
     members = stage(buckets.join(low, ["band", "value"]), "members")
     stars = stage(members.where("head <> center").select(F.col("center").alias("a"), F.col("head").alias("b")).distinct(), "stars")
     # texts of the proposed documents; the others are not moved on
-    wanted = members.select(F.col("head").alias("doc_id")).distinct()
+    wanted = heads.select("head", "bands").join(members.select("head").distinct(), "head", "left_semi").withColumnRenamed("head", "doc_id")
     texts = stage(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id"), "texts")
-    links = stage(verify(stars, texts, threshold), "links")
-    comp = components(members.select(F.col("head").alias("node")), links)
+    links = verify(stars, texts.drop("bands"), threshold)
+    comp = stage(components(members.select(F.col("head").alias("node")), links), "comp")
     # members of one bucket in different components: compare each outside the largest with all others
     labelled = members.join(comp.withColumnRenamed("node", "head"), "head").select("band", "value", "head", "size", "comp")
     counts = labelled.groupBy("band", "value", "comp").agg(F.count("*").alias("n"))
     main = (counts.groupBy("band", "value").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("k"))
             .where("k > 1").select("band", "value", F.col("m.comp").alias("main")))
     split = stage(labelled.join(main, ["band", "value"]), "split")
-    x, y = split.where("comp <> main").alias("x"), split.alias("y")
-    rest = (x.join(y, ["band", "value"])
-            .where("x.comp <> y.comp AND (y.comp = y.main OR x.head < y.head)")
-            .where(F.expr(f"least(x.size, y.size) >= {threshold} * greatest(x.size, y.size)"))
-            .select(F.greatest("x.head", "y.head").alias("b"), F.least("x.head", "y.head").alias("a")).distinct())
-    rest = stage(rest.join(stars, ["a", "b"], "left_anti").select("a", "b"), "rest")
-    more = stage(verify(rest, texts, threshold), "more")
-    nodes = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"))
-    all_links = links.unionByName(more)
-    heads_comp = components(heads.select(F.col("head").alias("node")), all_links)
+    more = stage(_between_components(split, texts, threshold, block), "more")
+    # the new links join components
+    x, y = comp.selectExpr("node AS a", "comp AS ca"), comp.selectExpr("node AS b", "comp AS cb")
+    joined = components(comp.select(F.col("comp").alias("node")), more.join(x, "a").join(y, "b").selectExpr("ca AS a", "cb AS b"))
+    final = stage(comp.join(joined.selectExpr("node AS comp", "comp AS last"), "comp").selectExpr("node AS a", "last AS comp"), "classes")
     # copies follow their head; a document that repeats with other texts joins its classes
-    member_of = copies.join(heads_comp.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "comp")
+    member_of = copies.join(final, "a", "left").select(F.col("b").alias("node"), F.coalesce("comp", "a").alias("comp"))
+    nodes = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"))
     if _repeats(docs):
         return components(nodes, member_of.selectExpr("node AS a", "comp AS b")).selectExpr("node AS doc_id", "comp AS class_id")
     return nodes.join(member_of, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("comp", "node").alias("class_id"))

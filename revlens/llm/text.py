@@ -111,6 +111,17 @@ def owner(first: np.ndarray) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ Spark helpers
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS texts or BATCH_BYTES (or one longer text): what a
+    Python worker and its task hold at once. (Spark's defaults are meant for short rows.)"""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared checkpoint folder and read back."""
     spark = df.sparkSession
@@ -132,24 +143,25 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
 
     nodes(node), edges(a, b): longs; edges may repeat, loops are ignored. Returns
     (node, comp), one row per distinct node. Hash-to-min over star contractions: each
-    round every node takes the smallest label of its neighbours, then labels are
-    followed one step (pointer jumping), so the rounds grow with the logarithm of the
-    diameter. All state is staged in the shared folder; only a count of changed labels
+    round every node takes the smallest label of its neighbours, then the label of its
+    label (pointer jumping), so few rounds suffice for long chains. All state is staged in the shared folder; only a count of changed labels
     reaches the driver.
     """
-    both = stage(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").selectExpr("b AS a", "a AS b"))
-                 .distinct(), "edges")
-    touched = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "comp")
+    edges = stage(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
+    touched = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp"))
+                    .withColumn("old", F.lit(None).cast("long")), "labels")
     for _ in range(max_rounds):
-        seen = both.join(touched.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "comp")
-        low = touched.unionByName(seen).groupBy("node").agg(F.min("comp").alias("comp"))
-        jump = low.alias("l").join(low.selectExpr("node AS comp", "comp AS up"), "comp", "left")
-        new = stage(jump.select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "comp")
-        changed = new.alias("n").join(touched.alias("t"), "node").where("n.comp <> t.comp").limit(1).count()
-        touched = new
-        if not changed:
+        own = touched.select("node", "comp")
+        seen = both.join(own.selectExpr("node AS b", "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        low = stage(own.join(seen.withColumnRenamed("a", "node"), "node")
+                    .select("node", F.least("comp", "near").alias("low"), F.col("comp").alias("old")), "low")
+        touched = stage(low.join(low.selectExpr("node AS low", "low AS up"), "low")
+                        .select("node", F.least("low", "up").alias("comp"), "old"), "labels")
+        if not touched.where("comp <> old").limit(1).count():
             break
     else:
         raise RuntimeError("components did not converge")
+    touched = touched.drop("old")
     return (nodes.select("node").distinct().join(touched, "node", "left")
             .select("node", F.coalesce("comp", "node").alias("comp")))
