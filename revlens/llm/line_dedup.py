@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from revlens.llm.text import stage
+from revlens.llm.text import bounded_batches, stage
 
 DEPTH = 3
 SIMILARITY = 0.8
@@ -114,6 +114,9 @@ def with_templates(lines: DataFrame, depth: int, similarity: float, min_docs: in
     shapes = (distinct.join(fixed, ["leaf", "masked"], "left").withColumn("general", general)
               .withColumn("share", F.size(F.filter("general", lambda t: t != VARIABLE)) / F.size("general"))
               .select("leaf", "masked", F.when(F.col("share") >= similarity, F.array_join("general", " ")).alias("general")))
+    # staged, so that a line kind that many documents share is a skewed join of two
+    # exchanges, which adaptive execution splits
+    shapes = stage(shapes, "shapes")
     # T for a template, L for a line that stands for itself
     return (lines.join(shapes, ["leaf", "masked"])
             .withColumn("template", F.coalesce(F.concat(F.lit("T "), "general"), F.concat(F.lit("L "), "raw"))).drop("general"))
@@ -128,6 +131,7 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMIL
                  .where(F.col("n") >= min_docs).drop("n"))
     firsts = (per_doc.join(recurring, "template").where("doc_id = first_doc")
               .select("template", "first_doc", F.col("i").alias("first_i")))
+    firsts = stage(firsts, "firsts")
     return lines.join(firsts, "template").where("doc_id <> first_doc OR i <> first_i").select("doc_id", "i", "h", "template")
 
 
@@ -140,6 +144,7 @@ def deduplicate(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILAR
     one document: equal lines at one line number are treated alike. Columns of docs
     named like the three results are replaced.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.drop("kept_text", "n_lines", "n_dropped")
     gone = (dropped_lines(base, depth, similarity, min_docs).groupBy(F.col("doc_id").alias("__doc"))
             .agg(F.collect_set(F.struct("i", "h")).alias("__gone")))
