@@ -48,8 +48,11 @@ def _typed(raw: DataFrame, payload_schema, casts: dict, extra: list[Column]) ->
         if target is not None:
             bad = bad | (text.isNotNull() & val.isNull())
         cols.append(F.when(is_obj, val).alias(f.name))
-    return parsed.select(*[c for c in raw.columns if c not in ("data", "attributes")],
-                         *cols, *extra, (~F.coalesce(is_obj, F.lit(False)) | bad).alias("corrupt"))
+    # The typed columns leave through a generator: its outputs are plain columns, so later
+    # filters and self-joins neither repeat the parse nor make the planner infer
+    # constraints over every combination of the expressions.
+    typed = F.struct(*cols, *extra, (~F.coalesce(is_obj, F.lit(False)) | bad).alias("corrupt"))
+    return parsed.select(*[c for c in raw.columns if c not in ("data", "attributes")], F.inline(F.array(typed)))
 
 
 CLICK_CASTS = {"click_ts": "timestamp", "hour_of_day": "bigint", "cerberus_score": "double",

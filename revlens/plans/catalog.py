@@ -292,8 +292,7 @@ def _w5(spark, sf):
 
 @register("J9_ledger_orphans")
 def _j9(spark, sf):
-    valid, _ = ing.validate_clicks(fx.clicks(spark, sf))
-    return qual.ledger_orphans(fx.ledger(spark, sf), valid)
+    return qual.ledger_orphans(fx.ledger(spark, sf), valid_clicks(spark, sf))
 
 
 @register("C1_assertions")
@@ -365,7 +364,7 @@ TOP_K = 3
 
 
 def valid_clicks(spark, sf):
-    return ing.validate_clicks(fx.clicks(spark, sf))[0]
+    return staged(spark, sf, "valid_clicks", lambda: ing.validate_clicks(fx.clicks(spark, sf))[0])
 
 
 def scoring_clicks(spark, sf):

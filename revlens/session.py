@@ -20,13 +20,15 @@ REQUIRED_CONF = {
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app: str = "revlens", extra: dict | None = None) -> SparkSession:
+                  app: str = "revlens", extra: dict | None = None, driver_memory: str | None = None) -> SparkSession:
     """Local session for tests and the bench; on a cluster use the cluster's session
     and call :func:`configure` on it."""
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
     for k, v in {**REQUIRED_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from revlens.session import build_session
-    s = build_session(master="local[*]", shuffle_partitions=8)
+    s = build_session(master="local[*]", shuffle_partitions=8, driver_memory="6g")
     yield s
     s.stop()
 

@@ -154,3 +154,31 @@ def test_dedup_hot_key(spark):
     exp_hot = (hot.where(F.col("ingested_at") <= F.lit(first) + F.expr("INTERVAL 24 HOURS"))
                   .orderBy(F.col("ingested_at").desc(), F.col("message_id").desc()).first().v)
     assert got["hot"] == exp_hot and len(got) == 1 + (n - n // 3)
+
+
+def test_hot_click_revenue_and_realized(spark, sf):
+    """A third of the ledger and of the predictions on one click: same sums as plain loops."""
+    led = fx.ledger(spark, sf)
+    hot = F.xxhash64("order_id") % 3 == 0
+    led = led.withColumn("click_id", F.when(hot, F.lit("c-1")).otherwise(F.col("click_id")))
+    clicks, pred = fx.clicks(spark, sf), fx.predictions(spark, sf)
+    money = {}
+    for r in led.select("click_id", F.unix_millis("revenue_ts").alias("t"), "revenue").collect():
+        money.setdefault(r.click_id, []).append((r.t, r.revenue))
+    span = 3000 * 86_400_000
+    got = att.click_revenue(clicks, led, window_days=3000).select("click_id", "click_ts_ms", "target_revenue").collect()
+    assert all(r.target_revenue == sum(v for t, v in money.get(r.click_id, []) if r.click_ts_ms <= t <= r.click_ts_ms + span) for r in got)
+    assert any(r.click_id == "c-1" and r.target_revenue > 0 for r in got)
+    real = {(r.click_id, r.model_version): r.actual_revenue for r in att.prediction_realized(pred, led, window_days=3000).collect()}
+    for p in pred.where("source = 'MODEL'").collect():
+        assert real[p.click_id, p.model_version] == sum(v for t, v in money.get(p.click_id, []) if p.ts_ms <= t <= p.ts_ms + span)
+
+
+def test_many_bands_join_by_salt(spark, sf, monkeypatch):
+    from revlens.plans import catalog as C
+    live, base = mon.live_feature_counts(fx.clicks(spark, sf)), C.stored_baseline(spark, sf)
+    few = mon.psi_bin_join(live, base)
+    monkeypatch.setattr(mon, "BROADCAST_BANDS", 5)
+    many = mon.psi_bin_join(live, base)
+    assert _same(few, many, few.columns)
+    assert "BroadcastNestedLoop" not in many._jdf.queryExecution().toString()

@@ -126,3 +126,43 @@ def test_kill_switch_never_calls_model(spark):
 def test_out_of_canary_never_calls_model(spark):
     r = _score(spark, Exploding(), (1, False, 0.1, 100.0, 0))
     assert r.source == "FALLBACK_TCPA" and r.reason == "out_of_canary"
+
+
+def test_null_click_id_is_not_lost(spark):
+    clicks = spark.createDataFrame([(None, "r", 14, 0.8, 1.2, 1.1, 1.0, False, 0.4, 3), ("", "r", 14, 0.8, 1.2, 1.1, 1.0, False, 0.4, 3)], CLICK)
+    cfg = spark.createDataFrame([(1, False, 0.1, 100.0, 5_000)], CFG)
+    rows = sc.score_clicks(clicks, cfg, spark.createDataFrame([], LEDGER), Const(4.2)).collect()
+    assert len(rows) == 2 and {r.click_id: r.reason for r in rows}[None] == "out_of_canary"
+
+
+def test_breaker_guard_carries_its_state(spark):
+    """One table at once equals the same calls in two parts with the state handed over."""
+    rows = [(f"c-{i:03d}", "r", 14, 0.8, 0.0 if i % 3 else -9.0, 1.0, 1.0, False, float("nan") if i == 40 else 0.4, 3, i % 2, 1000 * i) for i in range(120)]
+    clicks = spark.createDataFrame(rows, CLICK + ", lane long, at_ms long")
+    cfg = spark.createDataFrame([(1, False, 0.1, 100.0, 10_000)], CFG)
+    model = ml.LinearRpcModel(1.0, {"rpc_7d": 1.0, "auction_pressure": 0.0})
+    policy = sc.BreakerPolicy(key="lane", ts="at_ms", window_ms=30_000, threshold=0.3, min_samples=5, cool_off_ms=9_000)
+    args = (cfg, spark.createDataFrame([], LEDGER), model, policy)
+    whole, _ = sc.score_clicks_guarded(clicks, *args)
+    one, state = sc.score_clicks_guarded(clicks.where("at_ms < 50000"), *args)
+    two, _ = sc.score_clicks_guarded(clicks.where("at_ms >= 50000"), *args, state)
+    want = {r.click_id: r.reason for r in whole.collect()}
+    assert {r.click_id: r.reason for r in one.unionByName(two).collect()} == want
+    assert set(want.values()) == {"score.model", "anomaly", "breaker_open", "model_error", "bounds_rejected"}
+    killed = spark.createDataFrame([(1, True, 0.1, 100.0, 10_000)], CFG)
+    out, kept = sc.score_clicks_guarded(clicks, killed, *args[1:], state)
+    assert out.count() == 120 and kept.count() == state.count() == 2
+
+
+def test_plain_text_of_doubles(spark):
+    from revlens.functions.columns import f64_text
+    values = {0.0005: "0.0005", 1e16: "10000000000000000", 12345678.5: "12345678.5", 3.0: "3", 0.0: "0", -2.25: "-2.25", 1.5e-7: "0.00000015",
+              1e22: "1" + "0" * 22, 123456789012345.6: "123456789012345.6", -1e-3: "-0.001", 0.1: "0.1", 1e7: "10000000"}
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert {r.v: r.t for r in df.select("v", f64_text("v").alias("t")).collect()} == values
+
+
+def test_hash_of_an_empty_id(spark):
+    from revlens.functions.columns import fnv1a64_mod
+    df = spark.createDataFrame([("",), ("a",), (None,)], "c string")
+    assert [r[0] for r in df.select(fnv1a64_mod("c")).collect()] == [0xcbf29ce484222325 % 10_000, 0xaf63dc4c8601ec8c % 10_000, None]

@@ -66,7 +66,7 @@ def test_clicks_stream_last_write_wins(spark, sf):
     out, dead = sj.scratch(spark, "clicks"), sj.scratch(spark, "dead")
     sj.run(sj.clicks_stream(spark, src, out, dead, sj.scratch(spark, "ck"), keep="last"))
     got = sj.latest_clicks(spark, out).select("click_id", "message_id", "visits_prev_30d")
-    typed = ing.normalize_clicks(C.typed_landing(spark, sf)).where(~F.col("corrupt"))
+    typed = ing.normalize_clicks(C.stored_typed_landing(spark, sf)).where(~F.col("corrupt"))
     valid = typed.where(ing.rejection_reason().isNull())
     exp = ing.dedup_clicks(valid).select("click_id", "message_id", "visits_prev_30d")
     assert got.count() == exp.count() and got.exceptAll(exp).count() == 0
@@ -85,3 +85,44 @@ def test_activation_stream_dead_letter_and_channels(spark, sf):
     assert reasons == {"missing click_id", "malformed_json"}
     n_ok = routed.where("channel = 'oci'").count()
     assert n_ok + spark.read.parquet(dead).count() == fx.push_bodies(spark, sf).count()
+
+
+def test_corrected_re_emits_are_kept_in_both_modes(spark, sf):
+    """An invalid first emit (another file, an earlier batch) does not remove the corrected one."""
+    landed = fx.landing_clicks(spark, sf)
+    first, again = landed.where(~F.col("message_id").endswith("-r")), landed.where(F.col("message_id").endswith("-r"))
+    key = F.regexp_extract("message_id", r"(\d+)", 1).cast("long")
+    fixed = {f"c-{r.k}" for r in again.select(key.alias("k")).where("k % 211 = 0 AND k % 499 <> 0").collect()}
+    assert fixed
+    for keep in ("first", "last"):
+        src, out, dead = sj.scratch(spark, "landing"), sj.scratch(spark, "clicks"), sj.scratch(spark, "dead")
+        first.coalesce(1).write.mode("append").parquet(src)
+        again.coalesce(1).write.mode("append").parquet(src)
+        sj.run(sj.clicks_stream(spark, src, out, dead, sj.scratch(spark, "ck"), keep=keep, max_files=1))
+        got = sj.latest_clicks(spark, out) if keep == "last" else spark.read.parquet(out)
+        assert fixed <= {r.click_id for r in got.select("click_id").collect()}
+        assert got.count() == got.select("click_id").distinct().count()
+
+
+def test_freshness_out_of_order_files(spark, sf):
+    """Files that overlap in time: no false gap, and every gap the watermark has passed."""
+    from revlens.operators import quality as qual
+    from revlens.plans import catalog as C
+    src, schema = C.event_files(spark, sf, days=3)
+    out = sj.scratch(spark, "gaps")
+    sj.run(sj.freshness_stream(spark, src, schema, "ts", out, sj.scratch(spark, "ck"), lateness="7 days", max_files=1))
+    got = {r.window_start_ms for r in spark.read.parquet(out).collect()}
+    ev = spark.read.parquet(src)
+    want = {r.window_start_ms for r in qual.freshness_gaps(ev, "ts", 15, 6, 22).collect()}
+    newest = ev.agg(F.unix_millis(F.max("ts"))).first()[0]
+    assert got <= want and got and {w for w in want if w < newest - 8 * 86_400_000} <= got
+
+
+def test_replayed_batch_replaces_its_rows(spark, sf):
+    """The same batch id written twice leaves one copy (a sink that failed half way runs again)."""
+    out = sj.scratch(spark, "sink")
+    df = spark.range(10)
+    for _ in range(2):
+        sj._write(df, out, 3)
+    sj._write(df, out, 4)
+    assert spark.read.parquet(out).count() == 20
