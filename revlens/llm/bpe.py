@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from revlens.llm.text import bounded_batches
 
 # Bounds of a task's memory: words that are kept with their encoding, longest of them.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 KEPT_CHARS = 64
 TAIL = 3
 SHORT = tuple(range(TAIL - 1, 0, -1))
@@ -89,7 +90,6 @@ class Vocabulary:
         if len(self.parts) != len(merges) or any(self.parts.get(x, (0, 0, -1))[2] >= k for k, m in enumerate(merges) for x in m):
             raise ValueError("each merge must make a new token of tokens made before it")
         self.fits: dict[tuple[str | None, str], bool] = {}
-        self.spines: dict[tuple[str, int], list[tuple[str, float]]] = {}
 
     def symbols(self, token: str) -> list[str]:
         if token.endswith(self.end):
@@ -110,19 +110,13 @@ class Vocabulary:
     def spine(self, token: str, side: int) -> list[tuple[str, float]]:
         """Parts of a token along its right (side 1) or left (side 0) edge, smallest
         first, each with the rank of the merge that takes it up."""
-        found = self.spines.get((token, side))
-        if found is None:
-            found, rank = [], float("inf")
-            part = token
-            while True:
-                found.append((part, rank))
-                if part not in self.parts:
-                    break
-                rank = self.parts[part][2]
-                part = self.parts[part][side]
-            found.reverse()
-            self.spines[token, side] = found
-        return found
+        found, rank, part = [], float("inf"), token
+        while True:
+            found.append((part, rank))
+            if part not in self.parts:
+                return found[::-1]
+            rank = self.parts[part][2]
+            part = self.parts[part][side]
 
     def can_follow(self, left: str | None, token: str) -> bool:
         """Whether encoding the letters of left + token gives these two tokens again.
@@ -160,7 +154,7 @@ class Vocabulary:
                 if known is None:
                     # a token that is not the encoding of its own letters is never used
                     known = self.can_follow(None, token) and (at == 0 or self.can_follow(*pair))
-                    if len(fits) > 2 * KEPT_WORDS:
+                    if len(fits) > KEPT_WORDS:
                         fits.clear()
                     fits[pair] = known
                 if known:
@@ -283,6 +277,7 @@ def encode(docs: DataFrame, vocabulary_path: str, arrays: bool = True) -> DataFr
     (a file of fixed size) goes out once as a broadcast variable. The decoded text is
     made from the ids alone.
     """
+    bounded_batches(docs.sparkSession)
     with open(vocabulary_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     id_type = docs.schema["doc_id"].dataType

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from revlens.llm.text import U64
+from revlens.llm.text import U64, bounded_batches
 
 Q = 10
 TILE = 80
@@ -237,6 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, step:
     ``block_chars`` characters (one broadcast each, a pass over docs each), however large
     the benchmark is; a single longer item is a block of its own.
     """
+    bounded_batches(docs.sparkSession)
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_chars))

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from revlens.llm.text import bounded_batches
+
 UNKNOWN = "und"
 N_GRAM = 3
 DIM = 512
@@ -120,6 +122,8 @@ def fit(docs: DataFrame, dim: int = DIM, seed: int = 7) -> Profiles:
     Each task sends one count row per language it met (n-grams are at most
     SYMBOLS ** N_GRAM); the driver receives one row per language and n-gram range.
     """
+    bounded_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
@@ -157,6 +161,8 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     columns of docs named like the two results are replaced.
     """
 
+    bounded_batches(docs.sparkSession)
+
     @pandas_udf("lang_pred string, score double")
     def predict(text):
         found, scores = profiles.predict(list(text))

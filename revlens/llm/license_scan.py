@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from revlens.llm.text import bounded_batches
+
 MIN_COVERAGE = 0.8
 
 # Notices by which texts name their license.
@@ -163,6 +165,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
     Null, empty and unmarked texts have an empty array. A column of docs named licenses
     is replaced. Row-local, whole texts.
     """
+    bounded_batches(docs.sparkSession)
     scanner = Scanner(templates, min_coverage)
 
     @pandas_udf("array<struct<name:string,coverage:double,first_word:int,end_word:int>>")

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from revlens.llm.text import bounded_batches
+
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 9000
 MAX_FEATURES = 4096
@@ -172,6 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_positive: int = M
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+    bounded_batches(docs.sparkSession)
+
     @pandas_udf("array<string>")
     def present(text):
         return text.map(lambda t: sorted(words(t)))
@@ -188,6 +192,8 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs plus score (0 to 1); null and empty texts get the score of no words. A column
     of docs named score is replaced."""
 
+    bounded_batches(docs.sparkSession)
+
     @pandas_udf("double")
     def of(text: pd.Series) -> pd.Series:
         return pd.Series(model.score(text), dtype="float64")
