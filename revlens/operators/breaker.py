@@ -3,13 +3,18 @@ model calls (used by T3, F1 and T5)."""
 
 from __future__ import annotations
 
+import math
 from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from revlens.operators.guardrails import ANOMALY_MIN_SAMPLES, ANOMALY_THRESHOLD, ANOMALY_WINDOW_MS
 
@@ -83,38 +88,69 @@ STATE = T.StructType([
     T.StructField("zer", T.ArrayType(T.LongType())), T.StructField("opened_at", T.LongType())])
 
 
-def guard_calls(calls: DataFrame, policy: BreakerPolicy, state: DataFrame | None = None) -> DataFrame:
-    """calls(click_id, rpc, model_error, key, ts, ...) -> their columns plus ``verdict``
-    (NULL: passes; breaker_open, anomaly, model_error), and one row per shard with
-    ``is_state`` true and the shard's state after its calls.
+def replay(calls: DataFrame, policy: BreakerPolicy, order: str, fields: list[T.StructField],
+           step: Callable[[BreakerState, int, float, bool], tuple], state: DataFrame | None = None) -> DataFrame:
+    """calls(order, rpc, key, ts, ...) plus ``fields``, the values of ``step(state, ts, rpc,
+    model_error)`` of each call, and one row per shard with ``is_state`` true and the shard's
+    state after its calls. ``model_error`` is false where calls have no such column.
 
-    A shard's calls are applied in (ts, click_id) order in one task: each depends on
-    the one before. The state is bounded by the window (counts per millisecond); shards
-    are the serving processes, so no shard grows with the number of clicks alone.
+    A shard's calls are applied in (ts, order) order, each after the one before: one task
+    reads them from a sorted partition, one Arrow batch at a time, and carries the state
+    on. It holds one batch and the states' windows, however many calls a shard has; its
+    time grows with the calls of its shards.
     """
-    columns = [f.name for f in calls.schema.fields]
-    keyed = calls.withColumn("_key", F.col(policy.key).cast("long")).withColumn("_ts", F.col(policy.ts).cast("long"))
-    out = T.StructType([*calls.schema.fields, T.StructField("verdict", T.StringType()), T.StructField("is_state", T.BooleanType()),
-                        *STATE.fields])
-    if "shard" in columns:
-        raise ValueError("name the shard column other than 'shard': that name holds the state's shard")
-
-    def run(key, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        old = before.iloc[0] if len(before) else None
-        st = BreakerState(policy.window_ms, policy.threshold, policy.min_samples, policy.cool_off_ms,
-                          *(([*map(int, old[c])] for c in ("ms", "cnt", "zer")) if old is not None else ((), (), ())),
-                          int(old["opened_at"]) if old is not None else -1)
-        rows = rows.sort_values(["_ts", "click_id"], kind="mergesort")
-        verdicts = []
-        for ts, rpc, error in zip(rows["_ts"], rows["rpc"], rows["model_error"]):
-            reason = st.fail(int(ts)) if error else st.step(int(ts), float(rpc))[-1]
-            verdicts.append(None if reason == "score.model" else reason)
-        rows = rows[columns].assign(verdict=pd.Series(verdicts, index=rows.index, dtype=object), is_state=False)
-        end = pd.DataFrame({"is_state": [True], "shard": [int(key[0])], "ms": [list(st.ms)], "cnt": [list(st.cnt)], "zer": [list(st.zer)],
-                            "opened_at": [st.opened_at]})
-        both = pd.concat([rows.astype(object), end.astype(object)], ignore_index=True)
-        return both.reindex(columns=out.names).astype(object).where(lambda d: d.notna(), None)
-
-    spark = calls.sparkSession
-    state = state if state is not None else spark.createDataFrame([], STATE)
-    return keyed.groupBy("_key").cogroup(state.groupBy("shard")).applyInPandas(run, out)
+    added = [*fields, T.StructField("is_state", T.BooleanType()), *STATE.fields]
+    names = calls.columns
+    clash = sorted({f.name for f in added} & set(names))
+    if clash:
+        raise ValueError(f"columns {clash} of the calls must be renamed: the result uses these names")
+    state = state if state is not None else calls.sparkSession.createDataFrame([], STATE)
+    rows = (calls.withColumns({"_key": F.col(policy.key).cast("long"), "_ts": F.col(policy.ts).cast("long"), "_held": F.lit(False)})
+            .unionByName(state.select(F.col("shard").alias("_key"), F.lit(True).alias("_held"), *STATE.names[1:]), allowMissingColumns=True)
+            .repartition("_key").sortWithinPartitions("_key", F.desc("_held"), "_ts", order))
+    types = [to_arrow_type(f.dataType) for f in added]
+    limits = (policy.window_ms, policy.threshold, policy.min_samples, policy.cool_off_ms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ended(shards: list[tuple], like: pa.Schema) -> pa.RecordBatch:
+            own = [[None] * len(shards) for _ in fields] + [[True] * len(shards), [k for k, _ in shards],
+                   [list(s.ms) for _, s in shards], [list(s.cnt) for _, s in shards], [list(s.zer) for _, s in shards],
+                   [s.opened_at for _, s in shards]]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(shards), like.field(c).type) for c in names), *map(pa.array, own, types)],
+                                              [*names, *(f.name for f in added)])
+
+        shard, st, like = None, None, None
+        for b in batches:
+            like = b.schema
+            col = {c: b.column(c) for c in like.names}
+            errors = col["model_error"].to_pylist() if "model_error" in names else repeat(False)
+            values, done = [], []
+            for j, (k, held, ts, rpc, error) in enumerate(zip(*(col[c].to_pylist() for c in ("_key", "_held", "_ts", "rpc")), errors)):
+                if st is None or k != shard:
+                    if st is not None:
+                        done.append((shard, st))
+                    shard, st = k, BreakerState(*limits)
+                if held:
+                    st = BreakerState(*limits, *(col[c][j].as_py() for c in STATE.names[1:]))
+                else:
+                    values.append(step(st, ts, math.nan if rpc is None else rpc, bool(error)))
+            calls_of = b.filter(pc.invert(col["_held"]))
+            own = [[v[i] for v in values] for i in range(len(fields))] + [[False] * len(values)]
+            new = [*map(pa.array, own, types), *(pa.nulls(len(values), t) for t in types[len(own):])]
+            yield pa.RecordBatch.from_arrays([*(calls_of.column(c) for c in names), *new], [*names, *(f.name for f in added)])
+            if done:
+                yield ended(done, like)
+        if st is not None:
+            yield ended([(shard, st)], like)
+
+    out = T.StructType([*(T.StructField(f.name, f.dataType) for f in calls.schema.fields), *added])
+    return rows.mapInArrow(run, out)
+
+
+def guard_calls(calls: DataFrame, policy: BreakerPolicy, state: DataFrame | None = None) -> DataFrame:
+    """calls(click_id, rpc, model_error, key, ts, ...) -> their columns plus ``verdict``
+    (NULL: passes; breaker_open, anomaly, model_error), and the state rows of :func:`replay`."""
+    def step(st: BreakerState, now: int, rpc: float, error: bool) -> tuple:
+        reason = st.fail(now) if error else st.step(now, rpc)[-1]
+        return (None if reason == "score.model" else reason,)
+    return replay(calls, policy, "click_id", [T.StructField("verdict", T.StringType())], step, state)

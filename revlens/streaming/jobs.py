@@ -23,11 +23,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revlens.operators import activation as act
 from revlens.operators import ingest as ing
-from revlens.operators.breaker import BREAKER_COOL_OFF_MS, BreakerPolicy, BreakerState
+from revlens.operators.breaker import BREAKER_COOL_OFF_MS, STATE, BreakerPolicy, BreakerState, replay
 from revlens.operators import ops_metrics as om
 from revlens.operators import scoring as sc
 from revlens.operators.guardrails import ANOMALY_MIN_SAMPLES, ANOMALY_THRESHOLD, ANOMALY_WINDOW_MS
@@ -65,6 +64,15 @@ def _existing(spark: SparkSession, path: str) -> str | None:
     return path if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
 
 
+def _state_before(spark: SparkSession, state_dir: str, batch_id: int) -> DataFrame | None:
+    """Breaker states that the newest batch before ``batch_id`` left."""
+    if not _existing(spark, state_dir):
+        return None
+    old = spark.read.parquet(state_dir).where(F.col("batch") < batch_id)
+    newest = old.agg(F.max("batch")).first()[0]
+    return old.where(F.col("batch") == newest).drop("batch") if newest is not None else None
+
+
 def _trigger(w, available_now: bool, interval: str):
     return w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
 
@@ -175,13 +183,10 @@ _T3_OUT = T.StructType([
     T.StructField("zeros", T.LongType()), T.StructField("breached", T.BooleanType()),
     T.StructField("source", T.StringType()), T.StructField("reason", T.StringType()),
 ])
-_T3_STATE = T.StructType([
-    T.StructField("ms", T.ArrayType(T.LongType())), T.StructField("cnt", T.ArrayType(T.LongType())),
-    T.StructField("zer", T.ArrayType(T.LongType())), T.StructField("opened_at", T.LongType()),
-])
 
 
 def breaker_replay(rows: pd.DataFrame, shard, state: BreakerState) -> pd.DataFrame:
+    """Reference form of T3 on one shard's rows in memory."""
     rows = rows.sort_values(["ts_ms", "event_id"], kind="mergesort")
     out = [(int(e), int(shard), int(t), float(r), *state.step(int(t), float(r)))
            for e, t, r in zip(rows["event_id"], rows["ts_ms"], rows["rpc"])]
@@ -195,25 +200,21 @@ def breaker_stream(spark: SparkSession, src: str, schema: T.StructType, out: str
                    interval: str = "10 seconds", max_files: int | None = None) -> StreamingQuery:
     """Anomaly window with breaker feedback, keyed by shard (the original keeps
     this state per serving process). Within a key and micro-batch rows are applied
-    in (ts_ms, event_id) order; blocked rows are not sampled."""
-    def fn(k, pdfs: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        if st.exists:
-            ms, cnt, zer, opened = st.get
-            bs = BreakerState(window_ms, threshold, min_samples, cool_off_ms,
-                              list(ms), list(cnt), list(zer), int(opened))
-        else:
-            bs = BreakerState(window_ms, threshold, min_samples, cool_off_ms)
-        rows = pd.concat(list(pdfs), ignore_index=True)
-        res = breaker_replay(rows, k[0], bs)
-        st.update((list(bs.ms), list(bs.cnt), list(bs.zer), bs.opened_at))
-        yield res
-
-    s = _source(spark, src, schema, max_files).select("event_id", F.col(key).cast("long").alias("shard"),
-                                                      "ts_ms", "rpc")
-    res = s.groupBy("shard").applyInPandasWithState(fn, _T3_OUT, _T3_STATE, "append",
-                                                   GroupStateTimeout.NoTimeout)
-    w = res.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
-    return _trigger(w, available_now, interval).start(out)
+    in (ts_ms, event_id) order; blocked rows are not sampled. The states are kept as
+    in T5, next to the checkpoint."""
+    policy = BreakerPolicy("lane", "ts_ms", window_ms, threshold, min_samples, cool_off_ms)
+    state_dir = f"{checkpoint.rstrip('/')}/_breaker_state"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        calls = batch.select("event_id", F.col(key).cast("long").alias("lane"), "ts_ms", "rpc")
+        done = replay(calls, policy, "event_id", _T3_OUT.fields[4:], lambda st, now, rpc, _: st.step(now, rpc),
+                      _state_before(spark, state_dir, batch_id))
+        with _persisted(done) as rows:
+            _write(rows.where("is_state").select(*STATE.names), state_dir, batch_id)
+            _write(rows.where("NOT is_state").drop("shard").withColumnRenamed("lane", "shard").select(*_T3_OUT.names), out, batch_id)
+
+    w = _source(spark, src, schema, max_files).writeStream.option("checkpointLocation", checkpoint)
+    return _trigger(w.foreachBatch(sink), available_now, interval).start()
 
 
 # ----------------------------------------------------------------- T4
@@ -260,11 +261,7 @@ def score_stream(spark: SparkSession, src: str, log_out: str, audit_out: str, ch
         if policy is None:
             scored = sc.score_clicks(**args, keep=("click_ts",))
         else:
-            before = None
-            if _existing(spark, state_dir):
-                old = spark.read.parquet(state_dir).where(F.col("batch") < batch_id)
-                newest = old.agg(F.max("batch")).first()[0]
-                before = old.where(F.col("batch") == newest).drop("batch") if newest is not None else None
+            before = _state_before(spark, state_dir, batch_id)
             scored, state = sc.score_clicks_guarded(**args, policy=policy, state=before, keep=("click_ts",), hold=hold)
             _write(state, state_dir, batch_id)
         with _persisted(scored) as rows:

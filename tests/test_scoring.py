@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from revlens.operators import ml
 from revlens.operators import scoring as sc
+from revlens.operators.breaker import STATE, BreakerState
 
 CLICK = "click_id string, correlation_id string, hour_of_day long, cerberus_score double, rpc_7d double, " \
         "rpc_14d double, rpc_30d double, is_payday_week boolean, auction_pressure double, visits_prev_30d long"
@@ -154,6 +155,32 @@ def test_breaker_guard_carries_its_state(spark):
     assert out.count() == 120 and kept.count() == state.count() == 2
 
 
+def test_breaker_guard_reads_a_shard_batch_by_batch(spark):
+    """A hot shard goes through many small Arrow batches, never through one frame."""
+    rows = [(f"c-{i:03d}", 0.0 if i % 7 < 2 else 1.0, i % 50 == 49, int(i % 10 == 0), 500 * (i // 2)) for i in range(400)]
+    calls = spark.createDataFrame(rows, "click_id string, rpc double, model_error boolean, lane long, at_ms long").repartition(5)
+    policy = sc.BreakerPolicy(key="lane", ts="at_ms", window_ms=20_000, threshold=0.3, min_samples=5, cool_off_ms=3_000)
+    want, ends = {}, {}
+    for lane in (0, 1):
+        st = BreakerState(20_000, 0.3, 5, 3_000)
+        for c, rpc, error, _, at in (r for r in rows if r[3] == lane):
+            reason = st.fail(at) if error else st.step(at, rpc)[-1]
+            want[c] = None if reason == "score.model" else reason
+        ends[lane] = (list(st.ms), list(st.cnt), list(st.zer), st.opened_at)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        idle = spark.createDataFrame([(9, [1], [2], [1], 5)], STATE)
+        df = sc.guard_calls(calls, policy, idle)
+        out = df.collect()
+        assert "InPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {r.click_id: r.verdict for r in out if not r.is_state} == want and {None, "anomaly", "breaker_open", "model_error"} == set(want.values())
+    assert {r.shard: (r.ms, r.cnt, r.zer, r.opened_at) for r in out if r.is_state} == {**ends, 9: ([1], [2], [1], 5)}
+    assert len(out) == 403
+
+
 def test_plain_text_of_doubles(spark):
     from revlens.functions.columns import f64_text
     values = {0.0005: "0.0005", 1e16: "10000000000000000", 12345678.5: "12345678.5", 3.0: "3", 0.0: "0", -2.25: "-2.25", 1.5e-7: "0.00000015",

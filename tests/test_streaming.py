@@ -32,6 +32,28 @@ def test_breaker_state_carries_across_batches(spark, sf):
     assert spark.read.parquet(out).count() == s.count()
 
 
+def test_breaker_stream_in_small_batches(spark, sf):
+    """Micro-batches of one file each, read in Arrow batches of 50 rows, equal the loop over
+    the files; the states lie next to the checkpoint."""
+    s = fx.samples(spark, sf).withColumn("rpc", F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(F.col("rpc"))).cache()
+    cuts = [r.ts_ms for r in s.selectExpr("percentile_approx(ts_ms, array(0.3, 0.6, 1.0)) AS q").selectExpr("explode(q) AS ts_ms").collect()]
+    src, ck, out = sj.scratch(spark, "samples"), sj.scratch(spark, "ck"), sj.scratch(spark, "t3s")
+    for lo, hi in zip([-1, *cuts], cuts):
+        s.where((F.col("ts_ms") > lo) & (F.col("ts_ms") <= hi)).coalesce(1).write.mode("append").parquet(src)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        sj.run(sj.breaker_stream(spark, src, s.schema, out, ck, window_ms=3 * 86_400_000, min_samples=5, max_files=1))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = spark.read.parquet(out).toPandas().sort_values("event_id").reset_index(drop=True)
+    exp = pd.concat([sj.breaker_replay(g, shard, sj.BreakerState(3 * 86_400_000, gr.ANOMALY_THRESHOLD, 5, sj.BREAKER_COOL_OFF_MS))
+                     for shard, g in s.toPandas().groupby("shard")]).sort_values("event_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[exp.columns], exp, check_dtype=False)
+    kept = spark.read.parquet(f"{ck}/_breaker_state").where("batch = 2")
+    assert kept.count() == s.select("shard").distinct().count() and got["batch"].nunique() == 3
+
+
 def test_land_stream_partitions(spark, sf):
     src = sj.stage(fx.landing_clicks(spark, sf), "landing", files=2)
     out = sj.scratch(spark, "raw")
