@@ -1,16 +1,20 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are lower-cased and white space is one space. Every benchmark item is cut into
-tiles: windows of ``tile`` characters at every ``step`` (and one at its end; a shorter
-item is one tile). A document is contaminated by an item if a tile aligns with some part
-of it within ``rate`` edits a character.
+Texts are lower-cased and white space is one space. The tiles of a benchmark item are its
+windows of ``tile`` characters at every ``step`` (and one at its end; a shorter item is one
+tile); by default at every character, so each of its passages of that length. A document
+is contaminated by an item if a tile aligns with some part of it within ``rate`` edits a
+character.
 
 Filter: an alignment of a tile of w characters with at most e edits keeps at least
 t = w - q + 1 - q e of the tile's q-grams, all within 2 e diagonals. Diagonals are covered
 by bands of 4 e that overlap by half, so one band holds them all; bands with t hits of
-one tile are retained. Verification: edit distance of the tile against the document
-along the band's diagonals, all retained bands of a batch at once.
-Nothing that is within the edit budget is lost; tests compare with a full scan.
+one tile are retained: q-grams are indexed once per item, and in a band's sorted hits
+those t that lie within a tile's length name the tiles. Verification: verbatim tiles by
+comparison, the others by edit distance of the tile against the document along the
+band's diagonals, all retained tiles of a batch at once.
+No passage of ``tile`` characters that is within the edit budget is lost; shorter ones out
+of a longer item are not searched. Tests compare with a full scan over all substrings.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ from pyspark.sql.functions import pandas_udf
 from revlens.llm.text import U64, bounded_batches
 
 Q = 10
-TILE = 80
-STEP = 20
+TILE = 50
+STEP = 1
 RATE = 0.06
 MIN_CHARS = 20
 BLOCK_CHARS = 4 << 20
@@ -71,17 +75,18 @@ def _qgrams(codes: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Index:
-    """q-gram index of the tiles of one block of items."""
-    item: np.ndarray      # of each tile: item number, start, length, edits, hits needed
-    start: np.ndarray
-    length: np.ndarray
+    """q-gram index of one block of items."""
+    size: np.ndarray      # of each item: tile length, edits, hits needed, last tile's start
     edits: np.ndarray
     need: np.ndarray
+    last: np.ndarray
     codes: list[np.ndarray]
-    grams: np.ndarray     # sorted q-grams of the tiles, with tile and place
-    tile: np.ndarray
+    numbers: np.ndarray   # of each indexed item: its number among the texts
+    grams: np.ndarray     # sorted q-grams of the items, with item and place
+    item: np.ndarray
     place: np.ndarray
     filter: np.ndarray
+    step: int
 
     @staticmethod
     def build(texts: list[str], tile: int, step: int, rate: float, min_chars: int) -> "Index":
@@ -90,27 +95,26 @@ class Index:
             whole = _codes(normal(text))
             if len(whole) < max(min_chars, Q):
                 continue
-            for s, n in tiles_of(len(whole), tile, step):
-                e = budget(n, rate)
-                own = whole[s:s + n]
-                g = _qgrams(own)
-                grams.append(g)
-                owner.append(np.full(len(g), len(rows)))
-                place.append(np.arange(len(g)))
-                rows.append((number, s, n, e, n - Q + 1 - Q * e))
-                codes.append(own)
-        cols = np.array(rows, np.int64).reshape(-1, 5).T
+            n = min(tile, len(whole))
+            e = budget(n, rate)
+            g = _qgrams(whole)
+            grams.append(g)
+            owner.append(np.full(len(g), len(rows)))
+            place.append(np.arange(len(g)))
+            rows.append((n, e, n - Q + 1 - Q * e, len(whole) - n, number))
+            codes.append(whole)
+        size, edits, need, last, numbers = np.array(rows, np.int64).reshape(-1, 5).T
         g, o, p = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((grams, U64), (owner, np.int64), (place, np.int64)))
         order = np.argsort(g, kind="stable")
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[(g >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
-        return Index(*cols, codes, g[order], o[order], p[order], seen)
+        return Index(size, edits, need, last, codes, numbers, g[order], o[order], p[order], seen, step)
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text number, item number, tile start, end in the normalised text, edits) of
         the tiles that align with a text within their budget."""
         found: list[tuple[int, int, int, int, int]] = []
-        if not len(self.item):
+        if not len(self.numbers):
             return found
         lo, size, batch = 0, 0, []
         for i, t in enumerate(texts):
@@ -132,7 +136,7 @@ class Index:
         doc = np.searchsorted(begin, at, "right") - 1
         inside = at + Q <= begin[doc + 1]
         at, lo, n, doc = at[inside], lo[inside], n[inside], doc[inside]
-        # one hit per q-gram of a text and equal q-gram of a tile; their number is bounded by
+        # one hit per q-gram of a text and equal q-gram of an item; their number is bounded by
         # cutting the hits into runs
         out = []
         step = max(1, int(4e6 // max(1, n.max()))) if len(n) else 1
@@ -148,38 +152,74 @@ class Index:
 
     def _bands(self, first, texts, begin, at, lo, n, doc) -> list[tuple[int, int, int, int, int]]:
         hit = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        tile, place = self.tile[hit], self.place[hit]
+        item, place = self.item[hit], self.place[hit]
         doc = np.repeat(doc, n)
-        # shifted to be at least 0: the diagonal on which the tile would start in the text
-        diagonal = np.repeat(at, n) - begin[doc] - place + TILE_SPAN
-        half = 2 * self.edits[tile] + 1
-        keys = []
-        for shift in (0, 1):
-            keys.append(np.stack((doc, tile, 2 * ((diagonal + shift * half) // (2 * half)) - shift)))
+        # the diagonal on which the item would start in the text (it may begin before it)
+        diagonal = np.repeat(at, n) - begin[doc] - place
+        found = self._exact(first, texts, doc, item, diagonal, place)
+        half = 2 * self.edits[item] + 1
+        keys = [np.stack((doc, item, 2 * ((diagonal + shift * half) // (2 * half)) - shift, place)) for shift in (0, 1)]
         key = np.concatenate(keys, axis=1)
-        both = np.concatenate((place, place))
-        order = np.lexsort((both, key[2], key[1], key[0]))
-        key, both = key[:, order], both[order]
-        new = np.ones(len(both), bool)
-        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
-        # different q-gram places of the tile in the band
-        fresh = new.copy()
-        fresh[1:] |= both[1:] != both[:-1]
-        starts = np.flatnonzero(new)
-        count = np.add.reduceat(fresh.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
-        d, t, band = key[:, starts]
-        good = count >= self.need[t]
-        d, t, band = d[good], t[good], band[good]
+        key = key[:, np.lexsort(key[::-1])]
+        # different q-gram places of the item in the band
+        key = key[:, _changes(key)]
+        group = np.cumsum(_changes(key[:3]))
+        d, t, band, place = key
+        # need places within a tile: the tiles that hold them all start at a..b
+        to = np.arange(len(d)) + self.need[t] - 1
+        good = np.flatnonzero(to < len(d))
+        to = to[good]
+        good, to = (x[(group[to] == group[good]) & (place[to] - place[good] <= self.size[t[good]] - Q)] for x in (good, to))
+        a, b = np.maximum(0, place[to] - self.size[t[good]] + Q), np.minimum(place[good], self.last[t[good]])
+        again = np.zeros(len(good), bool)
+        again[1:] = group[good[1:]] == group[good[:-1]]
+        a[1:] = np.where(again[1:], np.maximum(a[1:], b[:-1] + 1), a[1:])
+        count = np.maximum(0, b - a + 1)
+        start = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
+        d, t, band = (np.repeat(x[good], count) for x in (d, t, band))
+        keep = self._is_tile(t, start)
+        if found:
+            sure = np.array(list(found), np.int64).T
+            sure[0] -= first
+            keep &= ~np.isin(self._code(d, t, start), self._code(*sure))
+        d, t, band, start = d[keep], t[keep], band[keep], start[keep]
         half = 2 * self.edits[t] + 1
-        low = band * half - TILE_SPAN
-        return self._verify(first, texts, d, t, low, low + 2 * half - 1)
+        low = band * half + start
+        self._verify(first, texts, d, t, start, low, low + 2 * half - 1, found)
+        return [(i, int(self.numbers[t]), s, end, e) for (i, t, s), (e, end) in sorted(found.items())]
+
+    def _is_tile(self, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+        return (start % self.step == 0) | (start == self.last[item])
+
+    def _code(self, doc, item, start) -> np.ndarray:
+        return (doc * len(self.numbers) + item) * (self.last.max() + 1) + start
 
-    def _verify(self, first, texts, doc, tile, low, high) -> list[tuple[int, int, int, int, int]]:
-        """Banded alignment of each tile with its text along the diagonals low..high."""
+    def _exact(self, first, texts, doc, item, diagonal, place) -> dict[tuple[int, int, int], tuple[int, int]]:
+        """Tiles that stand in a text verbatim, (text number, item, start) -> (0, end): runs of
+        hits on one diagonal, compared letter by letter; they need no alignment."""
         found: dict[tuple[int, int, int], tuple[int, int]] = {}
-        for size in np.unique(self.length[tile]):
-            for edits in np.unique(self.edits[tile[self.length[tile] == size]]):
-                group = np.flatnonzero((self.length[tile] == size) & (self.edits[tile] == edits))
+        order = np.lexsort((place, diagonal, item, doc))
+        key = np.stack((doc, item, diagonal, place))[:, order]
+        new = _changes(np.stack((*key[:3], key[3] - np.arange(key.shape[1]))))
+        starts = np.flatnonzero(new)
+        length = np.diff(np.append(starts, key.shape[1]))
+        long = length > self.size[key[1, starts]] - Q
+        for (d, t, diag, p), n in zip(key[:, starts[long]].T.tolist(), length[long].tolist()):
+            size, end = int(self.size[t]), p + n + Q - 1
+            if not np.array_equal(texts[d][diag + p:diag + end], self.codes[t][p:end]):
+                continue      # equal hashes of different q-grams: left to the alignment
+            s = np.arange(p, end - size + 1)
+            for x in s[self._is_tile(t, s)].tolist():
+                k, value = (first + d, t, x), (0, diag + x + size)
+                found[k] = min(found.get(k, value), value)
+        return found
+
+    def _verify(self, first, texts, doc, item, start, low, high, found) -> None:
+        """Banded alignment of each tile with its text along the diagonals low..high, those of
+        the tile's own start; adds to found."""
+        for size in np.unique(self.size[item]):
+            for edits in np.unique(self.edits[item[self.size[item] == size]]):
+                group = np.flatnonzero((self.size[item] == size) & (self.edits[item] == edits))
                 for a in range(0, len(group), 2048):
                     own = group[a:a + 2048]
                     # the part of the text under the band; outside the text nothing matches
@@ -191,17 +231,19 @@ class Index:
                         s, e = max(0, o), min(len(texts[dn]), o + span)
                         if e > s:
                             part[r, s - o:e - o] = texts[dn][s:e]
-                    query = np.stack([self.codes[x] for x in tile[own]]).astype(np.int32)
+                    query = np.stack([self.codes[x][s:s + size] for x, s in zip(item[own], start[own])]).astype(np.int32)
                     best, end = banded(query, part, width, int(edits))
                     for r in np.flatnonzero(best <= edits):
-                        k = (first + int(doc[own[r]]), int(self.item[tile[own[r]]]), int(self.start[tile[own[r]]]))
+                        k = (first + int(doc[own[r]]), int(item[own[r]]), int(start[own[r]]))
                         new = (int(best[r]), int(origin[r] + end[r]))
                         found[k] = min(found.get(k, new), new)
-        return [(*k, end, e) for k, (e, end) in sorted(found.items())]
 
 
-# Added to diagonals so that they are not negative (a tile may begin before its text).
-TILE_SPAN = 1 << 20
+def _changes(key: np.ndarray) -> np.ndarray:
+    """Columns of a sorted key that differ from the one before."""
+    new = np.ones(key.shape[1], bool)
+    new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+    return new
 
 
 def banded(query: np.ndarray, part: np.ndarray, width: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,15 +272,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, step:
     """All columns of docs, plus hits: array of (item_id, tile_start, doc_end, edits), one
     per tile that aligns; empty for clean documents. One row per row of docs.
 
-    Null or empty texts have no hits; null items and items of fewer than ``min_chars``
-    normalised characters (too short to be evidence) match nothing. Rows of the
+    Null or empty texts have no hits; items with a null text and items of fewer than
+    ``min_chars`` normalised characters (too short to be evidence) match nothing; hits of an
+    item with a null item_id have that null. Rows of the
     benchmark that repeat an item_id are items each. A column of docs named hits is
     replaced. Documents are compared with the benchmark in blocks of about
     ``block_chars`` characters (one broadcast each, a pass over docs each), however large
     the benchmark is; a single longer item is a block of its own.
     """
     bounded_batches(docs.sparkSession)
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_chars))
     out = docs.drop("hits")

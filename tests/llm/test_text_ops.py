@@ -215,6 +215,36 @@ def test_tiles_equal_full_scan():
         assert got == want
 
 
+def test_every_passage_of_an_item_is_searched():
+    """Against all substrings of an item: a passage counts wherever it starts, edited or not."""
+    r = random.Random(9)
+    for k in range(30):
+        s = decontam.normal(prose(400 + k, r.choice([16, 20, 60])))
+        n = decontam.TILE + r.randrange(0, 12)
+        start = r.randrange(0, len(s) - n + 1)
+        piece = list(s[start:start + n])
+        for _ in range(k % 4):
+            piece[r.randrange(len(piece))] = "~"
+        doc = decontam.normal(prose(k + 900, 15) + " " + "".join(piece) + " " + prose(k + 950, 15))
+        index = decontam.Index.build([s], decontam.TILE, decontam.STEP, decontam.RATE, decontam.MIN_CHARS)
+        got = {m[2]: m[4] for m in index.matches([doc])}
+        want = {}
+        for a in range(len(s) - decontam.TILE + 1):
+            e = least_edits(s[a:a + decontam.TILE], doc)
+            if e <= int(decontam.RATE * decontam.TILE):
+                want[a] = e
+        assert got == want and (k % 4 or start in got)
+
+
+def test_short_passages_and_items_without_id(spark):
+    s = decontam.normal(prose(600, 200))
+    docs = spark.createDataFrame([(i, prose(700 + i, 10) + " " + s[i:i + 60] + " " + prose(800 + i, 10)) for i in range(7, 600, 31)],
+                                 "doc_id long, text string")
+    for item in (1, None):
+        out = decontam.contaminated(docs, spark.createDataFrame([(item, s)], "item_id long, text string")).collect()
+        assert len(out) == docs.count() and all({h.item_id for h in r.hits} == {item} for r in out)
+
+
 def test_decontamination_blocks_and_odd_inputs(spark, odd, none, odd_rows):
     items = [(1, odd_rows[0][1][:200]), (1, prose(2, 80)[20:150]), (2, None), (3, ""), (4, "word"), (None, odd_rows[0][1]), (5, prose(77, 40))]
     bench = spark.createDataFrame(items, "item_id long, text string")
