@@ -7,13 +7,17 @@ the template's words that are aligned.
 
 Regions: a text holds a template at coverage c only if it holds at least one of the
 floor((1 - c) n) + 1 rarest of its n words (here: the longest), so only texts with such a
-word are looked at, around each of its places. The filter loses nothing.
+word are looked at, around each of its places. The filter loses nothing. Wide windows
+come first (notices with words put in), then windows of one template length at each place
+(notices that stand several times in a wide window, where no word is unique).
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -107,6 +111,8 @@ class Scanner:
         for name, ws in self.templates.items():
             spare = int((1 - min_coverage) * len(ws) + 1e-9)
             self.keys[name] = set(sorted(ws, key=lambda w: (-len(w), w))[:spare + 1])
+        self.counts = {name: Counter(ws) for name, ws in self.templates.items()}
+        self.at = {name: {k: [j for j, w in enumerate(ws) if w == k] for k in self.keys[name]} for name, ws in self.templates.items()}
         self.all_keys = sorted(set().union(*self.keys.values())) if self.keys else []
 
     def regions(self, text: list[str], name: str) -> list[tuple[int, int]]:
@@ -133,7 +139,11 @@ class Scanner:
         for name, template in self.templates.items():
             best = None
             for lo, hi in self.regions(ws, name):
-                for a, b in self.windows(ws, lo, hi, name):
+                for a, b in chain(self.windows(ws, lo, hi, name), self.places(ws, lo, hi, name)):
+                    # no alignment has more words than both sides share
+                    most = (Counter(ws[a:b]) & self.counts[name]).total() / len(template)
+                    if most < self.min_coverage or (best is not None and most <= best[0]):
+                        continue
                     pairs = align(ws[a:b], template)
                     cover = len(pairs) / len(template)
                     if pairs and cover >= self.min_coverage and (best is None or cover > best[0]):
@@ -157,6 +167,18 @@ class Scanner:
         for a in range(lo, hi - span // 2, span // 2):
             yield a, min(hi, a + span)
 
+    def places(self, ws: list[str], lo: int, hi: int, name: str):
+        """Windows of about one template length where a key word would stand at its place in
+        the template: a notice that stands twice in a wider window has no word that is
+        unique there. With slack for words put in; long templates on a coarser grid."""
+        n, at = len(self.templates[name]), self.at[name]
+        spare = int((1 - self.min_coverage) * n + 1e-9)
+        grid = max(1, spare // 2)
+        starts = sorted({(i - j) // grid * grid for i in range(lo, hi) for j in at.get(ws[i], ())})
+        for slack in sorted({0, spare + 1, n // 2 + 1}):
+            for s in starts:
+                yield max(0, s - slack), min(len(ws), s + grid - 1 + n + slack)
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """All columns of docs plus licenses: array of (name, coverage, first_word, end_word),

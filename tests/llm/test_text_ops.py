@@ -124,6 +124,21 @@ def test_scan_equals_scan_without_filter():
         assert all(full[n] >= s.min_coverage for n in got)
 
 
+def test_repeated_notices_in_one_paragraph():
+    s = license_scan.Scanner()
+    assert [f[:2] for f in s.scan("x All rights reserved. y All rights reserved. z")] == [("all-rights-reserved", 1.0)]
+    for k, (name, notice) in enumerate(license_scan.TEMPLATES.items()):
+        for copies in (2, 3):
+            for gap in (1, 4, 13):
+                text = prose(k, 3) + " " + "".join(f"{notice} {prose(50 + i, gap)} " for i in range(copies))
+                assert (name, 1.0) in [f[:2] for f in s.scan(text)], (name, copies, gap)
+        ws = notice.split()
+        if len(ws) > 6:
+            ws.insert(3, "really")
+            text = f"x {' '.join(ws)} y {' '.join(ws)} z"
+            assert (name, 1.0) in [f[:2] for f in s.scan(text)], name
+
+
 def test_license_odd_inputs(spark, odd, none):
     out = rows_by_id(license_scan.scan(odd))
     assert sum(map(len, out.values())) == odd.count() and all(r.licenses == [] for rs in out.values() for r in rs)
