@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from importlib import resources
 from itertools import chain
 
 import pandas as pd
@@ -42,6 +43,39 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved",
 }
 
+_GNU = ("This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name}General Public License "
+        "as published by the Free Software Foundation, either version {version} of the License")
+_CC = {"": "", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives", "NC-SA": "NonCommercial-ShareAlike", "NC-ND": "NonCommercial-NoDerivatives"}
+
+# Headers of source files and further notices; what follows # tells a license's templates apart.
+HEADERS = {
+    **{f"GPL-{v}.0#header": _GNU.format(what="program", name="", version=v) for v in (2, 3)},
+    **{f"LGPL-{v}#header": _GNU.format(what="library", name="Lesser ", version=v) for v in ("2.1", "3")},
+    "AGPL-3.0#header": _GNU.format(what="program", name="Affero ", version=3),
+    **{f"CC-BY-{k + '-' if k else ''}4.0#name": f"Creative Commons Attribution{'-' + v if v else ''} 4.0 International License" for k, v in _CC.items()},
+    **{f"CC-BY-{k}-4.0#long": f"This work is licensed under a Creative Commons Attribution-{v} 4.0 International License" for k, v in _CC.items() if k},
+    **{f"CC-BY-{k + '-' if k else ''}4.0#short": f"Licensed under CC BY{'-' + k if k else ''} 4.0" for k in _CC},
+}
+HEADERS["LGPL-3.0#header"] = HEADERS.pop("LGPL-3#header")
+
+# Words that tell a template from its neighbours: all of them must be aligned. GPL-3.0's text
+# is told from the Affero text by the date of its title.
+DISTINCT = {
+    "MIT": "MIT", "Apache-2.0": "Apache 2", "GPL-3.0": "3", "GPL-2.0": "2", "CC-BY-4.0": "Attribution 4", "CC-BY-NC-4.0": "NC 4",
+    "MPL-2.0": "Mozilla 2", "BSD-3-Clause#text": "endorse", "GPL-3.0#text": "29 June", "GPL-3.0#header": "3", "GPL-2.0#header": "2",
+    "LGPL-2.1#header": "Lesser 2 1", "LGPL-3.0#header": "Lesser 3", "AGPL-3.0#header": "Affero 3", "LGPL-2.1#text": "Lesser",
+    **{f"CC-BY-{k + '-' if k else ''}4.0#{part}": f"Attribution {v} 4" for k, v in _CC.items() for part in ("name", "long")},
+    **{f"CC-BY-{k + '-' if k else ''}4.0#short": f"CC BY {k} 4" for k in _CC},
+}
+
+
+def all_templates() -> dict[str, str]:
+    """TEMPLATES, HEADERS and the license texts of the folder licenses. Read on the driver."""
+    files = sorted((f for f in resources.files("revlens.llm").joinpath("licenses").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    names = [f.name.removesuffix(".txt") for f in files]
+    return {**TEMPLATES, **HEADERS, **{n if "#" in n else f"{n}#text": f.read_text("utf-8") for n, f in zip(names, files)}}
+
+
 _WORD = re.compile(r"\w+")
 
 
@@ -102,7 +136,8 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Finds templates (name -> notice) in texts."""
+    """Finds templates (name -> notice) in texts. Templates whose names differ only after a #
+    are of one license, which is what is reported."""
 
     def __init__(self, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE):
         self.min_coverage = min_coverage
@@ -113,7 +148,8 @@ class Scanner:
             self.keys[name] = set(sorted(ws, key=lambda w: (-len(w), w))[:spare + 1])
         self.counts = {name: Counter(ws) for name, ws in self.templates.items()}
         self.at = {name: {k: [j for j, w in enumerate(ws) if w == k] for k in self.keys[name]} for name, ws in self.templates.items()}
-        self.all_keys = sorted(set().union(*self.keys.values())) if self.keys else []
+        # template places that must be aligned
+        self.must = {name: {j for j, w in enumerate(ws) if w in set(words(DISTINCT.get(name, "")))} for name, ws in self.templates.items()}
 
     def regions(self, text: list[str], name: str) -> list[tuple[int, int]]:
         """Places around the template's key words: as many words to each side as an alignment may span."""
@@ -129,33 +165,38 @@ class Scanner:
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first word, end word), by template, of the best region of
-        each template that reaches min_coverage; ties go to the earlier region."""
-        lower = (text or "").lower()
-        if not any(k in lower for k in self.all_keys):
-            return []
-        ws = words(lower)
+        """(license, coverage, first word, end word), by license, of the best region of each
+        license's templates that reaches min_coverage; ties go to the earlier region."""
+        ws = words((text or "").lower())
+        have = set(ws)
         found = []
         for name, template in self.templates.items():
+            # no alignment has more words than both sides share
+            if (len(ws) / len(template) < self.min_coverage or self.keys[name].isdisjoint(have)
+                    or sum(self.counts[name][w] for w in have & self.counts[name].keys()) / len(template) < self.min_coverage):
+                continue
             best = None
             for lo, hi in self.regions(ws, name):
                 for a, b in chain(self.windows(ws, lo, hi, name), self.places(ws, lo, hi, name)):
-                    # no alignment has more words than both sides share
                     most = (Counter(ws[a:b]) & self.counts[name]).total() / len(template)
                     if most < self.min_coverage or (best is not None and most <= best[0]):
                         continue
                     pairs = align(ws[a:b], template)
                     cover = len(pairs) / len(template)
-                    if pairs and cover >= self.min_coverage and (best is None or cover > best[0]):
+                    if (pairs and cover >= self.min_coverage and (best is None or cover > best[0])
+                            and self.must[name] <= {y for _, y in pairs}):
                         best = (cover, a + pairs[0][0], a + pairs[-1][0] + 1)
             if best:
-                found.append((name, *best))
-        # of templates on overlapping words the best covered stays, then the longest, then by name
-        out: list[tuple[str, float, int, int]] = []
-        for f in sorted(found, key=lambda f: (-f[1], f[2] - f[3], f[0])):
-            if all(f[3] <= o[2] or f[2] >= o[3] for o in out):
-                out.append(f)
-        return sorted(out)
+                found.append((len(template) * best[0], name.split("#")[0], *best))
+        # of templates on overlapping words the one with most aligned words stays, then the best
+        # covered, then by name; of a license's templates the first of these
+        out: dict[str, tuple[str, float, int, int]] = {}
+        taken: list[tuple[int, int]] = []
+        for _, name, cover, first, end in sorted(found, key=lambda f: (-f[0], -f[2], f[1])):
+            if all(end <= lo or first >= hi for lo, hi in taken):
+                taken.append((first, end))
+                out.setdefault(name, (name, cover, first, end))
+        return sorted(out.values())
 
     def windows(self, ws: list[str], lo: int, hi: int, name: str):
         """A region in windows of four template lengths that overlap by half (a long merged
@@ -182,16 +223,17 @@ class Scanner:
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """All columns of docs plus licenses: array of (name, coverage, first_word, end_word),
-    one per template found, by name.
+    one per license found, by name; without ``templates``, those of ``all_templates()``.
 
     Null, empty and unmarked texts have an empty array. A column of docs named licenses
     is replaced. Row-local, whole texts.
     """
     bounded_batches(docs.sparkSession)
-    scanner = Scanner(templates, min_coverage)
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(templates or all_templates(), min_coverage))
 
     @pandas_udf("array<struct<name:string,coverage:double,first_word:int,end_word:int>>")
     def found(text: pd.Series) -> pd.Series:
+        scanner = shared.value
         return pd.Series([[{"name": n, "coverage": c, "first_word": a, "end_word": b} for n, c, a, b in scanner.scan(t)]
                           for t in text], dtype=object)
     return docs.drop("licenses").withColumn("licenses", found("text"))

@@ -139,6 +139,23 @@ def test_repeated_notices_in_one_paragraph():
             assert (name, 1.0) in [f[:2] for f in s.scan(text)], name
 
 
+def test_license_texts_headers_and_distinct_words(spark):
+    every = license_scan.all_templates()
+    mit, bsd3, agpl = every["MIT#text"], every["BSD-3-Clause#text"], every["GPL-3.0#text"].replace("29 June", "19 November")
+    rows = [(mit.replace("AUTHORS OR COPYRIGHT HOLDERS", "ACME"), ["MIT"]), (bsd3.replace("COPYRIGHT HOLDER", "REGENTS"), ["BSD-3-Clause"]),
+            (every["BSD-2-Clause#text"].replace("COPYRIGHT HOLDER", "REGENTS"), ["BSD-2-Clause"]),
+            (every["GPL-2.0#header"] + ", or (at your option) any later version.", ["GPL-2.0"]),
+            (every["LGPL-2.1#header"], ["LGPL-2.1"]), (every["AGPL-3.0#header"], ["AGPL-3.0"]),
+            (prose(1, 30) + every["GPL-3.0#text"].replace("warranty", "guarantee") + prose(2, 30), ["GPL-3.0"]), (agpl, []),
+            ("Released under the BSD License", []), ("Released under the MIT License", ["MIT"]), ("Licensed under CC BY 4.0", ["CC-BY-4.0"]),
+            ("Licensed under CC BY-NC 4.0", ["CC-BY-NC-4.0"]), ("Licensed under CC BY-NC-SA 4.0", ["CC-BY-NC-SA-4.0"]),
+            ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA-4.0"]),
+            *((t, [n.split("#")[0]]) for n, t in every.items())]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string").repartition(8)
+    got = {r.doc_id: [x.name for x in r.licenses] for r in license_scan.scan(docs).collect()}
+    assert {i: (rows[i][0][:40], g) for i, g in got.items() if g != rows[i][1]} == {}
+
+
 def test_license_odd_inputs(spark, odd, none):
     out = rows_by_id(license_scan.scan(odd))
     assert sum(map(len, out.values())) == odd.count() and all(r.licenses == [] for rs in out.values() for r in rs)
