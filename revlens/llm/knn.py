@@ -95,10 +95,10 @@ class Summaries:
         cell = d.argmin(axis=1)
         return cell, np.linalg.norm(x - p[cell], axis=1)
 
-    def bounds(self, center: np.ndarray, spread: np.ndarray, k: int) -> np.ndarray:
+    def bounds(self, center: np.ndarray, spread: np.ndarray, k: int, own: int = 1) -> np.ndarray:
         """centers x groups: whether a group can hold one of the k best candidates of any
-        query within ``spread`` of a center. One more is counted, as a query may itself
-        be among the nearest; a slack covers rounding."""
+        query within ``spread`` of a center. ``own`` more are counted, as the rows of a
+        query's own vec_id (at most so many) may be among the nearest; a slack covers rounding."""
         width = max(center.shape[1], self.pivots.shape[1])
         c, o = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (center, self.pivots))
         mid = c @ o.T
@@ -107,7 +107,7 @@ class Summaries:
         upper = mid + u * self.norm + (cn + u) * self.radius + slack
         lower = (mid - u * self.norm - slack)[:, :, None] - (cn + u)[:, :, None] * self.nearest[None]
         flat = np.sort(lower.reshape(len(c), -1), axis=1)
-        sure = flat[:, -(k + 1)] if flat.shape[1] > k else np.full(len(c), -np.inf)
+        sure = flat[:, -(k + own)] if flat.shape[1] >= k + own else np.full(len(c), -np.inf)
         return (upper >= sure[:, None]) & (self.blocks > 0)
 
 
@@ -116,9 +116,10 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: int = SCALE, n_pivots: in
 
     ``is_query``: condition on vec_id. Candidates of a query are all rows but those with
     its own vec_id; ties go to the smaller vec_id (rows that repeat a vec_id are
-    candidates each). Vectors that are null or hold null or non-finite components, and
-    rows with a null vec_id, take no part. Vectors of different lengths: the shorter is
-    filled with zeros. Scores beyond a long are given as its end; which of such candidates
+    candidates each). Query rows that repeat a vec_id are one query of several vectors: each
+    candidate counts once, with its best score. Vectors that are null or hold null or
+    non-finite components, and rows with a null vec_id, take no part. Vectors of different
+    lengths: the shorter is filled with zeros. Scores beyond a long are given as its end; which of such candidates
     come first is not defined. The driver holds ``n_pivots`` pivots and their summaries.
     """
     data = stage(_clean(vectors, scale), "vectors")
@@ -160,14 +161,15 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: int = SCALE, n_pivots: in
     spread = np.full(len(pivots), -np.inf)
     for r in queries.groupBy("cell").agg(F.max("dist").alias("u")).collect():
         spread[r.cell] = r.u
-    meets = index.bounds(pivots, np.where(np.isfinite(spread), spread, 0), k)
+    own = queries.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+    meets = index.bounds(pivots, np.where(np.isfinite(spread), spread, 0), k, own)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
             x = matrix(b.column(1).to_pylist())
-            wanted = index.bounds(x, np.zeros(len(x)), k) & meets[b.column(2).to_numpy()]
+            wanted = index.bounds(x, np.zeros(len(x)), k, own) & meets[b.column(2).to_numpy()]
             row, cell = np.nonzero(wanted)
             times = index.blocks[cell]
             row, cell = np.repeat(row, times), np.repeat(cell, times)
@@ -181,24 +183,36 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: int = SCALE, n_pivots: in
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
+
+        def choose(qid: int, s: np.ndarray) -> None:
+            other = np.flatnonzero(ids != qid)
+            s = s[other]
+            if len(s) > k:   # all at or above the k-th best score, smaller ids first
+                floor = np.partition(s, len(s) - k)[len(s) - k]
+                above = np.flatnonzero(s > floor)
+                level = np.flatnonzero(s == floor)[:k - len(above)]
+                pick = np.concatenate((above, level))
+            else:
+                pick = np.arange(len(s))
+            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[other[pick]], "score": s[pick]}))
         if len(left) and len(right):
             x, ids = matrix(list(right["q"])), right["vec_id"].to_numpy()
             by_id = np.argsort(ids, kind="stable")
             x, ids = x[by_id], ids[by_id]
+            left = left.sort_values("query_id", kind="stable")
+            # a query's rows follow each other, and a candidate row is in this block only
+            asking, best = None, None
             for lo in range(0, len(left), 256):
                 part = left.iloc[lo:lo + 256]
                 score = products(matrix(list(part["q"])), x)
                 for qid, s in zip(part["query_id"], score):
-                    other = np.flatnonzero(ids != qid)
-                    s = s[other]
-                    if len(s) > k:   # all at or above the k-th best score, smaller ids first
-                        floor = np.partition(s, len(s) - k)[len(s) - k]
-                        above = np.flatnonzero(s > floor)
-                        level = np.flatnonzero(s == floor)[:k - len(above)]
-                        pick = np.concatenate((above, level))
-                    else:
-                        pick = np.arange(len(s))
-                    out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[other[pick]], "score": s[pick]}))
+                    if qid == asking:
+                        best = np.maximum(best, s)
+                        continue
+                    if asking is not None:
+                        choose(asking, best)
+                    asking, best = qid, s
+            choose(asking, best)
         if not out:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
         return pd.concat(out)

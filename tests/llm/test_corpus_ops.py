@@ -214,6 +214,23 @@ def test_top_k_equals_brute_force(spark):
         assert all([x[0] for x in sorted(v)] == list(range(1, len(v) + 1)) and [x[1:] for x in sorted(v)] == sorted(x[1:] for x in v) for v in ranks.values())
 
 
+def test_top_k_repeated_queries(spark):
+    """Rows of one query id are one query: each candidate once, with its best score; their own
+    rows, many and near a pivot, hide no candidate."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=4) + 4 * (i % 3)).tolist()) for i in range(1, 200)]
+    rows += [(50, [30.0, 30.0, 30.0, 30.0])] * 40 + [(100, rows[99][1])] + [(7, rows[6][1])] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vs = [(i, np.floor(np.array(v) * 256)) for i, v in rows]
+    want = []
+    for qid in (50, 100, 150):
+        best = sorted((-max(int(q @ x) for i, q in vs if i == qid), j) for j, x in vs if j != qid)
+        want += [(qid, r + 1, j, -v) for r, (v, j) in enumerate(best[:5])]
+    for options in ({}, {"n_pivots": 200, "block_rows": 20}, {"n_pivots": 3}):
+        got = knn.top_k(df, F.col("vec_id") % 50 == 0, 5, **options)
+        assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == want, options
+
+
 def test_top_k_large_values_and_empty(spark):
     rows = [(i, [1e17 * (i + 1), -3.0, float(i)]) for i in range(7)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
