@@ -1,13 +1,12 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random +-1 vector of ``dim`` components. A letter n-gram is the
-componentwise product (binding) of its letters' vectors, each rotated by its place
-(permutation). A text is the sum (bundle) of its n-gram vectors, a language the bundle
-of its learning texts; a text gets the language of largest cosine.
-
-Bundling is linear, so a language prototype is (its n-gram counts) x (n-gram vectors):
-tasks sum integer counts per language and the vectors are bound once at the end.
-Integer counts add in any order to the same prototype, so a lost and repeated task
+Every letter has a random +-1 vector of ``dim`` components, drawn by hashing its code
+point. A letter n-gram is the componentwise product (binding) of its letters' vectors, each
+rotated by its place (permutation). A text is the sum (bundle) of its n-gram vectors, a
+language the bundle of its learning texts; a text gets the language of largest cosine.
+
+Bundles are sums of integers: tasks add the bundles of their texts per language, and the
+sums of the tasks add in any order to the same prototype, so a lost and repeated task
 changes nothing. A text's own bundle is computed in full, for its cosine.
 """
 
@@ -23,63 +22,105 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from revlens.llm.text import bounded_batches
+from revlens.llm.text import U64, bounded_batches, mix
 
 UNKNOWN = "und"
 N_GRAM = 3
 DIM = 512
-# Symbols: 0 any run of other characters, 1-26 the letters a-z, 27 and up the other
-# letters by code point modulo FOLD (the few of one language do not meet).
-FOLD = 23
-SYMBOLS = 27 + FOLD
+# An n-gram's code is its letters' code points side by side; 0 stands for any run of other characters.
+LETTER_BITS = 21
+LETTER = (1 << LETTER_BITS) - 1
 TEXTS_AT_ONCE = 128
+DENSE = 1 << 20             # n-grams over so few different letters are counted in a table
+HELD = 1 << 20              # n-grams whose counts a task holds per language before it bundles them
 
-
-def _symbol_table() -> np.ndarray:
-    table = np.zeros(1 << 16, np.uint8)
-    for cp in range(1 << 16):
-        c = chr(cp)
-        if "a" <= c <= "z":
-            table[cp] = cp - 96
-        elif c.isalpha():
-            table[cp] = 27 + cp % FOLD
-    return table
+_letters: np.ndarray | None = None
+_rank: np.ndarray | None = None
+_EDGE = np.zeros(1, np.int32)
 
 
-_table: np.ndarray | None = None
+def is_letter() -> np.ndarray:
+    """For every code point whether it is a letter."""
+    global _letters
+    if _letters is None:
+        _letters = np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), bool, 0x110000)
+    return _letters
 
 
-def ngram_codes(text: str) -> np.ndarray:
-    """Codes of the letter n-grams of a text, in order; a run of other characters is
-    one boundary symbol, and the text begins and ends with one. No letter: empty."""
-    global _table
-    if _table is None:
-        _table = _symbol_table()
-    cps = np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), "<u2")
-    s = _table[cps]
+def symbols(text: str) -> np.ndarray:
+    """Code points of the lower-cased letters, each run of other characters as one 0, and a 0 at
+    both ends. No letter: empty."""
+    s = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<i4")
+    s = s * is_letter()[s]
     if not s.any():
         return np.zeros(0, np.int32)
+    s = np.concatenate((_EDGE, s, _EDGE))
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-    inner = s[keep]
-    begin, end = int(inner[0] != 0), int(inner[-1] != 0)
-    s = np.zeros(len(inner) + begin + end, np.int32)
-    s[begin:begin + len(inner)] = inner
-    code = s[:len(s) - N_GRAM + 1].copy()
-    for i in range(1, N_GRAM):
-        code *= SYMBOLS
-        code += s[i:len(s) - N_GRAM + 1 + i]
+    return s[keep]
+
+
+def ngram_codes(text: str) -> np.ndarray:
+    """Codes of the letter n-grams of a text, in order."""
+    s = symbols(text)
+    code = np.zeros(max(0, len(s) - N_GRAM + 1), np.int64)
+    for i in range(N_GRAM):
+        code = code << LETTER_BITS | s[i:i + len(code)]
     return code
 
 
+def counted(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, texts x codes counts) of the n-grams of some texts, given their symbols."""
+    global _rank
+    if _rank is None:
+        _rank = np.zeros(LETTER + 1, np.int32)
+    line = np.concatenate(texts)
+    used = np.zeros(LETTER + 1, bool)
+    used[line] = True
+    alphabet = np.flatnonzero(used)
+    width = len(alphabet)
+    _rank[alphabet] = np.arange(width)
+    place = _rank[line].astype(np.int32 if width ** N_GRAM < 1 << 31 else np.int64)
+    grams, at = [], 0
+    for s in texts:
+        local = place[at:at + len(s)]
+        at += len(s)
+        code = np.zeros(max(0, len(s) - N_GRAM + 1), place.dtype)
+        for i in range(N_GRAM):
+            code = code * place.dtype.type(width) + local[i:i + len(code)]
+        grams.append(code)
+    if width ** N_GRAM <= DENSE:
+        used = np.zeros(width ** N_GRAM, bool)
+        for g in grams:
+            used[g] = True
+        codes = np.flatnonzero(used)
+        rank = np.cumsum(used, dtype=np.int32) - 1
+        places = [rank[g] for g in grams]
+    else:
+        codes, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+        places = np.split(inverse, np.cumsum([len(g) for g in grams])[:-1])
+    counts = np.stack([np.bincount(p, minlength=len(codes)) for p in places]) if len(texts) else np.zeros((0, 0), np.int64)
+    letters = [alphabet[codes // width ** (N_GRAM - 1 - i) % width] for i in range(N_GRAM)]
+    whole = letters[0]
+    for x in letters[1:]:
+        whole = whole << LETTER_BITS | x
+    return whole, counts
+
+
+def letter_vectors(letters: np.ndarray, dim: int, seed: int) -> np.ndarray:
+    """+-1 vectors of code points: bits of hashes of (code point, block of 64 components)."""
+    blocks = -(-dim // 64)
+    key = letters.astype(U64)[:, None] * U64(1 << 16) + np.arange(blocks, dtype=np.uint64)[None, :]
+    bits = np.unpackbits(mix(mix(key, seed), 1).astype("<u8").view(np.uint8).reshape(len(letters), -1), axis=1)
+    return bits[:, :dim].astype(np.int8) * 2 - 1
+
+
 def ngram_vectors(codes: np.ndarray, dim: int, seed: int) -> np.ndarray:
-    """Bound vectors of n-grams: product of the rotated letter vectors."""
-    letters = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dim), dtype=np.int8) * 2 - 1
+    """Bound vectors of n-grams: product of the rotated letter vectors (the last letter by 0)."""
     out = np.ones((len(codes), dim), np.int8)
-    rest = codes
-    for place in range(N_GRAM):
-        out *= np.roll(letters, place, axis=1)[rest % SYMBOLS]
-        rest = rest // SYMBOLS
+    for turn in range(N_GRAM):
+        letters, place = np.unique(codes >> LETTER_BITS * turn & LETTER, return_inverse=True)
+        out *= np.roll(letter_vectors(letters, dim, seed), turn, axis=1)[place]
     return out.astype(np.float32)
 
 
@@ -96,17 +137,15 @@ class Profiles:
         language that sorts first."""
         found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         for lo in range(0, len(texts), TEXTS_AT_ONCE):
-            grams = [ngram_codes(t or "") for t in texts[lo:lo + TEXTS_AT_ONCE]]
-            rows = [i for i, c in enumerate(grams) if len(c)]
+            found_symbols = [symbols(t or "") for t in texts[lo:lo + TEXTS_AT_ONCE]]
+            rows = [i for i, c in enumerate(found_symbols) if len(c)]
             if not rows or not self.langs:
                 continue
-            used = np.zeros(SYMBOLS ** N_GRAM, bool)
-            for i in rows:
-                used[grams[i]] = True
-            codes = np.flatnonzero(used)
-            place = np.cumsum(used, dtype=np.int32) - 1
-            dense = np.stack([np.bincount(place[grams[i]], minlength=len(codes)) for i in rows]).astype(np.float32)
-            bundle = dense @ ngram_vectors(codes, self.dim, self.seed)
+            codes, counts = counted([found_symbols[i] for i in rows])
+            bundle = np.zeros((len(rows), self.dim), np.float32)
+            for at in range(0, len(codes), HELD >> 4):      # vectors of some n-grams at a time
+                part = slice(at, at + (HELD >> 4))
+                bundle += counts[:, part].astype(np.float32) @ ngram_vectors(codes[part], self.dim, self.seed)
             norm = np.maximum(np.linalg.norm(bundle, axis=1), 1e-9)
             cos = (bundle @ self.prototypes.T) / norm[:, None]
             best = cos.argmax(axis=1)
@@ -119,38 +158,53 @@ class Profiles:
 def fit(docs: DataFrame, dim: int = DIM, seed: int = 7) -> Profiles:
     """Prototypes from all rows of docs(text, lang) with a non-null lang.
 
-    Each task sends one count row per language it met (n-grams are at most
-    SYMBOLS ** N_GRAM); the driver receives one row per language and n-gram range.
+    A task bundles its texts per language (holding the counts of at most HELD n-grams a
+    language at once) and sends ``dim`` sums a language; the driver receives as many.
     """
     bounded_batches(docs.sparkSession)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        held: dict[str, dict[int, int]] = {}
+
+        def add(lang: str) -> None:
+            counts = held.pop(lang, {})
+            codes = np.fromiter(counts.keys(), np.int64, len(counts))
+            n = np.fromiter(counts.values(), np.int64, len(counts))
+            for lo in range(0, len(codes), 1 << 14):
+                # whole numbers below 2^53: exact in doubles
+                part = n[lo:lo + (1 << 14)].astype(np.float64) @ ngram_vectors(codes[lo:lo + (1 << 14)], dim, seed).astype(np.float64)
+                sums[lang] = sums.get(lang, np.zeros(dim, np.int64)) + part.astype(np.int64)
         for b in batches:
             for lo in range(0, len(b), TEXTS_AT_ONCE):
                 by: dict[str, list[np.ndarray]] = {}
                 part = b.slice(lo, TEXTS_AT_ONCE)
                 for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    by.setdefault(lang, []).append(ngram_codes(text or ""))
-                for lang, codes in by.items():
-                    if lang not in sums:
-                        sums[lang] = np.zeros(SYMBOLS ** N_GRAM, np.int64)
-                    sums[lang] += np.bincount(np.concatenate(codes), minlength=SYMBOLS ** N_GRAM)
-        for lang, acc in sums.items():
-            codes = np.flatnonzero(acc)
-            yield pa.RecordBatch.from_pydict({
-                "lang": pa.array([lang] * len(codes), pa.string()),
-                "code": pa.array(codes, pa.int64()), "n": pa.array(acc[codes], pa.int64())})
+                    s = symbols(text or "")
+                    sums.setdefault(lang, np.zeros(dim, np.int64))
+                    if len(s):
+                        by.setdefault(lang, []).append(s)
+                for lang, texts in by.items():
+                    codes, counts = counted(texts)
+                    own = held.setdefault(lang, {})
+                    for code, n in zip(codes.tolist(), counts.sum(axis=0).tolist()):
+                        own[code] = own.get(code, 0) + n
+                    if len(own) > HELD:
+                        add(lang)
+        for lang in list(held):
+            add(lang)
+        for lang, v in sums.items():
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * dim, pa.string()), "i": pa.array(np.arange(dim), pa.int64()), "v": pa.array(v, pa.int64())})
 
     rows = (docs.where("lang IS NOT NULL").select("text", "lang")
-            .mapInArrow(count, "lang string, code long, n long")
-            .groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas())
+            .mapInArrow(bundle, "lang string, i long, v long")
+            .groupBy("lang", "i").agg(F.sum("v").alias("v")).toPandas())
     langs = sorted(rows["lang"].unique()) if len(rows) else []
     protos = np.zeros((len(langs), dim), np.float32)
-    for i, lang in enumerate(langs):
-        own = rows[rows["lang"] == lang].sort_values("code")
-        v = own["n"].to_numpy(np.float64) @ ngram_vectors(own["code"].to_numpy(), dim, seed).astype(np.float64)
-        protos[i] = v / max(np.linalg.norm(v), 1e-9)
+    for k, lang in enumerate(langs):
+        own = rows[rows["lang"] == lang].sort_values("i")
+        v = own["v"].to_numpy(np.float64)
+        protos[k] = v / max(np.linalg.norm(v), 1e-9)
     return Profiles(list(langs), protos, dim, seed)
 
 

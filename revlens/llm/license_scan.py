@@ -7,9 +7,10 @@ the template's words that are aligned.
 
 Regions: a text holds a template at coverage c only if it holds at least one of the
 floor((1 - c) n) + 1 rarest of its n words (here: the longest), so only texts with such a
-word are looked at, around each of its places. The filter loses nothing. Wide windows
-come first (notices with words put in), then windows of one template length at each place
-(notices that stand several times in a wide window, where no word is unique).
+word are looked at, around each of its places, in windows of one template length and
+somewhat more (words put in). An aligned region is at most one and a half times as long as its
+template, so it never joins two notices. All regions of all templates are candidates; of
+those on the same words the one with most aligned words stays.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from importlib import resources
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -165,59 +165,65 @@ class Scanner:
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, end word), by license, of the best region of each
-        license's templates that reaches min_coverage; ties go to the earlier region."""
+        """(license, coverage, first word, end word) of each license found, by license.
+
+        Every region that reaches min_coverage is a candidate, of every template. On
+        overlapping words the one with most aligned words stays (less the words put in), then the
+        best covered, then by name; a template that loses one region may keep another. Of a
+        license's regions the first in this order is reported."""
         ws = words((text or "").lower())
         have = set(ws)
-        found = []
+        found: set[tuple[int, float, str, int, int]] = set()
         for name, template in self.templates.items():
             # no alignment has more words than both sides share
             if (len(ws) / len(template) < self.min_coverage or self.keys[name].isdisjoint(have)
                     or sum(self.counts[name][w] for w in have & self.counts[name].keys()) / len(template) < self.min_coverage):
                 continue
-            best = None
             for lo, hi in self.regions(ws, name):
-                for a, b in chain(self.windows(ws, lo, hi, name), self.places(ws, lo, hi, name)):
-                    most = (Counter(ws[a:b]) & self.counts[name]).total() / len(template)
-                    if most < self.min_coverage or (best is not None and most <= best[0]):
-                        continue
-                    pairs = align(ws[a:b], template)
-                    cover = len(pairs) / len(template)
-                    if (pairs and cover >= self.min_coverage and (best is None or cover > best[0])
-                            and self.must[name] <= {y for _, y in pairs}):
-                        best = (cover, a + pairs[0][0], a + pairs[-1][0] + 1)
-            if best:
-                found.append((len(template) * best[0], name.split("#")[0], *best))
-        # of templates on overlapping words the one with most aligned words stays, then the best
-        # covered, then by name; of a license's templates the first of these
+                for a, b in self.places(ws, lo, hi, name):
+                    found |= self.fit(ws, a, b, name)
         out: dict[str, tuple[str, float, int, int]] = {}
         taken: list[tuple[int, int]] = []
-        for _, name, cover, first, end in sorted(found, key=lambda f: (-f[0], -f[2], f[1])):
+        for _, cover, name, first, end in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
             if all(end <= lo or first >= hi for lo, hi in taken):
                 taken.append((first, end))
+                name = name.split("#")[0]
                 out.setdefault(name, (name, cover, first, end))
         return sorted(out.values())
 
-    def windows(self, ws: list[str], lo: int, hi: int, name: str):
-        """A region in windows of four template lengths that overlap by half (a long merged
-        region would hide anchors: their words are not unique in it)."""
-        span = 4 * len(self.templates[name]) + 1
-        if hi - lo <= span:
-            yield lo, hi
-            return
-        for a in range(lo, hi - span // 2, span // 2):
-            yield a, min(hi, a + span)
+    def fit(self, ws: list[str], a: int, b: int, name: str) -> set[tuple[int, float, str, int, int]]:
+        """Regions of the template in the words a to b. An alignment that spreads over more than the
+        template's length and a half joins parts of different notices: it is cut at its widest
+        gap and both sides are aligned anew."""
+        template, out = self.templates[name], set()
+        n = len(template)
+        todo = [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            if (Counter(ws[a:b]) & self.counts[name]).total() / n < self.min_coverage:
+                continue
+            pairs = align(ws[a:b], template)
+            if len(pairs) / n < self.min_coverage:
+                continue
+            first, end = a + pairs[0][0], a + pairs[-1][0] + 1
+            if end - first > n + n // 2 + 1:
+                gap, cut = max((y[0] - x[0], -x[0]) for x, y in zip(pairs, pairs[1:]))
+                todo += [(a, a - cut + 1), (a - cut + gap, b)]
+            elif self.must[name] <= {y for _, y in pairs}:
+                # words put in count against a region
+                out.add((2 * len(pairs) - (end - first), len(pairs) / n, name, first, end))
+        return out
 
     def places(self, ws: list[str], lo: int, hi: int, name: str):
         """Windows of about one template length where a key word would stand at its place in
-        the template: a notice that stands twice in a wider window has no word that is
-        unique there. With slack for words put in; long templates on a coarser grid."""
+        the template (in a wider one a notice that stands twice has no word that is unique), with
+        slack for words put in; long templates on a coarser grid."""
         n, at = len(self.templates[name]), self.at[name]
         spare = int((1 - self.min_coverage) * n + 1e-9)
         grid = max(1, spare // 2)
         starts = sorted({(i - j) // grid * grid for i in range(lo, hi) for j in at.get(ws[i], ())})
-        for slack in sorted({0, spare + 1, n // 2 + 1}):
-            for s in starts:
+        for s in starts:
+            for slack in sorted({0, spare + 1, n // 2 + 1}):
                 yield max(0, s - slack), min(len(ws), s + grid - 1 + n + slack)
 
 

@@ -17,17 +17,22 @@ SMALL = "/root/testdata/sf0.001"
 # ------------------------------------------------------------------ language ID
 def test_profiles_equal_the_definition():
     """Bundle and cosine computed gram by gram, as the docstring says."""
-    text, dim, seed = "Abc, été abc", 64, 3
-    letters = np.random.default_rng(seed).integers(0, 2, (langid.SYMBOLS, dim), dtype=np.int8) * 2 - 1
-    symbols = []
-    for c in " " + text.lower().replace(",", "") + " ":
-        s = 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % langid.FOLD
-        symbols.append(s)
+    text, dim, seed = "Abc, été 𐐨𐐩 abc ß日", 192, 3
+    letters = {c: langid.letter_vectors(np.array([ord(c)]), dim, seed)[0].astype(float) for c in set(text.lower())}
+    letters[" "] = langid.letter_vectors(np.array([0]), dim, seed)[0].astype(float)
+    assert len({tuple(v) for c, v in letters.items()}) == len(letters)      # a vector of its own for each letter
     bundle = np.zeros(dim)
-    for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
-        bundle += np.roll(letters[a], 2).astype(float) * np.roll(letters[b], 1) * letters[c]
+    line = " " + text.lower().replace(",", "") + " "
+    for a, b, c in zip(line, line[1:], line[2:]):
+        bundle += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
     codes, n = np.unique(langid.ngram_codes(text), return_counts=True)
     assert np.allclose(n @ langid.ngram_vectors(codes, dim, seed), bundle)
+    for dense in (langid.DENSE, 1):         # counted in a table, and by sorting
+        langid.DENSE, old = dense, langid.DENSE
+        got, counts = langid.counted([langid.symbols(text), langid.symbols("abc")])
+        langid.DENSE = old
+        assert dict(zip(got.tolist(), counts[0].tolist())) == {**dict.fromkeys(got.tolist(), 0), **dict(zip(codes.tolist(), n.tolist()))}
+        assert counts[1].sum() == 3
     proto = np.random.default_rng(0).normal(size=(2, dim))
     proto /= np.linalg.norm(proto, axis=1)[:, None]
     found, score = langid.Profiles(["x", "y"], proto.astype(np.float32), dim, seed).predict([text, None, "12 !"])
@@ -58,6 +63,15 @@ def test_language_odd_inputs(spark, odd, none):
     assert {r.lang_pred for r in langid.identify(odd, empty).collect()} == {"und"}
 
 
+def test_letters_beyond_the_basic_plane(spark):
+    """A text of such letters only has a letter, so it has a language; scripts do not meet."""
+    rows = [(i, t * 20, lang) for i, (t, lang) in enumerate([("𐐨𐐩𐐪 𐐫𐐬 ", "dsrt"), ("слово за словом ", "ru"), ("日本語の本 ", "ja"), ("une phrase ici ", "fr")])]
+    profiles = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["𐐩𐐪 𐐫𐐬", "𐐨", "за словом", "本語", "phrase", "12 !", ""]
+    found, scores = profiles.predict(texts)
+    assert found == ["dsrt", "dsrt", "ru", "ja", "fr", "und", "und"] and min(scores[:5]) > 0.1
+
+
 # ------------------------------------------------------------------ toxicity
 def test_nnpu_finds_planted_words():
     r = random.Random(5)
@@ -68,6 +82,45 @@ def test_nnpu_finds_planted_words():
     assert (score(toxic[100:]) >= 0.7).mean() > 0.95 and (score(clean[300:]) < 0.5).mean() > 0.97
 
 
+@pytest.mark.parametrize("prior", [0.05, 0.9])
+def test_nnpu_equals_dense_risk(prior):
+    """The risk as the docstring states it, on a dense matrix with slopes by differences: the same
+    steps (those that go up the corrected part's slope too), weights and scores."""
+    r = random.Random(11)
+    pool = [f"w{i}" for i in range(12)]
+    pos = [set(r.sample(pool[:6], 3)) | {"bad"} for _ in range(25)]
+    unl = [set(r.sample(pool, 4)) | ({"bad"} if i % 5 == 0 else set()) for i in range(60)]
+    steps, rate, decay = 60, 0.05, 2e-4
+    model = toxicity.train(pos, unl, prior, models=1, steps=steps, rate=rate, decay=decay, least=2.0)
+    names = list(model.weights)
+    assert len(names) > 3
+    copies = lambda sample: [set(t) for t in sorted({tuple(sorted(d)) for d in sample})]
+    dense = lambda sample: np.array([[any(n == w or (n[0] == "^" and w.startswith(n[1:]) and len(w) > len(n) - 1) for w in d) for n in names] for d in copies(sample)], float)
+    a, b = dense(pos), dense(unl)
+    plus, minus = (lambda z: np.logaddexp(0, -z).mean()), (lambda z: np.logaddexp(0, z).mean())
+
+    def parts(x):
+        zp, zu = a @ x[:-1] + x[-1], b @ x[:-1] + x[-1]
+        return prior * plus(zp), minus(zu) - prior * minus(zp)
+
+    def slope(f, x):
+        return np.array([(f(x + e) - f(x - e)) / 2e-6 for e in np.eye(len(x)) * 1e-6])
+    x = np.append(np.zeros(len(names)), np.log(prior / (1 - prior)))
+    m, v, turned = np.zeros(len(x)), np.zeros(len(x)), 0
+    for t in range(1, steps + 1):
+        up = parts(x)[1] < 0
+        turned += up
+        g = -slope(lambda y: parts(y)[1], x) if up else slope(lambda y: sum(parts(y)), x)
+        g[:-1] += decay * x[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        x = x - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    assert turned > 0 or prior < 0.5
+    got = np.append([model.weights[n][0] for n in names], model.bias[0])
+    assert np.allclose(got, x, atol=2e-2), np.abs(got - x).max()
+    z = b @ x[:-1] + x[-1]
+    assert np.allclose(model.score([" ".join(d) for d in copies(unl)]), 1 / (1 + np.exp(-z)), atol=1e-2)
+
+
 def test_toxicity_held_out(spark):
     sf = SMALL.replace("0.001", "0.1")
     out = toxicity.query(spark, sf).toPandas()
@@ -156,6 +209,25 @@ def test_license_texts_headers_and_distinct_words(spark):
     assert {i: (rows[i][0][:40], g) for i, g in got.items() if g != rows[i][1]} == {}
 
 
+def test_two_notices_in_one_text():
+    """Ordered pairs of templates, next to each other and apart: both licenses are found, no other."""
+    every = license_scan.all_templates()
+    s = license_scan.Scanner(every)
+    short = [n for n, t in every.items() if len(license_scan.words(t)) <= 60]
+    long = [n for n in every if n not in short]
+    r = random.Random(3)
+    cases = [(x, y, gap) for x in short for y in short for gap in (0, 10)]
+    cases += [(x, y, 10) for x in long for y in [*r.sample(short, 2), r.choice(long)]] + [(x, y, 3) for y in long for x in r.sample(short, 2)]
+    wrong = []
+    for x, y, gap in cases:
+        text = f"{prose(1, 5)} {every[x]} {prose(2, gap)} {every[y]} {prose(3, 5)}"
+        names = [f[0] for f in s.scan(text)]
+        if names != sorted({x.split("#")[0], y.split("#")[0]}):
+            wrong.append((x, y, gap, names))
+    assert not wrong and len(cases) > 2000
+    assert [f[0] for f in s.scan("Licensed under CC BY-NC 4.0 and Licensed under CC BY-SA 4.0")] == ["CC-BY-NC-4.0", "CC-BY-SA-4.0"]
+
+
 def test_license_odd_inputs(spark, odd, none):
     out = rows_by_id(license_scan.scan(odd))
     assert sum(map(len, out.values())) == odd.count() and all(r.licenses == [] for rs in out.values() for r in rs)
