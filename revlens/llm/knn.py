@@ -11,27 +11,29 @@ so the summaries give every query group a score that k of its candidates surely
 and an upper bound for each data group; only pairs of groups whose upper bound reaches
 it meet. The same bounds with the query itself (u = 0) then decide which of these data
 groups a query is sent to. Queries are the smaller side, so they are what is replicated;
-data groups stay where they are, cut into blocks of bounded size. Each block is solved
-locally and the blocks' lists are merged.
+data groups stay where they are, cut into blocks of bounded size. A task holds one block
+and reads the queries sent to it batch by batch, so no number of queries fills it; beyond
+``QUERY_ROWS`` queries they are dealt to several tasks a block. The blocks' lists are merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.text import stage
+from revlens.llm.text import bounded_batches, stage
 
 SCALE = 256
-PIVOTS = 32
+PIVOT_SHARE = 8             # pivots: square root of the number of rows, divided by this
 BLOCK_ROWS = 4096
-QUERY_ROWS = 4096
+QUERY_ROWS = 1 << 18
+BOUNDS_AT_ONCE = 1 << 22
 EXACT_FLOAT = float(1 << 53)
 LONG = (1 << 63) - 1
 
@@ -99,6 +101,9 @@ class Summaries:
         """centers x groups: whether a group can hold one of the k best candidates of any
         query within ``spread`` of a center. ``own`` more are counted, as the rows of a
         query's own vec_id (at most so many) may be among the nearest; a slack covers rounding."""
+        step = max(1, BOUNDS_AT_ONCE // self.nearest.size)
+        if len(center) > step:
+            return np.concatenate([self.bounds(center[i:i + step], spread[i:i + step], k, own) for i in range(0, len(center), step)])
         width = max(center.shape[1], self.pivots.shape[1])
         c, o = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (center, self.pivots))
         mid = c @ o.T
@@ -111,7 +116,60 @@ class Summaries:
         return (upper >= sure[:, None]) & (self.blocks > 0)
 
 
-def top_k(vectors: DataFrame, is_query, k: int, scale: int = SCALE, n_pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+class BlockSolver:
+    """Best candidates of the queries sent to one data block. The block comes first, whole (it is
+    bounded); then the queries, those of one id one after the other, which are one query."""
+
+    def __init__(self, key: tuple[int, int, int], k: int):
+        self.key, self.k = key, k
+        self.ids: list[np.ndarray] = []
+        self.rows: list[bytes] = []
+        self.x: np.ndarray | None = None
+        self.asking: int | None = None
+        self.best: np.ndarray | None = None
+        self.out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, ids: np.ndarray, rows: list[bytes]) -> None:
+        self.ids.append(ids)
+        self.rows += rows
+
+    def ask(self, ids: list[int], rows: list[bytes]) -> None:
+        if not ids or not self.rows:
+            return
+        if self.x is None:      # data rows came in order of vec_id
+            self.x, self.every = matrix(self.rows), np.concatenate(self.ids)
+        for lo in range(0, len(ids), 256):
+            for qid, s in zip(ids[lo:lo + 256], products(matrix(rows[lo:lo + 256]), self.x)):
+                if qid == self.asking:
+                    self.best = np.maximum(self.best, s)
+                    continue
+                self.choose()
+                self.asking, self.best = qid, s
+
+    def choose(self) -> None:
+        if self.asking is None:
+            return
+        other = np.flatnonzero(self.every != self.asking)
+        s = self.best[other]
+        if len(s) > self.k:   # all above the k-th best score, then smaller ids first
+            floor = np.partition(s, len(s) - self.k)[len(s) - self.k]
+            above = np.flatnonzero(s > floor)
+            pick = np.concatenate((above, np.flatnonzero(s == floor)[:self.k - len(above)]))
+        else:
+            pick = np.arange(len(s))
+        self.out.append((np.full(len(pick), self.asking), self.every[other[pick]], s[pick]))
+        self.asking = None
+
+    def result(self, last: bool = False) -> pa.RecordBatch:
+        if last:
+            self.choose()
+        out, self.out = self.out, []
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+
+
+def top_k(vectors: DataFrame, is_query, k: int, scale: int = SCALE, n_pivots: int | None = None, block_rows: int = BLOCK_ROWS,
+          query_rows: int = QUERY_ROWS) -> DataFrame:
     """vectors(vec_id integer, embedding array) -> query_id, rank, vec_id, score.
 
     ``is_query``: condition on vec_id. Candidates of a query are all rows but those with
@@ -120,9 +178,12 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: int = SCALE, n_pivots: in
     candidate counts once, with its best score. Vectors that are null or hold null or
     non-finite components, and rows with a null vec_id, take no part. Vectors of different
     lengths: the shorter is filled with zeros. Scores beyond a long are given as its end; which of such candidates
-    come first is not defined. The driver holds ``n_pivots`` pivots and their summaries.
+    come first is not defined. The driver holds ``n_pivots`` pivots (by default in
+    proportion to the square root of the number of rows) and their summaries.
     """
+    bounded_batches(vectors.sparkSession)
     data = stage(_clean(vectors, scale), "vectors")
+    n_pivots = n_pivots or max(16, isqrt(data.count()) // PIVOT_SHARE)
     sample = [r.q for r in data.select("q", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(n_pivots).collect()]
     if not sample:
         return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -181,43 +242,36 @@ def top_k(vectors: DataFrame, is_query, k: int, scale: int = SCALE, n_pivots: in
     cut = F.create_map(*[x for c, n in enumerate(blocks) for x in (F.lit(c), F.lit(int(max(1, n))))])
     kept = placed.select("vec_id", "q", "cell", F.pmod(F.xxhash64("vec_id", "q"), cut[F.col("cell")]).cast("int").alias("block"))
 
-    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-
-        def choose(qid: int, s: np.ndarray) -> None:
-            other = np.flatnonzero(ids != qid)
-            s = s[other]
-            if len(s) > k:   # all at or above the k-th best score, smaller ids first
-                floor = np.partition(s, len(s) - k)[len(s) - k]
-                above = np.flatnonzero(s > floor)
-                level = np.flatnonzero(s == floor)[:k - len(above)]
-                pick = np.concatenate((above, level))
-            else:
-                pick = np.arange(len(s))
-            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[other[pick]], "score": s[pick]}))
-        if len(left) and len(right):
-            x, ids = matrix(list(right["q"])), right["vec_id"].to_numpy()
-            by_id = np.argsort(ids, kind="stable")
-            x, ids = x[by_id], ids[by_id]
-            left = left.sort_values("query_id", kind="stable")
-            # a query's rows follow each other, and a candidate row is in this block only
-            asking, best = None, None
-            for lo in range(0, len(left), 256):
-                part = left.iloc[lo:lo + 256]
-                score = products(matrix(list(part["q"])), x)
-                for qid, s in zip(part["query_id"], score):
-                    if qid == asking:
-                        best = np.maximum(best, s)
-                        continue
-                    if asking is not None:
-                        choose(asking, best)
-                    asking, best = qid, s
-            choose(asking, best)
-        if not out:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-        return pd.concat(out)
-    found = (asked.groupBy("cell", "block").cogroup(kept.groupBy("cell", "block"))
-             .applyInPandas(solve, "query_id long, vec_id long, score long"))
+    # rows of a task: sorted by block, its data before its queries
+    parts = -(-queries.count() // query_rows)
+    data_rows = kept.select("cell", "block", F.explode(F.sequence(F.lit(0), F.lit(max(1, parts) - 1))).alias("part"), F.lit(0).alias("side"), F.col("vec_id").alias("id"), "q")
+    query_side = asked.select("cell", "block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, parts))).cast("int").alias("part"), F.lit(1).alias("side"),
+                              F.col("query_id").alias("id"), "q")
+    rows = (data_rows.unionByName(query_side).repartition("cell", "block", "part")
+            .sortWithinPartitions("cell", "block", "part", "side", "id"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        solver = None
+        for b in batches:
+            key = [b.column(i).to_numpy() for i in range(3)]
+            change = np.flatnonzero((np.diff(key[0]) != 0) | (np.diff(key[1]) != 0) | (np.diff(key[2]) != 0)) + 1
+            for lo, hi in zip([0, *change], [*change, len(b)]):
+                if lo == hi:
+                    continue
+                at = tuple(int(c[lo]) for c in key)
+                if solver is None or solver.key != at:
+                    if solver is not None:
+                        yield solver.result(last=True)
+                    solver = BlockSolver(at, k)
+                side = b.column(3).to_numpy()[lo:hi]
+                n_data = int((side == 0).sum())
+                if n_data:
+                    solver.add(b.column(4).slice(lo, n_data).to_numpy(), b.column(5).slice(lo, n_data).to_pylist())
+                solver.ask(b.column(4).slice(lo + n_data, hi - lo - n_data).to_pylist(), b.column(5).slice(lo + n_data, hi - lo - n_data).to_pylist())
+                yield solver.result()
+        if solver is not None:
+            yield solver.result(last=True)
+    found = rows.mapInArrow(solve, "query_id long, vec_id long, score long")
     merge = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(merge)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

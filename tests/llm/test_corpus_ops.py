@@ -203,7 +203,7 @@ def test_top_k_equals_brute_force(spark):
     rows += [(600, None), (601, [None] * 8), (602, [float("nan")] * 8), (None, [1.0] * 8), (603, [1.0, 2.0]), (604, []), (610, [float("inf")] * 8),
              (10, [9.0] * 8), (10, [9.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("cell", F.lit("clash"))
-    for options in ({}, {"n_pivots": 7, "block_rows": 20}, {"n_pivots": 1}):
+    for options in ({}, {"n_pivots": 7, "block_rows": 20, "query_rows": 9}, {"n_pivots": 1}):
         got = knn.top_k(df, F.col("vec_id") % 10 == 0, 5, **options)
         want = brute_top(rows, 10, 5)
         # rows that repeat a query's id are one query each: compare as sets of rows per query
@@ -226,7 +226,7 @@ def test_top_k_repeated_queries(spark):
     for qid in (50, 100, 150):
         best = sorted((-max(int(q @ x) for i, q in vs if i == qid), j) for j, x in vs if j != qid)
         want += [(qid, r + 1, j, -v) for r, (v, j) in enumerate(best[:5])]
-    for options in ({}, {"n_pivots": 200, "block_rows": 20}, {"n_pivots": 3}):
+    for options in ({}, {"n_pivots": 200, "block_rows": 20, "query_rows": 2}, {"n_pivots": 3}):
         got = knn.top_k(df, F.col("vec_id") % 50 == 0, 5, **options)
         assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == want, options
 
