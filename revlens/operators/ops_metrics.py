@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens.operators import quantiles as qn
+
 # Duration histogram buckets in seconds (the Prometheus exporter defaults): fixed values.
 DURATION_BUCKETS_S = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 MINUTE_MS = 60_000
@@ -114,6 +116,11 @@ def backlog_alert(landed: DataFrame, delivered: DataFrame, limit: int = 10_000,
                     (above & F.coalesce(F.col("minute") - F.col("since") >= minutes - 1, F.lit(False))).alias("alert"))
 
 
+def latency_by_version(sketches: DataFrame, by: str = "model_version") -> DataFrame:
+    """p95 latency of each version from stored (hour, version) sketches."""
+    return qn.sketch_quantiles(qn.merge_sketches(sketches, [by]), [0.95]).select(by, F.col("q")[0].alias("p95_ms"))
+
+
 def model_health(psi: DataFrame, residuals: DataFrame, registry: DataFrame, latency: DataFrame | None = None,
                  mae_factor: float = 5.0, min_major: int = 2, latency_factor: float = 2.0) -> DataFrame:
     """Rollback triggers per model version against the version registered before it

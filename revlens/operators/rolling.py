@@ -155,17 +155,15 @@ def rolling_rpc_point_in_time(click_rev: DataFrame, ledger: DataFrame, days=(7,
                     & (r.revenue_ts <= c.cts + F.expr(f"INTERVAL {int(window_days)} DAYS")))
               .select(*BUCKET, "t_e", "revenue",
                       (F.floor(F.unix_micros("revenue_ts") / 1_000_000) + 1).cast("long").alias("r_next")))
-    ev = []
+    # both events of every frame from one pass over the pairs
+    lo = F.greatest(F.col("t_e") + 1, F.col("r_next"))
+    terms = []
     for n in days:
-        lo = F.greatest(F.col("t_e") + 1, F.col("r_next"))
         hi = F.col("t_e") + n * DAY_S
-        valid = pairs.where(lo <= hi).withColumn("n", F.lit(n))
-        ev.append(valid.select(*BUCKET, "n", lo.alias("sec"), F.col("revenue").alias("amount")))
-        ev.append(valid.select(*BUCKET, "n", (hi + 1).alias("sec"), (-F.col("revenue")).alias("amount")))
-    events = ev[0]
-    for e in ev[1:]:
-        events = events.unionByName(e)
-    events = events.groupBy(*BUCKET, "n", "sec").agg(F.sum("amount").alias("amount"))
+        for sec, amount in ((lo, F.col("revenue")), (hi + 1, -F.col("revenue"))):
+            terms.append(F.when(lo <= hi, F.struct(F.lit(n).alias("n"), sec.alias("sec"), amount.alias("amount"))))
+    events = (pairs.select(*BUCKET, F.explode(F.array_compact(F.array(*terms))).alias("e")).select(*BUCKET, "e.*")
+              .groupBy(*BUCKET, "n", "sec").agg(F.sum("amount").alias("amount")))
     secs = click_rev.select(*BUCKET, F.unix_seconds("click_ts").alias("sec")).distinct()
     probes = secs.withColumn("n", F.explode(F.array(*[F.lit(n) for n in days])))
     sums = _prefix_at(events, probes, [*BUCKET, "n"])

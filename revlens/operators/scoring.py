@@ -8,12 +8,16 @@ Fallback values: kill switch / tCPA 0.0, data layer = the click's ledger sum.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.columns import bounds_check, canary, clv_adjust, f64_text, is_finite
+from revlens.operators.asof import config_at_call
 from revlens.operators.breaker import STATE, BreakerPolicy, guard_calls
 from revlens.operators.ml import predict
+from revlens.session import checkpoint_dir
 
 # Debug names of the prediction sources, as printed in the audit hash: fixed values.
 SOURCE_DEBUG = {"MODEL": "Model", "FALLBACK_TCPA": "FallbackTcpa",
@@ -74,6 +78,13 @@ def _outcome(rpc: Column, source, reason, version: Column) -> Column:
                     version.alias("model_version"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write to the shared checkpoint folder and read back."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/calls-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _calls(clicks: DataFrame, cfg: dict, model, clv, premium, store, ids: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """(outcomes of the clicks that the kill switch or the canary stops, model calls of
     the others: ids, model_error, rpc). Killed: no calls."""
@@ -82,7 +93,11 @@ def _calls(clicks: DataFrame, cfg: dict, model, clv, premium, store, ids: list[s
         return _result(clicks, ids, _outcome(zero, "KILL_SWITCH", "kill_switch", fallback)), None
     x = clicks.withColumn("_reach", F.coalesce(canary("click_id", int(cfg["canary_bp"])), F.lit(False)))
     stopped = _result(x.where(~F.col("_reach")), ids, _outcome(zero, "FALLBACK_TCPA", "out_of_canary", fallback))
-    x = x.where(F.col("_reach"))
+    return stopped, _outputs(x.where(F.col("_reach")), model, clv, premium, store, ids)
+
+
+def _outputs(x: DataFrame, model, clv, premium, store, ids: list[str]) -> DataFrame:
+    """Model outputs (ids, model_error, rpc) of the clicks that reach the model."""
     if store is not None:
         x = feature_overrides(x, store)
     x = predict(x, model, out="rpc_raw")
@@ -91,7 +106,7 @@ def _calls(clicks: DataFrame, cfg: dict, model, clv, premium, store, ids: list[s
         x = x.withColumn("rpc", clv_adjust("rpc_raw", "clv", **premium)).drop("clv")
     else:
         x = x.withColumn("rpc", F.col("rpc_raw"))
-    return stopped, x.select(*ids, "model_error", "rpc")
+    return x.select(*ids, "model_error", "rpc")
 
 
 def _result(df: DataFrame, ids: list[str], d: Column) -> DataFrame:
@@ -116,7 +131,7 @@ def _decide(calls: DataFrame, cfg: dict, ledger: DataFrame, ids: list[str], mode
 
 def score_clicks(clicks: DataFrame, config_versions: DataFrame, ledger: DataFrame, model,
                  model_version: str = "unknown", clv: DataFrame | None = None,
-                 premium: dict | None = None, store: DataFrame | None = None, keep: tuple = ()) -> DataFrame:
+                 premium: dict | None = None, store: DataFrame | None = None, keep: tuple = (), hold=None) -> DataFrame:
     """the decision tree over a click table with the breaker closed (see
     ``score_clicks_guarded``). The config is read once (one row) and enters the plan as
     literals. ``keep``: click columns to carry through.
@@ -124,28 +139,29 @@ def score_clicks(clicks: DataFrame, config_versions: DataFrame, ledger: DataFram
     The kill switch and the canary are row-local and come first, so the clicks they
     stop meet no join. The others meet the feature store and the model; the ledger
     is read only for clicks whose model output is an error. A NULL click_id is in no
-    canary sample.
+    canary sample. The model's outputs are read twice (which clicks fell back, and all of
+    them), so ``hold`` stages them: by default as narrow files in the shared folder.
     """
     cfg = read_config(config_versions)
     ids = ["click_id", "correlation_id", *keep]
     stopped, calls = _calls(clicks, cfg, model, clv, premium, store, ids)
     if calls is None:
         return stopped
-    calls = calls.withColumn("verdict", F.when(F.col("model_error"), F.lit("model_error")))
+    calls = (hold or written)(calls.withColumn("verdict", F.when(F.col("model_error"), F.lit("model_error"))))
     return _decide(calls, cfg, ledger, ids, model_version).unionByName(stopped)
 
 
 def score_clicks_guarded(clicks: DataFrame, config_versions: DataFrame, ledger: DataFrame, model, policy: BreakerPolicy,
                          state: DataFrame | None = None, model_version: str = "unknown", clv: DataFrame | None = None,
                          premium: dict | None = None, store: DataFrame | None = None, keep: tuple = (),
-                         hold=lambda df: df) -> tuple[DataFrame, DataFrame]:
+                         hold=None) -> tuple[DataFrame, DataFrame]:
     """F1 with the breaker: (scored clicks, breaker state per shard after them).
 
     The clicks that pass the canary are calls of their shard, in time order. An open
     breaker blocks a call (breaker_open); a model error opens it; every model output
     enters the anomaly window, and a breach opens it too (anomaly). All three fall back to
-    the ledger; bounds are checked last. ``hold`` stages the guarded calls, from which
-    both results are read.
+    the ledger; bounds are checked last. ``hold`` stages the guarded calls (default:
+    files in the shared folder), from which both results are read, so they are replayed once.
     """
     cfg = read_config(config_versions)
     ids = ["click_id", "correlation_id", *keep]
@@ -154,11 +170,33 @@ def score_clicks_guarded(clicks: DataFrame, config_versions: DataFrame, ledger:
     if calls is None:
         empty = clicks.sparkSession.createDataFrame([], STATE)
         return stopped.drop(*extra), state if state is not None else empty
-    guarded = hold(guard_calls(calls, policy, state))
+    guarded = (hold or written)(guard_calls(calls, policy, state))
     scored = _decide(guarded.where("NOT is_state").drop("is_state", *STATE.names), cfg, ledger, ids, model_version)
     return scored.unionByName(stopped.drop(*extra)), guarded.where("is_state").select(*STATE.names)
 
 
+def score_clicks_at(clicks: DataFrame, config_versions: DataFrame, ledger: DataFrame, model, call_ms: str = "call_ms",
+                    valid_from: str = "valid_from_ms", model_version: str = "unknown", clv: DataFrame | None = None, premium: dict | None = None,
+                    store: DataFrame | None = None, keep: tuple = (), hold=None) -> DataFrame:
+    """F1 with the config in force at each call (S11 at call time), to score a past period again: kill
+    switch, canary and bounds are columns of the call. A call before the first version is
+    stopped like a killed one (``no_config``). The breaker is closed."""
+    fallback, zero = F.lit("fallback"), F.lit(0.0)
+    ids = ["click_id", "correlation_id", *keep]
+    c = config_at_call(clicks, config_versions, call_ms, valid_from)
+    killed = F.col("version").isNull() | F.coalesce(F.col("kill"), F.lit(True))
+    reach = F.coalesce(canary("click_id", F.col("canary_bp")), F.lit(False))
+    x = c.withColumn("_stop", F.when(F.col("version").isNull(), F.lit("no_config")).when(killed, F.lit("kill_switch"))
+                               .when(~reach, F.lit("out_of_canary")))
+    stop = F.col("_stop")
+    stopped = _result(x.where(stop.isNotNull()), ids, F.when(stop == "out_of_canary", _outcome(zero, "FALLBACK_TCPA", stop, fallback))
+                      .otherwise(_outcome(zero, "KILL_SWITCH", stop, fallback)))
+    bounds = {"bounds_min": F.col("bounds_min"), "bounds_max": F.col("bounds_max")}
+    calls = _outputs(x.where(stop.isNull()).drop("_stop"), model, clv, premium, store, [*ids, *bounds])
+    calls = (hold or written)(calls.withColumn("verdict", F.when(F.col("model_error"), F.lit("model_error"))))
+    return _decide(calls, bounds, ledger, ids, model_version).unionByName(stopped)
+
+
 def log_predictions(scored: DataFrame, ts_ms: Column | int) -> DataFrame:
     """One prediction-log row per scored click (fallbacks included)."""
     ts = ts_ms if isinstance(ts_ms, Column) else F.lit(ts_ms).cast("long")

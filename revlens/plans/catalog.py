@@ -4,15 +4,17 @@ output conventions so that it can be compared with ``revlens.plans.oracle``."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revlens.operators import attribution as att
 from revlens.operators import rolling as rol
 from revlens.plans.output import finalize
-from revlens.sources.staged import staged
+from revlens.sources.staged import keyed, staged
+from revlens.schemas import DRIVER_TABLES
 from revlens.sources import fixtures as fx
 from revlens.sources.tables import read_table
 
@@ -57,6 +59,21 @@ def _s1(spark, sf):
                                             "o_totalprice", "o_orderdate", "o_orderpriority"])
 
 
+@register("S1_declared_tables")
+def _s1d(spark, sf):
+    """Every declared table: rows, declared columns, non-null values of the first column and of all."""
+    parts = []
+    for name, schema in DRIVER_TABLES.items():
+        t = read_table(spark, sf, name)
+        filled = sum((F.count(F.col(f"`{c}`")) for c in t.columns), F.lit(0))
+        parts.append(t.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.lit(len(schema)).alias("columns"),
+                           F.count(F.col(t.columns[0])).alias("keys"), filled.alias("filled")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # -------------------------------------------------------------- joins / windows
 @register("J1_click_revenue")
 def _j1(spark, sf):
@@ -147,6 +164,7 @@ def _a4(spark, sf):
 # -------------------------------------------------------------- guardrails
 from revlens.functions import columns as fc  # noqa: E402
 from revlens.operators import guardrails as gr  # noqa: E402
+from revlens.operators import quantiles as qn  # noqa: E402
 from revlens.operators import reconcile as rec  # noqa: E402
 
 CANARY_BP = 1000
@@ -161,26 +179,26 @@ REPORT_NOW_MS = 996_624_000_000   # 2001-08-01T00:00:00Z
 
 @register("A5_prediction_percentiles")
 def _a5(spark, sf):
-    """At the shipped accuracy: whether each percentile's rank is within n / accuracy of
-    the exact one (and one row, as ranks are whole)."""
-    pred = fx.predictions(spark, sf)
-    pct = gr.prediction_percentiles(pred)
-    x = gr.model_source_filter(pred).crossJoin(F.broadcast(pct))   # one row
-    v = F.col("predicted_rpc")
-    agg = x.groupBy("p1", "p99", "n").agg(*[F.count_if(c).alias(a) for a, c in (
-        ("below1", v < F.col("p1")), ("upto1", v <= F.col("p1")), ("below99", v < F.col("p99")), ("upto99", v <= F.col("p99")))])
+    """Exact ranks."""
+    return gr.prediction_percentiles(fx.predictions(spark, sf), exact=True)
+
 
-    def near(q, below, upto):
-        target, slack = F.ceil(F.col("n") * q), F.col("n") / 10_000 + 1
-        return (F.col(below) - slack < target) & (target <= F.col(upto) + slack)
-    return agg.select("n", near(0.01, "below1", "upto1").alias("p1_ok"), near(0.99, "below99", "upto99").alias("p99_ok"))
+def stored_prediction_sketches(spark, sf):
+    return staged(spark, sf, "prediction_sketches", lambda: gr.prediction_sketches(fx.predictions(spark, sf)))
+
+
+@register("A5_stored_percentiles")
+def _a5s(spark, sf):
+    """For every day the percentiles of the week before it, from the hourly sketches. Exact while
+    a week has at most ``quantiles.SKETCH_K`` predictions of a version."""
+    return gr.stored_percentiles(stored_prediction_sketches(spark, sf))
 
 
 @register("A6_propose_bounds")
 def _a6(spark, sf):
     """Per model version (too few samples for one of them), against the live config's bounds."""
     cfg = sc.read_config(fx.config_versions(spark, sf))
-    pct = gr.prediction_percentiles(fx.predictions(spark, sf), by=("model_version",))
+    pct = gr.prediction_percentiles(fx.predictions(spark, sf), by=("model_version",), exact=True)
     return gr.propose_bounds(pct, cfg["bounds_min"], cfg["bounds_max"], min_n=CALIBRATION_MIN_N)
 
 
@@ -353,10 +371,12 @@ def _t4(spark, sf):
 
 
 # -------------------------------------------------------------- scoring / ML
+from pyspark.ml import PipelineModel  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 from revlens.operators import ml  # noqa: E402
 from revlens.operators import scoring as sc  # noqa: E402
+from revlens.operators import tree_shap as ts  # noqa: E402
 from revlens.schemas import FEATURE_ORDER  # noqa: E402
 
 SCORED_AT_MS = 1_706_659_200_000  # 2024-01-31T00:00:00Z
@@ -374,11 +394,28 @@ def scoring_clicks(spark, sf):
         "auction_pressure", F.when(k % 13 == 0, F.lit(float("nan"))).otherwise(F.col("auction_pressure")))
 
 
+def keyed_ledger(spark, sf):
+    """Lifetime revenue per click."""
+    return keyed(spark, sf, "ledger_sums", lambda: fx.ledger(spark, sf).groupBy("click_id").agg(F.sum("revenue").alias("revenue")))
+
+
+def keyed_clv(spark, sf):
+    return keyed(spark, sf, "clv", lambda: fx.clv(spark, sf))
+
+
+def keyed_store(spark, sf):
+    return keyed(spark, sf, "feature_store", lambda: fx.feature_store(spark, sf))
+
+
+def sides(spark, sf):
+    """Static sides of scoring, stored by click."""
+    return dict(clv=keyed_clv(spark, sf), premium=CLV_POLICY, store=keyed_store(spark, sf))
+
+
 def scored(spark, sf, kill=False):
     config = fx.config_versions(spark, sf)
-    return sc.score_clicks(scoring_clicks(spark, sf), config.withColumn("kill", F.lit(True)) if kill else config, fx.ledger(spark, sf),
-                           ml.STAND_IN, model_version="v1", clv=fx.clv(spark, sf), premium=CLV_POLICY,
-                           store=fx.feature_store(spark, sf))
+    return sc.score_clicks(scoring_clicks(spark, sf), config.withColumn("kill", F.lit(True)) if kill else config, keyed_ledger(spark, sf),
+                           ml.STAND_IN, model_version="v1", **sides(spark, sf))
 
 
 @register("S11_runtime_config")
@@ -388,12 +425,12 @@ def _s11(spark, sf):
 
 @register("J7_ledger_fallback")
 def _j7(spark, sf):
-    return sc.ledger_fallback(fx.clicks(spark, sf).select("click_id"), fx.ledger(spark, sf))
+    return sc.ledger_fallback(fx.clicks(spark, sf).select("click_id"), keyed_ledger(spark, sf))
 
 
 @register("J8_feature_overrides")
 def _j8(spark, sf):
-    return (sc.feature_overrides(fx.clicks(spark, sf), fx.feature_store(spark, sf))
+    return (sc.feature_overrides(fx.clicks(spark, sf), keyed_store(spark, sf))
             .select("click_id", "rpc_7d", "rpc_14d", "rpc_30d", "visits_prev_30d"))
 
 
@@ -423,23 +460,18 @@ def guarded_clicks(spark, sf):
 @register("F1_score_clicks_guarded")
 def _f1g(spark, sf):
     """With breaker and anomaly window: calls are blocked, windows breached, model errors trip."""
-    return sc.score_clicks_guarded(guarded_clicks(spark, sf), fx.config_versions(spark, sf), fx.ledger(spark, sf), ml.STAND_IN, POLICY,
-                                   model_version="v1", clv=fx.clv(spark, sf), premium=CLV_POLICY, store=fx.feature_store(spark, sf))[0]
+    return sc.score_clicks_guarded(guarded_clicks(spark, sf), fx.config_versions(spark, sf), keyed_ledger(spark, sf), ml.STAND_IN, POLICY,
+                                   model_version="v1", **sides(spark, sf))[0]
 
 
 @register("T5_score_stream_guarded")
 def _t5g(spark, sf):
-    """Clicks in time order, one file of a year per micro-batch; the audit trail has every reason."""
-    clicks = guarded_clicks(spark, sf).withColumn("year", F.year("click_ts"))
-    staged_at = sj.stage(clicks, "clicks-by-year", files=1)
-    src = sj.scratch(spark, "stage-clicks")
-    lo, hi = spark.read.parquet(staged_at).agg(F.min("year"), F.max("year")).first()
-    for y in range(lo, hi + 1):
-        spark.read.parquet(staged_at).where(F.col("year") == y).drop("year").coalesce(1).write.mode("append").parquet(src)
+    """Clicks in time order, one year per micro-batch; the audit trail has every reason."""
+    src = sj.stage_slots(guarded_clicks(spark, sf), F.year("click_ts"), "clicks")
     config = sj.stage(fx.config_versions(spark, sf), "config", files=1)
     log, audit = sj.scratch(spark, "pred-log"), sj.scratch(spark, "audit")
-    sj.run(sj.score_stream(spark, src, log, audit, sj.scratch(spark, "ckpt"), config, fx.ledger(spark, sf), ml.STAND_IN, "v1",
-                           clv=fx.clv(spark, sf), premium=CLV_POLICY, store=fx.feature_store(spark, sf), policy=POLICY, max_files=1))
+    sj.run(sj.score_stream(spark, src, log, audit, sj.scratch(spark, "ckpt"), config, keyed_ledger(spark, sf), ml.STAND_IN, "v1",
+                           **sides(spark, sf), policy=POLICY, max_files=sj.SLOT_FILES))
     reasons = spark.read.parquet(audit).select("click_id", F.col("source").alias("reason"))
     return spark.read.parquet(log).drop("batch", "ts_ms").join(reasons, "click_id")
 
@@ -505,6 +537,35 @@ def _m3(spark, sf):
                     F.explode("attributions").alias("feature", "contribution"))
 
 
+TREE_ROUNDS, TREE_DEPTH = 40, 5
+
+
+def fitted_model(spark, sf) -> str:
+    """Folder of a pipeline fitted on the stored training frame, once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        path = sj.scratch(spark, "models")
+        ml.train_and_register(stored_training_rows(spark, sf), path, f"{path}/registry", "rpc", "v1", SCORED_AT_MS, rounds=TREE_ROUNDS, max_depth=TREE_DEPTH)
+        _fitted[key] = f"{path}/v1"
+    return _fitted[key]
+
+
+_fitted: dict[tuple[str, str], str] = {}
+
+
+@register("M3_explain_trees")
+def _m3t(spark, sf):
+    """Exact attributions of a fitted ensemble: every click's add up to its prediction, which is
+    the fitted pipeline's own."""
+    path = fitted_model(spark, sf)
+    clicks = valid_clicks(spark, sf)
+    e = ts.explain_trees(clicks, ts.export(spark, path))
+    total = F.aggregate(F.map_values("attributions"), F.lit(0.0), lambda a, b: a + b)
+    own = PipelineModel.load(path).transform(clicks.select("click_id", *FEATURE_ORDER)).select("click_id", F.col("prediction").alias("own"))
+    return e.join(own, "click_id").select("click_id", F.size("attributions").alias("features"), (F.abs(F.col("base_value") + total - F.col("prediction")) < 1e-6).alias("adds_up"),
+                                          (F.abs(F.col("prediction") - F.col("own")) < 1e-6).alias("same_prediction"))
+
+
 def explanation_json(spark, sf):
     """Explanation responses in both shapes: name -> value (even keys), or one
     array in explanation order (odd keys)."""
@@ -572,13 +633,21 @@ def _a15(spark, sf):
     return om.backlog_alert(landed, delivered, limit=4, minutes=3 * 1440)
 
 
+def stored_latency_sketches(spark, sf):
+    """Latency of every second request is v1's, failed requests take three times as long."""
+    req = fx.requests(spark, sf).select(
+        F.unix_millis("ts").alias("ts_ms"), F.when(F.col("request_id") % 2 == 0, F.lit("v1")).otherwise(F.lit("v2")).alias("model_version"),
+        (F.when(F.col("status") == 500, 3.0).otherwise(1.0) * F.col("latency_ms")).alias("latency_ms"))
+    return staged(spark, sf, "latency_sketches", lambda: qn.hourly_sketches(req, "latency_ms", "ts_ms", ["model_version"]))
+
+
 @register("A16_model_health")
 def _a16(spark, sf):
-    """Versions by training time (v2 before v1, against their names), p95 latency per version."""
+    """Versions by training time (v2 before v1, against their names), p95 latency per version from
+    hourly sketches (exact up to ``quantiles.SKETCH_K`` requests of a version)."""
     psi = mon.psi_daily(fx.clicks(spark, sf), stored_baseline(spark, sf))
     req = fx.requests(spark, sf)
-    latency = (req.groupBy(F.when(F.col("request_id") % 2 == 0, F.lit("v1")).otherwise(F.lit("v2")).alias("model_version"))
-                  .agg(F.max(F.when(F.col("status") == 500, 3.0).otherwise(1.0) * F.col("latency_ms")).alias("p95_ms")))
+    latency = om.latency_by_version(stored_latency_sketches(spark, sf))
     registry = req.select(F.lit("v2").alias("model_version"), F.lit(1).cast("long").alias("trained_at_ms")).limit(1).unionByName(
         req.select(F.lit("v1").alias("model_version"), F.lit(2).cast("long").alias("trained_at_ms")).limit(1))
     res = mon.residuals_daily(att.prediction_realized(fx.predictions(spark, sf), fx.ledger(spark, sf)))
@@ -615,35 +684,43 @@ def event_files(spark, sf, days: int = 6):
     comes a file late (at most 2 * days out of order)."""
     ev = read_table(spark, sf, "events", ["event_id", "ts"])
     slot = (F.floor(F.unix_seconds("ts") / (days * 86_400)) + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)).cast("long")
-    path = sj.scratch(spark, "stage-events")
-    staged = sj.stage(ev.withColumn("slot", slot), "events", files=1)
-    lo, hi = spark.read.parquet(staged).agg(F.min("slot"), F.max("slot")).first()
-    for i in range(lo, hi + 1):
-        spark.read.parquet(staged).where(F.col("slot") == i).drop("slot").coalesce(1).write.mode("append").parquet(path)
-    return path, ev.schema
+    return sj.stage_slots(ev, slot, "events"), ev.schema
 
 
 @register("T2_freshness_stream")
 def _t2(spark, sf):
-    """Six files in time order, but every tenth event one file late; one file per micro-batch."""
+    """Slots in time order, but every tenth event one slot late; one slot per micro-batch."""
     src, schema = event_files(spark, sf)
     out = sj.scratch(spark, "gaps")
     sj.run(sj.freshness_stream(spark, src, schema, "ts", out, sj.scratch(spark, "ckpt"),
-                               lateness=f"{FEED_LATENESS_DAYS} days", max_files=1))
+                               lateness=f"{FEED_LATENESS_DAYS} days", max_files=sj.SLOT_FILES))
     return spark.read.parquet(out).drop("batch")
 
 
+SILENT_DAYS = 2
+
+
+@register("T2_silence_stream")
+def _t2s(spark, sf):
+    """Four feeds, replayed with the clock set to SILENT_DAYS after the newest event and the middle
+    of a window: the windows without an event since each feed's last one."""
+    ev = read_table(spark, sf, "events", ["user_id", "ts"])
+    src, step = sj.stage(ev, "events", files=4), 900_000
+    newest = spark.read.parquet(src).agg(F.max(F.unix_millis("ts"))).first()[0]
+    clock = (newest // step + 1) * step + SILENT_DAYS * 86_400_000 + step // 2
+    out = sj.scratch(spark, "silence")
+    sj.run(sj.silence_stream(spark, src, ev.schema, "ts", out, sj.scratch(spark, "ckpt"), feed=F.col("user_id") % 4, grace_ms=0,
+                             shift_ms=int(time.time() * 1000) - clock, available_now=True))
+    return spark.read.schema(sj.SILENCE_OUT).parquet(out)
+
+
 @register("T3_breaker_stream")
 def _t3(spark, sf):
-    """Samples in files of ten days, in time order, one per micro-batch; thresholds at which breakers trip."""
+    """Samples in slots of ten days, in time order, one per micro-batch; thresholds at which breakers trip."""
     s = fx.samples(spark, sf)
-    staged_at = sj.stage(s.withColumn("slot", F.floor(F.col("ts_ms") / (10 * 86_400_000)).cast("long")), "samples", files=1)
-    src = sj.scratch(spark, "stage-samples")
-    lo, hi = spark.read.parquet(staged_at).agg(F.min("slot"), F.max("slot")).first()
-    for i in range(lo, hi + 1):
-        spark.read.parquet(staged_at).where(F.col("slot") == i).drop("slot").coalesce(1).write.mode("append").parquet(src)
+    src = sj.stage_slots(s, F.floor(F.col("ts_ms") / (10 * 86_400_000)), "samples")
     out = sj.scratch(spark, "breaker")
-    sj.run(sj.breaker_stream(spark, src, s.schema, out, sj.scratch(spark, "ckpt"), cool_off_ms=6 * 3_600_000, max_files=1, **ANOMALY))
+    sj.run(sj.breaker_stream(spark, src, s.schema, out, sj.scratch(spark, "ckpt"), cool_off_ms=6 * 3_600_000, max_files=sj.SLOT_FILES, **ANOMALY))
     return spark.read.parquet(out).drop("batch")
 
 
@@ -665,9 +742,8 @@ def _t5(spark, sf):
     src = sj.stage(clicks.unionByName(again), "valid-clicks", files=4)
     config = sj.stage(fx.config_versions(spark, sf), "config", files=1)
     log, audit = sj.scratch(spark, "pred-log"), sj.scratch(spark, "audit")
-    sj.run(sj.score_stream(spark, src, log, audit, sj.scratch(spark, "ckpt"), config, fx.ledger(spark, sf),
-                           ml.STAND_IN, "v1", clv=fx.clv(spark, sf), premium=CLV_POLICY,
-                           store=fx.feature_store(spark, sf), max_files=1))
+    sj.run(sj.score_stream(spark, src, log, audit, sj.scratch(spark, "ckpt"), config, keyed_ledger(spark, sf),
+                           ml.STAND_IN, "v1", **sides(spark, sf), max_files=1))
     return spark.read.parquet(log).drop("batch")
 
 
@@ -688,6 +764,51 @@ def _t7(spark, sf):
     return spark.read.parquet(out)
 
 
+HEARTBEAT_DAYS = 40
+
+
+def time_ordered_files(spark, rows, files: int = 4):
+    """Rows (column ``ts``) as files written one after the other in time order, then a
+    heartbeat (a row of nulls but for ts) that closes every window."""
+    lo, hi = rows.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
+    path = sj.stage_slots(rows, F.floor((F.unix_millis("ts") - lo) * files / (hi - lo + 1)), "log")
+    stored = spark.read.schema(rows.schema).parquet(path)
+    beat = stored.agg((F.max("ts") + F.make_interval(days=F.lit(HEARTBEAT_DAYS))).alias("ts"))
+    beat.select(*[F.col("ts") if c == "ts" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(path)
+    return path
+
+
+def _alerts(spark, sf, kind, **options):
+    r = fx.requests(spark, sf)
+    out = sj.scratch(spark, "alerts")
+    sj.run(sj.alert_stream(spark, time_ordered_files(spark, r), r.schema, out, sj.scratch(spark, "ckpt"), kind, max_files=sj.SLOT_FILES, **options))
+    return spark.read.parquet(out)
+
+
+@register("T7_latency_alert_stream")
+def _t7l(spark, sf):
+    return _alerts(spark, sf, "latency", threshold_ms=LATENCY_THRESHOLD_MS)
+
+
+@register("T7_error_rate_alert_stream")
+def _t7e(spark, sf):
+    return _alerts(spark, sf, "error_rate", threshold=0.01, minutes=5)
+
+
+@register("T7_availability_stream")
+def _t7a(spark, sf):
+    return _alerts(spark, sf, "availability", goal=0.995, days=30)
+
+
+@register("T7_breaker_trip_stream")
+def _t7b(spark, sf):
+    w = gr.anomaly_window(fx.samples(spark, sf), **ANOMALY)
+    audit = w.select(F.timestamp_millis("ts_ms").alias("ts"), F.when(F.col("breached"), F.lit("anomaly")).otherwise(F.lit("score.model")).alias("source"))
+    out = sj.scratch(spark, "trips")
+    sj.run(sj.trip_stream(spark, time_ordered_files(spark, audit), audit.schema, out, sj.scratch(spark, "ckpt"), max_files=sj.SLOT_FILES))
+    return spark.read.parquet(out)
+
+
 @register("P6_model_source_filter")
 def _p6(spark, sf):
     return gr.model_source_filter(fx.predictions(spark, sf), since="1998-01-01 00:00:00").drop("predicted_at")
@@ -695,7 +816,8 @@ def _p6(spark, sf):
 
 @register("W1_rolling_rpc_point_in_time")
 def _w1p(spark, sf):
-    return rol.rolling_rpc(stored_click_revenue(spark, sf), point_in_time=True, ledger=fx.ledger(spark, sf))
+    ledger = staged(spark, sf, "ledger", lambda: fx.ledger(spark, sf))
+    return rol.rolling_rpc(stored_click_revenue(spark, sf), point_in_time=True, ledger=ledger)
 
 
 # -------------------------------------------------------------- sinks and files
@@ -723,3 +845,103 @@ def _s10(spark, sf):
     arrays = rows.groupBy(month).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
     arrays.repartition("month").write.partitionBy("month").text(path)
     return rec.read_reconciliation_json(spark, path).drop("month")
+
+
+# -------------------------------------------------------------- gates, late data, past configs
+from revlens.operators import asof  # noqa: E402
+from revlens.operators import gate  # noqa: E402
+from revlens.operators import refresh as rf  # noqa: E402
+
+CLICK_RULES = {"cerberus_in_range": "cerberus_score BETWEEN 0 AND 1", "rpc_7d_not_negative": "rpc_7d >= 0"}
+LATE_FROM = "1998-06-01 00:00:00"
+
+
+@register("C1_publish_gate")
+def _c1g(spark, sf):
+    """The clicks of even orders that pass are published; then all clicks are offered, and some
+    fail: the target stays, what fails is in quarantine, once per assertion that it fails."""
+    path = sj.scratch(spark, "gate")
+    clicks = fx.clicks(spark, sf)
+    even = F.regexp_extract("click_id", r"(\d+)$", 1).cast("long") % 2 == 0
+    gate.publish(clicks.where(even).where(" AND ".join(CLICK_RULES.values())), path, CLICK_RULES, {"click_id_unique": ["click_id"]})
+    twice = clicks.unionByName(clicks.where(F.regexp_extract("click_id", r"(\d+)$", 1).cast("long") % 100 == 0))
+    refused = gate.publish(twice, path, CLICK_RULES, {"click_id_unique": ["click_id"]})
+    if refused.published:
+        raise RuntimeError("the gate let failing rows through")
+    held = spark.read.parquet(f"{path}/_quarantine").select("click_id", F.explode("failed").alias("failed"))
+    return gate.read_published(spark, path).select("click_id", F.lit("published").alias("failed")).unionByName(held)
+
+
+@register("S11_config_at_call")
+def _s11c(spark, sf):
+    """Requests as calls; a version comes into force some hours into its day, some days have none."""
+    v = F.col("version")
+    versions = fx.config_versions(spark, sf).where(v % 5 != 0).withColumn("valid_from_ms", v * 86_400_000 + (v * 7919) % 86_400 * 1000)
+    calls = fx.requests(spark, sf).select("request_id", F.unix_millis("ts").alias("call_ms"))
+    return asof.config_at_call(calls, versions)
+
+
+def past_configs(spark, sf):
+    """Config versions in force for 80 days each, from 1992-06-01 on."""
+    versions = fx.config_versions(spark, sf)
+    first = F.min("version").over(Window.partitionBy(F.lit(1)))     # a few versions
+    return versions.withColumn("valid_from_ms", F.lit(707_356_800_000) + (F.col("version") - first) * 80 * 86_400_000)
+
+
+@register("F1_score_clicks_at")
+def _f1a(spark, sf):
+    """Every click scored with the config of its time."""
+    calls = scoring_clicks(spark, sf).withColumn("call_ms", F.unix_millis("click_ts"))
+    return sc.score_clicks_at(calls, past_configs(spark, sf), keyed_ledger(spark, sf), ml.STAND_IN, model_version="v1", **sides(spark, sf))
+
+
+def _late(ledger):
+    """(rows known at the first run, late rows)."""
+    cut = F.lit(LATE_FROM).cast("timestamp")
+    return ledger.where(F.col("revenue_ts") < cut), ledger.where(F.col("revenue_ts") >= cut)
+
+
+@register("J1_click_revenue_refreshed")
+def _j1r(spark, sf):
+    """Stored by month without the late ledger rows, then refreshed: only the months that they mark."""
+    ledger, path = fx.ledger(spark, sf), sj.scratch(spark, "click-revenue")
+    known, late = _late(ledger)
+    month = F.trunc("click_ts", "month")
+    mon.write_day(att.click_revenue(fx.clicks(spark, sf), known).withColumn("month", month).repartition("month"), path, "month")
+    days = rf.dirty_days(spark.read.parquet(path), late, "click_ts", "month")
+
+    def recompute(old):
+        return att.click_revenue(old, rf.window_ledger(ledger, days)).withColumn("month", month)
+    rf.refresh(spark, path, "month", days, recompute)
+    return spark.read.parquet(path).drop("month")
+
+
+@register("A4_residuals_refreshed")
+def _a4r(spark, sf):
+    """Realised predictions stored by month, refreshed after late revenue; residuals of the stored rows."""
+    ledger, path = fx.ledger(spark, sf), sj.scratch(spark, "realized")
+    known, late = _late(ledger)
+    preds = fx.predictions(spark, sf)
+    month = F.trunc(F.timestamp_millis("ts_ms"), "month")
+    stored = preds.withColumn("month", month).repartition("month")
+    mon.write_day(stored, path, "month")
+    out = sj.scratch(spark, "residuals")
+
+    def residuals(part, rows):
+        return mon.residuals_daily(att.prediction_realized(part.drop("month"), rows)).withColumn("month", F.trunc("as_of_date", "month"))
+    mon.write_day(residuals(spark.read.parquet(path), known).repartition("month"), out, "month")
+    marked = rf.dirty_days(spark.read.parquet(path).withColumn("at", F.timestamp_millis("ts_ms")), late, "at", "month")
+    if marked:
+        part = spark.read.parquet(path).where(F.col("month").isin(marked))
+        mon.write_day(residuals(part, rf.window_ledger(ledger, marked)).repartition("month"), out, "month")
+    return spark.read.parquet(out).drop("month")
+
+
+@register("T1_clicks_upsert_stream")
+def _t1u(spark, sf):
+    """Re-emits in other files than the first emits, merged into a bucketed table of one row a click."""
+    src = sj.stage(fx.landing_clicks(spark, sf), "landing", files=4)
+    schema = ing.normalize_clicks(typed_landing(spark, sf)).drop("corrupt").schema
+    table = sj.UpsertTable(spark, sj.scratch(spark, "clicks"), schema, "click_id", ["ingested_at", "message_id"], buckets=16)
+    sj.run(sj.clicks_upsert_stream(spark, src, table, sj.scratch(spark, "clicks-dead"), sj.scratch(spark, "ckpt"), max_files=1))
+    return table.read().select("click_id", "message_id", "click_ts", "device", "geo", "hour_of_day", "cerberus_score", "rpc_7d", "visits_prev_30d")

@@ -93,13 +93,24 @@ RECONCILIATION_ROW = _s(
     ("source", S, True), ("window_ends_at_ms", L, True),
 )
 
-# Driver tables used as inputs (subset of columns that the fixtures read).
-DRIVER_TABLES = {
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
-               "o_orderpriority"],
-    "lineitem": ["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount",
-                 "l_returnflag", "l_shipdate"],
-    "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
-    "nation": ["n_nationkey", "n_regionkey"],
-    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+# Declared schemas of the input tables (wall-clock instants, as the files hold them).
+_DRIVER = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
 }
+_TYPES = {"int": T.IntegerType(), "long": L, "double": D, "string": S, "timestamp_ntz": T.TimestampNTZType(), "array<float>": T.ArrayType(T.FloatType())}
+DRIVER_TABLES = {name: _s(*[(n, _TYPES[t], True) for n, t in (c.split(" ") for c in columns.split(", "))])
+                 for name, columns in _DRIVER.items()}

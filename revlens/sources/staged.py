@@ -24,3 +24,19 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
         build().write.parquet(path)
         _paths[key] = path
     return spark.read.parquet(_paths[key])
+
+
+def keyed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], key: str = "click_id",
+          buckets: int | None = None) -> DataFrame:
+    """The stored table ``name`` of ``sf_dir`` with one row per ``key``, bucketed and sorted by
+    it: a join or aggregation on the key moves no row of this side. (One row a key, so no
+    bucket is hot; tables with many rows a key stay unbucketed, for the skew join to split.)"""
+    ident = (spark.sparkContext.applicationId, sf_dir, f"keyed-{name}")
+    if ident not in _paths:
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"{name}_{uuid.uuid4().hex[:12]}"
+        path = f"{checkpoint_dir(spark).rstrip('/')}/keyed-{table}"
+        # one file a bucket
+        (build().repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table))
+        _paths[ident] = table
+    return spark.table(_paths[ident])

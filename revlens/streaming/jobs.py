@@ -18,11 +18,13 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from revlens.operators import activation as act
 from revlens.operators import ingest as ing
@@ -45,6 +47,32 @@ def stage(df: DataFrame, name: str, files: int | None = None) -> str:
     return path
 
 
+SLOT_FILES = 2
+
+
+def stage_slots(df: DataFrame, slot: Column, name: str, files: int = SLOT_FILES) -> str:
+    """Write a derived table as the landing zone of a replay: slot after slot (ascending), each in
+    exactly ``files`` files, so that a stream with ``files`` files a trigger reads one slot a
+    micro-batch. Every slot is written by ``files`` tasks; the driver sees slot numbers only."""
+    spark = df.sparkSession
+    store, path = scratch(spark, f"slots-{name}"), scratch(spark, f"stage-{name}")
+    (df.withColumn("_slot", slot.cast("long")).withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(files)))
+       .repartition("_slot", "_part").drop("_part").write.partitionBy("_slot").parquet(store))
+    stored = spark.read.parquet(store)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def written() -> int:
+        return sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(p)) if fs.exists(p) else 0
+    for s in sorted(r._slot for r in stored.select("_slot").distinct().collect()):
+        before = written()
+        part = stored.where(F.col("_slot") == s).select(*df.columns)
+        part.repartition(files).write.mode("append").parquet(path)
+        for _ in range(files - (written() - before)):       # fewer rows than files: empty ones
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def _write(df: DataFrame, out: str, batch_id: int, *partition: str) -> None:
     df.write.mode("overwrite").partitionBy(*partition).parquet(f"{out.rstrip('/')}/batch={batch_id}")
 
@@ -64,13 +92,28 @@ def _existing(spark: SparkSession, path: str) -> str | None:
     return path if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
 
 
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Ids of the batch folders under path, by name: no file in them is opened."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted(int(n[6:]) for n in names if n.startswith("batch="))
+
+
 def _state_before(spark: SparkSession, state_dir: str, batch_id: int) -> DataFrame | None:
-    """Breaker states that the newest batch before ``batch_id`` left."""
-    if not _existing(spark, state_dir):
+    """Breaker states that the newest batch before ``batch_id`` left. Older folders but one go (a
+    batch runs again at most with the state it began with), so their number stays the
+    same however long the stream runs."""
+    known = [b for b in _batches(spark, state_dir) if b < batch_id]
+    if not known:
         return None
-    old = spark.read.parquet(state_dir).where(F.col("batch") < batch_id)
-    newest = old.agg(F.max("batch")).first()[0]
-    return old.where(F.col("batch") == newest).drop("batch") if newest is not None else None
+    p = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    for b in known[:-2]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p, f"batch={b}"), True)
+    return spark.read.parquet(f"{state_dir.rstrip('/')}/batch={known[-1]}")
 
 
 def _trigger(w, available_now: bool, interval: str):
@@ -136,6 +179,92 @@ def latest_clicks(spark: SparkSession, out: str, hours: int = 24) -> DataFrame:
     return ing.dedup_clicks(spark.read.parquet(out).drop("batch"), hours=hours)
 
 
+class UpsertTable:
+    """A last-write-wins table of one row per key, in ``buckets`` by hash of the key.
+
+    Each micro-batch merges its rows into the buckets it touches and writes those anew, as
+    ``bucket=<b>/batch=<id>``; the other buckets stay as they are. A bucket's newest folder is
+    its content, so readers need no de-duplication. A batch that runs again starts from
+    the folders before it and overwrites its own: nothing changes. Folders older than the one a
+    repeated batch would start from are deleted."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, order: list[str], buckets: int = 64):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.key, self.order, self.buckets = key, order, buckets
+
+    def folders(self, before: int | None = None) -> dict[int, list[int]]:
+        """bucket -> its batches (ascending) with an id below ``before``."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return {}
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        out = {}
+        for n in names:
+            if n.startswith("bucket="):
+                ids = [b for b in _batches(self.spark, f"{self.path}/{n}") if before is None or b < before]
+                if ids:
+                    out[int(n[7:])] = ids
+        return out
+
+    def _folder(self, bucket: int, batch: int) -> str:
+        return f"{self.path}/bucket={bucket}/batch={batch}"
+
+    def read(self) -> DataFrame:
+        return self._of([self._folder(b, ids[-1]) for b, ids in sorted(self.folders().items())])
+
+    def _of(self, paths: list[str]) -> DataFrame:
+        r = self.spark.read.schema(self.schema)
+        return r.parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def merge(self, rows: DataFrame, batch_id: int) -> list[int]:
+        """Merge a micro-batch; returns the buckets it touched. Of a key's rows the greatest by
+        ``order`` stays (nulls first). The driver sees bucket numbers only."""
+        new = rows.select(*self.schema.names).withColumn("bucket", self.bucket())
+        touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())
+        if not touched:
+            return []
+        old = self.folders(before=batch_id)
+        kept = self._of([self._folder(b, old[b][-1]) for b in touched if b in old]).withColumn("bucket", self.bucket())
+        rank = F.struct(*self.order)
+        # one aggregation per key: repeated emits collapse map-side
+        last = new.unionByName(kept).groupBy(self.key, "bucket").agg(F.max_by(F.struct(*self.schema.names), rank).alias("r")).select("bucket", "r.*")
+        scratch_at = f"{self.path}/_batch/{batch_id}"
+        last.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(scratch_at)
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for b in touched:       # renames: a bucket appears whole or not at all
+            target = fs_path(self._folder(b, batch_id))
+            fs.delete(target, True)
+            fs.mkdirs(target.getParent())
+            if not fs.rename(fs_path(f"{scratch_at}/bucket={b}"), target):
+                raise RuntimeError(f"bucket {b} of batch {batch_id} was not published")
+            for gone in old.get(b, [])[:-1]:
+                fs.delete(fs_path(self._folder(b, gone)), True)
+        fs.delete(fs_path(scratch_at), True)
+        return touched
+
+
+def clicks_upsert_stream(spark: SparkSession, src: str, table: UpsertTable, dead: str, checkpoint: str, available_now: bool = True,
+                         interval: str = "1 minute", max_files: int | None = None) -> StreamingQuery:
+    """T1 with a last-write-wins sink: valid clicks are merged into ``table`` by click_id, rejected and
+    corrupt ones go to ``dead``. (Any later valid emit wins, also after 24 hours; W5's
+    limit is for the batch.)"""
+    typed = ing.normalize_clicks(ing.typed_clicks(_source(spark, src, LANDING, max_files)))
+    tagged = typed.withColumn("reason", F.when(F.col("corrupt"), F.lit("corrupt_payload")).otherwise(ing.rejection_reason()))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        with _persisted(batch) as rows:
+            table.merge(rows.where(F.col("reason").isNull()), batch_id)
+            _write(rows.where(F.col("reason").isNotNull()), dead, batch_id)
+
+    w = tagged.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
+    return _trigger(w, available_now, interval).start()
+
+
 # ----------------------------------------------------------------- T2
 def freshness_stream(spark: SparkSession, src: str, schema: T.StructType, ts: str, out: str,
                      checkpoint: str, minutes: int = 15, from_hour: int = 6, to_hour: int = 22,
@@ -175,6 +304,97 @@ def freshness_stream(spark: SparkSession, src: str, schema: T.StructType, ts: st
     return _trigger(w.foreachBatch(sink), available_now, interval).start()
 
 
+# A silence that goes on: windows are judged by the clock, not by the next event.
+SILENCE_OUT = "feed string, window_start_ms long, window_end_ms long"
+
+
+class SilenceProcessor(StatefulProcessor):
+    """Per feed: the next window to be judged, and a processing-time timer at its end.
+
+    Events move the window on; a timer that fires reports every window that ended
+    ``grace_ms`` ago without one, and sets the next timer. ``shift_ms`` is how far the
+    feed's time lies behind the clock (0 in production; a replay of an old feed sets it)."""
+
+    def __init__(self, step_ms: int, grace_ms: int, shift_ms: int, from_hour: int, to_hour: int):
+        self.step, self.grace, self.shift = step_ms, grace_ms, shift_ms
+        self.hours = (from_hour, to_hour)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.next = handle.getValueState("next", "w long, timer long")
+
+    def _wait(self, w: int) -> None:
+        """Judge window w once it has ended and the grace is over."""
+        timer = (w + 1) * self.step + self.grace + self.shift
+        old = self.next.get()
+        if old is not None and old[1] != timer:
+            self.handle.deleteTimer(old[1])
+        self.next.update((w, timer))
+        self.handle.registerTimer(timer)
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        newest = max(int(part["w"].max()) for part in rows)
+        old = self.next.get()
+        if old is None or newest + 1 > old[0]:
+            self._wait(newest + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        state = self.next.get()
+        if state is None or expired.getExpiryTimeInMs() != state[1]:
+            return
+        now = timer_values.getCurrentProcessingTimeInMs() - self.shift
+        first, last = state[0], (now - self.grace) // self.step - 1     # last window that is over
+        for lo in range(first, last + 1, 10_000):
+            w = np.arange(lo, min(lo + 10_000, last + 1))
+            hour = (w * self.step // 3_600_000) % 24
+            w = w[(hour >= self.hours[0]) & (hour < self.hours[1])]
+            if len(w):
+                yield pd.DataFrame({"feed": key[0], "window_start_ms": w * self.step, "window_end_ms": (w + 1) * self.step})
+        self._wait(max(last + 1, first))
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Arbitrary state needs the RocksDB store; a query takes the setting as it starts."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old) if old else spark.conf.unset(name)
+
+
+def silence_stream(spark: SparkSession, src: str, schema: T.StructType, ts: str, out: str, checkpoint: str,
+                   feed: Column | None = None, window_ms: int = 15 * 60_000, grace_ms: int = 30 * 60_000,
+                   from_hour: int = 6, to_hour: int = 22, shift_ms: int = 0, available_now: bool = False,
+                   interval: str = "1 minute", max_files: int | None = None) -> StreamingQuery:
+    """T2, silent feeds: a window without an event is written as soon as
+    it is ``grace_ms`` old by the clock, while the silence lasts and without a new file.
+
+    State is one row a feed. Only the newest window of each feed and Arrow batch is sent to
+    it, so a feed with most of the events loads no task. A window that late events fill
+    afterwards stays reported; the gaps between events are :func:`freshness_stream`'s. A
+    feed counts from its first event on."""
+    def newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.table([b.column(0), b.column(1)], ["feed", "w"]).group_by("feed").aggregate([("w", "max")])
+            yield from pa.table([t["feed"], t["w_max"]], ["feed", "w"]).to_batches()
+    events = (_source(spark, src, schema, max_files).where(F.col(ts).isNotNull())
+              .select((feed if feed is not None else F.lit("feed")).cast("string").alias("feed"),
+                      F.floor(F.unix_millis(F.col(ts).cast("timestamp")) / window_ms).cast("long").alias("w"))
+              .mapInArrow(newest, "feed string, w long"))
+    silent = events.groupBy("feed").transformWithStateInPandas(
+        SilenceProcessor(window_ms, grace_ms, shift_ms, from_hour, to_hour), SILENCE_OUT, "Append", "ProcessingTime")
+    w = silent.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    with _rocksdb(spark):
+        return _trigger(w, available_now, interval).start(out)
+
+
 # ----------------------------------------------------------------- T3
 _T3_OUT = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("shard", T.LongType()),
@@ -243,7 +463,8 @@ def score_stream(spark: SparkSession, src: str, log_out: str, audit_out: str, ch
                  store: DataFrame | None = None, policy: BreakerPolicy | None = None,
                  available_now: bool = True, interval: str = "10 seconds", max_files: int | None = None) -> StreamingQuery:
     """T5: F1 on the click stream. Ledger, CLV and feature store are static sides of
-    stream-static joins; the runtime config is re-read every micro-batch; the
+    stream-static joins, best stored by click (``sources.staged.keyed``), so that a
+    micro-batch moves none of their rows; the runtime config is re-read every micro-batch; the
     prediction log and the audit trail are the two sinks. With a ``policy`` the breaker
     and its anomaly window guard the model; their state, one row per shard, is kept
     next to the checkpoint and read from the newest earlier batch."""
@@ -259,7 +480,7 @@ def score_stream(spark: SparkSession, src: str, log_out: str, audit_out: str, ch
             held.append(df.persist())
             return held[-1]
         if policy is None:
-            scored = sc.score_clicks(**args, keep=("click_ts",))
+            scored = sc.score_clicks(**args, keep=("click_ts",), hold=hold)
         else:
             before = _state_before(spark, state_dir, batch_id)
             scored, state = sc.score_clicks_guarded(**args, policy=policy, state=before, keep=("click_ts",), hold=hold)
@@ -302,6 +523,85 @@ def metrics_stream(spark: SparkSession, src: str, schema: T.StructType, out: str
     return _trigger(w, available_now, interval).start(out)
 
 
+def _closed(spark: SparkSession, src: str, schema: T.StructType, lateness: str, max_files: int | None) -> DataFrame:
+    """Request log under a watermark. Rows without a path are heartbeats: they move the
+    watermark, so that minutes close while nobody calls, and count as no request."""
+    log = _source(spark, src, schema, max_files).withWatermark("ts", lateness)
+    # names ts, so that the filter stays above the watermark
+    return log.where(F.col("path").isNotNull() | F.col("ts").isNull())
+
+
+def _last_minutes(rows: DataFrame, minutes: int) -> tuple[DataFrame, Column]:
+    """Closed one-minute rows (window column ``m``) grouped by the ``minutes`` minutes that end
+    with each; the condition that the last of them has a row."""
+    grouped = rows.withColumn("start", F.col("m.start")).groupBy(F.window("m", f"{minutes} minutes", "1 minute").alias("w"))
+    return grouped, F.col("newest") == F.col("w.end") - F.make_interval(mins=F.lit(1))
+
+
+def latency_alerts(log: DataFrame, threshold_ms: float, minutes: int = 5, accuracy: int = 10_000, series: str = "path") -> DataFrame:
+    """A11 on a watermarked stream: p95 per minute and series, their mean per minute, then
+    the last ``minutes`` minutes; three aggregations, each fed by the closed rows of the one before."""
+    per = (log.groupBy(F.window("ts", "1 minute").alias("s"), series)
+              .agg(F.percentile_approx("latency_ms", 0.95, accuracy).alias("p95")))
+    per_minute = per.groupBy(F.window("s", "1 minute").alias("m")).agg(F.avg("p95").alias("p95_ms"))
+    grouped, complete = _last_minutes(per_minute, minutes)
+    r = grouped.agg(F.min("p95_ms").alias("lowest"), F.count(F.lit(1)).alias("n"), F.max("start").alias("newest"), F.max_by("p95_ms", "start").alias("p95_ms"))
+    return r.where(complete).select(F.unix_millis("newest").alias("minute_ms"), "p95_ms",
+                                    ((F.col("n") == minutes) & (F.col("lowest") > threshold_ms)).alias("alert"))
+
+
+def error_rate_alerts(log: DataFrame, threshold: float = 0.01, minutes: int = 5) -> DataFrame:
+    """A12 on a watermarked stream."""
+    per_minute = (log.groupBy(F.window("ts", "1 minute").alias("m"))
+                     .agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") >= 500).alias("errors")))
+    grouped, complete = _last_minutes(per_minute, minutes)
+    r = grouped.agg(F.sum("requests").alias("requests_5m"), F.sum("errors").alias("errors_5m"), F.max("start").alias("newest"))
+    share = F.col("errors_5m") / F.col("requests_5m")
+    return r.where(complete).select(F.unix_millis("newest").alias("minute_ms"), "requests_5m", "errors_5m",
+                                    share.alias("error_share"), (share > threshold).alias("alert"))
+
+
+def availability_alerts(log: DataFrame, goal: float = 0.995, days: int = 30) -> DataFrame:
+    """A13 on a watermarked stream: days, then the last ``days`` days of each day with traffic."""
+    per_day = (log.groupBy(F.window("ts", "1 day").alias("d"))
+                  .agg(F.count(F.lit(1)).alias("total"), F.count_if((F.col("status") >= 200) & (F.col("status") < 300)).alias("good")))
+    r = (per_day.withColumn("start", F.col("d.start")).groupBy(F.window("d", f"{days} days", "1 day").alias("w"))
+                .agg(F.sum("good").alias("good_30d"), F.sum("total").alias("total_30d"), F.max("start").alias("newest")))
+    r = r.where(F.unix_seconds("newest") == F.unix_seconds("w.end") - 86_400)
+    av = F.col("good_30d") / F.col("total_30d")
+    return r.select(F.unix_millis("newest").alias("day_ms"), "good_30d", "total_30d", av.alias("availability"), (av >= goal).alias("met"))
+
+
+def trip_alerts(audit: DataFrame, reason: str = "source") -> DataFrame:
+    """A14 on a watermarked audit stream."""
+    trips = audit.where(F.col(reason) == "anomaly")
+    return (trips.groupBy(F.window("ts", "1 minute").alias("m")).agg(F.count(F.lit(1)).alias("trips"))
+                 .select(F.unix_millis("m.start").alias("minute_ms"), "trips", (F.col("trips") > 0).alias("alert")))
+
+
+ALERTS = {"latency": latency_alerts, "error_rate": error_rate_alerts, "availability": availability_alerts}
+
+
+def alert_stream(spark: SparkSession, src: str, schema: T.StructType, out: str, checkpoint: str, kind: str,
+                 lateness: str = "2 minutes", available_now: bool = True, interval: str = "1 minute",
+                 max_files: int | None = None, **options) -> StreamingQuery:
+    """T7, alerts A11-A13 (``kind``: a key of ``ALERTS``) over the request log, appended as the
+    minutes (days) close. State: the open minutes and the minutes of the open rolling windows."""
+    alerts = ALERTS[kind](_closed(spark, src, schema, lateness, max_files), **options)
+    w = alerts.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    return _trigger(w, available_now, interval).start(out)
+
+
+def trip_stream(spark: SparkSession, src: str, schema: T.StructType, out: str, checkpoint: str, reason: str = "source",
+                lateness: str = "2 minutes", available_now: bool = True, interval: str = "1 minute",
+                max_files: int | None = None) -> StreamingQuery:
+    """T7, alert A14 over the audit trail (columns ``ts`` and ``reason``; a null reason is a heartbeat)."""
+    audit = _source(spark, src, schema, max_files).withWatermark("ts", lateness)
+    audit = audit.where(F.col(reason).isNotNull() | F.col("ts").isNull())
+    w = trip_alerts(audit, reason).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    return _trigger(w, available_now, interval).start(out)
+
+
 def run(q: StreamingQuery) -> StreamingQuery:
     """Block until an availableNow query has drained its source; surface failures."""
     q.awaitTermination()
@@ -310,6 +610,7 @@ def run(q: StreamingQuery) -> StreamingQuery:
     return q
 
 
-__all__ = ["land_stream", "clicks_stream", "latest_clicks", "freshness_stream", "breaker_stream",
-           "breaker_events_stream", "score_stream", "activation_stream", "metrics_stream",
-           "stage", "scratch", "run", "BreakerState"]
+__all__ = ["land_stream", "clicks_stream", "clicks_upsert_stream", "UpsertTable", "latest_clicks", "freshness_stream", "breaker_stream",
+           "breaker_events_stream", "score_stream", "activation_stream", "metrics_stream", "silence_stream",
+           "alert_stream", "trip_stream", "latency_alerts", "error_rate_alerts", "availability_alerts", "trip_alerts",
+           "stage", "stage_slots", "scratch", "run", "BreakerState"]
