@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.text import U64, Words, bounded_batches, components, grams, mix, slices, stage
+from revlens.llm.text import U64, Words, bounded_batches, components, grams, mix, narrow_batches, slices, stage
 
 SHINGLE = 3
 BLOCK_SHINGLES = 1 << 20
@@ -108,6 +109,47 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
             .mapInArrow(run, "doc_id long, size long, t0 long, t1 long, sigs array<long>"))
 
 
+def sharing(heads: DataFrame) -> DataFrame:
+    """heads(head, sigs) -> (cls, a, b): pairs that connect all documents that share a signature.
+
+    Signatures repeated within an Arrow batch are connected there and go on once, so a
+    signature that a large part of the documents shares is small before the shuffle. One
+    exchange by signature and a sort bring the others together; rows that follow each
+    other with one signature are connected, whatever their number."""
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            sig = lists.flatten().to_numpy()
+            if not len(sig):
+                continue
+            head = np.repeat(b.column(0).to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            order = np.argsort(sig, kind="stable")
+            sig, head = sig[order], head[order]
+            again = np.flatnonzero(sig[1:] == sig[:-1])
+            alone = np.concatenate(([True], sig[1:] != sig[:-1]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate((sig[alone], sig[again]))), pa.array(np.concatenate((head[alone], head[again]))),
+                 pa.concat_arrays([pa.nulls(int(alone.sum()), pa.int64()), pa.array(head[again + 1])])], ["sig", "a", "b"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            known = batch.filter(pc.is_valid(batch.column(2)))
+            new = batch.filter(pc.is_null(batch.column(2)))
+            sig, head = new.column(0).to_numpy(), new.column(1).to_numpy()
+            if last is not None:
+                sig, head = np.concatenate((last[0], sig)), np.concatenate((last[1], head))
+            same = np.flatnonzero(sig[1:] == sig[:-1])
+            last = (sig[-1:], head[-1:])
+            cls = np.concatenate((known.column(0).to_numpy(), sig[same])) & CLASS_BITS
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cls), pa.array(np.concatenate((known.column(1).to_numpy(), head[same]))),
+                 pa.array(np.concatenate((known.column(2).to_numpy(), head[same + 1])))], ["cls", "a", "b"])
+    met = heads.select("head", "sigs").mapInArrow(first, "sig long, a long, b long")
+    return (met.repartition("sig").sortWithinPartitions("sig").mapInArrow(follow, "cls long, a long, b long")
+            .where("a <> b").distinct())
+
+
 # ------------------------------------------------------------------ T-occurrence search
 class Index:
     """Inverted lists over the sets of a block: ``key`` holds list * n + document, sorted."""
@@ -222,15 +264,13 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, block: int = BLOCK_SHINGLES)
     heads = stage(staged.where("size > 0").groupBy("t0", "t1", "size").agg(F.min("doc_id").alias("head"), F.first("sigs").alias("sigs")), "join-heads")
     copies = (staged.where("size > 0").select("doc_id", "t0", "t1", "size")
               .join(heads.select("t0", "t1", "size", "head"), ["t0", "t1", "size"]).select("doc_id", "head"))
-    dealt = heads.select("head", "size", F.explode("sigs").alias("sig"))
-    shared = dealt.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
     # one node per document and size class; which documents of a class share signatures
-    members = stage(dealt.join(shared, "sig", "left_semi")
-                    .withColumn("node", F.xxhash64("head", F.col("sig").bitwiseAND(CLASS_BITS))), "join-members")
-    centers = members.groupBy("sig").agg(F.min("node").alias("center"))
-    meets = members.join(centers, "sig").select(F.col("center").alias("a"), F.col("node").alias("b"))
-    grouped = components(members.select("node"), meets)
-    groups = stage(members.select("head", "size", "node").distinct().join(grouped, "node").select("comp", "head", "size").distinct(), "join-groups")
+    with narrow_batches(docs.sparkSession):
+        meets = stage(sharing(heads), "join-meets")
+    ends = meets.select("cls", F.col("a").alias("head")).unionByName(meets.select("cls", F.col("b").alias("head"))).distinct()
+    nodes = ends.withColumn("node", F.xxhash64("head", "cls"))
+    grouped = components(nodes.select("node"), meets.select(F.xxhash64("a", "cls").alias("a"), F.xxhash64("b", "cls").alias("b")))
+    groups = stage(nodes.join(grouped, "node").join(heads.select("head", "size"), "head").select("comp", "head", "size").distinct(), "join-groups")
     text = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("head"), "text")
     texts = stage(groups.join(text, "head"), "join-texts")
     found = stage(_group_links(texts, n, block).distinct(), "join-links")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,16 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def narrow_batches(spark: SparkSession, rows: int = 50 * BATCH_ROWS) -> Iterator[None]:
+    """Larger Arrow batches (the bound on bytes stays) for jobs on rows of a few numbers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        yield
+    finally:
+        bounded_batches(spark)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared checkpoint folder and read back."""
     spark = df.sparkSession
