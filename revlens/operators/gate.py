@@ -9,11 +9,13 @@ they fail."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LIST = "_published"
 
@@ -30,6 +32,8 @@ def publish(df: DataFrame, path: str, rows: dict[str, str], unique: dict[str, li
     conditions ``rows`` (name -> condition; null is a failure) and the key columns
     ``unique`` (name -> columns) do not repeat. Else its failing rows are appended to
     ``quarantine`` (default: ``path``/_quarantine) with the column ``failed``."""
+    if {"ok", "failed"} & set(df.columns):
+        raise ValueError("the columns ok and failed are the gate's own")
     spark, path = df.sparkSession, path.rstrip("/")
     run = uuid.uuid4().hex[:12]
     folder = f"{path}/data-{run}"
@@ -62,7 +66,7 @@ def publish(df: DataFrame, path: str, rows: dict[str, str], unique: dict[str, li
         out.withColumn("run", F.lit(run)).write.mode("append").parquet((quarantine or f"{path}/_quarantine").rstrip("/"))
         return Publication(False, metrics["rows"], failed)
     version = (newest_version(spark, path) or 0) + 1
-    spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder")).coalesce(1).write.mode("append").parquet(f"{path}/{LIST}")
+    spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder"), F.lit(df.schema.json()).alias("schema")).coalesce(1).write.mode("append").parquet(f"{path}/{LIST}")
     return Publication(True, metrics["rows"])
 
 
@@ -70,7 +74,7 @@ def _listed(spark: SparkSession, path: str) -> DataFrame | None:
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{LIST}")
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return None
-    return spark.read.schema("version long, folder string").parquet(f"{path.rstrip('/')}/{LIST}")
+    return spark.read.schema("version long, folder string, schema string").parquet(f"{path.rstrip('/')}/{LIST}")
 
 
 def newest_version(spark: SparkSession, path: str) -> int | None:
@@ -83,5 +87,7 @@ def read_published(spark: SparkSession, path: str) -> DataFrame:
     listed = _listed(spark, path)
     if listed is None:
         raise ValueError(f"nothing is published at {path}")
-    folder = listed.agg(F.max_by("folder", "version")).first()[0]
-    return spark.read.parquet(folder).drop("ok", "failed")
+    newest = listed.agg(F.max_by(F.struct("folder", "schema"), "version")).first()[0]
+    # with its schema: a table without rows has no file
+    schema = T.StructType.fromJson(json.loads(newest.schema))
+    return spark.read.schema(schema).parquet(newest.folder).select(*schema.names)

@@ -709,8 +709,8 @@ def _t2s(spark, sf):
     newest = spark.read.parquet(src).agg(F.max(F.unix_millis("ts"))).first()[0]
     clock = (newest // step + 1) * step + SILENT_DAYS * 86_400_000 + step // 2
     out = sj.scratch(spark, "silence")
-    sj.run(sj.silence_stream(spark, src, ev.schema, "ts", out, sj.scratch(spark, "ckpt"), feed=F.col("user_id") % 4, grace_ms=0,
-                             shift_ms=int(time.time() * 1000) - clock, available_now=True))
+    sj.run_for(sj.silence_stream(spark, src, ev.schema, "ts", out, sj.scratch(spark, "ckpt"), feed=F.col("user_id") % 4, grace_ms=0,
+                                 shift_ms=int(time.time() * 1000) - clock, interval="200 milliseconds"))
     return spark.read.schema(sj.SILENCE_OUT).parquet(out)
 
 

@@ -14,6 +14,7 @@ as the column ``batch``. A batch with two sinks is persisted for them.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -326,24 +327,23 @@ class SilenceProcessor(StatefulProcessor):
     def _wait(self, w: int) -> None:
         """Judge window w once it has ended and the grace is over."""
         timer = (w + 1) * self.step + self.grace + self.shift
-        old = self.next.get()
-        if old is not None and old[1] != timer:
-            self.handle.deleteTimer(old[1])
         self.next.update((w, timer))
         self.handle.registerTimer(timer)
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         newest = max(int(part["w"].max()) for part in rows)
         old = self.next.get()
         if old is None or newest + 1 > old[0]:
+            if old is not None:
+                self.handle.deleteTimer(old[1])
             self._wait(newest + 1)
         return iter([])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self.next.get()
-        if state is None or expired.getExpiryTimeInMs() != state[1]:
+        if state is None or expiredTimerInfo.getExpiryTimeInMs() != state[1]:
             return
-        now = timer_values.getCurrentProcessingTimeInMs() - self.shift
+        now = timerValues.getCurrentProcessingTimeInMs() - self.shift
         first, last = state[0], (now - self.grace) // self.step - 1     # last window that is over
         for lo in range(first, last + 1, 10_000):
             w = np.arange(lo, min(lo + 10_000, last + 1))
@@ -371,15 +371,16 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
 
 def silence_stream(spark: SparkSession, src: str, schema: T.StructType, ts: str, out: str, checkpoint: str,
                    feed: Column | None = None, window_ms: int = 15 * 60_000, grace_ms: int = 30 * 60_000,
-                   from_hour: int = 6, to_hour: int = 22, shift_ms: int = 0, available_now: bool = False,
-                   interval: str = "1 minute", max_files: int | None = None) -> StreamingQuery:
+                   from_hour: int = 6, to_hour: int = 22, shift_ms: int = 0, interval: str = "1 minute",
+                   max_files: int | None = None) -> StreamingQuery:
     """T2, silent feeds: a window without an event is written as soon as
     it is ``grace_ms`` old by the clock, while the silence lasts and without a new file.
 
     State is one row a feed. Only the newest window of each feed and Arrow batch is sent to
     it, so a feed with most of the events loads no task. A window that late events fill
     afterwards stays reported; the gaps between events are :func:`freshness_stream`'s. A
-    feed counts from its first event on."""
+    feed counts from its first event on. Timers keep the query going, so it has no
+    availableNow form: stop it, or see :func:`run_for`."""
     def newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = pa.table([b.column(0), b.column(1)], ["feed", "w"]).group_by("feed").aggregate([("w", "max")])
@@ -392,7 +393,33 @@ def silence_stream(spark: SparkSession, src: str, schema: T.StructType, ts: str,
         SilenceProcessor(window_ms, grace_ms, shift_ms, from_hour, to_hour), SILENCE_OUT, "Append", "ProcessingTime")
     w = silent.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     with _rocksdb(spark):
-        return _trigger(w, available_now, interval).start(out)
+        return _trigger(w, False, interval).start(out)
+
+
+def run_for(q: StreamingQuery, batches: int = 2, seconds: float = 300) -> StreamingQuery:
+    """Run a query that timers keep going until its source is drained and ``batches`` more
+    batches (those of the timers that are due) are done, then stop it. ``seconds`` bounds the wait."""
+    end = time.monotonic() + seconds
+
+    def done() -> int:
+        p = q.lastProgress
+        return p["batchId"] if p else -1
+    try:
+        drained = None
+        while q.isActive and time.monotonic() < end:
+            if drained is None and done() >= 0 and not q.status["isDataAvailable"]:
+                drained = done()
+            if drained is not None and done() >= drained + batches:
+                break
+            time.sleep(0.2)
+        else:
+            if q.exception() is None:
+                raise TimeoutError("the query was not drained in time")
+    finally:
+        q.stop()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return q
 
 
 # ----------------------------------------------------------------- T3
@@ -574,7 +601,8 @@ def availability_alerts(log: DataFrame, goal: float = 0.995, days: int = 30) ->
 
 def trip_alerts(audit: DataFrame, reason: str = "source") -> DataFrame:
     """A14 on a watermarked audit stream."""
-    trips = audit.where(F.col(reason) == "anomaly")
+    # names ts, so that the filter stays above the watermark: every audit row moves it
+    trips = audit.where(F.when(F.col("ts").isNotNull(), F.col(reason) == "anomaly"))
     return (trips.groupBy(F.window("ts", "1 minute").alias("m")).agg(F.count(F.lit(1)).alias("trips"))
                  .select(F.unix_millis("m.start").alias("minute_ms"), "trips", (F.col("trips") > 0).alias("alert")))
 
@@ -613,4 +641,4 @@ def run(q: StreamingQuery) -> StreamingQuery:
 __all__ = ["land_stream", "clicks_stream", "clicks_upsert_stream", "UpsertTable", "latest_clicks", "freshness_stream", "breaker_stream",
            "breaker_events_stream", "score_stream", "activation_stream", "metrics_stream", "silence_stream",
            "alert_stream", "trip_stream", "latency_alerts", "error_rate_alerts", "availability_alerts", "trip_alerts",
-           "stage", "stage_slots", "scratch", "run", "BreakerState"]
+           "stage", "stage_slots", "scratch", "run", "run_for", "BreakerState"]
