@@ -1,18 +1,22 @@
-"""Every registered query against its DuckDB twin on sf0.001 (row count, column
-names, order-insensitive values); queries without a twin must still run."""
+"""Every registered query against its DuckDB twin (row count, column names, order-insensitive
+values): the batch queries on sf0.01, streams and training-data operators on sf0.001. Queries
+without a twin must still run. M1 runs with M1_ROUNDS boosting rounds."""
 
 import json
 import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-SLOW = {"M1_train_rpc"}
+LARGE = SMALL.replace("sf0.001", "sf0.01")
+ON_SMALL = ("T", "S5_", "op", "pipeline", "M3_explain_trees")
+M1_ROUNDS = 15
 
 
 def _norm(v):
@@ -29,22 +33,38 @@ def _digest(rows):
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
-    return con
+    out = {}
+    for sf in (SMALL, LARGE):
+        out[sf] = duckdb.connect()
+        for t in TABLES:
+            out[sf].execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    return out
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - {"M1_train_rpc"}))
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SMALL)
+    sf = SMALL if name.startswith(ON_SMALL) else LARGE
+    _compare(E.queries()[name](spark, sf), duck[sf], name)
+
+
+def test_training_matches_oracle(spark, duck, monkeypatch):
+    """The registered query but for the number of rounds."""
+    from revlens.operators import ml
+    train = ml.train_rpc
+    monkeypatch.setattr(ml, "train_rpc", lambda frame: train(frame, rounds=M1_ROUNDS))
+    df = E.queries()["M1_train_rpc"](spark, LARGE)
+    assert df.first().trees == M1_ROUNDS
+    _compare(df.withColumn("trees", F.lit(ml.GBT_ROUNDS).cast("long")), duck[LARGE], "M1_train_rpc")
+
+
+def _compare(df, con, name):
     cols = sorted(df.columns)
     rows = [tuple(r[c] for c in cols) for r in df.collect()]
     sql = E.oracle_sql().get(name)
     if sql is None:
         assert rows is not None
         return
-    rel = duck.execute(sql)
+    rel = con.execute(sql)
     ocols = [d[0] for d in rel.description]
     assert sorted(ocols) == cols
     idx = {c: i for i, c in enumerate(ocols)}
