@@ -114,8 +114,14 @@ def sharing(heads: DataFrame) -> DataFrame:
 
     Signatures repeated within an Arrow batch are connected there and go on once, so a
     signature that a large part of the documents shares is small before the shuffle. One
-    exchange by signature and a sort bring the others together; rows that follow each
-    other with one signature are connected, whatever their number."""
+    exchange by signature and a sort bring the others together; rows that follow each other
+    with one signature are connected with the first, whatever their number. The first is the
+    smallest document, so a group's many signatures mostly give the same few pairs."""
+    def stars(sig: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a row begins its signature, the first document of each row's signature)."""
+        begins = np.concatenate(([True], sig[1:] != sig[:-1]))
+        return begins, head[np.maximum.accumulate(np.where(begins, np.arange(len(sig)), 0))]
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(1)
@@ -123,13 +129,13 @@ def sharing(heads: DataFrame) -> DataFrame:
             if not len(sig):
                 continue
             head = np.repeat(b.column(0).to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-            order = np.argsort(sig, kind="stable")
+            order = np.lexsort((head, sig))
             sig, head = sig[order], head[order]
-            again = np.flatnonzero(sig[1:] == sig[:-1])
-            alone = np.concatenate(([True], sig[1:] != sig[:-1]))
+            alone, center = stars(sig, head)
+            pairs = np.unique(np.stack((sig[~alone] & CLASS_BITS, center[~alone], head[~alone])), axis=1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((sig[alone], sig[again]))), pa.array(np.concatenate((head[alone], head[again]))),
-                 pa.concat_arrays([pa.nulls(int(alone.sum()), pa.int64()), pa.array(head[again + 1])])], ["sig", "a", "b"])
+                [pa.array(np.concatenate((sig[alone], pairs[0]))), pa.array(np.concatenate((head[alone], pairs[1]))),
+                 pa.concat_arrays([pa.nulls(int(alone.sum()), pa.int64()), pa.array(pairs[2])])], ["sig", "a", "b"])
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -139,14 +145,18 @@ def sharing(heads: DataFrame) -> DataFrame:
             sig, head = new.column(0).to_numpy(), new.column(1).to_numpy()
             if last is not None:
                 sig, head = np.concatenate((last[0], sig)), np.concatenate((last[1], head))
-            same = np.flatnonzero(sig[1:] == sig[:-1])
-            last = (sig[-1:], head[-1:])
-            cls = np.concatenate((known.column(0).to_numpy(), sig[same])) & CLASS_BITS
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cls), pa.array(np.concatenate((known.column(1).to_numpy(), head[same]))),
-                 pa.array(np.concatenate((known.column(2).to_numpy(), head[same + 1])))], ["cls", "a", "b"])
+            if len(sig):
+                begins, center = stars(sig, head)
+                last = (sig[-1:], center[-1:])
+                sig, center, head = sig[~begins], center[~begins], head[~begins]
+            else:
+                center = head
+            found = np.stack((np.concatenate((known.column(0).to_numpy(), sig)) & CLASS_BITS,
+                              np.concatenate((known.column(1).to_numpy(), center)), np.concatenate((known.column(2).to_numpy(), head))))
+            found = np.unique(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["cls", "a", "b"])
     met = heads.select("head", "sigs").mapInArrow(first, "sig long, a long, b long")
-    return (met.repartition("sig").sortWithinPartitions("sig").mapInArrow(follow, "cls long, a long, b long")
+    return (met.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(follow, "cls long, a long, b long")
             .where("a <> b").distinct())
 
 
