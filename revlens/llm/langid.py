@@ -32,7 +32,8 @@ LETTER_BITS = 21
 LETTER = (1 << LETTER_BITS) - 1
 TEXTS_AT_ONCE = 128
 DENSE = 1 << 20             # n-grams over so few different letters are counted in a table
-HELD = 1 << 20              # n-grams whose counts a task holds per language before it bundles them
+VECTORS = 1 << 12           # n-gram vectors made at once
+HELD = 1 << 18              # n-grams whose counts a task holds per language before it bundles them
 
 _letters: np.ndarray | None = None
 _rank: np.ndarray | None = None
@@ -99,7 +100,9 @@ def counted(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     else:
         codes, inverse = np.unique(np.concatenate(grams), return_inverse=True)
         places = np.split(inverse, np.cumsum([len(g) for g in grams])[:-1])
-    counts = np.stack([np.bincount(p, minlength=len(codes)) for p in places]) if len(texts) else np.zeros((0, 0), np.int64)
+    counts = np.zeros((len(texts), len(codes)), np.int32)
+    for i, p in enumerate(places):
+        counts[i] = np.bincount(p, minlength=len(codes))
     letters = [alphabet[codes // width ** (N_GRAM - 1 - i) % width] for i in range(N_GRAM)]
     whole = letters[0]
     for x in letters[1:]:
@@ -143,8 +146,8 @@ class Profiles:
                 continue
             codes, counts = counted([found_symbols[i] for i in rows])
             bundle = np.zeros((len(rows), self.dim), np.float32)
-            for at in range(0, len(codes), HELD >> 4):      # vectors of some n-grams at a time
-                part = slice(at, at + (HELD >> 4))
+            for at in range(0, len(codes), VECTORS):
+                part = slice(at, at + VECTORS)
                 bundle += counts[:, part].astype(np.float32) @ ngram_vectors(codes[part], self.dim, self.seed)
             norm = np.maximum(np.linalg.norm(bundle, axis=1), 1e-9)
             cos = (bundle @ self.prototypes.T) / norm[:, None]
@@ -171,9 +174,9 @@ def fit(docs: DataFrame, dim: int = DIM, seed: int = 7) -> Profiles:
             counts = held.pop(lang, {})
             codes = np.fromiter(counts.keys(), np.int64, len(counts))
             n = np.fromiter(counts.values(), np.int64, len(counts))
-            for lo in range(0, len(codes), 1 << 14):
+            for lo in range(0, len(codes), VECTORS):
                 # whole numbers below 2^53: exact in doubles
-                part = n[lo:lo + (1 << 14)].astype(np.float64) @ ngram_vectors(codes[lo:lo + (1 << 14)], dim, seed).astype(np.float64)
+                part = n[lo:lo + VECTORS].astype(np.float64) @ ngram_vectors(codes[lo:lo + VECTORS], dim, seed).astype(np.float64)
                 sums[lang] = sums.get(lang, np.zeros(dim, np.int64)) + part.astype(np.int64)
         for b in batches:
             for lo in range(0, len(b), TEXTS_AT_ONCE):
