@@ -22,15 +22,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from revlens.llm.text import U64, Words, bounded_batches, components, grams, mix, narrow_batches, slices, stage
 
 SHINGLE = 3
 BLOCK_SHINGLES = 1 << 20
+HEAD_BITS = 24
 LEAST_ROOM = 128            # what a small set counts in a block: at most 8,192 sets
 MU = 0.01                   # DivideSkip: L = T / (MU * log2(longest list) + 1)
 PROBES = 1 << 20            # binary probes made at once
@@ -259,6 +262,24 @@ def _group_links(groups: DataFrame, n: int, block: int) -> DataFrame:
     return asks.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(solve, "a long, b long")
 
 
+def _likely(text: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of text(head, text) that may be in groups: the heads' hashes in a bit table of fixed size
+    (2 MB), so that the join moves few other texts. Where there are more heads than bits it lets
+    all through."""
+    bit = F.pmod(F.xxhash64("head"), F.lit(1 << HEAD_BITS))
+    words = (groups.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toPandas())
+    table = np.zeros(1 << (HEAD_BITS - 6), np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = text.sparkSession.sparkContext.broadcast(table)
+
+    @pandas_udf("boolean")
+    def may(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+    return text.where(may(bit))
+
+
 def jaccard_join(docs: DataFrame, n: int = SHINGLE, block: int = BLOCK_SHINGLES) -> DataFrame:
     """docs(doc_id integer, text) -> doc_id, n_shingles, component_id (smallest doc_id
     reachable over links), one row per distinct non-null doc_id.
@@ -282,7 +303,7 @@ def jaccard_join(docs: DataFrame, n: int = SHINGLE, block: int = BLOCK_SHINGLES)
     grouped = components(nodes.select("node"), meets.select(F.xxhash64("a", "cls").alias("a"), F.xxhash64("b", "cls").alias("b")))
     groups = stage(nodes.join(grouped, "node").join(heads.select("head", "size"), "head").select("comp", "head", "size").distinct(), "join-groups")
     text = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("head"), "text")
-    texts = stage(groups.join(text, "head"), "join-texts")
+    texts = stage(groups.join(_likely(text, groups), "head"), "join-texts")
     found = stage(_group_links(texts, n, block).distinct(), "join-links")
     linked = components(groups.select(F.col("head").alias("node")), found)
     member_of = copies.join(linked.selectExpr("node AS head", "comp"), "head", "left").select("doc_id", F.coalesce("comp", "head").alias("comp"))
