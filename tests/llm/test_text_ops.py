@@ -67,7 +67,7 @@ def test_letters_beyond_the_basic_plane(spark):
     """A text of such letters only has a letter, so it has a language; scripts do not meet."""
     rows = [(i, t * 20, lang) for i, (t, lang) in enumerate([("𐐨𐐩𐐪 𐐫𐐬 ", "dsrt"), ("слово за словом ", "ru"), ("日本語の本 ", "ja"), ("une phrase ici ", "fr")])]
     profiles = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    texts = ["𐐩𐐪 𐐫𐐬", "𐐨", "за словом", "本語", "phrase", "12 !", ""]
+    texts = ["𐐩𐐪 𐐫𐐬", "𐐨", "за словом", "日本語の", "phrase", "12 !", ""]
     found, scores = profiles.predict(texts)
     assert found[1] != "und"        # one letter, in an n-gram that no profile holds
     assert [found[0], *found[2:]] == ["dsrt", "ru", "ja", "fr", "und", "und"] and min(scores[0], *scores[2:5]) > 0.1
