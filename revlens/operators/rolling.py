@@ -15,7 +15,8 @@ partitioned by bucket alone over raw rows. With D = day(t) and sod = second of d
 All three are computed on per-second (sum, count) aggregates:
   * head  - running sum inside (bucket, day) partitions: at most 86 400 rows each;
   * middle- RANGE frame over the per-(bucket, day) totals: one row per calendar day;
-  * tail  - suffix sum inside (bucket, day) partitions, probed by rows shifted by n days.
+  * tail  - suffix sum inside (bucket, day) partitions (a running sum from the day's end),
+            probed by rows shifted by n days.
 Every partition is bounded by the calendar (seconds per day, days per bucket), not by
 the data volume, and sums/counts are exact, so the mean equals the plain RANGE window.
 """
@@ -80,8 +81,10 @@ def rolling_rpc(click_rev: DataFrame, days=(7, 14, 30), point_in_time: bool = Fa
     data = per_sec.select(*BUCKET, F.col("day").alias("pday"), "sod",
                           F.lit(None).cast("long").alias("qday"),
                           F.lit(None).cast("int").alias("n"), "s", "c")
-    w_tail = (Window.partitionBy(*BUCKET, "pday").orderBy("sod")
-              .rangeBetween(0, Window.unboundedFollowing))
+    # from the day's end backwards: a frame that grows is one running sum, one that shrinks
+    # towards the end of its partition is added up anew for every row
+    w_tail = (Window.partitionBy(*BUCKET, "pday").orderBy(F.col("sod").desc())
+              .rangeBetween(Window.unboundedPreceding, 0))
     tail = (data.unionByName(probes)
                 .withColumn("tail_s", F.sum("s").over(w_tail))
                 .withColumn("tail_c", F.sum("c").over(w_tail))

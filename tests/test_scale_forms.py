@@ -182,3 +182,15 @@ def test_many_bands_join_by_salt(spark, sf, monkeypatch):
     many = mon.psi_bin_join(live, base)
     assert _same(few, many, few.columns)
     assert "BroadcastNestedLoop" not in many._jdf.queryExecution().toString()
+
+
+def test_rolling_has_no_shrinking_frame(spark, sf):
+    """A frame that ends at its partition's end is added up anew for every row: quadratic in a
+    bucket's clicks of a day. Both forms use running sums only, and a dense day gives the plain window's means."""
+    cr = (spark.range(3000).select(F.concat(F.lit("c-"), F.col("id")).alias("click_id"),
+                                   F.timestamp_seconds(F.lit(900_000_000) + F.col("id") % 2 * 604_800 + F.col("id") * 7919 % 86_400).alias("click_ts"),
+                                   F.lit("a").alias("ad_creative_id"), F.lit("US").alias("geo"), (F.col("id") % 8 / 4.0).alias("target_revenue")))
+    cols = ["click_id"] + [F.round(F.col(f"rpc_{n}d"), 6).alias(f"r{n}") for n in (7, 14, 30)]
+    assert _same(rol.rolling_rpc(cr), rol.rolling_rpc_window(cr), cols)
+    for out in (rol.rolling_rpc(cr), rol.rolling_rpc(cr, point_in_time=True, ledger=fx.ledger(spark, sf))):
+        assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
