@@ -41,14 +41,40 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _files(spark: SparkSession, path: str) -> int:
+    """Number of data files in a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(p)) if fs.exists(p) else 0
+
+
 def stage(df: DataFrame, name: str, files: int | None = None) -> str:
-    """Write a derived table as parquet files (the landing zone of a test stream)."""
-    path = scratch(df.sparkSession, f"stage-{name}")
-    (df.repartition(files) if files else df).write.parquet(path)
+    """Write a derived table as parquet files (the landing zone of a test stream). ``files`` is
+    their least number: rows are rebalanced into partitions of the advisory size, so that the
+    files become more, not larger, with the table; fewer than ``files`` are written again as that many."""
+    spark = df.sparkSession
+    path = scratch(spark, f"stage-{name}")
+    (df.hint("rebalance") if files else df).write.parquet(path)
+    if files and _files(spark, path) < files:
+        small, path = path, scratch(spark, f"stage-{name}")
+        spark.read.schema(df.schema).parquet(small).repartition(files).write.parquet(path)
     return path
 
 
+def files_a_batch(spark: SparkSession, src: str, batches: int) -> int:
+    """Files per trigger with which a stream reads a staged folder in at most ``batches`` micro-batches."""
+    return max(1, -(-_files(spark, src) // batches))
+
+
 SLOT_FILES = 2
+SLOT_FILE_ROWS = 250_000
+
+
+def slot_files(df: DataFrame, slot: Column) -> int:
+    """Files per slot for :func:`stage_slots`: more than ``SLOT_FILES`` where the largest slot has
+    more than ``SLOT_FILE_ROWS`` rows for each."""
+    most = df.groupBy(slot.alias("_slot")).count().agg(F.max("count")).first()[0] or 0
+    return max(SLOT_FILES, -(-most // SLOT_FILE_ROWS))
 
 
 def stage_slots(df: DataFrame, slot: Column, name: str, files: int = SLOT_FILES) -> str:
@@ -60,16 +86,11 @@ def stage_slots(df: DataFrame, slot: Column, name: str, files: int = SLOT_FILES)
     (df.withColumn("_slot", slot.cast("long")).withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(files)))
        .repartition("_slot", "_part").drop("_part").write.partitionBy("_slot").parquet(store))
     stored = spark.read.parquet(store)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def written() -> int:
-        return sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(p)) if fs.exists(p) else 0
     for s in sorted(r._slot for r in stored.select("_slot").distinct().collect()):
-        before = written()
+        before = _files(spark, path)
         part = stored.where(F.col("_slot") == s).select(*df.columns)
         part.repartition(files).write.mode("append").parquet(path)
-        for _ in range(files - (written() - before)):       # fewer rows than files: empty ones
+        for _ in range(files - (_files(spark, path) - before)):       # fewer rows than files: empty ones
             spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
     return path
 
@@ -531,7 +552,10 @@ def activation_stream(spark: SparkSession, src: str, out: str, dead: str, checkp
     body_schema = spark.read.parquet(src).schema
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        with _persisted(act.tagged_envelopes(ing.decode_push_envelope(batch))) as rows:
+        tagged = act.tagged_envelopes(ing.decode_push_envelope(batch))
+        # a message is held with its envelope, or whole if it is a dead letter
+        dead_only = {c: F.when(F.col("reason").isNotNull(), F.col(c)) for c in (*batch.columns, "data")}
+        with _persisted(tagged.withColumns(dead_only)) as rows:
             _write(act.activation_route(rows.where(F.col("reason").isNull()), mode), out, batch_id, "channel")
             _write(rows.where(F.col("reason").isNotNull()).select(*batch.columns, "data", "reason"), dead, batch_id)
 
@@ -641,4 +665,4 @@ def run(q: StreamingQuery) -> StreamingQuery:
 __all__ = ["land_stream", "clicks_stream", "clicks_upsert_stream", "UpsertTable", "latest_clicks", "freshness_stream", "breaker_stream",
            "breaker_events_stream", "score_stream", "activation_stream", "metrics_stream", "silence_stream",
            "alert_stream", "trip_stream", "latency_alerts", "error_rate_alerts", "availability_alerts", "trip_alerts",
-           "stage", "stage_slots", "scratch", "run", "run_for", "BreakerState"]
+           "stage", "stage_slots", "slot_files", "files_a_batch", "scratch", "run", "run_for", "BreakerState"]

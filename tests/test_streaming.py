@@ -148,3 +148,33 @@ def test_replayed_batch_replaces_its_rows(spark, sf):
         sj._write(df, out, 3)
     sj._write(df, out, 4)
     assert spark.read.parquet(out).count() == 20
+
+
+def test_staged_files_grow_in_number(spark):
+    """A landing zone of a larger table has more files, so no task reads a fixed share of it; a
+    replay still takes its batches, and rows are those of the table."""
+    from pyspark.sql import functions as F
+    wide = spark.range(200_000).withColumn("v", F.sha2(F.col("id").cast("string"), 512))
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(name, "1m")
+    try:
+        src = sj.stage(wide, "wide", files=4)
+    finally:
+        spark.conf.unset(name)
+    files = sj._files(spark, src)
+    assert files > 8 and spark.read.parquet(src).exceptAll(wide).count() == 0 and spark.read.parquet(src).count() == 200_000
+    assert sj.files_a_batch(spark, src, 4) == -(-files // 4)
+    small = sj.stage(spark.range(10), "narrow", files=4)
+    assert sj._files(spark, small) == 4 and sj.files_a_batch(spark, small, 4) == 1 and spark.read.parquet(small).count() == 10
+    rows = spark.range(1000).withColumn("s", F.col("id") % 3)
+    assert sj.slot_files(rows, F.col("s")) == sj.SLOT_FILES
+
+
+def test_slot_files_follow_the_largest_slot(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(sj, "SLOT_FILE_ROWS", 100)
+    rows = spark.range(1000).withColumn("s", (F.col("id") >= 450).cast("long"))
+    files = sj.slot_files(rows, F.col("s"))
+    assert files == 6
+    src = sj.stage_slots(rows, F.col("s"), "slots", files)
+    assert sj._files(spark, src) == 12 and spark.read.parquet(src).count() == 1000
