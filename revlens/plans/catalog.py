@@ -467,11 +467,13 @@ def _f1g(spark, sf):
 @register("T5_score_stream_guarded")
 def _t5g(spark, sf):
     """Clicks in time order, one year per micro-batch; the audit trail has every reason."""
-    src = sj.stage_slots(guarded_clicks(spark, sf), F.year("click_ts"), "clicks")
+    clicks, year = guarded_clicks(spark, sf), F.year("click_ts")
+    files = sj.slot_files(clicks, year)
+    src = sj.stage_slots(clicks, year, "clicks", files)
     config = sj.stage(fx.config_versions(spark, sf), "config", files=1)
     log, audit = sj.scratch(spark, "pred-log"), sj.scratch(spark, "audit")
     sj.run(sj.score_stream(spark, src, log, audit, sj.scratch(spark, "ckpt"), config, keyed_ledger(spark, sf), ml.STAND_IN, "v1",
-                           **sides(spark, sf), policy=POLICY, max_files=sj.SLOT_FILES))
+                           **sides(spark, sf), policy=POLICY, max_files=files))
     reasons = spark.read.parquet(audit).select("click_id", F.col("source").alias("reason"))
     return spark.read.parquet(log).drop("batch", "ts_ms").join(reasons, "click_id")
 
@@ -657,6 +659,8 @@ def _a16(spark, sf):
 # -------------------------------------------------------------- streaming (availableNow runs)
 from revlens.streaming import jobs as sj  # noqa: E402
 
+REPLAY_BATCHES = 4      # micro-batches of a replay without slots
+
 
 @register("S5_land_stream")
 def _s5(spark, sf):
@@ -671,7 +675,7 @@ def _t1(spark, sf):
     """Re-emits, corrected ones among them, in other files than the first emits; last write wins."""
     src = sj.stage(fx.landing_clicks(spark, sf), "landing", files=4)
     out, dead = sj.scratch(spark, "clicks"), sj.scratch(spark, "clicks-dead")
-    sj.run(sj.clicks_stream(spark, src, out, dead, sj.scratch(spark, "ckpt"), keep="last", max_files=1))
+    sj.run(sj.clicks_stream(spark, src, out, dead, sj.scratch(spark, "ckpt"), keep="last", max_files=sj.files_a_batch(spark, src, REPLAY_BATCHES)))
     return sj.latest_clicks(spark, out).select("click_id", "message_id", "click_ts", "device", "geo", "hour_of_day",
                                                "cerberus_score", "rpc_7d", "visits_prev_30d")
 
@@ -743,7 +747,7 @@ def _t5(spark, sf):
     config = sj.stage(fx.config_versions(spark, sf), "config", files=1)
     log, audit = sj.scratch(spark, "pred-log"), sj.scratch(spark, "audit")
     sj.run(sj.score_stream(spark, src, log, audit, sj.scratch(spark, "ckpt"), config, keyed_ledger(spark, sf),
-                           ml.STAND_IN, "v1", **sides(spark, sf), max_files=1))
+                           ml.STAND_IN, "v1", **sides(spark, sf), max_files=sj.files_a_batch(spark, src, REPLAY_BATCHES)))
     return spark.read.parquet(log).drop("batch")
 
 
@@ -943,5 +947,6 @@ def _t1u(spark, sf):
     src = sj.stage(fx.landing_clicks(spark, sf), "landing", files=4)
     schema = ing.normalize_clicks(typed_landing(spark, sf)).drop("corrupt").schema
     table = sj.UpsertTable(spark, sj.scratch(spark, "clicks"), schema, "click_id", ["ingested_at", "message_id"], buckets=16)
-    sj.run(sj.clicks_upsert_stream(spark, src, table, sj.scratch(spark, "clicks-dead"), sj.scratch(spark, "ckpt"), max_files=1))
+    sj.run(sj.clicks_upsert_stream(spark, src, table, sj.scratch(spark, "clicks-dead"), sj.scratch(spark, "ckpt"),
+                                   max_files=sj.files_a_batch(spark, src, REPLAY_BATCHES)))
     return table.read().select("click_id", "message_id", "click_ts", "device", "geo", "hour_of_day", "cerberus_score", "rpc_7d", "visits_prev_30d")
