@@ -182,6 +182,12 @@ def explain_clicks(df: DataFrame, model, paths: int = 10, seed: int = 42,
     x = x.withColumn("_perms", F.array(*[_perm(seed, F.lit(p), n) for p in range(paths)]))
     x = x.withColumn("_pos", F.transform(F.col("_perms"), lambda pm: F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_position(pm, i) - 1)))
+    # per feature, the paths that it is the first (last) of
+    def ends(at: int) -> Column:
+        at_end = F.transform("_perms", lambda q: q[at])
+        return F.array(*[F.size(F.array_compact(F.transform(at_end, lambda f: F.when(f == F.lit(i), f)))) for i in range(n)])
+
+    x = x.withColumns({"_firsts": ends(0), "_lasts": ends(n - 1)})
     specs = F.array(
         F.struct(F.lit(-1).alias("p"), F.lit(0).alias("k")),
         F.struct(F.lit(-1).alias("p"), F.lit(n).alias("k")),
@@ -193,23 +199,26 @@ def explain_clicks(df: DataFrame, model, paths: int = 10, seed: int = 42,
     def on(i: int) -> Column:   # feature i switched to the click's value?
         return F.when(k_ == n, F.lit(True)).when(k_ == 0, F.lit(False)).otherwise(pos[i] < k_)
 
-    # signed terms (feature index, sign) of each model row, fixed before the model runs
+    # A model row counts for the feature that it switches on and against the one switched on
+    # next; the shared rows, for (against) the last (first) feature of every path. Its signed
+    # terms are added where it is scored, so that no row is repeated per term.
     pm = F.col("_perms")[p_]
-    shared0 = F.transform(F.col("_perms"), lambda q: F.struct(q[0].alias("f"), F.lit(-1.0).alias("s")))
-    sharedn = F.transform(F.col("_perms"), lambda q: F.struct(q[n - 1].alias("f"), F.lit(1.0).alias("s")))
-    mid = F.array(F.struct(pm[k_ - 1].alias("f"), F.lit(1.0).alias("s")),
-                  F.struct(pm[k_].alias("f"), F.lit(-1.0).alias("s")))
-    terms = F.when(p_ >= 0, mid).when(k_ == 0, shared0).otherwise(sharedn)
-    model_in = rows.select("click_id", p_.alias("p"), k_.alias("k"), terms.alias("terms"),
+    model_in = rows.select("click_id", p_.alias("p"), k_.alias("k"), F.when(p_ >= 0, pm[k_ - 1]).alias("on"),
+                           F.when(p_ >= 0, pm[k_]).alias("off"),
+                           F.when(p_ < 0, F.when(k_ == 0, F.col("_firsts")).otherwise(F.col("_lasts"))).alias("ends"),
                            *[F.when(on(i), F.col(f)).otherwise(F.lit(base[i])).alias(f)
                              for i, f in enumerate(FEATURE_ORDER)])
-    scored = _score(model_in, model).select("click_id", "p", "k", "prediction", "terms")
-    t = scored.select("click_id", "k", "p", "prediction", F.explode("terms").alias("t"))
-    agg = t.groupBy("click_id").agg(
-        F.max(F.when((F.col("p") < 0) & (F.col("k") == 0), F.col("prediction"))).alias("base_value"),
-        F.max(F.when((F.col("p") < 0) & (F.col("k") == n), F.col("prediction"))).alias("prediction"),
-        *[(F.sum(F.when(F.col("t.f") == i, F.col("t.s") * F.col("prediction")).otherwise(0.0)) / paths)
-          .alias(f) for i, f in enumerate(FEATURE_ORDER)])
+    scored = _score(model_in, model).select("click_id", "k", "p", "prediction", "on", "off", "ends")
+    out, shared = F.col("prediction"), F.col("p") < 0
+
+    def term(i: int) -> Column:
+        m = F.col("ends")[i]
+        ends = F.when(m == 0, 0.0).when(F.col("k") == 0, -m * out).otherwise(m * out)
+        return F.when(shared, ends).when(F.col("on") == i, out).when(F.col("off") == i, -out).otherwise(0.0)
+    agg = scored.groupBy("click_id").agg(
+        F.max(F.when(shared & (F.col("k") == 0), out)).alias("base_value"),
+        F.max(F.when(shared & (F.col("k") == n), out)).alias("prediction"),
+        *[(F.sum(term(i)) / paths).alias(f) for i, f in enumerate(FEATURE_ORDER)])
     return agg.select("click_id", "base_value", "prediction",
                       F.map_from_arrays(F.array(*[F.lit(f) for f in FEATURE_ORDER]),
                                         F.array(*[F.col(f) for f in FEATURE_ORDER])).alias("attributions"))
@@ -226,23 +235,29 @@ def parse_attributions(df: DataFrame, json_col: str = "explanation") -> DataFram
     (in key order) is an array, zipped with the explanation order. Non-numeric values
     are dropped; the base defaults to 0.0; a response without attributions is
     flagged ``valid = false``."""
-    attr = F.get_json_object(F.col(json_col), "$.explanations[0].attributions[0]")
-    base_txt = F.get_json_object(attr, "$.baselineOutputValue")
-    feats_txt = F.get_json_object(attr, "$.featureAttributions")
-    feats = F.from_json(feats_txt, "map<string,string>")
-    first = feats[F.array_min(F.map_keys(feats))]
-    arr = F.when(F.json_array_length(first).isNotNull(), F.from_json(first, "array<string>"))
+    own = df.columns
+    # every step leaves through a generator, whose outputs are plain columns: as expressions the
+    # optimizer would put the parse into each of its uses, and the explode's filter below it again
+    df = _once(df, _attr=F.get_json_object(F.col(json_col), "$.explanations[0].attributions[0]"))
+    df = _once(df, _base=F.get_json_object("_attr", "$.baselineOutputValue"), _text=F.get_json_object("_attr", "$.featureAttributions"))
+    df = _once(df, _feats=F.from_json("_text", "map<string,string>"), valid=F.json_object_keys("_text").isNotNull())
+    feats, arr, base_txt = F.col("_feats"), F.col("_arr"), F.col("_base")
+    df = _once(df, _first=feats[F.array_min(F.map_keys(feats))])
+    df = _once(df, _arr=F.when(F.json_array_length("_first").isNotNull(), F.from_json("_first", "array<string>")))
     names = F.array(*[F.lit(x) for x in EXPLANATION_ORDER])
     zipped = F.filter(F.arrays_zip(names.alias("n"), arr.alias("v")),
                       lambda e: e["n"].isNotNull() & e["v"].rlike(_NUMBER))
     shape_b = F.map_from_entries(F.transform(zipped, lambda e: F.struct(e["n"], e["v"].cast("double"))))
     shape_a = F.transform_values(F.map_filter(feats, lambda k, v: v.rlike(_NUMBER)),
                                  lambda k, v: v.cast("double"))
-    return df.select(
-        "*",
-        F.coalesce(F.when(base_txt.rlike(_NUMBER), base_txt.cast("double")), F.lit(0.0)).alias("base_value"),
-        F.when(arr.isNotNull(), shape_b).otherwise(shape_a).alias("contributions"),
-        F.json_object_keys(feats_txt).isNotNull().alias("valid"))
+    df = _once(df, base_value=F.coalesce(F.when(base_txt.rlike(_NUMBER), base_txt.cast("double")), F.lit(0.0)),
+               contributions=F.when(arr.isNotNull(), shape_b).otherwise(shape_a))
+    return df.select(*own, "base_value", "contributions", "valid")
+
+
+def _once(df: DataFrame, **cols: Column) -> DataFrame:
+    """df with columns that are evaluated once a row, however often they are used."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in cols.items()]))))
 
 
 def top_features(attr: DataFrame, k: int, col: str = "attributions") -> DataFrame:

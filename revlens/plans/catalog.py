@@ -571,7 +571,8 @@ def _m3t(spark, sf):
 def explanation_json(spark, sf):
     """Explanation responses in both shapes: name -> value (even keys), or one
     array in explanation order (odd keys)."""
-    la = ml.linear_attributions(fx.clicks(spark, sf))
+    # spread: a narrow click becomes a long text, and its parse takes the time
+    la = ml.linear_attributions(fx.clicks(spark, sf).select("click_id", *FEATURE_ORDER).hint("rebalance"))
     key = F.regexp_extract("click_id", r"(\d+)$", 1).cast("long")
     arr = F.array(*[F.col("attributions")[f] for f in ml.EXPLANATION_ORDER])
     def wrap(feats):

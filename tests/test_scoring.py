@@ -193,3 +193,38 @@ def test_hash_of_an_empty_id(spark):
     from revlens.functions.columns import fnv1a64_mod
     df = spark.createDataFrame([("",), ("a",), (None,)], "c string")
     assert [r[0] for r in df.select(fnv1a64_mod("c")).collect()] == [0xcbf29ce484222325 % 10_000, 0xaf63dc4c8601ec8c % 10_000, None]
+
+
+def test_attributions_are_parsed_once(spark):
+    """The explode's filter and the two shapes refer to one parse of the response."""
+    from revlens.operators import ml
+    body = '{"explanations":[{"attributions":[{"baselineOutputValue":0.5,"featureAttributions":%s}]}]}'
+    df = spark.createDataFrame([("a", body % '{"rpc_7d":1.5,"rpc_14d":"x"}'), ("b", body % '{"features":[1,2,null,"y"]}'), ("c", "{}"), ("d", None)],
+                               "click_id string, explanation string")
+    p = ml.parse_attributions(df)
+    rows = {r.click_id: (r.base_value, r.contributions, r.valid) for r in p.collect()}
+    assert rows == {"a": (0.5, {"rpc_7d": 1.5}, True), "b": (0.5, {"hour_of_day": 1.0, "cerberus_score": 2.0}, True),
+                    "c": (0.0, None, False), "d": (0.0, None, False)}
+    plan = p.select("click_id", F.explode("contributions"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object(") == 3 and plan.count("from_json(") == 2
+
+
+def test_explain_repeats_no_row_per_term(spark):
+    """One row per model input goes into the aggregation: the fan-out is the only generator. The sums
+    are those of the linear model's exact attributions, also from a baseline and with nulls."""
+    from revlens.operators import ml
+    from revlens.schemas import FEATURE_ORDER
+    df = spark.range(20).select(F.col("id").cast("string").alias("click_id"), *[
+        (F.col("id") * (i + 1) % 7 / 4.0).alias(f) for i, f in enumerate(FEATURE_ORDER)])
+    df = df.withColumn("rpc_7d", F.when(F.col("click_id") != "3", F.col("rpc_7d")))
+    base = {"rpc_14d": 1.25, "visits_prev_30d": 3.0}
+    e = ml.explain_clicks(df, ml.STAND_IN, paths=4, baseline=base)
+    assert e._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+    own = {r.click_id: r for r in df.collect()}
+    for r in e.collect():
+        if r.click_id == "3":
+            assert r.prediction is None
+            continue
+        for f, w in zip(FEATURE_ORDER, ml.STAND_IN.weights):
+            assert abs(r.attributions[f] - w * (own[r.click_id][f] - base.get(f, 0.0))) < 1e-9
+        assert abs(r.base_value + sum(r.attributions.values()) - r.prediction) < 1e-9
