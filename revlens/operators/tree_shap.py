@@ -5,9 +5,10 @@ the row and the others go both ways, weighted by the training rows on each side.
 sum over leaves: leaf value times, per feature of the leaf's path, 1 or 0 (known: whether
 the row meets all of the path's conditions on it) or the share of training rows that go the path's
 way at its splits (unknown). A leaf's Shapley values therefore depend on the row only through
-one bit per feature of its path, so they are tabulated for all bit patterns once, and a
-row looks its pattern up. Trees are held as arrays and walked in batches of rows, all
-leaves at a time.
+one bit per feature of its path, so they are tabulated for all bit patterns once.
+Neighbouring leaves share splits, so their tables are added up by the outcomes of the
+splits of the group; a row looks the outcomes up by its features' bins, then a sum per
+group. Rows are taken in batches.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from revlens.operators.ml import feature_columns
 from revlens.schemas import FEATURE_ORDER
 
-ROWS = 512              # rows walked at a time
-LEAVES = 4096           # leaves walked at a time
+ROWS = 4096             # rows walked at a time
+LEAVES = 4096           # leaves whose tables are made at a time
+BITS = 8                # tests of a group of leaves, unless one leaf alone has more
 
 
 @dataclass
@@ -93,33 +95,94 @@ def tables(part: Leaves) -> np.ndarray:
     return out
 
 
+@dataclass
+class Group:
+    """Leaves that are looked up together: their sums by the outcomes of the tests they share."""
+    tests: list[tuple[int, float, float]]   # (feature, low, high): bit i is set if low < x <= high
+    table: np.ndarray                       # outcomes x (contribution per feature, prediction)
+
+
+def grouped(ensemble: Leaves, n_features: int) -> Iterator[Group]:
+    """Neighbouring leaves share most splits of their paths: as many as have BITS cuts together
+    make a group. A leaf with more of its own is tested by the intervals of its features."""
+    paths = [[(int(f), lo, hi) for f, lo, hi in zip(*row) if lo > -np.inf or hi < np.inf]
+             for row in zip(ensemble.feature, ensemble.low.tolist(), ensemble.high.tolist())]
+    cuts = [{(f, cut) for f, lo, hi in path for cut in (lo, hi) if np.isfinite(cut)} for path in paths]
+    step = max(1, LEAVES >> max(0, ensemble.share.shape[1] - 6))
+    for first in range(0, len(paths), step):
+        part = ensemble.part(first, first + step)
+        by_leaf, lo = tables(part), 0
+        while lo < len(part.value):
+            hi, own = lo + 1, cuts[first + lo]
+            while hi < len(part.value) and len(own | cuts[first + hi]) <= BITS:
+                own = own | cuts[first + hi]
+                hi += 1
+            tests = [(f, cut, np.inf) for f, cut in sorted(own)] if len(own) <= BITS else paths[first + lo]
+            yield Group(tests, _merged(part.part(lo, hi), by_leaf[lo:hi], tests, n_features))
+            lo = hi
+
+
+def _merged(part: Leaves, by_leaf: np.ndarray, tests: list[tuple[int, float, float]], n_features: int) -> np.ndarray:
+    outcome = np.arange(1 << len(tests))
+    passed = {test: (outcome >> i & 1).astype(bool) for i, test in enumerate(tests)}
+    out = np.zeros((len(outcome), n_features + 1))
+    d = part.share.shape[1]
+    for i in range(len(part.value)):
+        pattern = np.zeros(len(outcome), np.int64)
+        for j in range(d):
+            f, lo, hi = int(part.feature[i, j]), float(part.low[i, j]), float(part.high[i, j])
+            meets = passed.get((f, lo, hi))
+            if meets is None:
+                meets = np.ones(len(outcome), bool)
+                if lo > -np.inf:
+                    meets = meets & passed[f, lo, np.inf]
+                if hi < np.inf:
+                    meets = meets & ~passed[f, hi, np.inf]
+            pattern |= meets.astype(np.int64) << j
+        for j in range(d):
+            out[:, part.feature[i, j]] += by_leaf[i, pattern, j]
+        out[:, -1] += np.where(pattern == (1 << d) - 1, part.value[i], 0.0)
+    return out
+
+
 class TreeExplainer:
+    """Per feature, the bin of a value among all cuts gives the outcomes of all tests of the
+    feature; put together over the features, they are the rows of the groups' tables."""
+
     def __init__(self, ensemble: Leaves, n_features: int):
-        self.all, self.n = ensemble, n_features
-        step = max(1, LEAVES >> max(0, ensemble.share.shape[1] - 6))
-        self.parts = [ensemble.part(lo, lo + step) for lo in range(0, len(ensemble.value), step)]
-        self.tables = [tables(p) for p in self.parts]
+        self.n = n_features
+        groups = list(grouped(ensemble, n_features))
+        self.tables = [g.table for g in groups]
+        # tests at one place of the outcomes' words: groups of many tests have wider words
+        width = max(len(g.tests) for g in groups)
+        word = next(t for t in (np.uint8, np.uint16, np.uint32) if 8 * np.dtype(t).itemsize >= width)
+        self.cuts = []
+        for f in range(n_features):
+            cuts = ensemble.low[ensemble.feature == f], ensemble.high[ensemble.feature == f]
+            cuts = np.concatenate(cuts)
+            self.cuts.append(np.unique(cuts[np.isfinite(cuts)]))
+        self.outcomes = [np.zeros((len(c) + 1, len(groups)), word) for c in self.cuts]
+        for at, g in enumerate(groups):
+            for i, (f, lo, hi) in enumerate(g.tests):
+                # bin b holds the values above b cuts
+                above = 0 if lo == -np.inf else np.searchsorted(self.cuts[f], lo) + 1
+                upto = len(self.cuts[f]) if hi == np.inf else np.searchsorted(self.cuts[f], hi)
+                self.outcomes[f][above:upto + 1, at] |= word(1 << i)
 
     def explain(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """rows x features -> (prediction, contributions); a missing value goes right at every split."""
         x = np.where(np.isnan(x), np.inf, x)
-        phi, prediction = np.zeros((len(x), self.n)), np.zeros(len(x))
+        out = np.zeros((len(x), self.n + 1))
         for lo in range(0, len(x), ROWS):
-            rows = x[lo:lo + ROWS]
-            for part, table in zip(self.parts, self.tables):
-                d = part.share.shape[1]
-                pattern = np.zeros((len(rows), len(part.value)), np.int64)
-                for j in range(d):
-                    v = rows[:, part.feature[:, j]]
-                    pattern |= ((v > part.low[:, j]) & (v <= part.high[:, j])).astype(np.int64) << j
-                reached = pattern == (1 << d) - 1
-                prediction[lo:lo + ROWS] += reached @ part.value
-                at = np.arange(len(part.value))
-                for j in range(d):
-                    one_hot = np.zeros((len(part.value), self.n))
-                    one_hot[at, part.feature[:, j]] = 1
-                    phi[lo:lo + ROWS] += table[at[None, :], pattern, j] @ one_hot
-        return prediction, phi
+            rows, sums = x[lo:lo + ROWS], out[lo:lo + ROWS]
+            pattern = np.zeros((len(rows), len(self.tables)), self.outcomes[0].dtype)
+            for f, (cuts, outcomes) in enumerate(zip(self.cuts, self.outcomes)):
+                if len(cuts):
+                    pattern |= outcomes[np.searchsorted(cuts, rows[:, f])]
+            found = np.empty(sums.shape)
+            for table, at in zip(self.tables, np.ascontiguousarray(pattern.T)):
+                sums += np.take(table, at, axis=0, out=found, mode="clip")
+        return out[:, -1], out[:, :-1]
 
 
 # ------------------------------------------------------------------ Spark
@@ -142,16 +205,17 @@ def explain_trees(df: DataFrame, ensemble: Leaves) -> DataFrame:
     ensemble; base_value + their sum = prediction up to rounding. No shuffle: rows are
     explained where they lie, in Arrow batches; the leaves travel with the task."""
     held: dict[str, TreeExplainer] = {}
+    n = len(FEATURE_ORDER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "explainer" not in held:
-            held["explainer"] = TreeExplainer(ensemble, len(FEATURE_ORDER))
+            held["explainer"] = TreeExplainer(ensemble, n)
         explainer = held["explainer"]
         for b in batches:
-            x = np.column_stack([c.fill_null(np.nan).to_numpy(zero_copy_only=False) for c in b.columns[1:]]) if len(b) else np.zeros((0, len(FEATURE_ORDER)))
+            x = np.column_stack([c.fill_null(np.nan).to_numpy(zero_copy_only=False) for c in b.columns[1:]]) if len(b) else np.zeros((0, n))
             prediction, phi = explainer.explain(x)
-            keys = pa.array(FEATURE_ORDER * len(b), pa.string())
-            offsets = pa.array(np.arange(len(b) + 1) * len(FEATURE_ORDER), pa.int32())
+            keys = pa.array(FEATURE_ORDER, pa.string()).take(pa.array(np.tile(np.arange(n), len(b))))
+            offsets = pa.array(np.arange(len(b) + 1) * n, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(b), ensemble.base)), pa.array(prediction),
                                               pa.MapArray.from_arrays(offsets, keys, pa.array(phi.ravel()))],
                                              ["click_id", "base_value", "prediction", "attributions"])

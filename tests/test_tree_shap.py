@@ -96,3 +96,28 @@ def test_fitted_model_explained(spark, tmp_path):
         from pyspark.ml.feature import VectorAssembler
         Pipeline(stages=[VectorAssembler(inputCols=["rpc_7d"], outputCol="v")]).fit(df).write().save(f"{tmp_path}/no")
         ts.export(spark, f"{tmp_path}/no")
+
+
+@pytest.mark.parametrize("bits", [1, 3, 6])
+def test_leaves_of_many_cuts(bits, monkeypatch):
+    """Groups whose tests are cuts, and leaves alone whose tests are intervals; -inf goes left, as in the model."""
+    monkeypatch.setattr(ts, "BITS", bits)
+    rng = np.random.default_rng(bits)
+    nodes = random_tree(rng, 0, 6, 3)
+    ensemble = ts.leaves(nodes, [1.5])
+    x = rng.normal(size=(9, 3))
+    x[0, 0], x[1, 1], x[2, 2], x[3] = -np.inf, np.inf, np.nan, -np.inf
+    prediction, phi = ts.TreeExplainer(ensemble, 3).explain(x)
+    for i in range(len(x)):
+        base, out, want = by_definition([{n["id"]: n for n in nodes}], [1.5], x[i], 3)
+        assert prediction[i] == pytest.approx(out) and phi[i] == pytest.approx(want, abs=1e-12)
+
+
+def test_work_of_a_row_is_of_groups_not_leaves():
+    """A complete tree of depth 5: a row looks up a few sums, each of neighbouring leaves."""
+    rng = np.random.default_rng(7)
+    inner = [{"tree": 0, "id": i, "left": 2 * i + 1, "right": 2 * i + 2, "feature": int(rng.integers(8)), "threshold": float(rng.normal()),
+              "prediction": 0.0, "rows": 64 >> (i + 1).bit_length() - 1} for i in range(31)]
+    ends = [{"tree": 0, "id": i, "left": -1, "right": -1, "feature": -1, "threshold": 0.0, "prediction": float(i), "rows": 2} for i in range(31, 63)]
+    ensemble = ts.leaves(inner + ends, [1.0])
+    assert len(ensemble.value) == 32 and len(list(ts.grouped(ensemble, 8))) <= 8
