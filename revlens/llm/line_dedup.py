@@ -68,16 +68,21 @@ def _hot_leaves(docs: DataFrame, depth: int, min_docs: int) -> np.ndarray:
            .agg(F.bit_or(F.expr("shiftleft(1L, bucket & 63)")).alias("bits")).toPandas())
     table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
     table[hot["word"].to_numpy()] = hot["bits"].to_numpy()
-    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+    return table.view(np.uint8)
+
+
+def _is_hot(table: bytes, bucket: int) -> bool:
+    return bool(table[bucket >> 3] >> (bucket & 7) & 1)
 
 
 def candidate_lines(docs: DataFrame, depth: int, min_docs: int) -> DataFrame:
     """(doc_id, i, h, leaf, masked, raw) of the lines whose leaf may recur; raw has the
     line's own tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(_hot_leaves(docs, depth, min_docs)))
+    # looked up bit by bit: a byte a bit would be eight times the table in every worker
+    shared = docs.sparkSession.sparkContext.broadcast(_hot_leaves(docs, depth, min_docs).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.unpackbits(shared.value).view(bool)
+        hot = shared.value
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -88,7 +93,7 @@ def candidate_lines(docs: DataFrame, depth: int, min_docs: int) -> DataFrame:
                     n = len(head) if len(head) <= depth else depth + len(head[depth].split())
                     lead = [VARIABLE.encode() if _DIGIT.search(t) else t for t in head[:depth]]
                     leaf = b"%d %b" % (n, b" ".join(lead))
-                    if hot[zlib.crc32(leaf) >> (32 - TABLE_BITS)]:
+                    if _is_hot(hot, zlib.crc32(leaf) >> (32 - TABLE_BITS)):
                         tokens, _ = parse(line, depth)
                         rows.append((doc, i, zlib.crc32(line), leaf.decode(), b" ".join(tokens).decode(), b" ".join(line.split()).decode()))
             cols = list(zip(*rows)) or [[]] * 6
@@ -165,7 +170,9 @@ def deduplicate(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILAR
             kept = [x for i, x in enumerate(lines) if (i, zlib.crc32(x.encode("utf-8", "replace"))) not in marks]
             out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["kept_text", "n_lines", "n_dropped"])
-    out = joined.withColumn("__cut", cut("text", "__gone"))
+    # a filter on its results would be pushed below it with a copy of it: a second pass of the
+    # texts through a second Python worker of each task; not below what may change from call to call
+    out = joined.withColumn("__cut", cut.asNondeterministic()("text", "__gone"))
     return out.select(*base.columns, "__cut.kept_text", "__cut.n_lines", "__cut.n_dropped")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import uuid
+import zlib
 from base64 import b32encode
 from collections import Counter, defaultdict
 
@@ -367,3 +368,21 @@ def test_pipeline_equals_plain_stages(spark):
 
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 14))
+
+
+def test_line_stage_cuts_each_text_once(spark):
+    """The stage's filter on the cut texts must not bring a second copy of the cut (a second Python worker per task)."""
+    import corpus_pipeline
+    rows = [(i, f"Sent from my phone {i}\n{'abcdefghijklmnopqrst'[i]} line of its own", "en", "s", 40) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.line_stage(spark, docs, "")
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.doc_id: r.text.count("\n") for r in out.collect()} == {i: int(i == 0) for i in range(20)}
+
+
+def test_packed_leaf_table(spark):
+    """Every leaf that min_docs documents have is found, bit by bit; the workers hold no byte a bit."""
+    docs = spark.createDataFrame([(i, f"alpha beta gamma delta\n{'x' * i}y z w only") for i in range(12)], "doc_id long, text string")
+    table = line_dedup._hot_leaves(docs, 3, 10)
+    assert table.nbytes == 1 << line_dedup.TABLE_BITS - 3 and int(np.unpackbits(table).sum()) == 1
+    assert line_dedup._is_hot(table.tobytes(), zlib.crc32(b"4 alpha beta gamma") >> 32 - line_dedup.TABLE_BITS)
