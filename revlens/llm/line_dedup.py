@@ -107,21 +107,24 @@ def with_templates(lines: DataFrame, depth: int, similarity: float, min_docs: in
     """lines plus template."""
     distinct = lines.select("leaf", "masked", "doc_id").distinct().groupBy("leaf", "masked").agg(F.count("*").alias("n"))
     leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs)
-    distinct = stage(distinct.join(leaves.select("leaf"), "leaf"), "line-kinds")
-    # the leading tokens are those of the whole leaf, so they are always kept
-    places = (distinct.select("leaf", "masked", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    distinct = stage(distinct.join(leaves.select("leaf"), "leaf").withColumn("kind", F.monotonically_increasing_id()), "line-kinds")
+    # A row for each token of a line: the planner takes them to be as many as the lines and would
+    # broadcast them, so they go by the number of their kind, and no join may broadcast a side.
+    # The leading tokens are those of the whole leaf, so they are always kept.
+    places = (distinct.select("leaf", "kind", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
               .where((F.col("place") >= depth) & (F.col("token") != VARIABLE)))
     kept = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("support")).where(F.col("support") >= min_docs)
-    fixed = (places.join(kept, ["leaf", "place", "token"]).groupBy("leaf", "masked").agg(F.collect_set("place").alias("fixed")))
+    fixed = (places.join(kept.select("leaf", "place", "token").hint("merge"), ["leaf", "place", "token"])
+             .groupBy("kind").agg(F.collect_set("place").alias("fixed")))
     tokens = F.split("masked", " ")
     general = F.transform(tokens, lambda t, i: F.when((i < depth) | F.array_contains(F.coalesce("fixed", F.array().cast("array<int>")), i), t)
                           .otherwise(F.lit(VARIABLE)))
-    shapes = (distinct.join(fixed, ["leaf", "masked"], "left").withColumn("general", general)
+    shapes = (distinct.join(fixed.hint("merge"), "kind", "left").withColumn("general", general)
               .withColumn("share", F.size(F.filter("general", lambda t: t != VARIABLE)) / F.size("general"))
               .select("leaf", "masked", F.when(F.col("share") >= similarity, F.array_join("general", " ")).alias("general")))
     # staged, so that a line kind that many documents share is a skewed join of two
     # exchanges, which adaptive execution splits
-    shapes = stage(shapes, "shapes")
+    shapes = stage(shapes, "shapes").hint("merge")
     # T for a template, L for a line that stands for itself
     return (lines.join(shapes, ["leaf", "masked"])
             .withColumn("template", F.coalesce(F.concat(F.lit("T "), "general"), F.concat(F.lit("L "), "raw"))).drop("general"))
