@@ -131,16 +131,17 @@ def with_templates(lines: DataFrame, depth: int, similarity: float, min_docs: in
 
 
 def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, i, h, template) of the lines to drop."""
+    """(doc_id, i, h, template) of the lines to drop. Repeated templates take next to no room in
+    files, by which the planner sizes them: no join by template may broadcast a side."""
     lines = stage(candidate_lines(docs, depth, min_docs), "lines")
     lines = stage(with_templates(lines, depth, similarity, min_docs).select("doc_id", "i", "h", "template"), "templates")
     per_doc = lines.groupBy("template", "doc_id").agg(F.min("i").alias("i"))
     recurring = (per_doc.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
                  .where(F.col("n") >= min_docs).drop("n"))
-    firsts = (per_doc.join(recurring, "template").where("doc_id = first_doc")
+    firsts = (per_doc.join(recurring.hint("merge"), "template").where("doc_id = first_doc")
               .select("template", "first_doc", F.col("i").alias("first_i")))
     firsts = stage(firsts, "firsts")
-    return lines.join(firsts, "template").where("doc_id <> first_doc OR i <> first_i").select("doc_id", "i", "h", "template")
+    return lines.join(firsts.hint("merge"), "template").where("doc_id <> first_doc OR i <> first_i").select("doc_id", "i", "h", "template")
 
 
 def deduplicate(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> DataFrame:
