@@ -563,9 +563,11 @@ def _m3t(spark, sf):
     clicks = valid_clicks(spark, sf)
     e = ts.explain_trees(clicks, ts.export(spark, path))
     total = F.aggregate(F.map_values("attributions"), F.lit(0.0), lambda a, b: a + b)
+    # what the join moves is the outcome of the sum, not the attributions
+    e = e.select("click_id", "prediction", F.size("attributions").alias("features"),
+                 (F.abs(F.col("base_value") + total - F.col("prediction")) < 1e-6).alias("adds_up"))
     own = PipelineModel.load(path).transform(clicks.select("click_id", *FEATURE_ORDER)).select("click_id", F.col("prediction").alias("own"))
-    return e.join(own, "click_id").select("click_id", F.size("attributions").alias("features"), (F.abs(F.col("base_value") + total - F.col("prediction")) < 1e-6).alias("adds_up"),
-                                          (F.abs(F.col("prediction") - F.col("own")) < 1e-6).alias("same_prediction"))
+    return e.join(own, "click_id").select("click_id", "features", "adds_up", (F.abs(F.col("prediction") - F.col("own")) < 1e-6).alias("same_prediction"))
 
 
 def explanation_json(spark, sf):
